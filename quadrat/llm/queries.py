@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from quadrat.llm.common import table
 from quadrat.llm.license_scan import license_scan
+from quadrat.llm.pii import find_spans, span_report
 from quadrat.llm.quality_rules import quality_rules
+from quadrat.llm.rule_ensemble import score_quality
+from quadrat.llm.topk_search import integer_vectors, top_k
+from quadrat.llm.warc import archive_pages, base32_sha1
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +24,24 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "permissive")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = archive_pages(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "payload_bytes", base32_sha1(F.col("payload_sha1")).alias("payload_digest"), "record_type", "refers_to")
+
+
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(find_spans(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
