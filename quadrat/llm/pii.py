@@ -122,6 +122,14 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _checked(kind: str) -> Column:
+    return F.filter(F.col(kind), lambda z: _valid(kind, z["m"]))
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda z: z["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def _by_kind(z: Column, of) -> Column:
     out = F.lit(None)
     for k, kind in reversed(list(enumerate(KINDS))):
@@ -217,7 +225,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     """Per document its id and ``spans``: array of kind (name), s, e (code points, end exclusive), m (the text found), base."""
     own = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     found = own.select("i", *(_matches(F.col("t"), k).alias(k) for k in KINDS))
-    checked = [F.filter(F.col(k), lambda z, k=k: _valid(k, z["m"])) for k in KINDS]
+    checked = [_checked(k) for k in KINDS]
     judged = found.select("i", F.concat(*checked).alias("z"))
 
     def with_votes(z: Column) -> Column:
@@ -251,8 +259,7 @@ def joined(spans: Column) -> Column:
 def span_report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The counts and digests of ``find_spans``."""
     spans = F.col("spans")
-    counts = [F.size(F.filter(spans, lambda z, k=k: z["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select(id_col, *counts, F.sha2(joined(F.filter(spans, lambda z: z["base"])).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"))
+    return found.select(id_col, *map(_count, BASE_KINDS), F.sha2(joined(F.filter(spans, lambda z: z["base"])).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
 
 def mask(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
