@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quadrat.llm.common import table
 from quadrat.llm.license_scan import license_scan
+from quadrat.llm.line_dedup import dedup_lines
+from quadrat.llm.ngram_join import jaccard_components
 from quadrat.llm.pii import find_spans, span_report
 from quadrat.llm.quality_rules import quality_rules
 from quadrat.llm.rule_ensemble import score_quality
@@ -24,6 +26,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "permissive")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+    return done.select("doc_id", F.col("quadrat_lines").alias("n_lines"), F.col("quadrat_kept").alias("n_kept"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = archive_pages(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "payload_bytes", base32_sha1(F.col("payload_sha1")).alias("payload_digest"), "record_type", "refers_to")
@@ -38,6 +45,10 @@ def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_report(find_spans(table(spark, sf_dir, "documents")))
 
