@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quadrat.llm.common import table
 from quadrat.llm.license_scan import license_scan
 from quadrat.llm.line_dedup import dedup_lines
+from quadrat.llm.mixing import mix
 from quadrat.llm.ngram_join import jaccard_components
 from quadrat.llm.pii import find_spans, span_report
 from quadrat.llm.quality_rules import quality_rules
@@ -41,6 +42,10 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_rank")
+
+
 def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
