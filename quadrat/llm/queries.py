@@ -15,10 +15,18 @@ from quadrat.llm.ngram_join import jaccard_components
 from quadrat.llm.pii import find_spans, span_report
 from quadrat.llm.quality_rules import quality_rules
 from quadrat.llm.rule_ensemble import score_quality
+from quadrat.llm.sentence_pieces import Pieces, decode, encode
 from quadrat.llm.topk_search import integer_vectors, top_k
 from quadrat.llm.warc import archive_pages, base32_sha1
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = Pieces()
+    done = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces=pieces), pieces=pieces)
+    same = F.col("decoded").eqNullSafe(F.translate("text", "\u2581", " "))
+    return done.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.md5(F.array_join("piece_ids", " ").cast("binary")).alias("ids_md5"), same.alias("decodes"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
