@@ -1,19 +1,713 @@
-"""The registered queries of the experiment engine and their DuckDB SQL."""
+"""The registered queries of the experiment engine, and their DuckDB SQL where SQL can express them.
+
+Results are rounded where the order of floating-point sums could change the last digits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quadrat.functions import columns as fc
+from quadrat.operators import bayes, decisions, evidence, ingest, mapping, matching, power, validation
+from quadrat.sources import panel as sp
+from quadrat.sources import synthetic
+from quadrat.streaming import panel_stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+WEEKS = "SELECT trim(r_name) AS region, CAST(date_trunc('week', o_orderdate) AS DATE) AS date, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS kpi, COUNT(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"
+MONTHS = "SELECT trim(n_name) AS region, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS kpi, COUNT(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2"
+DAYS = "SELECT event_type AS region, CAST(ts AS DATE) AS date, CAST(SUM(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS kpi, COUNT(*) AS n FROM events GROUP BY 1, 2"
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+FEATURES = ["mean_balance", "suppliers", *(f"share_{s.lower()}" for s in SEGMENTS)]
+DEMOGRAPHICS = f"""SELECT trim(n_name) AS region, n_regionkey, CAST(p AS DOUBLE) AS Population, mean_balance, CAST(s AS DOUBLE) AS suppliers, {', '.join(f'share_{s.lower()}' for s in SEGMENTS)}
+FROM (SELECT c_nationkey, COUNT(*) AS p, CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS mean_balance, {', '.join(f"CAST(COUNT(*) FILTER (c_mktsegment = '{s}') AS DOUBLE) / COUNT(*) AS share_{s.lower()}" for s in SEGMENTS)} FROM customer GROUP BY 1)
+JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, COUNT(*) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey"""
+#: Fixed dates of the wide frames.
+WIDE = [date(1996, m, 1) for m in range(1, 13)]
+PRE_END = "1999-12-31"
+HORIZON = 8
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def weeks(spark: SparkSession, d: str) -> DataFrame:
+    return sp.order_panel(spark, d, "region", "week").select("region", "date", F.col("revenue").alias("kpi"), "orders")
+
+
+def months(spark: SparkSession, d: str) -> DataFrame:
+    return sp.order_panel(spark, d, "nation", "month").select("region", "date", F.col("revenue").alias("kpi"), "orders")
+
+
+def r(c: Column | str, n: int = 4) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+def rounded(df: DataFrame, n: int = 4) -> DataFrame:
+    return df.select(*(r(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def wide_months(spark: SparkSession, d: str) -> DataFrame:
+    """A wide source frame: Region, Metric and a column of text for each of twelve months; some cells are broken on purpose."""
+    p = months(spark, d).where(F.col("date").isin(WIDE))
+    cells = ingest.to_wide(p, WIDE)
+    bad = F.when(F.length("region") % 5 == 0, F.lit("n/a"))
+    last = WIDE[-1].isoformat()
+    return cells.select(F.col("region").alias("Region"), F.lit(" Revenue ").alias("Metric"), *(F.col(f"`{x}`").cast("decimal(20,2)").cast("string").alias(x.isoformat()) for x in WIDE[:-1]), F.coalesce(bad, F.col(f"`{last}`").cast("decimal(20,2)").cast("string")).alias(last))
+
+
+LONG = f"""WITH m AS ({MONTHS}), regions AS (SELECT DISTINCT region FROM m WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-01'),
+dates AS (SELECT UNNEST(generate_series(DATE '1996-01-01', DATE '1996-12-01', INTERVAL 1 MONTH))::DATE AS date),
+long AS (SELECT regions.region, dates.date, CASE WHEN dates.date = DATE '1996-12-01' AND length(regions.region) % 5 = 0 THEN 'n/a' ELSE CAST(CAST(kpi AS DECIMAL(20,2)) AS VARCHAR) END AS raw FROM regions CROSS JOIN dates LEFT JOIN m ON m.region = regions.region AND m.date = dates.date)"""
+
+
+def long_months(spark: SparkSession, d: str) -> DataFrame:
+    w = wide_months(spark, d)
+    return ingest.melt(w, ingest.resolve_layout(w.columns))
+
+
+# panel
+
+@query("a1_canonical_panel", f"{WEEKS}")
+def a1(spark, d):
+    return weeks(spark, d)
+
+
+@query("a2_geo_aggregate", f"SELECT date, COALESCE(SUM(n), 0)::BIGINT AS n, ROUND(COALESCE(SUM(kpi), 0), 4) AS kpi FROM ({DAYS}) GROUP BY 1")
+def a2(spark, d):
+    return sp.event_panel(spark, d).groupBy("date").agg(F.sum("n").alias("n"), r(F.coalesce(F.sum("kpi"), F.lit(0.0))).alias("kpi"))
+
+
+@query("r1_melt", f"{LONG} SELECT region AS region_raw, 'Revenue' AS metric_name, strftime(date, '%Y-%m-%d') AS date_raw, raw AS kpi_raw FROM long")
+def r1(spark, d):
+    return long_months(spark, d)
+
+
+@query("r2_pivot", f"SELECT region, {', '.join(f'''MAX(kpi) FILTER (date = DATE '{x}') AS m{x.month}''' for x in WIDE)} FROM ({MONTHS}) WHERE year(date) = 1996 GROUP BY 1")
+def r2(spark, d):
+    own = ingest.to_wide(ingest.require_unique(months(spark, d).where(F.year("date") == 1996), ["region", "date"]), WIDE)
+    return own.select("region", *(F.col(f"`{x}`").alias(f"m{x.month}") for x in WIDE))
+
+
+@query("p11_rejects", f"{LONG} SELECT region AS region_raw, 'Revenue' AS metric_name, strftime(date, '%Y-%m-%d') AS date_raw, raw AS kpi_raw, CASE WHEN raw IS NULL THEN 'missing value' ELSE 'non-numeric value' END AS reject FROM long WHERE raw IS NULL OR TRY_CAST(raw AS DOUBLE) IS NULL")
+def p11(spark, d):
+    return ingest.rejects(long_months(spark, d))
+
+
+@query("s2_canonical_of_wide", f"{LONG} SELECT region, date, 'revenue' AS metric, TRY_CAST(raw AS DOUBLE) AS kpi, 1::BIGINT AS source_row_count FROM long")
+def s2(spark, d):
+    return ingest.canonical(long_months(spark, d)).select("region", "date", "metric", "kpi", "source_row_count")
+
+
+@query("a7_quality_report", f"""{LONG} SELECT COUNT(*) AS n_cells, COUNT(*) FILTER (raw IS NULL) AS n_missing, COUNT(*) FILTER (raw IS NOT NULL AND TRY_CAST(raw AS DOUBLE) IS NULL) AS n_non_numeric,
+COUNT(*) FILTER (TRY_CAST(raw AS DOUBLE) = 0) AS n_zero, COUNT(*) FILTER (TRY_CAST(raw AS DOUBLE) IS NOT NULL) AS n_retained, COUNT(DISTINCT region) AS n_regions, COUNT(DISTINCT date) AS n_dates, MIN(date) AS first_date, MAX(date) AS last_date FROM long""")
+def a7(spark, d):
+    return ingest.quality_report(long_months(spark, d)).select("n_cells", "n_missing", "n_non_numeric", "n_zero", "n_retained", "n_regions", "n_dates", "first_date", "last_date")
+
+
+@query("a8_duplicate_keys", "SELECT o_custkey, CAST(o_orderdate AS DATE) AS date, COUNT(*) AS n_rows FROM orders GROUP BY 1, 2 HAVING COUNT(*) > 1")
+def a8(spark, d):
+    return ingest.duplicate_keys(sp.table(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("date")), ["o_custkey", "date"])
+
+
+@query("a6_period_quality", f"""WITH m AS ({MONTHS}), q AS (SELECT date, COUNT(kpi) AS observed, COUNT(*) FILTER (kpi = 0) AS zeros, SUM(kpi) AS total FROM m GROUP BY 1), e AS (SELECT COUNT(DISTINCT region) AS expected FROM m)
+SELECT date, expected, observed, ROUND(observed / expected, 6) AS coverage, zeros, ROUND(zeros / observed, 6) AS zero_share, ROUND(total, 2) AS total,
+CASE WHEN observed / expected < 0.5 THEN 'missing_market_wide_period' WHEN observed / expected >= 0.9 AND zeros = observed THEN 'definite_market_wide_zero' WHEN zeros / observed >= 0.8 THEN 'possible_widespread_outage' ELSE 'normal' END AS period_class FROM q, e""")
+def a6(spark, d):
+    q = ingest.period_quality(months(spark, d))
+    return q.select("date", "expected", "observed", r("coverage", 6).alias("coverage"), "zeros", r("zero_share", 6).alias("zero_share"), r("total", 2).alias("total"), "period_class")
+
+
+@query("w2_median_cadence", f"""WITH g AS (SELECT region, date, datediff('day', LAG(date) OVER (PARTITION BY region ORDER BY date), date) AS gap FROM ({WEEKS})), s AS (SELECT region, COUNT(*) AS n_dates, median(gap) AS median_gap FROM g GROUP BY 1)
+SELECT s.region, n_dates, median_gap, CASE WHEN median_gap BETWEEN 0.5 AND 1.5 THEN 'daily' WHEN median_gap BETWEEN 5.5 AND 8.5 THEN 'weekly' ELSE 'unknown' END AS median_cadence, COALESCE(bool_and(gap = median_gap), true) AS contiguous, COUNT(*) FILTER (gap > 1.5 * median_gap)::INTEGER AS n_breaks FROM s JOIN g USING (region) GROUP BY ALL""")
+def w2(spark, d):
+    return ingest.cadence(weeks(spark, d), ["region"]).select("region", "n_dates", "median_gap", "median_cadence", "contiguous", "n_breaks")
+
+
+@query("w1_gcd_cadence", f"""WITH RECURSIVE g AS (SELECT region, datediff('day', LAG(date) OVER (PARTITION BY region ORDER BY date), date) AS gap FROM ({DAYS})), u AS (SELECT DISTINCT region, gap FROM g WHERE gap IS NOT NULL), o AS (SELECT region, gap, row_number() OVER (PARTITION BY region ORDER BY gap) AS k FROM u),
+f AS (SELECT region, k, gap AS v FROM o WHERE k = 1 UNION ALL SELECT o.region, o.k, gcd(f.v, o.gap) FROM f JOIN o ON o.region = f.region AND o.k = f.k + 1)
+SELECT region, arg_max(v, k)::INTEGER AS gcd_gap, CASE WHEN arg_max(v, k) = 1 THEN 'daily' WHEN arg_max(v, k) BETWEEN 6 AND 8 THEN 'weekly' ELSE 'unknown' END AS gcd_cadence FROM f GROUP BY 1""")
+def w1(spark, d):
+    return ingest.cadence(sp.event_panel(spark, d), ["region"]).select("region", F.col("gcd_gap").cast("int").alias("gcd_gap"), "gcd_cadence")
+
+
+@query("j7_missing_dates", f"""WITH m AS ({MONTHS.replace("'month'", "'week'")}), s AS (SELECT region, MIN(date) AS lo, MAX(date) AS hi FROM m GROUP BY 1), e AS (SELECT region, UNNEST(generate_series(lo, hi, INTERVAL 7 DAY))::DATE AS date FROM s) SELECT region, date FROM e ANTI JOIN m USING (region, date)""")
+def j7(spark, d):
+    return ingest.missing_dates(sp.order_panel(spark, d, "nation", "week"), ["region"])
+
+
+@query("f23_fingerprint")
+def f23(spark, d):
+    return ingest.fingerprint(months(spark, d))
+
+
+@query("w5_source_positions", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INTEGER AS position FROM orders")
+def w5(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return sp.table(spark, d, "orders").select("o_orderkey", F.row_number().over(w).alias("position"))
+
+
+# mapping
+
+def raw_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose labels are nations with noise: odd nations in another case, every seventh renamed."""
+    n = sp.table(spark, d, "nation").select("n_nationkey", F.trim("n_name").alias("n"))
+    label = F.when(F.col("n_nationkey") % 7 == 3, F.concat(F.lit(" Zone "), "n_nationkey")).when(F.col("n_nationkey") % 2 == 1, F.lower("n")).otherwise(F.concat("n", F.lit(" ")))
+    c = sp.table(spark, d, "customer").groupBy("c_nationkey").count()
+    return c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(label.alias("region_raw"), F.col("count").alias("kpi"))
+
+
+def region_map(spark: SparkSession, d: str) -> DataFrame:
+    n = sp.table(spark, d, "nation").select("n_nationkey", F.trim("n_name").alias("n"))
+    own = n.where("n_nationkey % 2 = 1 and n_nationkey % 7 != 3").select(F.lower("n").alias("label"), F.col("n").alias("region"), F.col("n_nationkey").alias("position"))
+    return own.unionByName(own.select("label", F.lit("NOWHERE").alias("region"), (F.col("position") - 100).alias("position")))
+
+
+RAW = "raw AS (SELECT CASE WHEN n_nationkey % 7 = 3 THEN 'Zone ' || n_nationkey WHEN n_nationkey % 2 = 1 THEN lower(trim(n_name)) ELSE trim(n_name) END AS label, CASE WHEN n_nationkey % 7 = 3 THEN NULL ELSE trim(n_name) END AS region, k FROM nation JOIN (SELECT c_nationkey, COUNT(*) AS k FROM customer GROUP BY 1) ON c_nationkey = n_nationkey)"
+
+
+@query("j3_region_mapping", f"WITH {RAW} SELECT label, region, k AS kpi FROM raw")
+def j3(spark, d):
+    universe = sp.table(spark, d, "nation").select(F.trim("n_name").alias("region"))
+    return mapping.map_regions(raw_panel(spark, d), universe, region_map(spark, d)).select(F.trim("region_raw").alias("label"), "region", "kpi")
+
+
+@query("j19_mapping_report", f"WITH {RAW} SELECT COUNT(DISTINCT label) AS labels, COUNT(DISTINCT label) FILTER (region IS NULL) AS unmapped_labels, COUNT(*) AS n_rows, COUNT(*) FILTER (region IS NULL) AS unmapped_rows, COUNT(DISTINCT region) AS covered, COALESCE(string_agg(DISTINCT label, ', ' ORDER BY label) FILTER (region IS NULL), '') AS unmapped_list, (SELECT COUNT(*) FROM nation) AS universe FROM raw")
+def j19(spark, d):
+    universe = sp.table(spark, d, "nation").select(F.trim("n_name").alias("region"))
+    mapped = mapping.map_regions(raw_panel(spark, d).withColumn("region_raw", F.trim("region_raw")), universe, region_map(spark, d))
+    return mapping.mapping_report(mapped, universe)
+
+
+@query("j5_uncovered_regions", f"WITH {RAW} SELECT trim(n_name) AS region FROM nation WHERE trim(n_name) NOT IN (SELECT region FROM raw WHERE region IS NOT NULL)")
+def j5(spark, d):
+    universe = sp.table(spark, d, "nation").select(F.trim("n_name").alias("region"))
+    return mapping.uncovered(universe, mapping.map_regions(raw_panel(spark, d), universe, region_map(spark, d)))
+
+
+# matching
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    """Imputed features of all nations."""
+    return matching.impute(sp.demographics(spark, d), FEATURES)
+
+
+IMPUTED = f"demo AS ({DEMOGRAPHICS}), feat AS (SELECT region, n_regionkey, Population AS population, {', '.join(f'COALESCE({f}, (SELECT median({f}) FROM demo), 0.0) AS {f}' for f in FEATURES)} FROM demo)"
+LONGF = f"{IMPUTED}, lf AS (UNPIVOT feat ON {', '.join(FEATURES)} INTO NAME feature VALUE value)"
+STATS = "st AS (SELECT feature, AVG(value) AS mu, stddev_pop(value) AS sd FROM lf GROUP BY 1)"
+TESTS = ("NATION_1", "NATION_2")
+
+
+def long_features(spark: SparkSession, d: str) -> DataFrame:
+    return matching.long_features(features(spark, d).withColumnRenamed("Population", "population"), FEATURES, ["region", "population"])
+
+
+def test_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Two regions under test: those of nation keys 1 and 2."""
+    return sp.table(spark, d, "nation").where("n_nationkey in (1, 2)").select(F.trim("n_name").alias("region"))
+
+
+TEST_SQL = "t AS (SELECT trim(n_name) AS region FROM nation WHERE n_nationkey IN (1, 2))"
+
+
+@query("a4_weighted_means", f"WITH demo AS ({DEMOGRAPHICS}) SELECT n_regionkey, SUM(Population) AS Population, {', '.join(f'ROUND(SUM({f} * Population) FILTER ({f} IS NOT NULL) / NULLIF(SUM(Population) FILTER ({f} IS NOT NULL), 0), 6) AS {f}' for f in FEATURES)} FROM demo GROUP BY 1")
+def a4(spark, d):
+    return rounded(matching.weighted_means(sp.demographics(spark, d), ["n_regionkey"], FEATURES, "Population"), 6)
+
+
+@query("a11_weighted_profile", f"WITH {IMPUTED} SELECT {', '.join(f'ROUND(SUM({f} * population) / SUM(population), 6) AS {f}' for f in FEATURES)} FROM feat")
+def a11(spark, d):
+    return rounded(matching.profile(features(spark, d), FEATURES, "Population"), 6)
+
+
+@query("m11_impute", f"WITH {IMPUTED} SELECT region, population AS Population, {', '.join(f'ROUND({f}, 6) AS {f}' for f in FEATURES)} FROM feat")
+def m11(spark, d):
+    return rounded(features(spark, d).select("region", "Population", *FEATURES), 6)
+
+
+@query("a10_structural_stats", f"WITH {LONGF}, {STATS} SELECT feature, ROUND(mu, 6) AS mu, ROUND(sd, 6) AS sd FROM st")
+def a10(spark, d):
+    return rounded(matching.structural_stats(long_features(spark, d)), 6)
+
+
+GROUPS = f"""WITH {LONGF}, {STATS}, {TEST_SQL}, tp AS (SELECT feature, SUM(value * population) / SUM(population) AS t FROM lf SEMI JOIN t USING (region) GROUP BY 1),
+cp AS (SELECT region AS group_id, feature, value AS c FROM lf ANTI JOIN t USING (region)),
+sc AS (SELECT group_id, SQRT(SUM(POWER((t - c) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 2))) AS distance, AVG(CASE WHEN sd > 0 THEN ABS(t - c) / sd END) AS mean_abs_smd FROM cp JOIN tp USING (feature) JOIN st USING (feature) GROUP BY 1)"""
+
+
+@query("m1_score_groups", f"{GROUPS} SELECT group_id, ROUND(distance, 4) AS distance, ROUND(mean_abs_smd, 4) AS mean_abs_smd FROM sc")
+def m1(spark, d):
+    long, test = long_features(spark, d), test_regions(spark, d)
+    pool = long.select("region").distinct().join(test, "region", "left_anti")
+    return rounded(matching.score_groups(pool.select(F.col("region").alias("group_id"), "region"), long, test))
+
+
+@query("m4_nearest", f"{GROUPS} SELECT group_id, ROUND(distance, 4) AS distance, ROUND(mean_abs_smd, 4) AS mean_abs_smd FROM sc ORDER BY sc.distance, group_id LIMIT 6")
+def m4(spark, d):
+    return rounded(matching.nearest(long_features(spark, d), test_regions(spark, d), 6))
+
+
+@query("m12_balance_table", f"""WITH {LONGF}, {STATS}, {TEST_SQL}, tp AS (SELECT feature, SUM(value * population) / SUM(population) AS test_mean FROM lf SEMI JOIN t USING (region) GROUP BY 1), cp AS (SELECT feature, SUM(value * population) / SUM(population) AS control_mean FROM lf ANTI JOIN t USING (region) GROUP BY 1)
+SELECT feature, ROUND(test_mean, 4) AS test_mean, ROUND(control_mean, 4) AS control_mean, ROUND(test_mean - control_mean, 4) AS difference, ROUND(CASE WHEN sd > 0 THEN ABS(test_mean - control_mean) / sd END, 4) AS abs_smd, ROUND(POWER((test_mean - control_mean) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 2), 4) AS contribution FROM tp JOIN cp USING (feature) JOIN st USING (feature)""")
+def m12(spark, d):
+    long, test = long_features(spark, d), test_regions(spark, d)
+    return rounded(matching.balance_table(long, test, long.select("region").distinct().join(test, "region", "left_anti")))
+
+
+@query("w16_index_to_100", f"SELECT region, date, ROUND(kpi / AVG(kpi) OVER (PARTITION BY region) * 100, 4) AS indexed FROM ({WEEKS})")
+def w16(spark, d):
+    return matching.index_to_100(weeks(spark, d)).select("region", "date", r("indexed").alias("indexed"))
+
+
+@query("m10_retained_regions", f"WITH m AS ({MONTHS}) SELECT region, ROUND(SUM(kpi), 2) AS volume FROM m GROUP BY 1 HAVING COUNT(kpi) = (SELECT COUNT(DISTINCT date) FROM m) AND SUM(kpi) > 0")
+def m10(spark, d):
+    return rounded(matching.retained_regions(months(spark, d)), 2)
+
+
+def populations(spark: SparkSession, d: str) -> DataFrame:
+    return sp.demographics(spark, d).where("n_regionkey in (0, 1)").select("region", F.col("Population").alias("population"))
+
+
+@query("m8_guided_test_group", f"""WITH RECURSIVE demo AS ({DEMOGRAPHICS}), p AS (SELECT region, Population AS population, row_number() OVER (ORDER BY region) - 1 AS bit FROM demo WHERE n_regionkey IN (0, 1)), tot AS (SELECT SUM(population) AS total, COUNT(*) AS n FROM p),
+masks AS (SELECT UNNEST(range(CAST(POWER(2, n) AS BIGINT))) AS mask FROM tot), g AS (SELECT mask, COALESCE(SUM(population), 0) / (SELECT total FROM tot) AS share, COUNT(bit) AS members, COALESCE(list(region ORDER BY region) FILTER (region IS NOT NULL), []) AS grp FROM masks LEFT JOIN p ON (mask // CAST(POWER(2, bit) AS BIGINT)) % 2 = 1 GROUP BY 1)
+SELECT array_to_string(grp, ', ') AS test_group, ROUND(share, 6) AS share, share BETWEEN 0.27 AND 0.33 AS met FROM g ORDER BY CASE WHEN share BETWEEN 0.27 AND 0.33 THEN 0 ELSE LEAST(ABS(share - 0.27), ABS(share - 0.33)) END, ABS(share - 0.3), members, grp LIMIT 1""")
+def m8(spark, d):
+    return rounded(matching.guided_test_group(populations(spark, d), 30.0, 3.0), 6)
+
+
+FIELDS = [("north", "exclude_from_both"), ("north", "force_test_include"), ("south", "force_test_include"), ("south", "control_only_exclude"), ("east", "force_test_include"), ("east", "test_only_exclude"), ("west", "force_control_include"), ("west", "control_only_exclude"), ("centre", "exclude_from_both")]
+
+
+@query("m9_constraint_conflicts", f"""WITH f(region, field) AS (VALUES {', '.join(map(str, FIELDS))}), g AS (SELECT region, list(DISTINCT field ORDER BY field) AS fs FROM f GROUP BY 1)
+SELECT region, array_to_string(fs, ',') AS fields FROM g WHERE (list_contains(fs, 'exclude_from_both') AND len(fs) > 1) OR list_has_all(fs, ['force_test_include', 'force_control_include']) OR list_has_all(fs, ['force_test_include', 'test_only_exclude']) OR list_has_all(fs, ['force_control_include', 'control_only_exclude'])""")
+def m9(spark, d):
+    return matching.constraint_conflicts(spark.createDataFrame(FIELDS, "region string, field string"))
+
+
+@query("m5_hill_climb_sweep")
+def m5(spark, d):
+    f, test = features(spark, d).withColumnRenamed("Population", "population"), test_regions(spark, d)
+    return matching.pool_sweep(spark, f.join(test, "region", "left_anti"), f.join(test, "region", "left_semi"), FEATURES, [2, 3, 4, 6, 8])
+
+
+@query("m6_stochastic_sweep")
+def m6(spark, d):
+    f, test = features(spark, d).withColumnRenamed("Population", "population"), test_regions(spark, d)
+    return matching.pool_sweep(spark, f.join(test, "region", "left_anti"), f.join(test, "region", "left_semi"), FEATURES, [2, 3, 4, 6, 8], "stochastic")
+
+
+@query("o7_best_pool_size")
+def o7(spark, d):
+    return m5(spark, d).where("distance is not null").agg(F.min_by(F.struct("n", "distance", "group"), F.struct("distance", "n")).alias("x")).select("x.*")
+
+
+# validation
+
+def region_names(spark: SparkSession, d: str) -> tuple[list[str], list[str]]:
+    """The first region by key is under test, the rest are controls: five rows."""
+    names = [x[0] for x in sp.table(spark, d, "region").orderBy("r_regionkey").select(F.trim("r_name")).collect()]
+    return names[:1], names[1:]
+
+
+LAGGED = f"WITH w AS ({WEEKS})"
+
+
+@query("j2_calendar_lags", f"{LAGGED} SELECT w.region, w.date, l.lag, s.kpi FROM w CROSS JOIN (VALUES (1), (4)) AS l(lag) JOIN w AS s ON s.region = w.region AND s.date = w.date - l.lag * 7")
+def j2(spark, d):
+    return validation.calendar_lags(weeks(spark, d), [1, 4], 7)
+
+
+@query("r4_model_matrix", f"""{LAGGED}, n AS (SELECT trim(r_name) AS region, row_number() OVER (ORDER BY r_regionkey) AS k FROM region), x AS (SELECT date, {', '.join(f'SUM(kpi) FILTER (k = {k}) AS v{k}' for k in range(1, 6))} FROM w JOIN n USING (region) GROUP BY 1) SELECT date, v1 AS test_kpi, v2, v3, v4, v5 FROM x WHERE v1 IS NOT NULL AND v2 IS NOT NULL AND v3 IS NOT NULL AND v4 IS NOT NULL AND v5 IS NOT NULL""")
+def r4(spark, d):
+    t, c = region_names(spark, d)
+    m = validation.model_matrix(weeks(spark, d), t, c)
+    return m.select("date", "test_kpi", *(F.col(f"`{x}`").alias(f"v{k + 2}") for k, x in enumerate(c)))
+
+
+@query("a3_test_series", f"{LAGGED} SELECT date, SUM(kpi) AS test_kpi FROM w WHERE region IN (SELECT trim(r_name) FROM region ORDER BY r_regionkey LIMIT 1) GROUP BY 1")
+def a3(spark, d):
+    return validation.test_series(weeks(spark, d), region_names(spark, d)[0])
+
+
+PAIRS = f"""{LAGGED}, pairs AS (SELECT w.region, w.date, w.kpi AS actual, s.kpi AS predicted FROM w JOIN w AS s ON s.region = w.region AND s.date = w.date - 7)"""
+
+
+def naive_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each week against the week before, as a prediction."""
+    w = weeks(spark, d)
+    return w.select("region", "date", F.col("kpi").alias("actual")).join(validation.calendar_lags(w, [1], 7).select("region", "date", F.col("kpi").alias("predicted")), ["region", "date"])
+
+
+@query("a16_error_metrics", f"""{PAIRS} SELECT region, ROUND(AVG(ABS(actual - predicted) / CASE WHEN ABS(actual) + ABS(predicted) = 0 THEN 1e-8 ELSE (ABS(actual) + ABS(predicted)) / 2 END) * 100, 4) AS smape, ROUND(SQRT(AVG(POWER(actual - predicted, 2))), 2) AS rmse,
+ROUND(CASE WHEN var_pop(actual) > 0 THEN 1 - SUM(POWER(actual - predicted, 2)) / (var_pop(actual) * COUNT(actual)) END, 4) AS r2, ROUND(corr(actual, predicted), 4) AS correlation FROM pairs GROUP BY 1""")
+def a16(spark, d):
+    return validation.error_metrics(naive_pairs(spark, d), ["region"]).select("region", r("smape").alias("smape"), r("rmse", 2).alias("rmse"), r("r2").alias("r2"), r("correlation").alias("correlation"))
+
+
+@query("a17_durbin_watson", f"""{PAIRS}, e AS (SELECT region, date, actual - predicted AS residual, (actual - predicted) - LAG(actual - predicted) OVER (PARTITION BY region ORDER BY date) AS step FROM pairs) SELECT region, ROUND(SUM(step * step) / SUM(residual * residual), 4) AS durbin_watson FROM e GROUP BY 1""")
+def a17(spark, d):
+    res = naive_pairs(spark, d).select("region", "date", (F.col("actual") - F.col("predicted")).alias("residual"))
+    return rounded(validation.durbin_watson(res, ["region"]))
+
+
+@query("a12_kpi_summary", f"""WITH m AS ({MONTHS}), s AS (SELECT region, SUM(kpi) AS total, AVG(kpi) AS mean_kpi, stddev_samp(kpi) AS sd FROM m GROUP BY 1) SELECT region, ROUND(total, 2) AS total, ROUND(total / SUM(total) OVER () * 100, 4) AS share_pct, ROUND(mean_kpi, 2) AS mean_kpi, ROUND(sd / mean_kpi, 4) AS cv, CASE WHEN sd / mean_kpi < 0.2 THEN 'low' WHEN sd / mean_kpi < 0.5 THEN 'moderate' ELSE 'high' END AS volatility FROM s""")
+def a12(spark, d):
+    s = months(spark, d).groupBy("region").agg(F.sum("kpi").alias("total"), F.avg("kpi").alias("mean_kpi"), F.stddev_samp("kpi").alias("sd"))
+    cv = F.col("sd") / F.col("mean_kpi")
+    return s.select("region", r("total", 2).alias("total"), r(F.col("total") / F.sum("total").over(Window.partitionBy()) * 100).alias("share_pct"), r("mean_kpi", 2).alias("mean_kpi"), r(cv).alias("cv"), F.when(cv < 0.2, "low").when(cv < 0.5, "moderate").otherwise("high").alias("volatility"))
+
+
+FITTED = f"""{LAGGED}, fitted AS (SELECT w.date, w.kpi AS actual, s.kpi AS predicted FROM w JOIN w AS s ON s.region = w.region AND s.date = w.date - 7 WHERE w.region = (SELECT trim(r_name) FROM region ORDER BY r_regionkey LIMIT 1)),
+i AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i FROM fitted), pw AS (SELECT i // 4 AS bucket, COUNT(*) AS n, SUM(actual - predicted) AS uplift, SUM(actual - predicted) / SUM(predicted) * 100 AS uplift_pct FROM i GROUP BY 1 HAVING COUNT(*) = 4)"""
+
+
+def fitted_naive(spark: SparkSession, d: str) -> DataFrame:
+    return naive_pairs(spark, d).where(F.col("region") == region_names(spark, d)[0][0]).select("date", "actual", "predicted")
+
+
+@query("w8_placebo_windows", f"{FITTED} SELECT bucket, ROUND(uplift, 2) AS uplift, ROUND(uplift_pct, 4) AS uplift_pct FROM pw")
+def w8(spark, d):
+    return validation.placebo_windows(fitted_naive(spark, d), 4).select("bucket", r("uplift", 2).alias("uplift"), r("uplift_pct").alias("uplift_pct"))
+
+
+@query("v11_power_curve", f"""{FITTED}, thr AS (SELECT quantile_cont(uplift_pct, 0.95) AS hi, quantile_cont(uplift_pct, 0.05) AS lo, COUNT(*) AS k FROM pw), grid AS (SELECT UNNEST(range(1, 61)) * 0.5::DOUBLE AS e)
+SELECT e::DOUBLE AS effect_pct, ROUND(AVG(CASE WHEN uplift_pct * (1 + e / 100) + e > hi THEN 1.0 ELSE 0.0 END), 6) AS power_lift, ROUND(AVG(CASE WHEN uplift_pct * (1 - e / 100) - e < lo THEN 1.0 ELSE 0.0 END), 6) AS power_drop FROM pw, thr, grid WHERE k >= 5 GROUP BY 1""")
+def v11(spark, d):
+    return rounded(validation.power_curve(validation.placebo_windows(fitted_naive(spark, d), 4)), 6)
+
+
+@query("w12_first_hit_mde", f"""{FITTED}, thr AS (SELECT quantile_cont(uplift_pct, 0.95) AS hi, COUNT(*) AS k FROM pw), grid AS (SELECT UNNEST(range(1, 61)) * 0.5::DOUBLE AS e), c AS (SELECT e, AVG(CASE WHEN uplift_pct * (1 + e / 100) + e > hi THEN 1.0 ELSE 0.0 END) AS p FROM pw, thr, grid WHERE k >= 5 GROUP BY 1) SELECT MIN(e)::DOUBLE AS mde_pct FROM c WHERE p >= 0.8""")
+def w12(spark, d):
+    return validation.first_hit(validation.power_curve(validation.placebo_windows(fitted_naive(spark, d), 4)), "power_lift")
+
+
+@query("a18_placebo_summary", f"""{FITTED}, m AS (SELECT AVG(uplift) AS m FROM pw) SELECT ROUND(quantile_cont(uplift, 0.5), 2) AS median_uplift, ROUND(quantile_cont(uplift, 0.025), 2) AS p2_5, ROUND(quantile_cont(uplift, 0.975), 2) AS p97_5, ROUND(AVG(CASE WHEN uplift < 100000.0 THEN 1.0 ELSE 0.0 END) * 100, 4) AS percentile_rank,
+ROUND(AVG(CASE WHEN uplift >= 100000.0 THEN 1.0 ELSE 0.0 END), 6) AS p_one_sided, ROUND(AVG(CASE WHEN ABS(uplift - m) >= ABS(100000.0 - m) THEN 1.0 ELSE 0.0 END), 6) AS p_two_sided, ROUND((100000.0 - AVG(uplift)) / (stddev_pop(uplift) + 1e-12), 4) AS z_score, COUNT(*) AS n_placebos FROM pw, m""")
+def a18(spark, d):
+    s = validation.placebo_summary(validation.placebo_windows(fitted_naive(spark, d), 4), 100000.0)
+    return s.select(r("median_uplift", 2).alias("median_uplift"), r("p2_5", 2).alias("p2_5"), r("p97_5", 2).alias("p97_5"), r("percentile_rank").alias("percentile_rank"), r("p_one_sided", 6).alias("p_one_sided"), r("p_two_sided", 6).alias("p_two_sided"), r("z_score").alias("z_score"), "n_placebos")
+
+
+BANDS = [(k, float(a), float(b), c, float(e)) for k, (a, b, c, e) in enumerate([(5, 6, 2.0, 1), (5, 9, 1.3, 1), (5, 12, 2.0, 2), (9, 16, 0.5, 12), (4, 9.5, 2.6, -7), (3, 6.5, 1.6, 4)])]
+
+
+@query("v6_confidence_bands", f"""WITH v(case_id, pre_smape, rolling_smape, durbin_watson, bias_pct) AS (VALUES {', '.join(map(str, BANDS))}), b AS (SELECT case_id, CASE WHEN rolling_smape <= 10 THEN 'low' WHEN rolling_smape <= 15 THEN 'moderate' ELSE 'high' END AS e, CASE WHEN rolling_smape - pre_smape <= 3 THEN 'low' WHEN rolling_smape - pre_smape <= 5 THEN 'moderate' ELSE 'high' END AS g,
+CASE WHEN durbin_watson BETWEEN 1.5 AND 2.5 THEN 'low' WHEN durbin_watson >= 1.2 AND durbin_watson < 1.5 OR durbin_watson > 2.5 AND durbin_watson <= 2.8 THEN 'moderate' ELSE 'high' END AS a, CASE WHEN ABS(bias_pct) <= 5 THEN 'low' WHEN ABS(bias_pct) <= 10 THEN 'moderate' ELSE 'high' END AS s FROM v)
+SELECT case_id::INTEGER AS case_id, e AS error_band, g AS gap_band, a AS autocorrelation_band, s AS bias_band, CASE WHEN e = 'high' THEN 'low' WHEN e = 'moderate' OR g <> 'low' OR a <> 'low' OR s <> 'low' THEN 'moderate' ELSE 'high' END AS confidence FROM b""")
+def v6(spark, d):
+    df = spark.createDataFrame(BANDS, "case_id int, pre_smape double, rolling_smape double, durbin_watson double, bias_pct double")
+    return validation.bands(df).select("case_id", "error_band", "gap_band", "autocorrelation_band", "bias_band", "confidence")
+
+
+def matrix(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    t, c = region_names(spark, d)
+    return validation.model_matrix(weeks(spark, d), t, c), c
+
+
+@query("w6_rolling_origin")
+def w6(spark, d):
+    m, terms = matrix(spark, d)
+    starts = validation.window_starts(m.count(), 13, 4, validation.MAX_FOLDS)
+    return validation.fit_windows(m, terms, ["enet", "lasso"], starts, 4, "fold")
+
+
+@query("a19_fold_summary")
+def a19(spark, d):
+    return validation.fold_summary(w6(spark, d))
+
+
+@query("w7_placebo_fits")
+def w7(spark, d):
+    m, terms = matrix(spark, d)
+    starts = validation.window_starts(m.count(), 26, HORIZON, validation.MAX_PLACEBOS)
+    return validation.fit_windows(m, terms, ["lasso"], starts, HORIZON, "placebo")
+
+
+@query("v4_run_validation")
+def v4(spark, d):
+    """One row a method: in-sample error, autocorrelation, rolling folds, and the confidence that follows."""
+    m, terms = matrix(spark, d)
+    folds = a19(spark, d)
+    out = None
+    for method in ("enet", "lasso"):
+        s = validation.fit_series(m, terms, method, PRE_END)
+        pre = s.where("in_pre")
+        e = validation.error_metrics(pre.withColumn("method", F.lit(method)), ["method"])
+        dw = validation.durbin_watson(pre.withColumn("method", F.lit(method)), ["method"])
+        up = s.where("not in_pre").agg(F.sum(F.col("actual") - F.col("predicted")).alias("uplift"), (F.sum(F.col("actual") - F.col("predicted")) / F.sum("predicted") * 100).alias("uplift_pct")).withColumn("method", F.lit(method))
+        one = e.join(dw, "method").join(up, "method")
+        out = one if out is None else out.unionByName(one)
+    x = out.withColumnRenamed("smape", "pre_smape").join(folds.select("method", F.col("smape_mean").alias("rolling_smape"), F.col("bias_pct_mean").alias("bias_pct")), "method")
+    return validation.bands(x)
+
+
+# power
+
+def spine(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql("SELECT explode(sequence(DATE '1995-01-02', DATE '2001-07-30', INTERVAL 7 DAY)) AS date")
+
+
+@query("x1_alignment", f"""{LAGGED}, n AS (SELECT trim(r_name) AS region, row_number() OVER (ORDER BY r_regionkey) AS k FROM region), s AS (SELECT UNNEST(generate_series(DATE '1995-01-02', DATE '2001-07-30', INTERVAL 7 DAY))::DATE AS date),
+g AS (SELECT date, SUM(kpi) FILTER (k = 1) AS test_kpi, COUNT(kpi) FILTER (k > 1) AS c FROM w JOIN n USING (region) GROUP BY 1) SELECT s.date, test_kpi, COALESCE(c, 0) AS n_controls, (test_kpi IS NOT NULL AND COALESCE(c, 0) = 4) AS complete FROM s LEFT JOIN g USING (date)""")
+def x1(spark, d):
+    t, c = region_names(spark, d)
+    return power.align(weeks(spark, d), t, c, spine(spark, d)).select("date", "test_kpi", "n_controls", "complete")
+
+
+@query("x1_duplicate_gate", "SELECT 0::BIGINT AS n_keys, 0::BIGINT AS n_rows, false AS blocked")
+def x1b(spark, d):
+    t, c = region_names(spark, d)
+    return power.duplicate_gate(weeks(spark, d), t + c)
+
+
+NULLS = f"""{FITTED}, nulls AS (SELECT uplift AS total FROM pw), crit AS (SELECT quantile_cont(total, 0.05) AS a, quantile_cont(total, 0.95) AS b, quantile_cont(total, 0.025) AS c, quantile_cont(total, 0.975) AS e FROM nulls)"""
+
+
+@query("x9_critical_values", f"{NULLS} SELECT 'one_sided_positive' AS side, NULL::DOUBLE AS lower, ROUND(b, 2) AS upper FROM crit UNION ALL SELECT 'one_sided_negative', ROUND(a, 2), NULL FROM crit UNION ALL SELECT 'two_sided', ROUND(c, 2), ROUND(e, 2) FROM crit")
+def x9(spark, d):
+    nulls = validation.placebo_windows(fitted_naive(spark, d), 4).select(F.col("uplift").alias("total"))
+    return rounded(power.critical_values(nulls), 2)
+
+
+@query("x9_detection_power", f"""{NULLS}, eff AS (SELECT UNNEST([0.0, 50000.0, 200000.0]) AS e2), alt AS (SELECT CAST(e2 AS BIGINT) AS "group", total + e2 AS total FROM nulls, eff), s AS (SELECT "group", 'one_sided_positive' AS side, total > b AS hit FROM alt, crit UNION ALL SELECT "group", 'one_sided_negative', total < a FROM alt, crit UNION ALL SELECT "group", 'two_sided', total < c OR total > e FROM alt, crit)
+SELECT "group", side, ROUND(AVG(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS power, COUNT(*) FILTER (hit) AS detected, COUNT(*) AS n FROM s GROUP BY 1, 2""")
+def x9b(spark, d):
+    nulls = validation.placebo_windows(fitted_naive(spark, d), 4).select(F.col("uplift").alias("total"))
+    alt = nulls.select(F.explode(F.array(*map(F.lit, (0.0, 50000.0, 200000.0)))).alias("e"), "total").select(F.col("e").cast("long").alias("group"), (F.col("total") + F.col("e")).alias("total"))
+    return rounded(power.detection_power(nulls, alt), 6)
+
+
+@query("x10_clopper_pearson")
+def x10(spark, d):
+    return power.with_interval(x9b(spark, d))
+
+
+@query("x13_heteroskedasticity", f"""{FITTED}, k AS (SELECT actual - predicted AS residual, row_number() OVER (ORDER BY predicted, date) AS k, COUNT(*) OVER () AS n FROM fitted) SELECT ROUND(var_samp(residual) FILTER (k <= n // 2), 0) AS var_low, ROUND(var_samp(residual) FILTER (k > n - n // 2), 0) AS var_high, MAX(n) AS n, ROUND(var_samp(residual) FILTER (k > n - n // 2) / var_samp(residual) FILTER (k <= n // 2), 4) AS ratio,
+var_samp(residual) FILTER (k > n - n // 2) / var_samp(residual) FILTER (k <= n // 2) >= 2.3 OR var_samp(residual) FILTER (k > n - n // 2) / var_samp(residual) FILTER (k <= n // 2) <= 1 / 2.3 AS blocked FROM k""")
+def x13(spark, d):
+    h = power.heteroskedasticity(fitted_naive(spark, d).select("date", F.col("predicted").alias("level"), (F.col("actual") - F.col("predicted")).alias("residual")))
+    return h.select(r("var_low", 0).alias("var_low"), r("var_high", 0).alias("var_high"), "n", r("ratio").alias("ratio"), "blocked")
+
+
+@query("w15_ar1_parameters", f"""{PAIRS}, e AS (SELECT region, date, actual - predicted AS e, LAG(actual - predicted) OVER (PARTITION BY region ORDER BY date) AS b FROM pairs), p AS (SELECT region, GREATEST(LEAST(corr(b, e), 0.99), -0.99) AS rho, COUNT(*) AS n FROM e GROUP BY 1)
+SELECT region, ROUND(MAX(rho), 4) AS rho, MAX(n) AS n, ROUND(stddev_samp(e - rho * b), 2) AS sigma, ROUND(MAX(rho + 2 * SQRT(GREATEST(1 - rho * rho, 0) / n)), 4) AS rho_upper, CASE WHEN MAX(rho + 2 * SQRT(GREATEST(1 - rho * rho, 0) / n)) >= 0.92 THEN 'blocked' WHEN MAX(rho) >= 0.8 THEN 'supported_with_warning' ELSE 'supported' END AS status FROM e JOIN p USING (region) GROUP BY 1""")
+def w15(spark, d):
+    res = naive_pairs(spark, d).select("region", "date", (F.col("actual") - F.col("predicted")).alias("residual"))
+    p = power.ar1_parameters(res, ["region"])
+    return p.select("region", r("rho").alias("rho"), "n", r("sigma", 2).alias("sigma"), r("rho_upper").alias("rho_upper"), power.persistence_status(F.col("rho"), F.col("rho_upper")).alias("status"))
+
+
+METHODS = ["model_simulation:ols", "model_simulation:lasso", "residual_simulation:ols"]
+
+
+def totals(spark: SparkSession, d: str) -> DataFrame:
+    """Simulated totals of eight weeks after the history."""
+    m, terms = matrix(spark, d)
+    end = "2000-03-31"
+    return power.simulate_totals(m.where(F.col("date") <= end), terms, "2000-01-31", METHODS)
+
+
+@query("x5_simulated_totals")
+def x5(spark, d):
+    return totals(spark, d).groupBy("method", "stream").agg(F.avg("total").alias("mean_total"), F.stddev_pop("total").alias("sd_total"), F.count("*").alias("n"))
+
+
+@query("x14_power_curve")
+def x14(spark, d):
+    return power.power_by_effect(totals(spark, d), [0.0, 1.0, 2.0, 5.0, 10.0, 20.0, 40.0])
+
+
+@query("x11_minimum_detectable")
+def x11(spark, d):
+    return power.minimum_detectable(power.power_by_effect(totals(spark, d), [x * 1.0 for x in range(61)]))
+
+
+@query("x19_evidence_runs")
+def x19(spark, d):
+    return evidence.run_evidence(spark, ["plain", "persistent", "duplicate_control", "constant_control"], 3, n_sim=200)
+
+
+@query("a20_evidence_summary")
+def a20(spark, d):
+    return evidence.summarise(x19(spark, d))
+
+
+@query("a21_seed_sensitivity")
+def a21(spark, d):
+    return evidence.seed_sensitivity(x19(spark, d))
+
+
+@query("s7_synthetic_cases")
+def s7(spark, d):
+    return synthetic.cases(spark, 4, pre=60, test=6, effect=0.05)
+
+
+# Bayesian
+
+@query("b2_prior_sigmas", f"{GROUPS}, s AS (SELECT group_id AS region, distance, 1 / (1 + distance) AS similarity FROM sc), e AS (SELECT MIN(similarity) AS lo, MAX(similarity) AS hi FROM s) SELECT region, ROUND(distance, 4) AS distance, ROUND(similarity, 4) AS similarity, ROUND(0.1 + 0.9 * (similarity - lo) / (hi - lo), 4) AS sigma FROM s, e")
+def b2(spark, d):
+    long, test = long_features(spark, d), test_regions(spark, d)
+    pool = long.select("region").distinct().join(test, "region", "left_anti")
+    s = matching.score_groups(pool.select(F.col("region").alias("group_id"), "region"), long, test)
+    return rounded(bayes.prior_sigmas(s.select(F.col("group_id").alias("region"), "distance")))
+
+
+@query("a24_correlation_bounds", f"""{LAGGED}, n AS (SELECT trim(r_name) AS region, row_number() OVER (ORDER BY r_regionkey) AS k FROM region), t AS (SELECT date, kpi AS test_kpi FROM w JOIN n USING (region) WHERE k = 1), c AS (SELECT region, ABS(corr(kpi, test_kpi)) AS r FROM w JOIN n USING (region) JOIN t USING (date) WHERE k > 1 GROUP BY 1)
+SELECT ROUND(median(r), 4) AS median_abs_correlation, ROUND(GREATEST(0.05, median(r) / 4), 4) AS sigma_min, ROUND(LEAST(2.0, median(r) * 1.25), 4) AS sigma_max FROM c""")
+def a24(spark, d):
+    t, c = region_names(spark, d)
+    w = weeks(spark, d)
+    return rounded(bayes.correlation_bounds(w.where(F.col("region").isin(*c)), validation.test_series(w, t)))
+
+
+def posterior(spark: SparkSession, d: str) -> DataFrame:
+    m, terms = matrix(spark, d)
+    return bayes.sample_posterior(m.where(F.col("date") <= "2000-03-31"), terms, "2000-01-31", dict.fromkeys(terms, 0.5), draws=300, tune=200)
+
+
+@query("b9_posterior_uplift")
+def b9(spark, d):
+    return bayes.posterior_summary(posterior(spark, d))
+
+
+@query("a23_convergence")
+def a23(spark, d):
+    p = posterior(spark, d)
+    return bayes.r_hat(p, "sigma").unionByName(bayes.r_hat(p, "rho")).unionByName(bayes.r_hat(p, "uplift"))
+
+
+# decisions
+
+PLANS = [
+    ("full", 10000.0, None, 5.0, None, 4.0, None, None, 1000000.0), ("weekly", None, {"w1": 1000.0, "w2": 2500.5}, 7.0, None, 2.0, None, None, 400000.0),
+    ("bad_week", None, {"w1": -1.0}, 7.0, None, None, None, None, None), ("given", None, None, None, 300000.0, None, 120000.0, None, 150000.0),
+    ("too_many", None, None, None, 300000.0, 1.0, None, None, 200000.0), ("nothing", None, None, None, None, None, None, None, None), ("low", 100.0, None, 10.0, None, 5.0, None, None, 100000.0),
+]
+PLAN_SCHEMA = "plan_id string, total_budget double, weekly map<string,double>, cpm double, impressions double, frequency double, reach double, reach_percentage double, eligible_audience double"
+
+
+def _plan_sql() -> str:
+    def lit(x):
+        return "NULL" if x is None else repr(sum(x.values()) if all(v >= 0 for v in x.values()) else None).replace("None", "NULL") if isinstance(x, dict) else repr(x)
+
+    return "(VALUES " + ", ".join(f"({', '.join(map(lit, p))})" for p in PLANS) + ") AS p(plan_id, total_budget, weekly, cpm, impressions, frequency, reach, reach_percentage, eligible_audience)"
+
+
+DERIVED = f"""WITH a AS (SELECT plan_id, COALESCE(total_budget, weekly)::DOUBLE AS total_budget, cpm::DOUBLE AS cpm, impressions::DOUBLE AS impressions, frequency::DOUBLE AS frequency, reach::DOUBLE AS reach, reach_percentage::DOUBLE AS reach_percentage, eligible_audience::DOUBLE AS eligible_audience FROM {_plan_sql()}),
+b AS (SELECT * REPLACE (COALESCE(impressions, CASE WHEN cpm > 0 THEN total_budget / cpm * 1000 END) AS impressions) FROM a), c AS (SELECT * REPLACE (COALESCE(reach, CASE WHEN frequency > 0 THEN impressions / frequency END) AS reach) FROM b), e AS (SELECT * REPLACE (COALESCE(frequency, CASE WHEN reach > 0 THEN impressions / reach END) AS frequency) FROM c), f AS (SELECT * REPLACE (COALESCE(reach_percentage, CASE WHEN eligible_audience > 0 THEN reach / eligible_audience * 100 END) AS reach_percentage) FROM e)"""
+
+
+@query("d2_media_delivery", f"""{DERIVED} SELECT plan_id, ROUND(total_budget, 4) AS total_budget, ROUND(impressions, 4) AS impressions, ROUND(reach, 4) AS reach, ROUND(frequency, 4) AS frequency, ROUND(reach_percentage, 4) AS reach_percentage,
+CASE WHEN impressions < 100000 OR reach < 50000 THEN 'not_feasible' WHEN reach_percentage > 100 OR frequency <= 0 THEN 'blocked' WHEN COALESCE(impressions, 0) = 0 OR COALESCE(reach, 0) = 0 THEN 'incomplete' ELSE 'feasible' END AS status FROM f""")
+def d2(spark, d):
+    x = decisions.assess_delivery(spark.createDataFrame(PLANS, PLAN_SCHEMA), 100000, 50000)
+    return rounded(x.select("plan_id", "total_budget", "impressions", "reach", "frequency", "reach_percentage", "status"))
+
+
+@query("d3_weekly_presets", "SELECT shape, week, amount::DOUBLE AS amount FROM (VALUES ('even', 0, 33.33), ('even', 1, 33.33), ('even', 2, 33.34), ('front', 0, 50.0), ('front', 1, 33.33), ('front', 2, 16.67), ('back', 0, 16.67), ('back', 1, 33.33), ('back', 2, 50.0)) AS t(shape, week, amount)")
+def d3(spark, d):
+    shapes = [spark.range(1).select(F.lit(s).alias("shape"), F.posexplode(decisions.weekly_preset(100.0, 3, s)).alias("week", "amount")) for s in ("even", "front", "back")]
+    return shapes[0].unionByName(shapes[1]).unionByName(shapes[2])
+
+
+EVIDENCE = [
+    ("a", "prior_test", "high", False, False, 4.0, "one_sided_positive", {"low": 2.0, "central": 5.0, "high": 9.0}), ("b", "analyst_assumption", "high", False, False, 3.0, "two_sided", {"low": -5.0, "central": 1.0}),
+    ("c", "prior_test", "unknown", True, True, None, "one_sided_negative", {"central": -6.0}), ("d", "prior_test", "high", True, False, 2.0, "one_sided_negative", {"central": -6.0, "high": 1.0}),
+]
+
+
+@query("d4_effect_plausibility", "WITH s(case_id, label, uplift_pct, status, mde, dir) AS (VALUES " + ", ".join(f"('{c}', '{k}', {v!r}, '{'blocked' if adj and not app else 'conditional' if t == 'analyst_assumption' or q == 'unknown' else 'evidence_backed'}', {'NULL' if m is None else m}, '{di}')" for c, t, q, adj, app, m, di, sc in EVIDENCE for k, v in sc.items()) + "), x AS (SELECT *, CASE dir WHEN 'one_sided_positive' THEN uplift_pct WHEN 'one_sided_negative' THEN -uplift_pct ELSE ABS(uplift_pct) END AS dist FROM s) SELECT case_id, label, uplift_pct::DOUBLE AS uplift_pct, status, dist >= mde AS meets_mde, (dist - mde)::DOUBLE AS margin_pct FROM x")
+def d4(spark, d):
+    return decisions.assess_effects(spark.createDataFrame(EVIDENCE, "case_id string, evidence_type string, quality string, adjusted boolean, central_approved boolean, mde_pct double, direction string, scenarios map<string,double>"))
+
+
+DESIGN_NAMES = ("position", "scenario_id", "size_metric", "duration_periods", "cost", "match_status", "counterfactual_status", "power_status", "delivery_status", "effect_status", "region_constraints_status", "power_usable", "power_meets_target", "effect_meets_mde")
+DESIGN_SCHEMA = "position int, scenario_id string, size_metric double, duration_periods int, cost double, match_status string, counterfactual_status string, power_status string, delivery_status string, effect_status string, region_constraints_status string, power_usable boolean, power_meets_target boolean, effect_meets_mde boolean"
+DESIGNS = [
+    (0, "s1", 0.2, 8, 900.0, "pass", "credible", "supported", "feasible", "evidence_backed", "valid", True, True, True), (1, "s2", 0.1, 8, None, "pass", "credible", "supported", "feasible", "evidence_backed", "valid", True, True, True),
+    (2, "s3", 0.1, 6, 500.0, "pass", "credible", "supported", "feasible", "conditional", "valid", True, True, True), (3, "s4", 0.05, 4, 100.0, "fail", "credible", "supported", "incomplete", "evidence_backed", "valid", True, False, None),
+    (4, "s5", 0.1, 8, 700.0, " Pass ", "valid", "complete", "feasible", "evidence_backed", "pass", True, True, True), (5, "s6", 0.1, 8, 700.0, "pass", "credible", "blocked", "feasible", "unknown", "valid", False, True, False),
+]
+_D = "WITH x(" + ", ".join(DESIGN_NAMES) + ") AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in x) + ")" for x in DESIGNS) + ")"
+_OK = " AND ".join(f"lower(trim({c})) IN ('pass', 'supported', 'credible', 'valid', 'complete')" for c in ("match_status", "counterfactual_status", "power_status", "region_constraints_status"))
+_CLEAN = f"({_OK} AND power_usable AND power_meets_target AND delivery_status = 'feasible' AND effect_status IN ('evidence_backed', 'conditional') AND COALESCE(effect_meets_mde, false))"
+
+
+@query("d5_design_gates", f"{_D} SELECT position::INTEGER AS position, scenario_id, {_CLEAN} AND effect_status = 'evidence_backed' AS qualifies, {_CLEAN} AND effect_status = 'conditional' AS conditional FROM x")
+def d5(spark, d):
+    return decisions.assess_designs(spark.createDataFrame(DESIGNS, DESIGN_SCHEMA)).select("position", "scenario_id", "qualifies", "conditional")
+
+
+@query("d6_recommendation", f"{_D}, g AS (SELECT *, {_CLEAN} AND effect_status = 'evidence_backed' AS q, {_CLEAN} AND effect_status = 'conditional' AS c FROM x) SELECT (SELECT scenario_id FROM g WHERE q OR c ORDER BY NOT q, size_metric, duration_periods, COALESCE(cost, 1e308), position LIMIT 1) AS scenario_id, CASE WHEN bool_or(q) THEN 'recommended' WHEN bool_or(c) THEN 'conditional' ELSE 'no_qualifying_design' END AS status, COUNT(*) FILTER (q) AS n_qualifying, COUNT(*) FILTER (c) AS n_conditional FROM g")
+def d6(spark, d):
+    return decisions.recommend(decisions.assess_designs(spark.createDataFrame(DESIGNS, DESIGN_SCHEMA)))
+
+
+@query("k2_geo_assignment", f"WITH {TEST_SQL} SELECT 'market' AS Market, trim(n_name) AS geo, CASE WHEN n_nationkey IN (1, 2) THEN 'Yes' ELSE '' END AS Test, CASE WHEN n_regionkey = 1 AND n_nationkey NOT IN (1, 2) THEN 'Yes' ELSE '' END AS Control FROM nation")
+def k2(spark, d):
+    n = sp.table(spark, d, "nation")
+    t = F.col("n_nationkey").isin(1, 2)
+    return n.select(F.lit("market").alias("Market"), F.trim("n_name").alias("geo"), F.when(t, "Yes").otherwise("").alias("Test"), F.when((F.col("n_regionkey") == 1) & ~t, "Yes").otherwise("").alias("Control"))
+
+
+@query("a15_data_validation", f"""WITH {LONGF}, s AS (SELECT feature, AVG(value) AS mu, stddev_pop(value) AS sd, COUNT(DISTINCT value) AS n_distinct, COUNT(*) AS n FROM lf GROUP BY 1) SELECT s.feature, n, n_distinct, n_distinct <= 1 AS constant, COUNT(*) FILTER (sd > 0 AND ABS(value - mu) / sd > 2) AS outliers FROM s JOIN lf USING (feature) GROUP BY ALL""")
+def a15(spark, d):
+    w = Window.partitionBy("feature")
+    z = F.abs(F.col("value") - F.avg("value").over(w)) / F.nullif(F.stddev_pop("value").over(w), F.lit(0.0))
+    x = long_features(spark, d).withColumn("z", z).groupBy("feature").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_distinct"), F.count_if(F.col("z") > 2).alias("outliers"))
+    return x.select("feature", "n", "n_distinct", (F.col("n_distinct") <= 1).alias("constant"), "outliers")
+
+
+@query("f3_lag_terms", "SELECT feature, CASE WHEN regexp_matches(feature, '_lag[0-9]+$') THEN regexp_replace(feature, '_lag[0-9]+$', '') ELSE feature END AS region, COALESCE(TRY_CAST(regexp_extract(feature, '_lag([0-9]+)$', 1) AS INTEGER), 0) AS lag FROM (SELECT trim(n_name) || CASE WHEN n_nationkey % 3 = 0 THEN '_lag' || n_nationkey ELSE '' END AS feature FROM nation)")
+def f3(spark, d):
+    n = sp.table(spark, d, "nation").select(F.concat(F.trim("n_name"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("_lag"), "n_nationkey")).otherwise("")).alias("feature"))
+    return n.select("feature", fc.lag_term(F.col("feature")).alias("x")).select("feature", "x.region", "x.lag")
+
+
+@query("f10_period_counts", "SELECT o_custkey, (datediff('day', MIN(o_orderdate)::DATE, MAX(o_orderdate)::DATE) // 7 + 1)::BIGINT AS periods FROM orders GROUP BY 1")
+def f10(spark, d):
+    o = sp.table(spark, d, "orders").groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b"))
+    return o.select("o_custkey", fc.period_count(F.col("a"), F.col("b"), 7).cast("long").alias("periods"))
+
+
+@query("st_daily_panel_stream", DAYS)
+def st(spark, d):
+    return panel_stream.run_once(panel_stream.daily_panel(panel_stream.read_events(spark, d)))
+
+
+# the flagship: which nations best control for a test nation, by the shape of their monthly KPI
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = f"""WITH m AS ({MONTHS}), i AS (SELECT region, date, kpi / AVG(kpi) OVER (PARTITION BY region) * 100 AS v FROM m), t AS (SELECT date, v FROM i WHERE region = (SELECT trim(n_name) FROM nation WHERE n_nationkey = 1)),
+s AS (SELECT i.region, COUNT(*) AS n_dates, SQRT(AVG(POWER(i.v - t.v, 2))) AS distance, corr(i.v, t.v) AS c FROM i JOIN t USING (date) WHERE i.region <> (SELECT trim(n_name) FROM nation WHERE n_nationkey = 1) GROUP BY 1) SELECT region, n_dates, ROUND(distance, 4) AS distance, ROUND(c, 4) AS correlation FROM s ORDER BY s.distance, region LIMIT 10"""
 
 
+@query("flagship_best_controls", FLAGSHIP)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    i = matching.index_to_100(months(spark, sf_dir)).select("region", "date", F.col("indexed").alias("v"))
+    name = F.broadcast(sp.table(spark, sf_dir, "nation").where("n_nationkey = 1").select(F.trim("n_name").alias("name")))  # one row
+    t = i.join(name, F.col("region") == F.col("name"), "left_semi").select("date", F.col("v").alias("t"))
+    own = i.join(name, F.col("region") == F.col("name"), "left_anti").join(t, "date")
+    s = own.groupBy("region").agg(F.count("*").alias("n_dates"), F.sqrt(F.avg(F.pow(F.col("v") - F.col("t"), 2))).alias("distance"), F.corr("v", "t").alias("correlation"))
+    return rounded(s.orderBy("distance", "region").limit(10))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -1 +1 @@
-"""Streaming of the experiment engine."""
+"""Streams into the panel: an addition beside the batch engine."""
