@@ -91,7 +91,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
     blocks = counts.join(units, "source").select("source", "units", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
     plan = phases(blocks)
     cycle = plan.select("phase", "cycle", "until", "d", "base", F.explode(edf_cycle(F.col("own"))).alias("x"))
-    template = cycle.select("cycle", "until", "d", "base", F.col("x.source").alias("t_source"), F.col("x.k").alias("t_k"), F.col("x.slot").alias("slot"), F.col("x.release").alias("release"), F.col("x.deadline").alias("deadline"))
+    names = {"cycle": "cycle", "until": "until", "d": "d", "base": "base", "x.source": "source", "x.k": "k", "x.slot": "slot", "x.release": "release", "x.deadline": "deadline"}
+    template = cycle.select(*(F.col(c).alias(f"quadrat_t_{n}") for c, n in names.items()))
     size = blocks.agg(F.count("*") * F.sum("units")).first()[0] or 0  # sources x units: rows that the template has at most
     if size <= MAX_TEMPLATE:
         template = F.broadcast(template)
@@ -101,9 +102,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
     place = F.col("quadrat_offset") + F.col("quadrat_row") - 1
     out = ranked.withColumn("mix_block", F.floor(place / block)).withColumn("mix_rank", (place % block).cast("int"))
     out = out.withColumn("quadrat_k", (F.col("mix_block") % F.col("quadrat_units")).cast("int")).withColumn("quadrat_cycle", F.floor(F.col("mix_block") / F.col("quadrat_units")))
-    in_phase = (F.col("quadrat_source") == F.col("t_source")) & (F.col("quadrat_k") == F.col("t_k")) & (F.col("quadrat_cycle") >= F.col("cycle")) & (F.col("quadrat_cycle") < F.col("until"))
-    at = F.col("base") + (F.col("quadrat_cycle") - F.col("cycle")) * F.col("d")
-    return out.join(template, in_phase).select(*rows.columns, "mix_block", (at + F.col("slot")).alias("mix_slot"), (at + F.col("release")).alias("mix_release"), (at + F.col("deadline")).alias("mix_deadline"), "mix_rank")
+    t = {n: F.col(f"quadrat_t_{n}") for n in names.values()}
+    in_phase = (F.col("quadrat_source") == t["source"]) & (F.col("quadrat_k") == t["k"]) & (F.col("quadrat_cycle") >= t["cycle"]) & (F.col("quadrat_cycle") < t["until"])
+    at = t["base"] + (F.col("quadrat_cycle") - t["cycle"]) * t["d"]
+    return out.join(template, in_phase).select(*rows.columns, "mix_block", (at + t["slot"]).alias("mix_slot"), (at + t["release"]).alias("mix_release"), (at + t["deadline"]).alias("mix_deadline"), "mix_rank")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
