@@ -136,7 +136,7 @@ def overlap_needed(n: int, m: int, percent: int = PERCENT) -> int:
 
 def short_lists(n: int, percent: int = PERCENT, merged: int = MERGED) -> int:
     """How many of a set's n lists are short: all but T - m, T being the least overlap with a set of any size."""
-    return min(n, n + -(-percent * n // -100) + merged)
+    return min(n, n - -(-percent * n // 100) + merged)
 
 
 def heap_merge(lists: list[list], least: int) -> list:
