@@ -49,3 +49,10 @@ def both(conditions: list[Column]) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z only; other letters stay, unlike lower()."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches in slices of a few rows, where each row becomes large in Python."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -21,14 +21,16 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from quadrat.llm.common import cut
+from quadrat.llm.common import cut, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -158,10 +160,9 @@ def encode(docs: DataFrame, text: str = "text", out: str = "piece_ids", pieces:
     def run(batches):
         table, pieces = shared.value
         memory: dict[str, tuple] = {}
-        at = None
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index(text)
-            values, offsets = [], [0]
+            values, offsets = array("i"), [0]
             texts = b.column(at).to_pylist()
             for t in texts:
                 for w in segments(t or ""):
@@ -170,9 +171,9 @@ def encode(docs: DataFrame, text: str = "text", out: str = "piece_ids", pieces:
                         if len(memory) >= MEMORY:
                             memory.clear()
                         ids = memory[w] = tuple(viterbi(w, pieces))
-                    values += ids
+                    values.extend(ids)
                 offsets.append(len(values))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32) if values else [], pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, out])
 
     return docs.mapInArrow(run, StructType([*rows.fields, StructField(out, ArrayType(IntegerType()))]))
@@ -187,7 +188,7 @@ def decode(encoded: DataFrame, ids: str = "piece_ids", out: str = "decoded", pie
     text = (pieces or Pieces()).text
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             values = [None if x is None else decode_ids(x, text) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.string())], [*b.schema.names, out])
 
