@@ -64,19 +64,22 @@ def rest_pairs(members: DataFrame, comp: DataFrame | None) -> DataFrame:
     return left.join(right, "g").where((F.col("v") > F.col("w")) & (F.col("c") != F.col("d"))).select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
 
 
-def link_large_groups(members: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def link_large_groups(members: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 3, rest: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """All links that matter within large groups, and the components of all links.
 
     members: g, v; links: a, b, those known before; verify: pairs (a, b) to the links among them. Within a component no
     further link can change the result, so its pairs are skipped. Some rounds compare each member with one pivot of its
     group, which unites most of a group of copies with as many comparisons as members; then all pairs that are still in
-    different components are compared. No pair is left out.
+    different components are compared, by ``rest`` if it is given (g, v, c to links). No pair is left out.
     """
     comp = components(links)
     if members.isEmpty():
         return links, comp
     tried = None
     for r in range(rounds + 1):
+        if r == rounds and rest:
+            found = cut(rest(_with_component(members, comp)), "links")
+            return (links, comp) if found.isEmpty() else (links.unionByName(found), components(links.unionByName(found)))
         pairs = pivot_pairs(members, comp, r) if r < rounds else rest_pairs(members, comp)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")

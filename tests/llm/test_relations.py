@@ -109,7 +109,7 @@ def test_line_dedup(docs, texts, empty):
             s = line.strip(" ").lower()
             if re.search(r"\S", line) and s not in first:
                 first[s] = (k, p)
-                sets[k, p] = set(re.findall(r"(?<!\S)(?=(\S.{0,19}))", s))
+                sets[k, p] = set(re.findall(r"(?<!\S)(?=(\S.{0,9}))", s))
     want = closure(sets, line_dedup.SIMILARITY_PERCENT)
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
     assert len(got) == len(texts) and got[0] is None
