@@ -16,7 +16,7 @@ def alpha_grid(n: int) -> np.ndarray:
     return np.logspace(4, -4, n)
 
 
-def descend(gram: np.ndarray, xy: np.ndarray, n: int, alpha: float, l1: float, w: np.ndarray, tol: float = 1e-10, most: int = 2000) -> np.ndarray:
+def descend(gram: np.ndarray, xy: np.ndarray, n: int, alpha: float, l1: float, w: np.ndarray, tol: float = 1e-7, most: int = 2000) -> np.ndarray:
     """Coordinate descent for squared error / 2n + alpha (l1 |w| + (1 - l1) / 2 w^2), warm from ``w``; everything through the Gram matrix."""
     w = w.copy()
     a, r = alpha * l1, alpha * (1 - l1)
