@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions import columns as fc
-from quadrat.operators import bayes, decisions, evidence, ingest, mapping, matching, power, validation
+from quadrat.operators import bayes, decisions, evidence, ingest, mapping, matching, power, records, validation
+from quadrat.plans import sizing
 from quadrat.sources import panel as sp
 from quadrat.sources import synthetic
 from quadrat.streaming import panel_stream
@@ -689,6 +690,157 @@ def st(spark, d):
     return panel_stream.run_once(panel_stream.daily_panel(panel_stream.read_events(spark, d)))
 
 
+# sets, order and shape
+
+@query("u_set_operations", """SELECT 'union' AS op, region FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 0) UNION SELECT s_nationkey FROM supplier) JOIN nation ON k = n_nationkey, LATERAL (SELECT trim(n_name) AS region)
+UNION ALL SELECT 'intersect', trim(n_name) FROM (SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 INTERSECT SELECT s_nationkey FROM supplier) JOIN nation ON k = n_nationkey
+UNION ALL SELECT 'except', trim(n_name) FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier) JOIN nation ON k = n_nationkey""")
+def u_sets(spark, d):
+    n = sp.table(spark, d, "nation").select("n_nationkey", F.trim("n_name").alias("region"))
+    a = sp.table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("k"))
+    b = sp.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    named = lambda op, x: x.join(n, F.col("k") == F.col("n_nationkey")).select(F.lit(op).alias("op"), "region")
+    return named("union", a.union(b).distinct()).unionByName(named("intersect", a.intersect(b))).unionByName(named("except", n.select(F.col("n_nationkey").alias("k")).subtract(b)))
+
+
+@query("u6_key_set_equality", "SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT o_custkey FROM orders) ANTI JOIN customer ON o_custkey = c_custkey) AS only_left, (SELECT COUNT(*) FROM customer ANTI JOIN orders ON o_custkey = c_custkey) AS only_right")
+def u6(spark, d):
+    a, b = sp.table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct(), sp.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    return a.join(b, "k", "left_anti").agg(F.count("*").alias("only_left")).crossJoin(b.join(a, "k", "left_anti").agg(F.count("*").alias("only_right")))
+
+
+@query("o6_strided_sample", f"{LAGGED}, dd AS (SELECT DISTINCT date FROM w), i AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, COUNT(*) OVER () AS n FROM dd) SELECT date, i FROM i WHERE i % (n // 20) = 0 ORDER BY i LIMIT 20")
+def o6(spark, d):
+    i = weeks(spark, d).select("date").distinct().withColumn("i", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))  # a few hundred dates
+    n = i.agg(F.count("*").alias("n"))
+    return i.join(F.broadcast(n)).where(F.col("i") % F.floor(F.col("n") / 20) == 0).orderBy("i").limit(20).select("date", "i")
+
+
+@query("o9_first_of_duplicates", "SELECT c_nationkey, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) WHERE rn = 1")
+def o9(spark, d):
+    c = sp.table(spark, d, "customer")
+    return c.groupBy("c_nationkey").agg(F.min_by(F.struct("c_custkey", "c_acctbal"), F.struct((-F.col("c_acctbal")).alias("b"), "c_custkey")).alias("x")).select("c_nationkey", "x.*")
+
+
+@query("o4_head_of_list", f"WITH m AS ({MONTHS}) SELECT region, array_to_string(list_slice(list(strftime(date, '%Y-%m-%d') ORDER BY date), 1, 3), ', ') AS first_dates, COUNT(*) AS n FROM m GROUP BY 1")
+def o4(spark, d):
+    return months(spark, d).groupBy("region").agg(F.array_join(F.slice(F.array_sort(F.collect_list(F.col("date").cast("string"))), 1, 3), ", ").alias("first_dates"), F.count("*").alias("n"))
+
+
+@query("r8_chart_series", f"{LAGGED}, i AS (SELECT region, date, kpi, kpi / AVG(kpi) FILTER (date <= DATE '{PRE_END}') OVER (PARTITION BY region) * 100 AS indexed FROM w) SELECT date, region || ' ' || 'kpi' AS series, ROUND(kpi, 2) AS value FROM i UNION ALL SELECT date, region || ' indexed', ROUND(indexed, 2) FROM i")
+def r8(spark, d):
+    pre = F.avg(F.when(F.col("date") <= PRE_END, F.col("kpi"))).over(Window.partitionBy("region"))
+    i = weeks(spark, d).select("region", "date", "kpi", (F.col("kpi") / pre * 100).alias("indexed"))
+    return i.unpivot(["region", "date"], ["kpi", "indexed"], "kind", "value").select("date", F.concat_ws(" ", "region", "kind").alias("series"), r("value", 2).alias("value"))
+
+
+@query("r9_comparison_matrix", f"{PAIRS}, e AS (SELECT region, AVG(ABS(actual - predicted)) AS mae, SQRT(AVG(POWER(actual - predicted, 2))) AS rmse FROM pairs GROUP BY 1), u AS (UNPIVOT e ON mae, rmse INTO NAME metric VALUE v), n AS (SELECT trim(r_name) AS region, row_number() OVER (ORDER BY r_regionkey) AS k FROM region) SELECT metric, {', '.join(f'ROUND(MAX(v) FILTER (k = {k}), 2) AS m{k}' for k in range(1, 6))} FROM u JOIN n USING (region) GROUP BY 1")
+def r9(spark, d):
+    e = naive_pairs(spark, d).groupBy("region").agg(F.avg(F.abs(F.col("actual") - F.col("predicted"))).alias("mae"), F.sqrt(F.avg(F.pow(F.col("actual") - F.col("predicted"), 2))).alias("rmse"))
+    t, c = region_names(spark, d)
+    x = e.unpivot(["region"], ["mae", "rmse"], "metric", "v").groupBy("metric").pivot("region", t + c).agg(F.max("v"))
+    return x.select("metric", *(r(F.col(f"`{n}`"), 2).alias(f"m{k + 1}") for k, n in enumerate(t + c)))
+
+
+@query("p16_exclude_dates", f"{LAGGED}, q AS (SELECT date FROM w GROUP BY 1 HAVING SUM(kpi) < 100000) SELECT region, date, kpi FROM w ANTI JOIN q USING (date) WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'")
+def p16(spark, d):
+    w = weeks(spark, d).where(F.col("date").between("1996-01-01", "1998-12-31"))
+    return w.join(w.groupBy("date").agg(F.sum("kpi").alias("s")).where("s < 100000").select("date"), "date", "left_anti").select("region", "date", "kpi")
+
+
+@query("p21_region_roles", "SELECT trim(n_name) AS region, CASE WHEN n_nationkey IN (1, 2) THEN 'test' WHEN n_nationkey % 5 = 4 THEN 'excluded' WHEN n_regionkey = 1 THEN 'matched control' ELSE 'candidate' END AS role FROM nation")
+def p21(spark, d):
+    k = F.col("n_nationkey")
+    role = F.when(k.isin(1, 2), "test").when(k % 5 == 4, "excluded").when(F.col("n_regionkey") == 1, "matched control").otherwise("candidate")
+    return sp.table(spark, d, "nation").select(F.trim("n_name").alias("region"), role.alias("role"))
+
+
+@query("p25_pre_test_split", f"{LAGGED}, dd AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM w)) SELECT w.region, w.date, CASE WHEN k <= 104 THEN 'pre' ELSE 'test' END AS part FROM w JOIN dd USING (date) WHERE k <= 112")
+def p25(spark, d):
+    w = weeks(spark, d)
+    dates = w.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date"))).where("k <= 112")
+    return w.join(F.broadcast(dates), "date").select("region", "date", F.when(F.col("k") <= 104, "pre").otherwise("test").alias("part"))  # 112 rows
+
+
+@query("p19_typed_columns", "SELECT p_type, COUNT(*) AS n, bool_and(regexp_full_match(CAST(p_size AS VARCHAR), '[0-9.,-]+')) AS size_is_numeric, bool_and(regexp_full_match(p_brand, '[0-9.,-]+')) AS brand_is_numeric FROM part GROUP BY 1")
+def p19(spark, d):
+    looks = lambda c: F.bool_and(fc.looks_numeric(F.col(c).cast("string")))
+    return sp.table(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n"), looks("p_size").alias("size_is_numeric"), looks("p_brand").alias("brand_is_numeric"))
+
+
+@query("a9_distinct_lists", f"WITH m AS ({MONTHS}) SELECT COUNT(DISTINCT region) AS regions, COUNT(DISTINCT date) AS dates, array_to_string(list(DISTINCT region ORDER BY region), ', ') AS region_list FROM m")
+def a9(spark, d):
+    return months(spark, d).agg(F.countDistinct("region").alias("regions"), F.countDistinct("date").alias("dates"), F.array_join(F.array_sort(F.collect_set("region")), ", ").alias("region_list"))
+
+
+@query("a14_population_coverage", f"WITH demo AS ({DEMOGRAPHICS}) SELECT n_regionkey, ROUND(SUM(Population) FILTER (suppliers IS NOT NULL) / SUM(Population) * 100, 4) AS coverage_pct FROM demo GROUP BY 1")
+def a14(spark, d):
+    x = sp.demographics(spark, d).groupBy("n_regionkey").agg((F.sum(F.when(F.col("suppliers").isNotNull(), F.col("Population"))) / F.sum("Population") * 100).alias("coverage_pct"))
+    return rounded(x)
+
+
+@query("w13_ar1_recursion", f"{PAIRS}, e AS (SELECT region, (actual - predicted) / 1e6 AS v, row_number() OVER (PARTITION BY region ORDER BY date) AS k, COUNT(*) OVER (PARTITION BY region) AS n FROM pairs) SELECT region, ROUND(SUM(v * POWER(0.5, n - k)), 4) AS last_level FROM e GROUP BY 1")
+def w13(spark, d):
+    """e_t = 0.5 e_(t-1) + v_t, as a fold over the innovations of each region."""
+    v = naive_pairs(spark, d).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("date", ((F.col("actual") - F.col("predicted")) / 1e6).alias("v")))).alias("vs"))
+    return v.select("region", r(F.aggregate("vs", F.lit(0.0), lambda e, x: 0.5 * e + x["v"])).alias("last_level"))
+
+
+@query("j8_window_range_join", f"{LAGGED}, s AS (SELECT UNNEST([DATE '1996-01-01', DATE '1997-01-06', DATE '1998-01-05']) AS start) SELECT start, region, COUNT(*) AS n, ROUND(SUM(kpi), 2) AS total FROM s JOIN w ON w.date >= s.start AND w.date < s.start + 56 GROUP BY 1, 2")
+def j8(spark, d):
+    """Windows of eight weeks: their dates are exploded, so that the join is by equality."""
+    s = spark.createDataFrame([(x,) for x in ("1996-01-01", "1997-01-06", "1998-01-05")], "s string").select(F.to_date("s").alias("start"))
+    days = s.select("start", F.explode(F.expr("sequence(start, date_add(start, 49), interval 7 day)")).alias("date"))
+    return weeks(spark, d).join(F.broadcast(days), "date").groupBy("start", "region").agg(F.count("*").alias("n"), r(F.sum("kpi"), 2).alias("total"))  # 24 rows
+
+
+@query("j12_near_equal_series", f"WITH m AS ({MONTHS}), i AS (SELECT region, date, kpi / AVG(kpi) OVER (PARTITION BY region) AS v FROM m) SELECT a.region AS a, b.region AS b, COUNT(*) AS n, ROUND(AVG(ABS(a.v - b.v)), 6) AS mean_gap FROM i AS a JOIN i AS b ON a.date = b.date AND a.region < b.region GROUP BY 1, 2 HAVING bool_and(ABS(a.v - b.v) <= 1.5) AND COUNT(*) >= 70")
+def j12(spark, d):
+    i = months(spark, d).select("region", "date", (F.col("kpi") / F.avg("kpi").over(Window.partitionBy("region"))).alias("v"))
+    j = i.select(F.col("region").alias("other"), "date", F.col("v").alias("u"))
+    g = F.abs(F.col("v") - F.col("u"))
+    x = i.join(j, "date").where("region < other").groupBy(F.col("region").alias("a"), F.col("other").alias("b")).agg(F.count("*").alias("n"), F.avg(g).alias("mean_gap"), F.bool_and(g <= 1.5).alias("near"))
+    return x.where("near and n >= 70").select("a", "b", "n", r("mean_gap", 6).alias("mean_gap"))
+
+
+@query("j17_source_availability", "SELECT 's' || n_nationkey AS source, CASE WHEN n_nationkey % 4 = 0 THEN 'missing' WHEN n_nationkey % 4 = 1 THEN 'new' WHEN n_nationkey % 4 = 2 THEN 'matched' ELSE 'changed' END AS state FROM nation")
+def j17(spark, d):
+    n = sp.table(spark, d, "nation").select(F.concat(F.lit("s"), "n_nationkey").alias("source"), (F.col("n_nationkey") % 4).alias("m"))
+    return records.source_availability(n.where("m != 1").select("source", F.lit("x").alias("digest")), n.where("m != 0").select("source", F.when(F.col("m") == 3, "y").otherwise("x").alias("digest")))
+
+
+@query("j9_candidate_grid", "SELECT share::DOUBLE AS share, duration FROM (SELECT UNNEST([0.1, 0.2, 0.4]) AS share), (SELECT UNNEST([4, 8])::INTEGER AS duration)")
+def j9(spark, d):
+    return sizing.candidate_grid(spark, [0.1, 0.2, 0.4], [4, 8])
+
+
+@query("x15_sized_scenarios")
+def x15(spark, d):
+    return sizing.size_scenarios(months(spark, d).where(F.col("region").rlike("NATION_1?[0-9]$")), sizing.candidate_grid(spark, [0.1, 0.2, 0.4], [4, 8]), 0.15, min_history=60)
+
+
+@query("x16_smallest_qualifying")
+def x16(spark, d):
+    return sizing.smallest_qualifying(x15(spark, d))
+
+
+@query("d14_content_digests")
+def d14(spark, d):
+    return records.content_digest(months(spark, d)).withColumn("what", F.lit("panel")).unionByName(records.content_digest(sp.demographics(spark, d)).withColumn("what", F.lit("demographics")))
+
+
+@query("a26_reason_union", "SELECT l_returnflag, array_to_string(list(DISTINCT l_linestatus ORDER BY l_linestatus), ',') AS statuses, COUNT(*) AS n FROM lineitem GROUP BY 1")
+def a26(spark, d):
+    x = sp.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.array_join(F.array_sort(F.collect_set("l_linestatus")), ",").alias("statuses"), F.count("*").alias("n"))
+    return x
+
+
+@query("f14_grids", "SELECT k::INTEGER AS k, ROUND(POWER(10, 4 - 8.0 * k / 49), 6) AS alpha, ROUND(0.0 + 30.0 * k / 49, 6) AS effect FROM (SELECT UNNEST(range(50)) AS k)")
+def f14(spark, d):
+    k = F.col("id")
+    return spark.range(50).select(k.cast("int").alias("k"), r(F.pow(F.lit(10.0), 4 - 8.0 * k / 49), 6).alias("alpha"), r(30.0 * k / 49, 6).alias("effect"))
+
+
 # the flagship: which nations best control for a test nation, by the shape of their monthly KPI
 
 FLAGSHIP = f"""WITH m AS ({MONTHS}), i AS (SELECT region, date, kpi / AVG(kpi) OVER (PARTITION BY region) * 100 AS v FROM m), t AS (SELECT date, v FROM i WHERE region = (SELECT trim(n_name) FROM nation WHERE n_nationkey = 1)),

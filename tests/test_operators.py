@@ -128,3 +128,32 @@ def test_stream_equals_batch(spark, sf_dir):
 
     got = panel_stream.run_once(panel_stream.daily_panel(panel_stream.read_events(spark, sf_dir)))
     assert got.exceptAll(event_panel(spark, sf_dir)).count() == 0
+
+
+def test_workbooks_round_trip(spark, tmp_path):
+    from quadrat.sources import workbook
+
+    data = workbook.workbook_bytes({"UK": (["Region", "Metric", "2024-01-01"], [("a & <b>", "Sales", 1.5), ("ü", None, 2)]), "A name of far more than thirty-one characters": (["x"], [("1",)])})
+    (tmp_path / "w.xlsx").write_bytes(data)
+    book = workbook.read_workbooks(spark, f"file://{tmp_path}")
+    assert sorted(r["sheet"] for r in book.select("sheet").distinct().collect()) == ["A name of far more than thirty-", "UK"]
+    got = workbook.sheet_frame(book, "UK").orderBy("Region").collect()
+    assert [tuple(r) for r in got] == [("UK", "a & <b>", "Sales", "1.5"), ("UK", "ü", None, "2")]
+
+
+def test_records():
+    from quadrat.operators import records
+
+    r = records.Record(records.new_experiment_id(), "2026-01-01")
+    r = r.with_stage("match", {"a": 1}, {"n": 3}).with_stage("power", {"p": float("nan")}, {"mde": 2.0})
+    assert not r.is_stale("power", {"p": float("nan")}) and r.is_stale("power", {"p": 1})
+    again = r.with_stage("match", {"a": 2}, {"n": 4})
+    assert again.stale == ("power",) and r.stale == ()
+    with pytest.raises(ValueError):
+        again.freeze()
+    frozen = r.freeze()
+    assert records.load_record(frozen.to_json()).frozen["fingerprint"] == records.fingerprint(r.stages)
+    with pytest.raises(ValueError):
+        frozen.freeze()
+    assert records.canonical_json({"b": {2, 1}, "a": float("inf")}) == '{"a":"Infinity","b":[1,2]}'
+    assert [x[3] for x in records.planned_and_analysed({"a": 1, "b": 2, "c": 3}, {"b": 2, "c": 4, "d": 5})] == ["only_planned", "same", "changed", "only_analysed"]
