@@ -41,25 +41,31 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-def _with_component(members: DataFrame, comp: DataFrame | None) -> DataFrame:
-    if comp is None:
-        return members.withColumn("c", F.col("v"))
-    return members.join(comp, F.col("v") == F.col("node"), "left").withColumn("c", F.coalesce("component", "v")).drop("node", "component")
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (g, v) with c: a node that v is linked to by a path, or v itself."""
+    return members.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
 
 
-def pivot_pairs(members: DataFrame, comp: DataFrame | None, round_: int) -> DataFrame:
-    """a, b: in every group, each member with one of them (another one each round), unless a component holds both."""
-    own = _with_component(members, comp)
-    pivot = own.groupBy("g").agg(F.min_by(F.struct("v", "c"), F.xxhash64("v", F.lit(round_))).alias("p"))
-    pairs = own.join(pivot, "g").where((F.col("v") != F.col("p.v")) & (F.col("c") != F.col("p.c")))
+def _hop(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """v, c: every linked node takes the least label of itself and its neighbours, which stays a node that a path reaches."""
+    both = links.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("u")))
+    if labels is None:
+        return both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("c"))
+    near = both.join(labels.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u", "left").select("v", F.coalesce("cu", "u").alias("c"))
+    return near.unionByName(labels).unionByName(near.select("v", F.col("v").alias("c"))).groupBy("v").agg(F.min("c").alias("c"))
+
+
+def pivot_pairs(members: DataFrame, round_: int) -> DataFrame:
+    """a, b: in every group of members (g, v, c), each with one of them (another one each round), unless their labels agree."""
+    pivot = members.groupBy("g").agg(F.min_by(F.struct("v", "c"), F.xxhash64("v", F.lit(round_))).alias("p"))
+    pairs = members.join(pivot, "g").where((F.col("v") != F.col("p.v")) & (F.col("c") != F.col("p.c")))
     return pairs.select(F.greatest("v", "p.v").alias("a"), F.least("v", "p.v").alias("b")).distinct()
 
 
-def rest_pairs(members: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """a, b: all pairs of a group that no component holds yet."""
-    own = _with_component(members, comp)
-    mixed = own.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("g")
-    left = own.join(mixed, "g", "left_semi")
+def rest_pairs(members: DataFrame) -> DataFrame:
+    """a, b: all pairs of a group whose labels differ."""
+    mixed = members.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("g")
+    left = members.join(mixed, "g", "left_semi")
     right = left.select("g", F.col("v").alias("w"), F.col("c").alias("d"))
     return left.join(right, "g").where((F.col("v") > F.col("w")) & (F.col("c") != F.col("d"))).select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
 
@@ -68,24 +74,18 @@ def link_large_groups(members: DataFrame, links: DataFrame, verify: Callable[[Da
     """All links that matter within large groups, and the components of all links.
 
     members: g, v; links: a, b, those known before; verify: pairs (a, b) to the links among them. Within a component no
-    further link can change the result, so its pairs are skipped. Some rounds compare each member with one pivot of its
-    group, which unites most of a group of copies with as many comparisons as members; then all pairs that are still in
-    different components are compared, by ``rest`` if it is given (g, v, c to links). No pair is left out.
+    further link can change the result, so pairs that are known to be in one are skipped: nodes carry a label, a node that
+    a path reaches, and equal labels mean one component. Some rounds compare each member with one pivot of its group, which
+    unites most of a group of copies with as many comparisons as members; then all pairs whose labels still differ are
+    compared, by ``rest`` if it is given (g, v, c to links). No pair is left out.
     """
-    comp = components(links)
     if members.isEmpty():
-        return links, comp
-    tried = None
-    for r in range(rounds + 1):
-        if r == rounds and rest:
-            found = cut(rest(_with_component(members, comp)), "links")
-            return (links, comp) if found.isEmpty() else (links.unionByName(found), components(links.unionByName(found)))
-        pairs = pivot_pairs(members, comp, r) if r < rounds else rest_pairs(members, comp)
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        found = cut(verify(pairs), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comp = components(links)
-    return links, comp
+        return links, components(links)
+    labels = cut(_hop(None, links), "labels")
+    for r in range(rounds):
+        found = cut(verify(pivot_pairs(_labelled(members, labels), r)), "links")
+        links = links.unionByName(found)
+        labels = cut(_hop(labels, found), "labels")
+    last = _labelled(members, labels)
+    links = links.unionByName(cut(rest(last) if rest else verify(rest_pairs(last)), "links"))
+    return links, components(links)

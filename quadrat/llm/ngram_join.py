@@ -11,7 +11,8 @@ may look more frequent in it than it is, which costs time and never a link, as a
    give each node its partners' lists, which are heap-merged for each query; longer lists are left to step 4.
 3. The candidates' long lists are probed by binary search in the partner's sorted set, which gives the exact overlap.
 4. Long lists come from groups of copies or from very frequent passages: each node is compared with a pivot of its list,
-   and then with all nodes of it that are still in other components (components.link_large_groups). No list is capped.
+   and then, in blocks that emit links only, with all nodes of it that may be in other components
+   (components.link_large_groups). No list is capped.
 
 Defined results: a null or wordless text has an empty set and links with nothing; fewer words than a shingle has make one
 shingle; equal sets link; repeated rows of an id are one document to their component, with a row each in the result; an
@@ -21,11 +22,13 @@ empty table gives no rows; columns other than the id and the text are ignored, a
 from __future__ import annotations
 
 import heapq
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quadrat.llm.common import cut
 from quadrat.llm.components import link_large_groups
@@ -36,7 +39,10 @@ PERCENT = 90
 MERGED = 2
 #: Lists of up to so many nodes are merged; longer ones are searched by pivots and components.
 MERGE_LIST = 48
-SKETCH_BITS = 18
+SKETCH_BITS = 22
+SKETCH_ROW = 1 << 16
+#: Members of a long list that one task compares with each other.
+BLOCK = 512
 PIECE = 4 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -168,49 +174,52 @@ def _binary(rows: np.ndarray) -> pa.Array:
 def set_signatures(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> DataFrame:
     """i, n, sig of every document, and beside them rows (part, sketch): counts of hashed tokens, ``part`` telling which."""
     kind = docs.schema["i"].dataType.simpleString()
-    arrow = pa.int64() if kind == "bigint" else None
+    id_type = to_arrow_type(docs.schema["i"].dataType)
 
     def run(batches):
-        counts = np.zeros(1 << bits, np.int64)
-        rows = 1 << 12
+        counts = np.zeros(1 << bits, np.uint32)
         for b in batches:
-            arrow_id = arrow or b.column(0).type
-            sets = []
-            n = []
+            sets, n = [], []
             for tokens in batch_sets(b.column(1), size):
-                counts += np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if len(tokens) > 4096 else 0
-                if len(tokens) <= 4096:
-                    np.add.at(counts, (tokens >> np.uint64(64 - bits)).astype(np.int64), 1)
+                np.add.at(counts, (tokens >> np.uint64(64 - bits)).astype(np.int64), 1)
                 n.append(len(tokens))
                 sets.append(signature(tokens) if len(tokens) else None)
             none = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow_id), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], ["i", "n", "sig", "part", "sketch"])
-        parts = len(counts) // rows
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], ["i", "n", "sig", "part", "sketch"])
+        parts = len(counts) // SKETCH_ROW
+        packed = [zlib.compress(counts[k * SKETCH_ROW : (k + 1) * SKETCH_ROW].tobytes(), 1) for k in range(parts)]
         none = [None] * parts
-        yield pa.RecordBatch.from_arrays([pa.array(none, arrow or pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(range(parts), pa.int32()), pa.array([counts[k * rows : (k + 1) * rows].tobytes() for k in range(parts)], pa.binary())], ["i", "n", "sig", "part", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.array(none, id_type), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary())], ["i", "n", "sig", "part", "sketch"])
 
     return docs.mapInArrow(run, f"i {kind}, n long, sig binary, part int, sketch binary")
 
 
-def _sum_sketch(parts: DataFrame) -> np.ndarray:
-    """The counts of all tasks, summed by part: a table of fixed size."""
+def _sum_sketch(parts: DataFrame, bits: int = SKETCH_BITS) -> tuple[np.ndarray, int]:
+    """The counts of all tasks, summed by part, as levels of an eighth of a doubling (a byte each): a table of fixed size; and
+    the level from which a token is very frequent."""
 
     def add(pdf):
-        return pdf.iloc[:1].assign(sketch=[np.sum([np.frombuffer(x, np.int64) for x in pdf["sketch"]], 0).tobytes()])
+        total = np.sum([np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in pdf["sketch"]], 0)
+        return pdf.iloc[:1].assign(sketch=[zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)])
 
     level = F.floor(F.rand(11) * 16)  # sums in two steps, so that no task gets the counts of all others
     once = parts.select("part", "sketch", level.alias("l")).groupBy("part", "l").applyInPandas(lambda pdf: add(pdf[["part", "sketch"]]), "part int, sketch binary")
     rows = once.groupBy("part").applyInPandas(add, "part int, sketch binary").collect()
-    return np.concatenate([np.frombuffer(r["sketch"], np.int64) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(1, np.int64)
+    if not rows:
+        return np.zeros(1 << bits, np.uint8), 255
+    counts = np.concatenate([np.frombuffer(zlib.decompress(r["sketch"]), np.uint32) for r in sorted(rows, key=lambda r: r["part"])])
+    levels = lambda c: np.minimum(255, np.round(8 * np.log2(1.0 + c))).astype(np.uint8)
+    return levels(counts), int(levels(np.array([4 * counts.mean() + 4096]))[0])
 
 
-def emit_short_lists(docs: DataFrame, counts: np.ndarray, size: int, percent: int, merged: int) -> DataFrame:
+def emit_short_lists(docs: DataFrame, levels: np.ndarray, frequent: int, size: int, percent: int, merged: int) -> DataFrame:
     """k, token, sig, n, n_long, is_long: the entries of every document's short lists. Tokens that are very frequent by the
     counts are told apart here already, and k spreads them."""
-    shift = np.uint64(64 - int(np.log2(len(counts))))
-    frequent = 4 * int(counts.mean()) + 4096
+    shift = np.uint64(64 - int(np.log2(len(levels))))
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # 4 MB, whatever the corpus
 
     def run(batches):
+        counts = shared.value
         for b in batches:
             tokens, sigs, n, n_long, per = [], [], [], [], []
             for s in batch_sets(b.column(0), size):
@@ -330,6 +339,61 @@ def sets_of(docs: DataFrame, active: DataFrame, size: int) -> DataFrame:
     return own.mapInArrow(run, "sig binary, tokens binary")
 
 
+def block_links(pdf, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links among sets (v, c, tokens), enough to unite what they unite; overlaps of all pairs are products of 0/1 matrices."""
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["tokens"]]
+    n = np.array([len(x) for x in sets])
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    shared = often > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[code]
+    row, code = row[keep], column[code[keep]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for at in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(code, [at, at + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[lo:hi], code[lo:hi] - at] = 1
+        overlap += m @ m.T
+    a, b = np.nonzero(np.triu((100 + percent) * overlap.astype(np.int64) >= percent * (n[:, None] + n[None, :]), 1))
+    root = list(pdf["c"])
+    ids, out = list(pdf["v"]), []
+    first = {c: k for k, c in reversed(list(enumerate(root)))}
+    up = [first[c] for c in root]
+
+    def find(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = find(x), find(y)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+    return out
+
+
+def rest_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within long lists between nodes whose labels differ (g, v, c): every block of a list's members meets every other."""
+    import pandas as pd
+
+    size = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("g", "blocks")
+    own = members.join(size, "g").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    keyed = own.select("g", "v", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = keyed.select("g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "v", "c")
+    full = keyed.join(sets.select(F.col("sig").alias("v"), "tokens"), "v")
+
+    def run(pdf):
+        return pd.DataFrame(block_links(pdf, percent), columns=["a", "b"])
+
+    return full.groupBy("g", "x", "y").applyInPandas(run, "a binary, b binary").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose exact overlap is large enough."""
 
@@ -351,16 +415,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     own = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     first = cut(set_signatures(own, size), "signatures")
     rows = first.where("part is null").select("i", "n", "sig")
-    counts = _sum_sketch(first.where("part is not null").select("part", "sketch"))
+    levels, frequent = _sum_sketch(first.where("part is not null").select("part", "sketch"))
     classes = rows.where("sig is not null").groupBy("sig").agg(F.min("i").alias("rep"))
-    lists = cut(stream_lists(emit_short_lists(own, counts, size, percent, merged), percent, longest), "lists")
+    lists = cut(stream_lists(emit_short_lists(own, levels, frequent, size, percent, merged), percent, longest), "lists")
     members = lists.where("v is not null").select("g", "v").distinct()
     pairs = cut(merge_lists(lists, merged), "pairs")
     nodes = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).unionByName(members.select(F.col("v").alias("sig"))).distinct()
     active = classes.join(nodes, "sig", "left_semi").select("rep")
     sets = cut(sets_of(own, active, size).dropDuplicates(["sig"]), "sets")
     verify = lambda p: verified(p, sets, percent)
-    _, comp = link_large_groups(members, cut(verify(pairs), "links"), verify)
+    _, comp = link_large_groups(members, cut(verify(pairs), "links"), verify, rest=lambda m: rest_links(m, sets, percent))
     named = comp.join(classes, comp["node"] == classes["sig"]).select("node", "component", "rep")
     least = named.groupBy("component").agg(F.min("rep").alias("c"))
     of = named.join(least, "component").select("node", "c")
