@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.llm.common import cut, table
-from quadrat.llm.line_dedup import dedup_lines
+from quadrat.llm.line_dedup import dedup_lines, id_map, marked
 from quadrat.llm.mixing import in_order, mix
 from quadrat.llm.ngram_join import jaccard_components
 from quadrat.llm.quality_rules import quality_rules
@@ -30,9 +30,10 @@ def dedup_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of every group of near-duplicates."""
-    groups = jaccard_components(docs)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(jaccard_components(docs).where("doc_id != component_id").select(F.col("doc_id").alias("i")).distinct(), "gone")
+    both = marked(docs, id_map(gone), "doc_id", "quadrat_may")  # only documents that may go are shuffled
+    stay = both.where("quadrat_may").join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("i"), "left_anti")
+    return both.where("not quadrat_may").unionByName(stay).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
