@@ -26,7 +26,7 @@ BLOCK = 32
 #: Units that default weights are rounded to.
 UNITS = 400
 #: Rows of a source that are ranked in one task.
-BUCKET_ROWS = 4_000
+BUCKET_ROWS = 500
 #: Rows up to which the template of all phases is broadcast; a larger one is joined by a shuffle.
 MAX_TEMPLATE = 200_000
 
