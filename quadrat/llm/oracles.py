@@ -1,3 +1,57 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from quadrat.llm.ngram_join import PERCENT
+from quadrat.llm.quality_rules import BUCKETS, MULTIPLIERS, SMOOTHING, THRESHOLD
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _step(h: str, code: str, multiplier: int) -> str:
+    product = f"((xor({h}, {code}) * {multiplier}::UBIGINT) & 4294967295::UBIGINT)"
+    return f"xor({product}, {product} >> 15)"
+
+
+OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, COALESCE(text, '') AS t FROM documents),
+w AS (SELECT row, doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+win AS (SELECT row, k, array_to_string(ws[k:k + 7], ' ') AS x FROM (SELECT row, ws, UNNEST(range(1, len(ws) - 6)) AS k FROM w WHERE len(ws) >= 9)),
+rep AS (SELECT row, UNNEST(range(k, k + 8)) AS k FROM (SELECT row, k, COUNT(*) OVER (PARTITION BY row, x) AS n FROM win) WHERE n > 1),
+reps AS (SELECT row, COUNT(DISTINCT k) AS n FROM rep GROUP BY 1),
+lines AS (SELECT row, COUNT(*) - COUNT(DISTINCT line) AS n FROM (SELECT row, UNNEST(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}') GROUP BY 1),
+codes AS (SELECT row, list_transform(string_split(t, ''), lambda x: unicode(x)::UBIGINT) AS cs FROM d WHERE length(t) >= 3),
+grams AS (SELECT row, cs[k] AS c0, cs[k + 1] AS c1, cs[k + 2] AS c2 FROM (SELECT row, cs, UNNEST(range(1, len(cs) - 1)) AS k FROM codes)),
+g0 AS (SELECT row, c1, c2, {_step("0::UBIGINT", "c0", int(MULTIPLIERS[0]))} AS h0 FROM grams), g1 AS (SELECT row, c2, {_step("h0", "c1", int(MULTIPLIERS[1]))} AS h1 FROM g0),
+g2 AS (SELECT row, ({_step("h1", "c2", int(MULTIPLIERS[2]))}) % {BUCKETS} AS b FROM g1), per AS (SELECT row, b, COUNT(*) AS n FROM g2 GROUP BY 1, 2),
+good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING MIN(quality) = 1),
+counts AS (SELECT b, SUM(n) AS raw, COALESCE(SUM(n) FILTER (doc_id IN (SELECT doc_id FROM good)), 0) AS target FROM per JOIN d USING (row) GROUP BY 1), sums AS (SELECT SUM(raw) AS r, SUM(target) AS t FROM counts),
+ratio AS (SELECT b, ln((target + {SMOOTHING}) / (t + {SMOOTHING * BUCKETS})) - ln((raw + {SMOOTHING}) / (r + {SMOOTHING * BUCKETS})) AS v FROM counts, sums),
+mean AS (SELECT row, SUM(n * v) / SUM(n) AS m FROM per JOIN ratio USING (b) GROUP BY 1),
+base AS (SELECT row, doc_id, len(ws)::BIGINT AS n_words, COALESCE(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM w)
+SELECT doc_id, n_words, word_chars, n_symbols, COALESCE(lines.n, 0)::BIGINT AS n_dup_lines, COALESCE(reps.n, 0)::BIGINT AS n_repeat_words,
+n_words < 20 OR 100 * COALESCE(reps.n, 0) > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * COALESCE(reps.n, 0) > 30 * n_words) AND COALESCE(m, 0) >= {THRESHOLD} AS kept
+FROM base LEFT JOIN reps USING (row) LEFT JOIN lines USING (row) LEFT JOIN mean USING (row)
+"""
+
+OP5 = """
+WITH p AS (SELECT page_id, COALESCE(html, '') AS b FROM pages), h AS (SELECT page_id, strlen(b)::BIGINT AS payload_bytes, sha1(b) AS x FROM p),
+l AS (SELECT *, MAX(page_id) OVER (PARTITION BY x, payload_bytes) AS last FROM h)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER, 1)), '') AS payload_digest,
+CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM l
+"""
+
+OP6 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS z FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.z, c.z)::BIGINT AS score FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+OP9 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 2], ' ') AS g FROM (SELECT doc_id, ws, UNNEST(range(1, GREATEST(len(ws) - 1, 2))) AS k FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS i FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * i >= {PERCENT} * (nx.n + ny.n - i)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM reach AS r JOIN links AS l ON r.y = l.x)
+SELECT w.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, c AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, MIN(y) AS c FROM reach GROUP BY 1) USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op5_warc": OP5, "op6_topk_search": OP6, "op9_ngram_join": OP9}
