@@ -10,7 +10,7 @@ grows as the surprise of the piece under Zipf's law. Costs are integers; ties go
 piece. The segmentation is therefore Viterbi's, the cheapest, not the one of successive merges.
 
 The relational lattice encodes the lexicon, the ``lexicon`` most frequent segments of up to ``MAX_SEGMENT`` characters,
-nine tenths of a corpus. A fixed number of rows, it is broadcast, and documents are encoded without a shuffle of their
+nine tenths of a corpus' words. A fixed number of rows, it is broadcast, and documents are encoded without a shuffle of their
 text, by look-up; segments beyond the lexicon run through the same lattice and fold in the task that holds them.
 
 Defined results: a null text has null ids, an empty one no ids; ids always decode to the text (with U+2581 read as a space,
@@ -21,9 +21,10 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections import Counter
+from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,15 +35,18 @@ from quadrat.llm.common import cut, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-LEXICON = 1 << 17
+LEXICON = 1 << 18
 #: Frequent segments that a task passes on, and the distinct ones that it counts before it drops the rarest.
-TASK_LEXICON = 1 << 15
+TASK_LEXICON = 1 << 16
 TASK_COUNTED = 1 << 19
 MAX_SEGMENT = 40
 #: Segments beyond the lexicon that a task remembers.
 MEMORY = 1 << 18
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
 BYTE_COST = 150_000
+#: More than a segment has pieces: cost * PIECES + pieces orders paths by cost, then by pieces.
+PIECES = 1 << 32
+NEVER = 1 << 200
 
 
 class Pieces:
@@ -56,10 +60,28 @@ class Pieces:
         ranked = all(m.get_score(i) == round(m.get_score(i)) for i in plain)
         cost = lambda i: round(10_000 * (math.log(2 - m.get_score(i)) if ranked else -m.get_score(i)))
         self.cost = {m.id_to_piece(i): (cost(i), i) for i in plain}
+        self.singles = {p for p in self.cost if len(p) == 1}
         self.bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.cost))
         self.text = {i: m.id_to_piece(i).encode() for i in plain} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """All pieces, with length, key and ids."""
+        a = ahocorasick.Automaton()
+        for p, (c, i) in self.cost.items():
+            a.add_word(p, (len(p), c * PIECES + 1, (i,)))
+        a.make_automaton()
+        return a
+
+    @cached_property
+    def blob(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all pieces one after another, and where each begins and how long it is, by id."""
+        size = np.zeros(max(self.text) + 1, np.int64)
+        for i, t in self.text.items():
+            size[i] = len(t)
+        return np.frombuffer(b"".join(self.text.get(i, b"") for i in range(len(size))), np.uint8), np.cumsum(size) - size, size
+
     def table(self, spark: SparkSession) -> DataFrame:
         """piece, id, cost: a row for each piece of the model."""
         return spark.createDataFrame([(p, i, c) for p, (c, i) in self.cost.items()], "piece string, id int, cost long")
@@ -70,30 +92,38 @@ def segments(text: str) -> list[str]:
 
 
 def viterbi(segment: str, pieces: Pieces) -> list[int]:
-    """The cheapest path through one segment's lattice, outside Spark."""
-    n, cost, longest = len(segment), pieces.cost, pieces.longest
-    best: list[tuple] = [(0, 0, 0)]
-    back: list[tuple] = [()]
-    for end in range(1, n + 1):
-        own = None
-        for start in range(max(0, end - longest), end):
-            hit = cost.get(segment[start:end])
-            if hit:
-                c = (best[start][0] + hit[0], best[start][1] + 1, start - end)
-                if own is None or c < own:
-                    own, step = c, (start, (hit[1],))
-        if segment[end - 1] not in cost:
-            raw = segment[end - 1].encode("utf-8", "surrogatepass")
-            c = (best[end - 1][0] + BYTE_COST * len(raw), best[end - 1][1] + len(raw), -1)
-            if own is None or c < own:
-                own, step = c, (end - 1, tuple(pieces.bytes[b] for b in raw))
-        best.append(own)
-        back.append(step)
-    out: list[int] = []
+    """The cheapest path through one segment's lattice, outside Spark: keys order paths by cost, then by pieces."""
+    own = set(segment)
+    known = pieces.singles.issuperset(own)
+    best, back = [0] + [NEVER] * len(segment), [None] * (len(segment) + 1)
+    done = 0  # places up to here have their best path
+    for last, (length, key, ids) in pieces.automaton.iter(segment):  # by ends; longer pieces first, which wins ties
+        if not known:
+            while done < last:
+                done += 1
+                _by_bytes(segment, done, best, back, pieces)
+        c = best[last + 1 - length] + key
+        if c < best[last + 1]:
+            best[last + 1], back[last + 1] = c, (last + 1 - length, ids)
+    if not known:
+        for end in range(done + 1, len(segment) + 1):
+            _by_bytes(segment, end, best, back, pieces)
+    out: list[tuple] = []
+    n = len(segment)
     while n:
         n, ids = back[n]
-        out.extend(reversed(ids))
-    return out[::-1]
+        out.append(ids)
+    return [i for ids in reversed(out) for i in ids]
+
+
+def _by_bytes(segment: str, end: int, best: list, back: list, pieces: Pieces) -> None:
+    """The path that ends with the bytes of a character that is no piece."""
+    char = segment[end - 1]
+    if char not in pieces.singles:
+        raw = char.encode("utf-8", "surrogatepass")
+        c = best[end - 1] + len(raw) * (BYTE_COST * PIECES + 1)
+        if c < best[end]:
+            best[end], back[end] = c, (end - 1, tuple(pieces.bytes[b] for b in raw))
 
 
 def frequent_segments(docs: DataFrame, text: str, most: int = LEXICON) -> DataFrame:
@@ -151,45 +181,68 @@ def encode_lexicon(words: DataFrame, pieces: Pieces) -> DataFrame:
 def encode(docs: DataFrame, text: str = "text", out: str = "piece_ids", pieces: Pieces | None = None, lexicon: int = LEXICON, count_unknown: str | None = None) -> DataFrame:
     """The documents with the ids of their pieces."""
     pieces = pieces or Pieces()
-    known = cut(encode_lexicon(frequent_segments(docs, text, lexicon), pieces), "lexicon")
-    table = {r["w"]: tuple(r["ids"]) for r in known.collect()}  # at most ``lexicon`` rows
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((table, pieces))
+    known = cut(encode_lexicon(frequent_segments(docs, text, lexicon), pieces), "lexicon").toArrow()  # at most ``lexicon`` rows
+    ids = known.column("ids").combine_chunks()
+    flat, ends = ids.flatten().to_numpy().astype(np.int32), np.cumsum([0, *ids.value_lengths().to_pylist()])
+    table = {w: flat[ends[k] : ends[k + 1]].tobytes() for k, w in enumerate(known.column("w").to_pylist())}
+    shared = docs.sparkSession.sparkContext.broadcast((table, pieces))
     rows = docs.schema
 
     def run(batches):
         table, pieces = shared.value
-        memory: dict[str, tuple] = {}
+        memory: dict[str, bytes] = {}
+
+        def find(w: str) -> bytes:
+            got = memory.get(w)
+            if got is None:
+                if len(memory) >= MEMORY:
+                    memory.clear()
+                got = memory[w] = np.array(viterbi(w, pieces), np.int32).tobytes()
+            return got
+
         for b in slices(batches):
-            at = b.schema.get_field_index(text)
-            values, offsets = array("i"), [0]
-            texts = b.column(at).to_pylist()
+            texts = b.column(b.schema.get_field_index(text)).to_pylist()
+            values, offsets = [], [0]
             for t in texts:
-                for w in segments(t or ""):
-                    ids = table.get(w) or memory.get(w)
-                    if ids is None:
-                        if len(memory) >= MEMORY:
-                            memory.clear()
-                        ids = memory[w] = tuple(viterbi(w, pieces))
-                    values.extend(ids)
-                offsets.append(len(values))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32) if values else [], pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
+                own = segments(t or "")
+                parts = list(map(table.get, own))
+                if None in parts:
+                    parts = [x or find(w) for x, w in zip(parts, own, strict=True)]
+                values.append(b"".join(parts))
+                offsets.append(offsets[-1] + len(values[-1]) // 4)
+            flat = pa.array(np.frombuffer(b"".join(values), np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array([t is None for t in texts], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, out])
 
     return docs.mapInArrow(run, StructType([*rows.fields, StructField(out, ArrayType(IntegerType()))]))
 
 
-def decode_ids(ids, text: dict[int, bytes]) -> str:
-    return b"".join([text[i] for i in ids]).decode("utf-8", "surrogatepass").replace(SPACE, " ")[1:]
+def decode_flat(ids: np.ndarray, pieces: Pieces) -> tuple[bytes, np.ndarray]:
+    """The bytes that all ids stand for, and where those of each id begin (one more for the end)."""
+    blob, start, size = pieces.blob
+    ends = np.concatenate([[0], np.cumsum(size[ids])])
+    return blob[np.repeat(start[ids] - ends[:-1], size[ids]) + np.arange(ends[-1])].tobytes(), ends
+
+
+def decode_ids(ids, pieces: Pieces) -> str:
+    return decode_flat(np.asarray(ids, np.int64), pieces)[0].decode("utf-8", "surrogatepass").replace(SPACE, " ")[1:]
 
 
 def decode(encoded: DataFrame, ids: str = "piece_ids", out: str = "decoded", pieces: Pieces | None = None) -> DataFrame:
     """The rows with the text that their ids stand for."""
-    text = (pieces or Pieces()).text
+    pieces = pieces or Pieces()
 
     def run(batches):
         for b in slices(batches):
-            values = [None if x is None else decode_ids(x, text) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
+            lists = b.column(b.schema.get_field_index(ids))
+            data, ends = decode_flat(lists.flatten().to_numpy().astype(np.int64), pieces)
+            at, values = 0, []
+            for n in lists.value_lengths().to_pylist():
+                if n is None:
+                    values.append(None)
+                    continue
+                values.append(data[ends[at] : ends[at + n]].decode("utf-8", "surrogatepass").replace(SPACE, " ")[1:])
+                at += n
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.string())], [*b.schema.names, out])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out, StringType())]))

@@ -33,7 +33,7 @@ def test_stages(spark, sf_dir):
             assert after == before
         if name == "sentence_pieces":
             pieces = sentence_pieces.Pieces()
-            assert all(sentence_pieces.decode_ids(r["piece_ids"], pieces.text) == r["text"] for r in after.values())
+            assert all(sentence_pieces.decode_ids(r["piece_ids"], pieces) == r["text"] for r in after.values())
         docs, before = out, after
 
 
