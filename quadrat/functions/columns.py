@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,3 +70,31 @@ def row_digest(*columns: str) -> Column:
     """SHA-256 of typed cells: 1 and "1" differ, and no separator can be taken for content."""
     cells = [F.struct(F.typeof(F.col(c)).alias("k"), F.col(c).cast("string").alias("v")) for c in columns]
     return F.sha2(F.to_json(F.struct(*(x.alias(f"c{n}") for n, x in enumerate(cells))), {"ignoreNullFields": "false"}), 256)
+
+
+def repaired_text(c: Column) -> Column:
+    """Trimmed, double hyphens as dashes, wrongly decoded UTF-8 put right where that is possible, composed (NFC)."""
+
+    def repair(v: str | None) -> str | None:
+        if v is None:
+            return None
+        v = v.strip()
+        try:
+            v = v.encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            pass  # the text was not wrongly decoded
+        return unicodedata.normalize("NFC", v.replace("--", "–"))
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(repair, na_action="ignore")
+
+    return run(c)
+
+
+def interpolated(points: Column, x: Column) -> Column:
+    """The value at x of the line through sorted points (array of x, y); beyond the ends, that of the end."""
+    below = F.filter(points, lambda p: p["x"] <= x)
+    above = F.filter(points, lambda p: p["x"] > x)
+    a, b = F.element_at(below, -1), F.get(above, 0)
+    return F.when(F.size(below) == 0, F.get(points, 0)["y"]).when(F.size(above) == 0, F.element_at(points, -1)["y"]).otherwise(a["y"] + (x - a["x"]) * (b["y"] - a["y"]) / (b["x"] - a["x"]))

@@ -96,3 +96,38 @@ def recommend(assessed: DataFrame, least_cost: bool = False) -> DataFrame:
     best = assessed.agg(F.min_by(F.when(F.col("qualifies") | F.col("conditional"), F.struct("scenario_id", "qualifies")), F.when(F.col("qualifies") | F.col("conditional"), rank)).alias("x"), F.count_if("qualifies").alias("n_qualifying"), F.count_if("conditional").alias("n_conditional"))
     state = F.when(F.col("x").isNull(), "no_qualifying_design").when(F.col("x.qualifies"), "recommended").otherwise("conditional")
     return best.select(F.col("x.scenario_id").alias("scenario_id"), state.alias("status"), "n_qualifying", "n_conditional")
+
+
+def plan_errors(values: DataFrame, fields: DataFrame) -> DataFrame:
+    """plan_id and error of every value that its profile doesn't allow.
+
+    values: plan_id, profile_id, field, kind (numeric, text, date, list, mapping), number, text; fields: the catalogue.
+    """
+    f = fields.select(F.col("profile_id").alias("p"), F.col("field").alias("f"), "value_type")
+    x = values.join(F.broadcast(f), (F.col("profile_id") == F.col("p")) & (F.col("field") == F.col("f")), "left")  # the catalogue is fixed
+    wrong = F.col("kind") != F.col("value_type")
+    number = F.col("number")
+    error = (
+        F.when(F.col("f").isNull(), F.concat(F.lit("unknown field "), "field"))
+        .when((F.col("value_type") == "date") & (F.col("kind") == "text"), F.when(F.substring("text", 1, 10).try_cast("date").isNull(), F.concat("field", F.lit(" must be a valid ISO date"))))
+        .when(wrong, F.concat("field", F.lit(" must be "), "value_type"))
+        .when((F.col("kind") == "numeric") & (F.isnan(number) | (F.abs(number) == float("inf"))), F.concat("field", F.lit(" must be finite")))
+        .when((F.col("kind") == "numeric") & (number < 0), F.concat("field", F.lit(" must be non-negative")))
+    )
+    return x.select("plan_id", error.alias("error")).where("error is not null")
+
+
+def constraint_status(candidates: DataFrame) -> DataFrame:
+    """pass or blocked, of arrays tests, controls, force_test, force_control, exclude_both, test_exclude and control_exclude."""
+    within = lambda a, b: F.size(F.array_except(a, b)) == 0
+    apart = lambda a, b: F.size(F.array_intersect(a, b)) == 0
+    both = F.array_union("tests", "controls")
+    ok = within("force_test", "tests") & within("force_control", "controls") & apart("exclude_both", both) & apart("test_exclude", "tests") & apart("control_exclude", "controls") & apart("tests", "controls")
+    return candidates.withColumn("status", F.when(ok, "pass").otherwise("blocked"))
+
+
+def candidate_state(candidates: DataFrame, target: float) -> DataFrame:
+    """usable and blockers of candidates: passes_quality, power_completed, power_usable, power (null if it wasn't run)."""
+    run = F.col("power").isNotNull()
+    reasons = F.array_compact(F.array(F.when(~F.col("passes_quality"), "quality does not pass"), F.when(~run, "power was not run"), F.when(run & ~F.col("power_completed"), "power is incomplete"), F.when(run & ~F.col("power_usable"), "power is not usable"), F.when(run & (F.isnan("power") | (F.col("power") < target)), "power is below target")))
+    return candidates.withColumn("blockers", reasons).withColumn("usable", F.size("blockers") == 0)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quadrat.functions import columns as fc
 from quadrat.operators import bayes, decisions, evidence, ingest, mapping, matching, power, records, validation
 from quadrat.plans import sizing
+from quadrat.sources import catalogue, sinks, synthetic
 from quadrat.sources import panel as sp
-from quadrat.sources import synthetic
 from quadrat.streaming import panel_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -841,6 +841,76 @@ def f14(spark, d):
     return spark.range(50).select(k.cast("int").alias("k"), r(F.pow(F.lit(10.0), 4 - 8.0 * k / 49), 6).alias("alpha"), r(30.0 * k / 49, 6).alias("effect"))
 
 
+# catalogue, plans, exports
+
+@query("s13_platform_profiles", "SELECT * FROM (VALUES " + ", ".join(f"('meta_auction_social', '{k}', '{t}', {'NULL' if u is None else repr(u)}, false)" for k, t, u in catalogue.FIELDS) + ") AS t(profile_id, field, value_type, unit, required)")
+def s13(spark, d):
+    return catalogue.profile_fields(spark)
+
+
+PLAN_VALUES = [("p1", "reach", "numeric", 5.0, None), ("p1", "cpm", "text", None, "five"), ("p1", "budgett", "numeric", 1.0, None), ("p2", "frequency", "numeric", -1.0, None), ("p2", "forecast_date", "text", None, "2024-13-01"), ("p2", "forecast_source", "text", None, "desk"), ("p3", "forecast_date", "text", None, "2024-12-01T00:00:00")]
+
+
+@query("d1_plan_errors", "SELECT * FROM (VALUES ('p1', 'cpm must be numeric'), ('p1', 'unknown field budgett'), ('p2', 'frequency must be non-negative'), ('p2', 'forecast_date must be a valid ISO date')) AS t(plan_id, error)")
+def d1(spark, d):
+    v = spark.createDataFrame([(p, "meta_auction_social", f, k, n, t) for p, f, k, n, t in PLAN_VALUES], "plan_id string, profile_id string, field string, kind string, number double, text string")
+    return decisions.plan_errors(v, catalogue.profile_fields(spark))
+
+
+@query("d17_constraint_status", "SELECT n_nationkey, CASE WHEN n_regionkey = 0 OR n_nationkey % 2 = 1 THEN 'blocked' ELSE 'pass' END AS status FROM nation")
+def d17(spark, d):
+    """Nations as candidates: those of region 0 are excluded from both groups, odd ones forced into a group that they aren't in."""
+    name = F.trim("n_name")
+    none = F.array().cast("array<string>")
+    x = sp.table(spark, d, "nation").select("n_nationkey", F.array(name).alias("tests"), F.array(F.lit("other")).alias("controls"), none.alias("force_test"), F.when(F.col("n_nationkey") % 2 == 1, F.array(name)).otherwise(none).alias("force_control"), F.when(F.col("n_regionkey") == 0, F.array(name)).otherwise(none).alias("exclude_both"), none.alias("test_exclude"), none.alias("control_exclude"))
+    return decisions.constraint_status(x).select("n_nationkey", "status")
+
+
+@query("d7_candidate_state", "SELECT n_nationkey, n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0 AND n_nationkey >= 8 AS usable FROM nation")
+def d7(spark, d):
+    k = F.col("n_nationkey")
+    x = sp.table(spark, d, "nation").select("n_nationkey", (k % 2 == 0).alias("passes_quality"), F.lit(True).alias("power_completed"), (k % 3 != 0).alias("power_usable"), (k / 10).alias("power"))
+    return decisions.candidate_state(x, 0.8).select("n_nationkey", "usable")
+
+
+@query("k7_chart_series", f"{FITTED}, b AS (SELECT AVG(actual) FILTER (date <= DATE '{PRE_END}') AS a, AVG(predicted) FILTER (date <= DATE '{PRE_END}') AS p FROM fitted) SELECT date, 'Actual' AS series, ROUND(actual, 2) AS value FROM fitted UNION ALL SELECT date, 'Predicted', ROUND(predicted, 2) FROM fitted UNION ALL SELECT date, 'Actual indexed', ROUND(actual / a * 100, 2) FROM fitted, b UNION ALL SELECT date, 'Predicted indexed', ROUND(predicted / p * 100, 2) FROM fitted, b")
+def k7(spark, d):
+    return rounded(sinks.chart_series(fitted_naive(spark, d), PRE_END), 2)
+
+
+@query("k6_result_documents", "SELECT COUNT(*) AS n, COUNT(DISTINCT region) AS regions FROM (SELECT trim(n_name) AS region FROM nation)")
+def k6(spark, d):
+    docs = sinks.as_json(sp.table(spark, d, "nation").select(F.trim("n_name").alias("region"), F.lit(None).cast("double").alias("mde")))
+    back = docs.select(F.from_json("json", "region string, mde double").alias("x"))
+    return back.agg(F.count("*").alias("n"), F.countDistinct("x.region").alias("regions"))
+
+
+@query("p7_repaired_text", "SELECT n_nationkey, trim(n_name) || '–é' AS fixed FROM nation")
+def p7(spark, d):
+    wrong = F.concat(F.lit(" "), F.trim("n_name"), F.lit("--"), F.when(F.col("n_nationkey") % 2 == 0, "Ã©").otherwise("e\u0301"), F.lit(" "))
+    return sp.table(spark, d, "nation").select("n_nationkey", fc.repaired_text(wrong).alias("fixed"))
+
+
+@query("p5_error_tokens", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey::DOUBLE END AS value FROM nation")
+def p5(spark, d):
+    cell = F.when(F.col("n_nationkey") % 3 == 0, "#DIV/0!").otherwise(F.col("n_nationkey").cast("string"))
+    return sp.table(spark, d, "nation").select("n_nationkey", fc.number(fc.drop_error_tokens(cell)).alias("value"))
+
+
+@query("p24_feature_labels", "SELECT DISTINCT 'wk_' || strftime(o_orderdate, '%Y%m%d') AS feature, strftime(o_orderdate, '%d %b %y') AS label FROM orders WHERE o_orderkey <= 400")
+def p24(spark, d):
+    f = sp.table(spark, d, "orders").where("o_orderkey <= 400").select(F.concat(F.lit("wk_"), F.date_format("o_orderdate", "yyyyMMdd")).alias("feature")).distinct()
+    return f.select("feature", fc.kpi_feature_label(F.col("feature")).alias("label"))
+
+
+@query("j14_interpolated_power", f"""{FITTED}, thr AS (SELECT quantile_cont(uplift_pct, 0.95) AS hi FROM pw), c AS (SELECT e, AVG(CASE WHEN uplift_pct * (1 + e / 100) + e > hi THEN 1.0 ELSE 0.0 END) AS p FROM pw, thr, (SELECT UNNEST(range(1, 61)) * 0.5::DOUBLE AS e) GROUP BY 1), q AS (SELECT UNNEST([0.2, 3.25, 11.1, 40.0]) AS x),
+lo AS (SELECT x, MAX(e) AS e0 FROM q JOIN c ON e <= x GROUP BY 1), hi AS (SELECT x, MIN(e) AS e1 FROM q JOIN c ON e > x GROUP BY 1) SELECT x::DOUBLE AS effect_pct, ROUND(CASE WHEN e0 IS NULL THEN b.p WHEN e1 IS NULL THEN a.p ELSE a.p + (x - e0) * (b.p - a.p) / (e1 - e0) END, 6) AS power FROM q LEFT JOIN lo USING (x) LEFT JOIN hi USING (x) LEFT JOIN c AS a ON a.e = e0 LEFT JOIN c AS b ON b.e = e1""")
+def j14(spark, d):
+    curve = validation.power_curve(validation.placebo_windows(fitted_naive(spark, d), 4))
+    pts = curve.agg(F.array_sort(F.collect_list(F.struct(F.col("effect_pct").alias("x"), F.col("power_lift").alias("y")))).alias("pts"))
+    return pts.select("pts", F.explode(F.array(*map(F.lit, (0.2, 3.25, 11.1, 40.0)))).alias("effect_pct")).select("effect_pct", r(fc.interpolated(F.col("pts"), F.col("effect_pct")), 6).alias("power"))
+
+
 # the flagship: which nations best control for a test nation, by the shape of their monthly KPI
 
 FLAGSHIP = f"""WITH m AS ({MONTHS}), i AS (SELECT region, date, kpi / AVG(kpi) OVER (PARTITION BY region) * 100 AS v FROM m), t AS (SELECT date, v FROM i WHERE region = (SELECT trim(n_name) FROM nation WHERE n_nationkey = 1)),
