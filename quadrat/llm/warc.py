@@ -11,7 +11,7 @@ file://, hdfs:// and s3:// paths.
 
 Defined results: a null payload is an empty one; equal payloads make one response, of the largest id, and revisits, if they
 have at least ``min_bytes`` bytes; repeated rows of one id are one record each, the id's response is counted once, and all
-rows of the response's id are responses; an empty table gives no records; extra columns are ignored.
+rows of the response's id are responses; a null id is never a revisit; an empty table gives no records; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ FIXED_DATE = "2026-01-01T00:00:00Z"
 def record_text(id_: Column, uri: Column, payload: Column) -> Column:
     """A response record without the CRLF CRLF that ends it."""
     length = F.octet_length(payload).cast("string")
-    head = ["WARC/1.1", "WARC-Type: response", F.concat(F.lit("WARC-Record-ID: <urn:quadrat:page:"), id_.cast("string"), F.lit(">")), f"WARC-Date: {FIXED_DATE}", F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce(uri, F.lit("")), r"[\r\n]", "%0A")), "Content-Type: text/html; charset=utf-8", F.concat(F.lit("Content-Length: "), length)]
+    head = ["WARC/1.1", "WARC-Type: response", F.concat(F.lit("WARC-Record-ID: <urn:quadrat:page:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(">")), f"WARC-Date: {FIXED_DATE}", F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce(uri, F.lit("")), r"[\r\n]", "%0A")), "Content-Type: text/html; charset=utf-8", F.concat(F.lit("Content-Length: "), length)]
     parts = [x if isinstance(x, Column) else F.lit(x) for x in head]
     return F.concat(F.concat_ws(CRLF, *parts), F.lit(CRLF + CRLF), payload)
 
@@ -134,6 +134,8 @@ def normalise(spark: SparkSession, source: str, at: str) -> DataFrame:
                             rows.append((f"{at}/{name}", offset, len(m), head["warc-record-id"], head.get("warc-target-uri"), head["warc-type"], body, int(head["content-length"])))
                             offset += len(m)
                 stream.close()
+                if fs.get_file_info(f"{folder}/{name}").type != pafs.FileType.NotFound:  # an earlier attempt's, with the same bytes
+                    fs.delete_file(f"{folder}/{name}")
                 fs.move(tmp, f"{folder}/{name}")
                 if rows:
                     columns = list(zip(*rows, strict=True))
@@ -198,7 +200,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", uri: str = "url", p
     write_monolithic(pages, f"{at}/monolithic", id_col, uri, payload)
     index = normalise(spark, f"{at}/monolithic", f"{at}/normal")
     kind = pages.schema[id_col].dataType.simpleString()
-    records = read_records(index).withColumn(id_col, F.regexp_extract("record_id", "page:(.*)>", 1).cast(kind)).drop("record_id")
+    records = read_records(index).withColumn(id_col, F.regexp_extract("record_id", "page:(.*)>", 1).try_cast(kind)).drop("record_id")
     return resolve_revisits(records, id_col, min_bytes)
 
 
