@@ -220,3 +220,24 @@ def test_stream_in_pieces():
     assert out == records
     with pytest.raises(ValueError):
         list(warc.RecordStream().feed(b"HTTP/1.1\r\n\r\n"))
+
+
+def test_large_bands_of_lines(spark, monkeypatch):
+    """Groups of near copies, and lines that only share a passage, with every band searched as a large one."""
+    monkeypatch.setattr(line_dedup, "SMALL", 1)
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    base, passage = [word() for _ in range(30)], [word() for _ in range(20)]
+    rows = []
+    for k in range(30):
+        w = list(base)
+        for _ in range(rng.integers(1, 4)):
+            w[rng.integers(0, 30)] = word()
+        rows.append((2 * k, " ".join(w)))
+        rows.append((2 * k + 1, " ".join([word() for _ in range(12)] + passage)))
+    sets = {(k, 0): set(re.findall(r"(?<!\S)(?=(\S.{0,9}))", t)) for k, t in rows}
+    want = closure(sets, line_dedup.SIMILARITY_PERCENT)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: t if want[k, 0] == (k, 0) else "" for k, t in rows}
+    assert 1 < sum(t == "" for t in got.values()) < 30
