@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quadrat.llm.common import cut, slices
 
@@ -40,8 +40,10 @@ LEXICON = 1 << 18
 TASK_LEXICON = 1 << 16
 TASK_COUNTED = 1 << 19
 MAX_SEGMENT = 40
+#: Partitions of the lexicon, which has a fixed number of rows.
+LEXICON_PARTS = 24
 #: Segments beyond the lexicon that a task remembers.
-MEMORY = 1 << 18
+MEMORY = 1 << 16
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
 BYTE_COST = 150_000
 #: More than a segment has pieces: cost * PIECES + pieces orders paths by cost, then by pieces.
@@ -74,13 +76,9 @@ class Pieces:
         a.make_automaton()
         return a
 
-    @cached_property
-    def blob(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The bytes of all pieces one after another, and where each begins and how long it is, by id."""
-        size = np.zeros(max(self.text) + 1, np.int64)
-        for i, t in self.text.items():
-            size[i] = len(t)
-        return np.frombuffer(b"".join(self.text.get(i, b"") for i in range(len(size))), np.uint8), np.cumsum(size) - size, size
+    def hex_text(self) -> Column:
+        """The bytes of every piece in hexadecimal, by id: a literal of a fixed size."""
+        return F.split(F.lit(",".join(self.text.get(i, b"").hex() for i in range(max(self.text) + 1))), ",")
 
     def table(self, spark: SparkSession) -> DataFrame:
         """piece, id, cost: a row for each piece of the model."""
@@ -140,7 +138,7 @@ def frequent_segments(docs: DataFrame, text: str, most: int = LEXICON) -> DataFr
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
 
     counts = docs.select(text).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "w").limit(most).select("w")
+    return counts.orderBy(F.desc("n"), "w").limit(most).select("w").repartition(LEXICON_PARTS, "w")
 
 
 def lattice_edges(words: DataFrame, table: DataFrame, longest: int, byte_ids: list[int]) -> DataFrame:
@@ -217,32 +215,14 @@ def encode(docs: DataFrame, text: str = "text", out: str = "piece_ids", pieces:
     return docs.mapInArrow(run, StructType([*rows.fields, StructField(out, ArrayType(IntegerType()))]))
 
 
-def decode_flat(ids: np.ndarray, pieces: Pieces) -> tuple[bytes, np.ndarray]:
-    """The bytes that all ids stand for, and where those of each id begin (one more for the end)."""
-    blob, start, size = pieces.blob
-    ends = np.concatenate([[0], np.cumsum(size[ids])])
-    return blob[np.repeat(start[ids] - ends[:-1], size[ids]) + np.arange(ends[-1])].tobytes(), ends
+def decode(encoded: DataFrame, ids: str = "piece_ids", out: str = "decoded", pieces: Pieces | None = None) -> DataFrame:
+    """The rows with the text that their ids stand for, by look-up in a literal; bytes are joined before they become text."""
+    table = (pieces or Pieces()).hex_text()
+    data = F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+    text = F.replace(data.cast("string"), F.lit(SPACE), F.lit(" "))
+    return encoded.withColumn(out, F.substring(text, 2, 2**31 - 1))
 
 
 def decode_ids(ids, pieces: Pieces) -> str:
-    return decode_flat(np.asarray(ids, np.int64), pieces)[0].decode("utf-8", "surrogatepass").replace(SPACE, " ")[1:]
-
-
-def decode(encoded: DataFrame, ids: str = "piece_ids", out: str = "decoded", pieces: Pieces | None = None) -> DataFrame:
-    """The rows with the text that their ids stand for."""
-    pieces = pieces or Pieces()
-
-    def run(batches):
-        for b in slices(batches):
-            lists = b.column(b.schema.get_field_index(ids))
-            data, ends = decode_flat(lists.flatten().to_numpy().astype(np.int64), pieces)
-            at, values = 0, []
-            for n in lists.value_lengths().to_pylist():
-                if n is None:
-                    values.append(None)
-                    continue
-                values.append(data[ends[at] : ends[at + n]].decode("utf-8", "surrogatepass").replace(SPACE, " ")[1:])
-                at += n
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.string())], [*b.schema.names, out])
-
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out, StringType())]))
+    """One text from its ids, outside Spark."""
+    return b"".join(pieces.text[i] for i in ids).decode("utf-8", "surrogatepass").replace(SPACE, " ")[1:]
