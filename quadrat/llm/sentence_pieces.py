@@ -9,7 +9,7 @@ Edges cost -score of their piece; models whose scores are merge ranks, as byte-p
 grows as the surprise of the piece under Zipf's law. Costs are integers; ties go to fewer pieces, then to the longer last
 piece. The segmentation is therefore Viterbi's, the cheapest, not the one of successive merges.
 
-The relational lattice encodes the lexicon, the ``lexicon`` most frequent segments of up to ``MAX_SEGMENT`` characters,
+The relational lattice encodes the lexicon, at most ``lexicon`` of the most frequent segments of up to ``MAX_SEGMENT`` characters,
 nine tenths of a corpus' words. A fixed number of rows, it is broadcast, and documents are encoded without a shuffle of their
 text, by look-up; segments beyond the lexicon run through the same lattice and fold in the task that holds them.
 
@@ -40,6 +40,8 @@ LEXICON = 1 << 18
 TASK_LEXICON = 1 << 16
 TASK_COUNTED = 1 << 19
 MAX_SEGMENT = 40
+#: Steps of counts a doubling, in the search for the least frequency of the lexicon.
+LEVELS = 32
 #: Partitions of the lexicon, which has a fixed number of rows.
 LEXICON_PARTS = 24
 #: Segments beyond the lexicon that a task remembers.
@@ -125,7 +127,8 @@ def _by_bytes(segment: str, end: int, best: list, back: list, pieces: Pieces) ->
 
 
 def frequent_segments(docs: DataFrame, text: str, most: int = LEXICON) -> DataFrame:
-    """w: the segments that are most frequent by the tasks' counts of all texts."""
+    """w: the segments that are most frequent by the tasks' counts of all texts; of those as frequent as one another, up to a
+    step of counts, either all or none, so that at most ``most`` are found without sorting them in one task."""
 
     def count(batches):
         seen: Counter[str] = Counter()
@@ -137,8 +140,15 @@ def frequent_segments(docs: DataFrame, text: str, most: int = LEXICON) -> DataFr
         top = [(w, n) for w, n in seen.most_common(TASK_LEXICON) if len(w) <= MAX_SEGMENT]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
 
-    counts = docs.select(text).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "w").limit(most).select("w").repartition(LEXICON_PARTS, "w")
+    counts = cut(docs.select(text).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "counts")
+    level = F.floor(F.log2("n") * LEVELS).cast("int")
+    left, least = most, None
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # at most 64 * LEVELS rows
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["level"]
+    return counts.where(level >= least if least is not None else F.lit(False)).select("w").repartition(LEXICON_PARTS, "w")
 
 
 def lattice_edges(words: DataFrame, table: DataFrame, longest: int, byte_ids: list[int]) -> DataFrame:
