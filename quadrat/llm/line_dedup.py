@@ -1,8 +1,8 @@
 """Line dedup: fuzzy lines by MinHash, exact Jaccard verification and distributed union-find. DataFrame functions only.
 
 A line is a part of a text between line feeds that has a visible character; it is compared in lower case, without space at
-its ends. Its set holds the ``SHINGLE`` characters that begin at each of its words. The smallest hashes of the set are its
-bottom-k MinHash signature, and each ``ROWS`` of them in a row make a band: two lines share one if that many neighbours in
+its ends. Its set holds the ``SHINGLE`` characters that begin at each of its places; a shorter line is its own and only
+shingle. The smallest hashes of the set are its bottom-k MinHash signature, and each ``ROWS`` of them in a row make a band: two lines share one if that many neighbours in
 the order of all hashes are common to both, which ``BANDS`` bands miss for under 1 % of the pairs at the threshold and for one in
 many thousands at 0.9. Lines that share a band are candidates; the exact Jaccard similarity of their sets decides; one line
 of every component stays, that of the smallest (document, place).
@@ -30,6 +30,8 @@ BANDS = 12
 ROWS = 3
 #: Sets of up to so many shingles are short.
 SHORT = 14
+#: Hashes of a long line that are expected below the bound under which its smallest ones are looked for.
+FEW = 40
 SIMILARITY_PERCENT = 80
 #: Bands of up to so many lines give all their pairs at once.
 SMALL = 16
@@ -45,10 +47,18 @@ def comparable(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def shingle_hashes(line: Column) -> Column:
-    """The sorted distinct hashes of the characters from each word on."""
-    found = F.regexp_extract_all(comparable(line), F.lit(rf"(?<!\S)(?=(\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+def shingle_hashes(s: Column) -> Column:
+    """The hashes of the ``SHINGLE`` characters from each place of a comparable line on, in order and with repeats."""
+    found = F.regexp_extract_all(s, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+    return F.transform(F.when(F.char_length(s) <= SHINGLE, F.array(s)).otherwise(found), lambda x: F.xxhash64(x))
+
+
+def smallest_hashes(hashes: Column) -> Column:
+    """The ``SHORT + 1`` smallest distinct hashes, sorted. Of many, those below a bound are enough if so many are."""
+    bound = F.least(F.lit(-(2.0**63)) + F.lit(FEW * 2.0**64) / F.size(hashes), F.lit(2.0**62)).cast("long")
+    few = F.array_distinct(F.filter(hashes, lambda x: x < bound))
+    enough_few = (F.size(hashes) > 2 * FEW) & (F.size(few) > SHORT)
+    return F.slice(F.sort_array(F.when(enough_few, few).otherwise(F.array_distinct(hashes))), 1, SHORT + 1)
 
 
 def band_keys(smallest: Column) -> Column:
@@ -74,8 +84,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """h, h2 (128 bits of the line), i, p (its first document and place) and keys (its bands)."""
     lines = _lines(docs).withColumn("s", comparable(F.col("line")))
-    hashed = lines.select(F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), F.reverse("s")).alias("h2"), "i", "p", shingle_hashes(F.col("line")).alias("hs"))
-    signed = hashed.select("h", "h2", "i", "p", F.slice("hs", 1, SHORT + 1).alias("sig"))
+    hashed = lines.select(F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), F.reverse("s")).alias("h2"), "i", "p", shingle_hashes(F.col("s")).alias("hs"))
+    signed = hashed.select("h", "h2", "i", "p", smallest_hashes(F.col("hs")).alias("sig"))
     keyed = signed.select("h", "h2", F.struct("i", "p", band_keys(F.col("sig")).alias("keys")).alias("x"))
     return keyed.groupBy("h", "h2").agg(F.min("x").alias("x")).select("h", "h2", "x.i", "x.p", "x.keys")
 
@@ -96,20 +106,24 @@ def marked(docs: DataFrame, rows: DataFrame, id_col: str, mark: str) -> DataFram
     return both.withColumn(mark, F.coalesce(bit, F.lit(False))).drop("quadrat_k", "quadrat_row", "quadrat_bits")
 
 
-def candidate_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """v, hs: the shingle hashes (32 bits, enough to compare two lines) of the lines that ``nodes`` (v, i, p) names."""
+def candidate_lines(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """v, s: the comparable lines that ``nodes`` (v, i, p) names. A line is a tenth of its shingle hashes."""
     places = nodes.groupBy("i").agg(F.collect_list(F.struct("p", "v")).alias("ps"))
     some = marked(docs, id_map(nodes.select("i").distinct()), "i", "may").where("may")
     own = some.join(places.withColumnRenamed("i", "j").hint("shuffle_hash"), F.col("i").eqNullSafe(F.col("j")))
     lines = own.select(F.split("t", "\n", -1).alias("lines"), F.explode("ps").alias("x"))
-    hashes = shingle_hashes(F.get("lines", F.col("x.p")))
-    return lines.select("x.v", F.transform(hashes, lambda x: F.shiftright(x, 32).cast("int")).alias("hs")).dropDuplicates(["v"])
+    return lines.select("x.v", comparable(F.get("lines", F.col("x.p"))).alias("s")).dropDuplicates(["v"])
+
+
+def shingle_set(s: Column) -> Column:
+    return F.array_distinct(shingle_hashes(s))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """The pairs whose exact Jaccard similarity reaches ``percent``."""
-    with_a = pairs.join(sets.select(F.col("v").alias("a"), F.col("hs").alias("ha")), "a")
-    with_b = with_a.join(sets.select(F.col("v").alias("b"), F.col("hs").alias("hb")), "b")
+    with_a = pairs.join(texts.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a")
+    with_b = with_a.join(texts.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
+    with_b = with_b.select("a", "b", shingle_set(F.col("sa")).alias("ha"), shingle_set(F.col("sb")).alias("hb"))
     inter = F.size(F.array_intersect("ha", "hb"))
     return with_b.select("a", "b", inter.alias("n"), (F.size("ha") + F.size("hb")).alias("s")).where(100 * F.col("n") >= percent * (F.col("s") - F.col("n"))).select("a", "b")
 
@@ -124,11 +138,12 @@ def _bits(hashes: Column, k: int) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
 
 
-def rest_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def rest_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The links within large bands between nodes of different components (g, v, c). Blocks of a band's members meet all others."""
     size = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("g", "blocks")
     words = [_bits(F.col("hs"), k).alias(f"b{k}") for k in range(_WORDS)]
-    own = members.join(size, "g").join(sets.select("v", "hs", *words), "v")
+    sets = members.join(size, "g").join(texts, "v").select(*members.columns, "blocks", shingle_set(F.col("s")).alias("hs"))
+    own = sets.select("*", *words)
     own = own.withColumn("spare", F.size("hs") - sum((F.bit_count(f"b{k}") for k in range(_WORDS)), F.lit(0)))  # hashes beyond the first on a bit
     left = own.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     right = own.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("v").alias("w"), F.col("c").alias("d"), F.col("hs").alias("hw"), F.col("spare").alias("spare_w"), *(F.col(f"b{k}").alias(f"d{k}") for k in range(_WORDS)))
@@ -149,9 +164,9 @@ def kept_lines(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     pairs = cut(small.join(small.select("g", F.col("v").alias("w")), "g").where("v > w").select(F.col("v").alias("a"), F.col("w").alias("b")).distinct(), "pairs")
     large = members.where(F.col("n") > SMALL).select("g", "v")
     nodes = members.select("v").distinct().join(lines.select(F.col("h").alias("v"), "i", "p"), "v")
-    sets = cut(candidate_sets(docs, nodes), "sets")
-    verify = lambda p: similar(p, sets, percent)
-    _, comp = link_large_groups(large, cut(verify(pairs), "links"), verify, rest=lambda m: rest_links(m, sets, percent))
+    texts = cut(candidate_lines(docs, nodes), "texts")
+    verify = lambda p: similar(p, texts, percent)
+    _, comp = link_large_groups(large, cut(verify(pairs), "links"), verify, rest=lambda m: rest_links(m, texts, percent))
     placed = comp.join(lines.select(F.col("h").alias("node"), "i", "p"), "node")
     first = placed.groupBy("component").agg(F.min(F.struct("i", "p", "node")).alias("x")).select("component", F.col("x.node").alias("first"))
     gone = comp.join(first, "component").where("node != first").select(F.col("node").alias("h"))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrat.llm import components, line_dedup, mixing, ngram_join, topk_search, warc
 
@@ -241,3 +242,32 @@ def test_large_bands_of_lines(spark, monkeypatch):
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: t if want[k, 0] == (k, 0) else "" for k, t in rows}
     assert 1 < sum(t == "" for t in got.values()) < 30
+
+
+def every_shingle(s, n=10):
+    return {s[k : k + n] for k in range(max(1, len(s) - n + 1))}
+
+
+def test_lines_without_spaces(spark):
+    """Lines of one run, which differ behind their first characters, against the set of every place's characters."""
+    rng = np.random.default_rng(12)
+    run = lambda letters, n: "".join(rng.choice(list(letters), n))
+    cjk = "".join(map(chr, range(0x4E00, 0x5E00)))
+    lines = ["https://example.org/a/1", "https://example.com/b/2", "short", "shorter", "0123456789", "0123456789a"]
+    for letters, n in ((cjk, 200), ("0123456789abcdef", 300), (cjk + "\U0001f600\U00020000", 3000), ("ab", 400)):
+        head = run(letters, 40)
+        for _ in range(3):
+            base = head + run(letters, n - 40)
+            lines.append(base)
+            for k in range(3):  # near copies: some characters changed in a row
+                at = int(rng.integers(0, n - n // 20))
+                lines.append(base[:at] + run("xyz", 1 + n // 40) + base[at + 1 + n // 40 :])
+    rows = list(enumerate(lines))
+    want = closure({k: every_shingle(t) for k, t in rows}, line_dedup.SIMILARITY_PERCENT)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {k: t if want[k] == k else "" for k, t in rows}
+    assert 10 < len(set(want.values())) < len(lines)
+    s = df.withColumn("hs", line_dedup.shingle_hashes(F.lower("text")))
+    for r in s.select("doc_id", "hs", line_dedup.smallest_hashes(F.col("hs")).alias("sig")).collect():
+        assert len(set(r["hs"])) == len(every_shingle(lines[r["doc_id"]])) and r["sig"] == sorted(set(r["hs"]))[:15]
