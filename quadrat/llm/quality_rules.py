@@ -3,7 +3,8 @@
 Two multinomials over hashed character n-grams are counted: one of trusted target documents, one of the raw corpus. A
 document's score is the mean over its n-grams of ``log p_target - log p_raw``; it stays when the mean reaches a fixed
 threshold. The counts live in a table of fixed size (``buckets`` rows), however large the corpus is, so that table alone
-goes through the driver. No text is shuffled.
+goes through the driver. Every document labelled good counts as target. Only documents that a bit map of their ids names
+meet the ids themselves, which Spark broadcasts while they are few; beyond that, the texts of these are shuffled.
 
 Defined results: a null text has no words and is rejected by the base rules, as is an empty one; documents are rows, so
 repeated rows give repeated results; with no trusted document the ratio rejects nothing; columns other than the id and
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
+from quadrat.llm.line_dedup import id_map, marked
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
@@ -31,8 +34,6 @@ BUCKETS = 1 << 14
 SMOOTHING = 0.5
 #: Mean log ratio from which a document stays. Clean text lies near 0; noise of symbols or capitals far below.
 THRESHOLD = -0.35
-#: At most so many trusted documents are counted, those of the smallest hashed ids.
-MAX_TRUSTED = 20_000
 CHUNK = 1 << 20
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
 
@@ -128,20 +129,26 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMO
     return p(target) - p(raw)
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", good: str = "quality", limit: int = MAX_TRUSTED) -> DataFrame:
-    """At most ``limit`` ids that every label row calls good, those of the smallest hashes."""
-    own = labels.groupBy(F.col(id_col).alias("trusted_id")).agg(F.min(good).alias("g")).where("g = 1 and trusted_id is not null").select("trusted_id")
-    return own.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(limit)
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id", good: str = "quality") -> DataFrame:
+    """The ids that every label row calls good."""
+    return labels.groupBy(F.col(id_col).alias("trusted_id")).agg(F.min(good).alias("g")).where("g = 1 and trusted_id is not null").select("trusted_id")
+
+
+def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """t, g of documents (i, t): the text, and whether the document is trusted."""
+    trusted = trusted_ids(labels).select(F.col("trusted_id").cast(docs.schema["i"].dataType))
+    both = marked(docs, id_map(trusted.select(F.col("trusted_id").alias("i"))), "i", "may")
+    some = both.where("may").join(trusted, F.col("i") == F.col("trusted_id"), "left")
+    return some.select("t", F.col("trusted_id").isNotNull().alias("g")).unionByName(both.where("not may").select("t", F.lit(False).alias("g")))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED, buckets: int = BUCKETS, carry: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS, carry: bool = False) -> DataFrame:
     """Every document's base counts and its verdict: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio.
 
     With ``carry``, all columns of the documents, and these as quadrat_n_words and so on.
     """
-    trusted = F.broadcast(trusted_ids(labels, limit=max_trusted))  # at most max_trusted longs
-    marked = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).join(trusted, F.col("i") == F.col("trusted_id"), "left").select("t", F.col("trusted_id").isNotNull().alias("g"))
-    ratios = log_ratios(count_ngrams(marked, "t", "g", buckets), buckets)
+    judged = with_trust(docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")), labels)
+    ratios = log_ratios(count_ngrams(judged, "t", "g", buckets), buckets)
     own = docs if carry else docs.select(id_col, text)
     at = own.columns.index(text)
 

@@ -180,3 +180,10 @@ def test_lattice_equals_the_fold_outside_spark(spark):
     words = ["▁the", "▁▁x", "größer", "你好", "\n", "a\U0001f600b", "▁internationalisation", "1"]
     got = {r["w"]: r["ids"] for r in sentence_pieces.encode_lexicon(spark.createDataFrame([(w,) for w in words + words], "w string"), pieces).collect()}
     assert got == {w: sentence_pieces.viterbi(w, pieces) for w in words} == {w: plain_viterbi(w, pieces) for w in words}
+
+
+def test_every_good_label_counts(spark):
+    """All of 20,400 documents are good, so both multinomials are the same and every ratio is 0."""
+    docs = spark.range(20_400).selectExpr("id as doc_id", "repeat(md5(cast(id as string)), 3) as text")
+    labels = spark.range(20_400).selectExpr("id as doc_id", "1 as quality")
+    assert quality_rules.quality_rules(docs, labels).where("ratio != 0").count() == 0
