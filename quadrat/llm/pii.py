@@ -32,7 +32,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"""(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20{0,3}[=:]\x20{0,3}["']?[A-Za-z0-9_./+-]{8,200}["']?""",
+    "secret": r"""(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20{0,3}[=:]\x20{0,3}["']?[A-Za-z0-9_./+-]{8,}+["']?""",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?(?![a-z])",

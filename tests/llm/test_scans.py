@@ -187,3 +187,11 @@ def test_every_good_label_counts(spark):
     docs = spark.range(20_400).selectExpr("id as doc_id", "repeat(md5(cast(id as string)), 3) as text")
     labels = spark.range(20_400).selectExpr("id as doc_id", "1 as quality")
     assert quality_rules.quality_rules(docs, labels).where("ratio != 0").count() == 0
+
+
+def test_long_secrets(spark):
+    token = "aB3_" * 250
+    docs = spark.createDataFrame([(1, f"set token={token} end")], "doc_id long, text string")
+    found = pii.find_spans(docs)
+    assert [(z["kind"], z["s"], z["e"]) for z in found.first()["spans"]] == [("secret", 4, 10 + len(token))]
+    assert pii.mask(docs, found).first()["text"] == "set [secret] end"
