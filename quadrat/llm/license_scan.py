@@ -53,8 +53,6 @@ FREEDOM = {
 }
 #: What an exception adds to the freedom of the license that stands before WITH.
 EXCEPTION_GAIN = 0.5
-#: Longest part of a line that is read as an expression.
-MAX_EXPRESSION = 1000
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 _WORD_CHARS = bytes(c if (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80) else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
@@ -67,9 +65,9 @@ def normalised(text: str) -> str:
     return b" ".join([b"", *words, b""]).decode("utf-8", "surrogatepass") if words else ""
 
 
-def expression_tokens(text: str) -> list[str]:
-    """Identifiers, operators and brackets from the start of ``text`` up to the first thing that is none of them."""
-    out, at = [], 0
+def expression_tokens(text: str, at: int = 0) -> list[str]:
+    """Identifiers, operators and brackets from place ``at`` of ``text`` up to the first thing that is none of them, as a line feed."""
+    out = []
     while at < len(text):
         c = text[at]
         if c in "()":
@@ -191,7 +189,7 @@ def scan(text: str | None, phrases, tags) -> tuple:
     if "-" in text and ":" in text:
         lower = text.translate(_LOWER)
         for end, tag in tags.iter(lower):
-            tokens = expression_tokens(lower[end + 1 : end + 1 + MAX_EXPRESSION].split("\n", 1)[0])
+            tokens = expression_tokens(lower, end + 1)
             postfix = to_postfix(tokens)
             names = [license_name(t) for t in tokens if t not in PRECEDENCE and t not in "()" and license_name(t) in FREEDOM]
             if postfix:

@@ -195,3 +195,10 @@ def test_long_secrets(spark):
     found = pii.find_spans(docs)
     assert [(z["kind"], z["s"], z["e"]) for z in found.first()["spans"]] == [("secret", 4, 10 + len(token))]
     assert pii.mask(docs, found).first()["text"] == "set [secret] end"
+
+
+def test_long_expressions():
+    phrases, tags = license_scan.automata()
+    text = "SPDX-License-Identifier: " + "MIT AND " * 400 + "GPL-3.0-only\nAND isc"
+    labels, _, permissive = license_scan.scan(text, phrases, tags)[5:]
+    assert labels == "gpl-3.0,mit" and permissive is False
