@@ -29,8 +29,8 @@ def dedup_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of near-duplicates."""
-    gone = cut(jaccard_components(docs).where("doc_id != component_id").select(F.col("doc_id").alias("i")).distinct(), "gone")
+    """The document of the smallest id of every group of near-duplicates: five words a shingle, a similarity of 0.8."""
+    gone = cut(jaccard_components(docs, size=5, percent=80).where("doc_id != component_id").select(F.col("doc_id").alias("i")).distinct(), "gone")
     both = marked(docs, id_map(gone), "doc_id", "quadrat_may")  # only documents that may go are shuffled
     stay = both.where("quadrat_may").join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("i"), "left_anti")
     return both.where("not quadrat_may").unionByName(stay).select(*docs.columns)

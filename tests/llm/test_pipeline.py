@@ -6,7 +6,7 @@ import corpus_pipeline
 from quadrat.llm import queries, quality_rules, sentence_pieces
 from quadrat.llm.common import cut, table
 
-from .test_relations import closure, shingles
+from .test_relations import closure, every_shingle, shingles
 
 
 def test_stages(spark, sf_dir):
@@ -40,3 +40,38 @@ def test_stages(spark, sf_dir):
 def test_every_operator_has_a_query():
     names = queries.queries()
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in names} == set(range(1, 11))
+
+
+def five_words(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+
+
+def test_near_duplicates_of_five_words(spark, sf_dir):
+    """Copies with 1 to 8 of 200 words changed, on both sides of a similarity of 0.8."""
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(9):
+        w = [f"g{k}{x}" for x in base]
+        rows += [(2 * k, " ".join(w), "a"), (2 * k + 1, " ".join("x" if j % 23 == 11 and j < 23 * k else x for j, x in enumerate(w)), "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, sf_dir).collect()}
+    want = set(closure({k: five_words(t) for k, t, _ in rows}, 80).values())
+    assert got == want and want != set(closure({k: shingles(t) for k, t, _ in rows}, 90).values())
+
+
+def test_lines_that_the_stage_keeps(spark, sf_dir):
+    """The lines that stay are the first of each component of similar ones; a document without any goes."""
+    words = [f"word{k}" for k in range(60)]
+    base = [" ".join(f"{w}of{g}" for w in words) for g in range(3)]
+    texts = ["\n".join(base), base[0].replace("word7of0", "other"), "a line of its own\n" + base[1].upper(), base[2] + "\n\nhttps://example.org/a/1", "https://example.com/b/2"]
+    lines = {(k, p): x.lower() for k, t in enumerate(texts) for p, x in enumerate(t.split("\n")) if x}
+    root = closure({at: every_shingle(x) for at, x in lines.items()}, 80)
+    want = {}
+    for k, t in enumerate(texts):
+        kept = "\n".join(x for p, x in enumerate(t.split("\n")) if not x or root[k, p] == (k, p))
+        if kept.strip():
+            want[k] = kept
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "0L as n_chars")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_repeated_lines(spark, docs, sf_dir).collect()}
+    assert got == want and len(want) == 4
