@@ -2,19 +2,22 @@
 
 A line is a part of a text between line feeds that has a visible character; it is compared in lower case, without space at
 its ends. Its set holds the ``SHINGLE`` characters that begin at each of its places; a shorter line is its own and only
-shingle. The smallest hashes of the set are its bottom-k MinHash signature, and each ``ROWS`` of them in a row make a band: two lines share one if that many neighbours in
-the order of all hashes are common to both, which ``BANDS`` bands miss for under 1 % of the pairs at the threshold and for one in
-many thousands at 0.9. Lines that share a band are candidates; the exact Jaccard similarity of their sets decides; one line
+shingle. The ``KEEP`` smallest hashes of the set are its bottom-k MinHash signature, and each ``ROWS`` neighbours in it make a
+band. Lines that share a band and ``COMMON`` of their signature are candidates, which misses about one in forty of the
+pairs at the threshold and one in a thousand at 0.9; the exact Jaccard similarity of their whole sets decides, and one line
 of every component stays, that of the smallest (document, place).
 
-Equal lines are one node from the start, counted with a combine before the shuffle. Bands with up to ``SMALL`` nodes give
-all their pairs; larger ones are searched by pivots and components, and what these leave apart is compared in blocks that
-only emit links, so that no pair is left out and none is stored. Only documents that may hold a candidate, and later those
-that may lose a line, are shuffled: a bit map of fixed size tells which.
+Equal lines are one node from the start, told apart by 128 bits and counted with a combine before the shuffle. A band's pivot
+is its line of most copies. Each node is first compared with the pivot whose signature is most like its own: one comparison a
+node, however large the bands are. In bands that then still hold several components, nodes of different ones are compared by
+their signatures, in blocks that emit the few pairs whose sets are to be compared. No pair is left out. Only documents that hold
+a candidate, and later those that may lose a line, are shuffled: a bit map of fixed size tells which.
 
 Defined results: a null text stays null; lines without a visible character are kept and never compared; a document whose
-lines all go has an empty text; rows that repeat an id with the same text lose and keep the same lines; an empty table
-gives no rows; columns other than the id and the text stay as they are.
+lines all go has an empty text; very long texts and lines are read whole; of lines that tie, that of the smallest (id, hash of
+the text, place) stays; rows that repeat an id with the same text lose and keep the same lines, and with another text are
+documents of their own; an empty table gives no rows; columns other than the id and the text stay as they are, and may
+have any name that doesn't begin with ``quadrat_``.
 """
 
 from __future__ import annotations
@@ -23,71 +26,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.common import cut
-from quadrat.llm.components import link_large_groups
+from quadrat.llm.components import components
 
 SHINGLE = 10
-BANDS = 12
-ROWS = 3
-#: Sets of up to so many shingles are short.
-SHORT = 14
-#: Hashes of a long line that are expected below the bound under which its smallest ones are looked for.
-FEW = 40
 SIMILARITY_PERCENT = 80
-#: Bands of up to so many lines give all their pairs at once.
-SMALL = 16
+#: Shingles in a signature, and in a band.
+KEEP = 12
+ROWS = 3
+#: Shingles that two whole signatures must have in common; of two hundred pairs at the threshold one may have fewer.
+COMMON = 6
+#: Of more hashes than the first number, those below a share of all values are looked at first.
+SHARES = ((8192, 2.0**-8), (1024, 2.0**-5), (128, 2.0**-2))
+#: Members of a divided band that one task compares with all others.
+BLOCK = 512
 #: Bits of the map of documents that may hold a candidate: 8 MB.
 MAP_BITS = 1 << 26
 _PER_ROW = 32768
-#: Members of a large band that one task compares with all others.
-BLOCK = 512
-_WORDS = 4
-
-
-def comparable(line: Column) -> Column:
-    return F.lower(F.trim(line))
 
 
 def shingle_hashes(s: Column) -> Column:
-    """The hashes of the ``SHINGLE`` characters from each place of a comparable line on, in order and with repeats."""
-    found = F.regexp_extract_all(s, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
-    return F.transform(F.when(F.char_length(s) <= SHINGLE, F.array(s)).otherwise(found), lambda x: F.xxhash64(x))
+    """The hashes of the ``SHINGLE`` characters (4 bytes each) from each place of a comparable line on, with repeats."""
+    last = 4 * F.greatest(F.char_length(s) - SHINGLE, F.lit(0)) + 1
+    windows = lambda u: F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda k: F.xxhash64(F.substring(u, k, F.lit(4 * SHINGLE))))
+    return F.transform(F.array(F.encode(s, "UTF-32")), windows)[0]  # a lambda's argument, so that a line is encoded once
 
 
-def smallest_hashes(hashes: Column) -> Column:
-    """The ``SHORT + 1`` smallest distinct hashes, sorted. Of many, those below a bound are enough if so many are."""
-    bound = F.least(F.lit(-(2.0**63)) + F.lit(FEW * 2.0**64) / F.size(hashes), F.lit(2.0**62)).cast("long")
-    few = F.array_distinct(F.filter(hashes, lambda x: x < bound))
-    enough_few = (F.size(hashes) > 2 * FEW) & (F.size(few) > SHORT)
-    return F.slice(F.sort_array(F.when(enough_few, few).otherwise(F.array_distinct(hashes))), 1, SHORT + 1)
-
+def shingle_set(s: Column) -> Column:
+    return F.array_distinct(shingle_hashes(s))
 
-def band_keys(smallest: Column) -> Column:
-    """Keys of runs of the smallest hashes: ``ROWS`` in a row, and of short lines, whose whole set it is, two in a row.
 
-    Of two short sets with a similarity of 0.8 two neighbours are always common. Both kinds of keys overlap for sizes that
-    such sets can differ by.
-    """
-    n = F.size(smallest)
+def signature(s: Column) -> Column:
+    """The ``KEEP`` smallest of a line's distinct shingle hashes, sorted."""
 
-    def runs(rows: int, most: int) -> Column:
-        last = F.least(F.greatest(n - rows, F.lit(0)), F.lit(most - 1))
-        return F.transform(F.sequence(F.lit(0), last), lambda k: F.xxhash64(*(F.get(smallest, k + j) for j in range(rows))))
+    def least(hashes: Column) -> Column:
+        few = hashes
+        for size, share in reversed(SHARES):
+            bound = F.lit(int(-(2**63) + share * 2**64))
+            few = F.when(F.size(hashes) > size, F.filter(hashes, lambda x, bound=bound: x < bound)).otherwise(few)
+        enough_few = F.transform(F.array(F.array_distinct(few)), lambda f: F.when(F.size(f) >= KEEP, f).otherwise(F.array_distinct(hashes)))[0]
+        return F.slice(F.sort_array(enough_few), 1, KEEP)
 
-    nothing = F.array().cast("array<bigint>")
-    return F.concat(F.when(n <= SHORT, runs(2, SHORT)).otherwise(nothing), F.when(n >= SHORT - 2, runs(ROWS, BANDS)).otherwise(nothing))
+    return F.transform(F.array(shingle_hashes(s)), least)[0]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("i", F.posexplode(F.split("t", "\n", -1)).alias("p", "line")).where(F.col("line").rlike(r"\S"))
+def band_keys(sig: Column) -> Column:
+    """A key for each ``ROWS`` neighbours of a signature; a shorter signature is its own key."""
+    keys = F.array(*(F.xxhash64(*(F.get(sig, k + j) for j in range(ROWS))) for k in range(KEEP - ROWS + 1)))
+    return F.slice(keys, 1, F.greatest(F.size(sig) - ROWS + 1, F.lit(1)))
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """h, h2 (128 bits of the line), i, p (its first document and place) and keys (its bands)."""
-    lines = _lines(docs).withColumn("s", comparable(F.col("line")))
-    hashed = lines.select(F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), F.reverse("s")).alias("h2"), "i", "p", shingle_hashes(F.col("s")).alias("hs"))
-    signed = hashed.select("h", "h2", "i", "p", smallest_hashes(F.col("hs")).alias("sig"))
-    keyed = signed.select("h", "h2", F.struct("i", "p", band_keys(F.col("sig")).alias("keys")).alias("x"))
-    return keyed.groupBy("h", "h2").agg(F.min("x").alias("x")).select("h", "h2", "x.i", "x.p", "x.keys")
+    """v (128 bits of the line), n (its copies), i, p (its first document and place) and sig (its signature). docs: i, t."""
+    lines = docs.select("i", F.posexplode(F.split(F.lower("t"), "\n", -1)).alias("p", "line")).where(F.col("line").rlike(r"\S"))
+    signed = lines.select("i", "p", F.trim("line").alias("s")).select("i", "p", signature(F.col("s")).alias("sig"), F.unhex(F.md5(F.col("s").cast("binary"))).alias("v"))
+    return signed.groupBy("v").agg(F.min(F.struct("i", "p", "sig")).alias("x"), F.count("*").alias("n")).select("v", "n", "x.i", "x.p", "x.sig")
 
 
 def id_map(ids: DataFrame) -> DataFrame:
@@ -106,95 +98,131 @@ def marked(docs: DataFrame, rows: DataFrame, id_col: str, mark: str) -> DataFram
     return both.withColumn(mark, F.coalesce(bit, F.lit(False))).drop("quadrat_k", "quadrat_row", "quadrat_bits")
 
 
+def node_code() -> Column:
+    """The magnitude of a line's copies, then bits of its hash."""
+    return F.shiftleft(F.least(F.floor(F.log2("n")), F.lit(31)).cast("long"), 58) + F.shiftrightunsigned(F.xxhash64("v"), 6)
+
+
+def band_members(lines: DataFrame) -> DataFrame:
+    """g, v, code, top: the nodes of every band that has several, and the code of its pivot, that of the largest.
+
+    Should two nodes have one code, both are taken for it.
+    """
+    keys = lines.select(F.explode(band_keys(F.col("sig"))).alias("g"), "v", node_code().alias("code"))
+    tops = keys.groupBy("g").agg(F.max("code").alias("top"), F.min("code").alias("low")).where("top != low").select("g", "top")
+    return keys.join(tops.hint("shuffle_hash"), "g").select("g", "v", "code", "top")
+
+
 def candidate_lines(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """v, s: the comparable lines that ``nodes`` (v, i, p) names. A line is a tenth of its shingle hashes."""
-    places = nodes.groupBy("i").agg(F.collect_list(F.struct("p", "v")).alias("ps"))
+    """v, s: the comparable lines that ``nodes`` (v, i, p) names."""
+    places = nodes.groupBy(F.col("i").alias("j")).agg(F.collect_list(F.struct("p", "v")).alias("ps"))
     some = marked(docs, id_map(nodes.select("i").distinct()), "i", "may").where("may")
-    own = some.join(places.withColumnRenamed("i", "j").hint("shuffle_hash"), F.col("i").eqNullSafe(F.col("j")))
-    lines = own.select(F.split("t", "\n", -1).alias("lines"), F.explode("ps").alias("x"))
-    return lines.select("x.v", comparable(F.get("lines", F.col("x.p"))).alias("s")).dropDuplicates(["v"])
+    own = some.join(places.hint("shuffle_hash"), F.col("i") == F.col("j")).select("ps", F.split(F.lower("t"), "\n", -1).alias("lines"))
+    return own.select("lines", F.explode("ps").alias("x")).select("x.v", F.trim(F.get("lines", F.col("x.p"))).alias("s")).dropDuplicates(["v"])
 
 
-def shingle_set(s: Column) -> Column:
-    return F.array_distinct(shingle_hashes(s))
+def enough(inter: Column, sizes: Column, percent: int) -> Column:
+    return 100 * inter >= percent * (sizes - inter)
+
+
+def likely(sig: Column, other: Column, percent: int) -> Column:
+    """Whether signatures leave a similarity of ``percent`` possible: exactly for whole sets, by ``COMMON`` for parts of sets."""
+    n, m, both = F.size(sig), F.size(other), F.size(F.array_intersect(sig, other))
+    whole = (n < KEEP) & (m < KEEP)
+    return F.when(whole, enough(both, n + m, percent)).otherwise(both >= COMMON * percent // 80)
 
 
 def similar(pairs: DataFrame, texts: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """The pairs whose exact Jaccard similarity reaches ``percent``."""
+    """a, b: the pairs of nodes whose exact Jaccard similarity reaches ``percent``."""
     with_a = pairs.join(texts.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a")
-    with_b = with_a.join(texts.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
-    with_b = with_b.select("a", "b", shingle_set(F.col("sa")).alias("ha"), shingle_set(F.col("sb")).alias("hb"))
-    inter = F.size(F.array_intersect("ha", "hb"))
-    return with_b.select("a", "b", inter.alias("n"), (F.size("ha") + F.size("hb")).alias("s")).where(100 * F.col("n") >= percent * (F.col("s") - F.col("n"))).select("a", "b")
+    both = with_a.join(texts.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
+    sets = both.select("a", "b", shingle_set(F.col("sa")).alias("ha"), shingle_set(F.col("sb")).alias("hb"))
+    return sets.where(enough(F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb"), percent)).select("a", "b")
 
 
-def enough(inter: Column, sizes: Column, percent: int) -> Column:
-    return 100 * inter >= percent * (sizes - inter)
+def pivot_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """a, b: each node with the pivot of one of its bands whose signature is most like its own."""
+    pairs = members.where("code != top").select("v", "top").distinct()
+    own = pairs.join(nodes.select("v", "sig"), "v")
+    both = own.join(nodes.select(F.col("v").alias("w"), F.col("code").alias("top"), F.col("sig").alias("other")), "top")
+    good = both.where((F.col("v") != F.col("w")) & likely(F.col("sig"), F.col("other"), percent))
+    best = good.groupBy("v").agg(F.max(F.struct(F.size(F.array_intersect("sig", "other")).alias("n"), "w")).alias("x"))
+    return best.select(F.col("v").alias("a"), F.col("x.w").alias("b"))
 
 
-def _bits(hashes: Column, k: int) -> Column:
-    """Word k of a small bit set of the hashes."""
-    bit = lambda x: F.when(F.pmod(x, F.lit(_WORDS)) == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 2), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
-
-
-def rest_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The links within large bands between nodes of different components (g, v, c). Blocks of a band's members meet all others."""
-    size = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("g", "blocks")
-    words = [_bits(F.col("hs"), k).alias(f"b{k}") for k in range(_WORDS)]
-    sets = members.join(size, "g").join(texts, "v").select(*members.columns, "blocks", shingle_set(F.col("s")).alias("hs"))
-    own = sets.select("*", *words)
-    own = own.withColumn("spare", F.size("hs") - sum((F.bit_count(f"b{k}") for k in range(_WORDS)), F.lit(0)))  # hashes beyond the first on a bit
-    left = own.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    right = own.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("v").alias("w"), F.col("c").alias("d"), F.col("hs").alias("hw"), F.col("spare").alias("spare_w"), *(F.col(f"b{k}").alias(f"d{k}") for k in range(_WORDS)))
-    n, m = F.size("hs"), F.size("hw")
-    inter = F.size(F.array_intersect("hs", "hw"))
-    most = sum((F.bit_count(F.col(f"b{k}").bitwiseAND(F.col(f"d{k}"))) for k in range(_WORDS)), F.lit(0)) + F.least("spare", "spare_w")  # no intersection is larger
-    apart = (F.col("v") > F.col("w")) & (F.col("c") != F.col("d")) & enough(F.least(most, n, m), n + m, percent) & enough(inter, n + m, percent)
+def open_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of a band's nodes (g, v, c) that are in different components and have like signatures.
+
+    Blocks of a band's nodes meet all its others within the join, which emits the few pairs that its condition leaves.
+    """
+    mixed = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("g", "blocks")
+    mark = F.aggregate("sig", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
+    own = members.join(mixed, "g").join(nodes.select("v", "sig", mark.alias("mark")), "v")
+    left = own.select("g", "v", "c", "sig", "mark", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"))
+    right = own.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("v").alias("w"), F.col("c").alias("d"), F.col("sig").alias("other"), F.col("mark").alias("mark_w"))
+    some = F.bit_count(F.col("mark").bitwiseAND(F.col("mark_w"))) >= F.least(F.lit(COMMON * percent // 80 - 1), F.size("sig"), F.size("other"))  # cheap, and true for all that are alike
+    apart = (F.col("v") > F.col("w")) & (F.col("c") != F.col("d")) & some & likely(F.col("sig"), F.col("other"), percent)
     return left.join(right, (left["g"] == right["g"]) & (left["block"] == right["block"]) & apart).select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
 
 
+def _labelled(rows: DataFrame, comp: DataFrame, node: str = "v", label: str = "c") -> DataFrame:
+    return rows.join(comp.select(F.col("node").alias(node), F.col("component").alias(label)), node, "left").withColumn(label, F.coalesce(label, node))
+
+
+def line_components(docs: DataFrame, lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """node, component of all nodes that have a similar one in a band; and v, i, p of the nodes of all bands."""
+    members = cut(band_members(lines), "bands")
+    nodes = cut(members.select("v", "code").distinct().join(lines.select("v", "i", "p", "sig"), "v"), "nodes")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
+        return cut(similar(pairs, cut(candidate_lines(docs, nodes.join(ends, "v", "left_semi")), "texts"), percent), "links")
+
+    found = links(cut(pivot_pairs(members, nodes, percent), "pairs"))
+    comp = cut(components(found), "components")
+    pairs = cut(open_pairs(_labelled(members.select("g", "v"), comp), nodes, percent), "pairs")
+    if pairs.isEmpty():
+        return comp, nodes
+    more = _labelled(_labelled(links(pairs), comp, "a", "ca"), comp, "b", "cb").select("ca", "cb").where("ca != cb").distinct()
+    over = cut(components(more, "ca", "cb"), "components").select(F.col("node").alias("component"), F.col("component").alias("c"))
+    known = comp.unionByName(over.select(F.col("component").alias("node"), "component"))  # nodes that had no link are their own component
+    return known.join(over, "component", "left").select("node", F.coalesce("c", "component").alias("component")).distinct(), nodes
+
+
 def kept_lines(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """i, p of the one line of every component that stays. docs: i, t."""
+    """i, p, stays: the first place of every distinct line, with 1, and again, with 0, if another line of its component stays instead. docs: i, t."""
     lines = cut(distinct_lines(docs), "lines")
-    keys = lines.select(F.explode("keys").alias("g"), F.col("h").alias("v"))
-    shared = keys.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(keys.join(shared, "g"), "bands")
-    small = members.where(F.col("n") <= SMALL).select("g", "v")
-    pairs = cut(small.join(small.select("g", F.col("v").alias("w")), "g").where("v > w").select(F.col("v").alias("a"), F.col("w").alias("b")).distinct(), "pairs")
-    large = members.where(F.col("n") > SMALL).select("g", "v")
-    nodes = members.select("v").distinct().join(lines.select(F.col("h").alias("v"), "i", "p"), "v")
-    texts = cut(candidate_lines(docs, nodes), "texts")
-    verify = lambda p: similar(p, texts, percent)
-    _, comp = link_large_groups(large, cut(verify(pairs), "links"), verify, rest=lambda m: rest_links(m, texts, percent))
-    placed = comp.join(lines.select(F.col("h").alias("node"), "i", "p"), "node")
-    first = placed.groupBy("component").agg(F.min(F.struct("i", "p", "node")).alias("x")).select("component", F.col("x.node").alias("first"))
-    gone = comp.join(first, "component").where("node != first").select(F.col("node").alias("h"))
-    return lines.select("h", "i", "p").join(gone, "h", "left_anti").select("i", "p")
+    comp, nodes = line_components(docs, lines, percent)
+    placed = comp.join(nodes.select(F.col("v").alias("node"), "i", "p"), "node")
+    first = placed.groupBy("component").agg(F.min(F.struct("i", "p")).alias("x"))
+    gone = placed.join(first, "component").where(F.struct("i", "p") != F.col("x")).select("i", "p", F.lit(0).alias("stays"))
+    return lines.select("i", "p", F.lit(1).alias("stays")).unionByName(gone)
 
 
 def _restored(both: DataFrame, text: str) -> DataFrame:
-    """quadrat_places, lines kept by number, or null for all, become the text, quadrat_lines and quadrat_kept."""
+    """quadrat_places, the lines kept by number, become the text, quadrat_lines and quadrat_kept."""
     split = both.withColumn("quadrat_split", F.split(F.col(text), "\n", -1))
     blank = F.filter(F.transform("quadrat_split", lambda s, k: F.when(~s.rlike(r"\S"), k)), lambda k: k.isNotNull())
-    done = split.withColumn("quadrat_places", F.when(F.col("quadrat_places").isNotNull(), F.array_sort(F.array_union(blank, "quadrat_places"))))
+    done = split.withColumn("quadrat_places", F.array_sort(F.array_union(blank, "quadrat_places")))
     left = F.array_join(F.transform("quadrat_places", lambda k: F.get("quadrat_split", k)), "\n")
-    left = F.when(F.col("quadrat_places").isNull() | ~F.col(text).rlike(r"\S"), F.col(text)).when(left.rlike(r"\S"), left).otherwise("")
-    n = F.size("quadrat_split").cast("long")
-    return done.withColumn("quadrat_lines", n).withColumn("quadrat_kept", F.when(F.col("quadrat_places").isNull(), n).otherwise(F.size("quadrat_places").cast("long"))).withColumn(text, left)
+    done = done.withColumn("quadrat_lines", F.size("quadrat_split").cast("long")).withColumn("quadrat_kept", F.size("quadrat_places").cast("long"))
+    return done.withColumn(text, F.when(left.rlike(r"\S"), left).otherwise(""))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = SIMILARITY_PERCENT, counts: bool = False) -> DataFrame:
     """The documents with the lines that stay; with ``counts`` also quadrat_lines and quadrat_kept, lines before and after."""
-    own = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t"))
-    kept = kept_lines(own, percent).groupBy("i").agg(F.collect_list("p").alias("places"))
-    visible = F.size(F.filter(F.split("t", "\n", -1), lambda s: s.rlike(r"\S")))
-    before = own.select("i", visible.alias("n")).where("n > 0")
-    less = before.join(kept, before["i"].eqNullSafe(kept["i"]), "left").where(F.coalesce(F.size("places"), F.lit(0)) < F.col("n"))
-    changed = cut(less.select(before["i"], F.coalesce("places", F.array().cast("array<int>")).alias("places")).groupBy("i").agg(F.min("places").alias("places")), "changed")
-    both = marked(docs, id_map(changed.select("i")), id_col, "quadrat_may")
-    same = both.where("not quadrat_may").withColumn("quadrat_places", F.lit(None).cast("array<int>"))
-    some = both.where("quadrat_may")
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
+    own = docs.select(row.alias("i"), F.col(text).alias("t"))
+    before = own.select("i", F.size(F.filter(F.split("t", "\n", -1), lambda s: s.rlike(r"\S"))).alias("n")).where("n > 0")
+    nothing = F.lit(None).cast("int")
+    rows = kept_lines(own, percent).select("i", "p", "stays", nothing.alias("n")).unionByName(before.select("i", nothing.alias("p"), nothing.alias("stays"), "n"))
+    of = rows.groupBy("i").agg(F.max("n").alias("n"), *(F.collect_list(F.when(F.col("stays") == k, F.col("p"))).alias(f"p{k}") for k in (0, 1)))
+    changed = cut(of.where(F.size("p1") - F.size("p0") < F.col("n")).select("i", F.array_except("p1", "p0").alias("places")), "changed")
+    both = marked(docs.withColumn("quadrat_i", row), id_map(changed.select("i")), "quadrat_i", "quadrat_may")
     places = changed.select(F.col("i").alias("quadrat_id"), F.col("places").alias("quadrat_places"))
-    some = some.join(places.hint("shuffle_hash"), some[id_col].eqNullSafe(places["quadrat_id"]), "left").drop("quadrat_id")
-    return _restored(same.unionByName(some), text).select(*docs.columns, *(["quadrat_lines", "quadrat_kept"] if counts else []))
+    some = both.where("quadrat_may").join(places.hint("shuffle_hash"), F.col("quadrat_i") == F.col("quadrat_id"), "left")
+    same = both.where("not quadrat_may").withColumn("quadrat_places", F.lit(None).cast("array<int>")).unionByName(some.where("quadrat_places is null").drop("quadrat_id"))
+    n = (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"))) + 1).cast("long")
+    same = same.withColumn("quadrat_lines", n).withColumn("quadrat_kept", n)
+    out = [*docs.columns, *(["quadrat_lines", "quadrat_kept"] if counts else [])]
+    return same.select(out).unionByName(_restored(some.where("quadrat_places is not null"), text).select(out))
