@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(df: DataFrame, most: str = "4m") -> DataFrame:
+    """The table, with the session's Arrow batches held to a size: texts of any length then pass through Python in little memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -14,7 +14,8 @@ nine tenths of a corpus' words. A fixed number of rows, it is broadcast, and doc
 text, by look-up; segments beyond the lexicon run through the same lattice and fold in the task that holds them.
 
 Defined results: a null text has null ids, an empty one no ids; ids always decode to the text (with U+2581 read as a space,
-as SentencePiece does); repeated rows give repeated results; extra columns stay as they are.
+as SentencePiece does); repeated rows give repeated results; extra columns stay as they are, but one
+named like the result, which is replaced; very long texts and segments are encoded whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from quadrat.llm.common import cut, slices
+from quadrat.llm.common import cut, in_batches, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -87,8 +88,23 @@ class Pieces:
         return spark.createDataFrame([(p, i, c) for p, (c, i) in self.cost.items()], "piece string, id int, cost long")
 
 
+def runs(text: str):
+    """The segments of a text by ``SEGMENT``, in order, in lists: (segments, False), or (words, True) if each word stands for a
+    segment of one space and the word. Lines with single spaces only are split at these, which needs no new strings."""
+    for k, line in enumerate(text.split("\n") if text else ()):
+        if k:
+            yield ["\n"], False
+        if SPACE in line or "  " in line or line[:1] == " " or line[-1:] == " ":
+            yield SEGMENT.findall(("" if k else SPACE) + line.replace(" ", SPACE)), False
+            continue
+        words = line.split(" ")
+        if k and words[0]:
+            yield words[:1], False
+        yield words[1:] if k else words, True
+
+
 def segments(text: str) -> list[str]:
-    return SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    return [SPACE + w if spaced else w for words, spaced in runs(text) for w in words]
 
 
 def viterbi(segment: str, pieces: Pieces) -> list[int]:
@@ -132,11 +148,17 @@ def frequent_segments(docs: DataFrame, text: str, most: int = LEXICON) -> DataFr
 
     def count(batches):
         seen: Counter[str] = Counter()
+        after: Counter[str] = Counter()  # of words behind one space
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(segments(t or ""))
+                for words, spaced in runs(t or ""):
+                    (after if spaced else seen).update(words)
+                if len(after) > TASK_COUNTED:
+                    after = Counter(dict(after.most_common(TASK_COUNTED // 2)))
                 if len(seen) > TASK_COUNTED:
                     seen = Counter(dict(seen.most_common(TASK_COUNTED // 2)))
+        for w, n in after.most_common(TASK_LEXICON):
+            seen[SPACE + w] += n
         top = [(w, n) for w, n in seen.most_common(TASK_LEXICON) if len(w) <= MAX_SEGMENT]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
 
@@ -187,17 +209,21 @@ def encode_lexicon(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "piece_ids", pieces: Pieces | None = None, lexicon: int = LEXICON, count_unknown: str | None = None) -> DataFrame:
-    """The documents with the ids of their pieces."""
+    """The documents with the ids of their pieces, in the place of a column of that name if there is one."""
     pieces = pieces or Pieces()
+    docs = in_batches(docs).drop(out)
     known = cut(encode_lexicon(frequent_segments(docs, text, lexicon), pieces), "lexicon").toArrow()  # at most ``lexicon`` rows
     ids = known.column("ids").combine_chunks()
     flat, ends = ids.flatten().to_numpy().astype(np.int32), np.cumsum([0, *ids.value_lengths().to_pylist()])
-    table = {w: flat[ends[k] : ends[k + 1]].tobytes() for k, w in enumerate(known.column("w").to_pylist())}
-    shared = docs.sparkSession.sparkContext.broadcast((table, pieces))
+    table, after = {}, {}  # after: of words behind one space, by the word
+    for k, w in enumerate(known.column("w").to_pylist()):
+        spaced = w[0] == SPACE and SPACE not in w[1:]
+        (after if spaced else table)[w[spaced:]] = flat[ends[k] : ends[k + 1]].tobytes()
+    shared = docs.sparkSession.sparkContext.broadcast((table, after, pieces))
     rows = docs.schema
 
     def run(batches):
-        table, pieces = shared.value
+        table, after, pieces = shared.value
         memory: dict[str, bytes] = {}
 
         def find(w: str) -> bytes:
@@ -212,10 +238,12 @@ def encode(docs: DataFrame, text: str = "text", out: str = "piece_ids", pieces:
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             values, offsets = [], [0]
             for t in texts:
-                own = segments(t or "")
-                parts = list(map(table.get, own))
-                if None in parts:
-                    parts = [x or find(w) for x, w in zip(parts, own, strict=True)]
+                parts: list[bytes] = []
+                for words, spaced in runs(t or ""):
+                    got = list(map((after if spaced else table).get, words))
+                    if None in got:
+                        got = [x or find(SPACE + w if spaced else w) for x, w in zip(got, words, strict=True)]
+                    parts += got
                 values.append(b"".join(parts))
                 offsets.append(offsets[-1] + len(values[-1]) // 4)
             flat = pa.array(np.frombuffer(b"".join(values), np.int32))

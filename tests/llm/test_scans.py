@@ -1,5 +1,6 @@
 """Operators that judge each text alone: brute-force versions, and the defined results of odd input."""
 
+import random
 import hashlib
 import re
 from collections import Counter
@@ -202,3 +203,18 @@ def test_long_expressions():
     text = "SPDX-License-Identifier: " + "MIT AND " * 400 + "GPL-3.0-only\nAND isc"
     labels, _, permissive = license_scan.scan(text, phrases, tags)[5:]
     assert labels == "gpl-3.0,mit" and permissive is False
+
+
+def test_encode_replaces_a_column_of_its_name(spark):
+    df = spark.createDataFrame([(1, "a b  c\nd ", "old"), (2, None, "old")], "doc_id long, text string, piece_ids string")
+    out = sentence_pieces.decode(sentence_pieces.encode(df))
+    assert out.columns == ["doc_id", "text", "piece_ids", "decoded"]
+    assert {r["doc_id"]: r["decoded"] for r in out.collect()} == {1: "a b  c\nd ", 2: None}
+
+
+def test_segments_are_those_of_the_pattern():
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab \n▁\t") for _ in range(rng.randint(0, 9)))
+        want = sentence_pieces.SEGMENT.findall("▁" + text.replace(" ", "▁")) if text else []
+        assert sentence_pieces.segments(text) == want
