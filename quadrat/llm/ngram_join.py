@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quadrat.llm.common import cut
+from quadrat.llm.common import cut, in_batches
 from quadrat.llm.components import link_large_groups
 
 SHINGLE = 3
@@ -43,7 +43,7 @@ SKETCH_BITS = 22
 SKETCH_ROW = 1 << 16
 #: Members of a long list that one task compares with each other.
 BLOCK = 512
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -412,7 +412,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, merged: int = MERGED, longest: int = MERGE_LIST) -> DataFrame:
     """Per document: its id, n_shingles and component_id, the smallest id that links reach."""
-    own = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    own = in_batches(docs).select(F.col(id_col).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     first = cut(set_signatures(own, size), "signatures")
     rows = first.where("part is null").select("i", "n", "sig")
     levels, frequent = _sum_sketch(first.where("part is not null").select("part", "sketch"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
+from quadrat.llm.common import in_batches
 from quadrat.llm.line_dedup import id_map, marked
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,6 +148,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     With ``carry``, all columns of the documents, and these as quadrat_n_words and so on.
     """
+    docs = in_batches(docs)
     judged = with_trust(docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")), labels)
     ratios = log_ratios(count_ngrams(judged, "t", "g", buckets), buckets)
     own = docs if carry else docs.select(id_col, text)
