@@ -131,24 +131,21 @@ def license_name(identifier: str) -> str:
     return identifier.removesuffix("+").removesuffix("-or-later").removesuffix("-only")
 
 
-def evaluate(postfix: list[str]) -> tuple[float | None, list[str]]:
-    """Freedom of the expression (None if an unknown license decides it) and its license names."""
-    stack: list[tuple[float | None, str]] = []
-    names: list[str] = []
+def evaluate(postfix: list[str]) -> float | None:
+    """Freedom of the expression; None if an unknown license decides it."""
+    stack: list[float | None] = []
     for t in postfix:
         if t not in PRECEDENCE:
-            stack.append((FREEDOM.get(license_name(t)), t))
-            names.append(license_name(t))
+            stack.append(FREEDOM.get(license_name(t)))
             continue
-        (b, exception), (a, _) = stack.pop(), stack.pop()
+        b, a = stack.pop(), stack.pop()
         if t == "with":
-            names = [x for x in names if x != license_name(exception)]
-            stack.append((None if a is None else min(1.0, a + EXCEPTION_GAIN), ""))
+            stack.append(None if a is None else min(1.0, a + EXCEPTION_GAIN))
         elif t == "and":  # both bind: the stricter one decides
-            stack.append((0.0 if 0.0 in (a, b) else None if a is None or b is None else min(a, b), ""))
+            stack.append(0.0 if 0.0 in (a, b) else None if a is None or b is None else min(a, b))
         else:  # one may be chosen: the freer one decides
-            stack.append((max((x for x in (a, b) if x is not None), default=None), ""))
-    return stack[-1][0], names
+            stack.append(max((x for x in (a, b) if x is not None), default=None))
+    return stack[-1]
 
 
 def automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
@@ -185,22 +182,22 @@ def scan(text: str | None, phrases, tags) -> tuple:
             label, weight = NOTICES[phrase]
             labels.add(label)
             weights[phrase] = max(weight, weights.get(phrase, 0))
-    freedom: float | None = None
+    verdicts: list[float | None] = []
     if "-" in text and ":" in text:
         lower = text.translate(_LOWER)
         for end, tag in tags.iter(lower):
             tokens = expression_tokens(lower, end + 1)
             postfix = to_postfix(tokens)
-            names = [license_name(t) for t in tokens if t not in PRECEDENCE and t not in "()" and license_name(t) in FREEDOM]
-            if postfix:
-                value, names = evaluate(postfix)
-                freedom = value if freedom is None else freedom if value is None else min(freedom, value)
+            names = [license_name(t) for t in tokens if license_name(t) in FREEDOM]  # whether the expression can be read or not
+            if tokens:
+                verdicts.append(evaluate(postfix) if postfix else None)
             if names:
                 labels.update(names)
                 weights[tag] = TAG_WEIGHT
     for w in weights.values():
         miss *= 1 - w
     n_words = max(0, norm.count(" ") - 1)
+    freedom = 0.0 if 0.0 in verdicts else None if None in verdicts else min(verdicts, default=None)  # every tag binds
     return n_words, n_base, min(places, default=None), max(places, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), 1 - miss, None if freedom is None else freedom == 1.0
 
 

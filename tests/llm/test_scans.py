@@ -218,3 +218,12 @@ def test_segments_are_those_of_the_pattern():
         text = "".join(rng.choice("ab \n▁\t") for _ in range(rng.randint(0, 9)))
         want = sentence_pieces.SEGMENT.findall("▁" + text.replace(" ", "▁")) if text else []
         assert sentence_pieces.segments(text) == want
+
+
+def test_licenses_of_several_tags():
+    """Every tag binds: an unknown license leaves the verdict open unless another tag forbids; labels don't ask whether it can be read."""
+    scan = lambda *xs: license_scan.scan("\n".join(f"SPDX-License-Identifier: {x}" for x in xs), *license_scan.automata())
+    got = {xs: scan(*xs)[5::2] for xs in (("MIT",), ("MIT", "Proprietary-X"), ("Proprietary-X", "GPL-3.0"), ("MIT OR Foo",), ("MIT OR (Foo",), ("MIT AND Foo",))}
+    assert got[("MIT",)] == ("mit", True) and got[("MIT", "Proprietary-X")] == ("mit", None)
+    assert got[("Proprietary-X", "GPL-3.0")] == ("gpl-3.0", False)
+    assert got[("MIT OR Foo",)] == ("mit", True) and got[("MIT OR (Foo",)] == ("mit", None) and got[("MIT AND Foo",)] == ("mit", None)
