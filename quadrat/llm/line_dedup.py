@@ -37,6 +37,8 @@ ROWS = 3
 COMMON = 6
 #: Of more hashes than the first number, those below a share of all values are looked at first.
 SHARES = ((8192, 2.0**-8), (1024, 2.0**-5), (128, 2.0**-2))
+#: Partners of a line in one comparison of sets.
+PARTNERS = 16
 #: Members of a divided band that one task compares with all others.
 BLOCK = 512
 #: Bits of the map of documents that may hold a candidate: 8 MB.
@@ -133,11 +135,20 @@ def likely(sig: Column, other: Column, percent: int) -> Column:
 
 
 def similar(pairs: DataFrame, texts: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """a, b: the pairs of nodes whose exact Jaccard similarity reaches ``percent``."""
-    with_a = pairs.join(texts.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a")
-    both = with_a.join(texts.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
-    sets = both.select("a", "b", shingle_set(F.col("sa")).alias("ha"), shingle_set(F.col("sb")).alias("hb"))
-    return sets.where(enough(F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb"), percent)).select("a", "b")
+    """a, b: the pairs of nodes whose exact Jaccard similarity reaches ``percent``.
+
+    Up to about ``PARTNERS`` partners of a node are compared with it in one row, so that its set is found once for them.
+    """
+    of = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    dealt = pairs.join(of, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    with_b = dealt.join(texts.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
+    rows = with_b.groupBy("a", "part").agg(F.collect_list(F.struct("b", "sb")).alias("bs")).join(texts.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a")
+
+    def alike(ha: Column, x: Column) -> Column:
+        return F.transform(F.array(shingle_set(x["sb"])), lambda hb: enough(F.size(F.array_intersect(ha, hb)), F.size(ha) + F.size(hb), percent))[0]
+
+    found = F.transform(F.array(shingle_set(F.col("sa"))), lambda ha: F.transform(F.filter("bs", lambda x: alike(ha, x)), lambda x: x["b"]))[0]
+    return rows.select("a", F.explode(found).alias("b"))
 
 
 def pivot_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
