@@ -83,27 +83,56 @@ def retained_regions(panel: DataFrame) -> DataFrame:
     return own.join(F.broadcast(n)).where("k = n_dates and volume > 0").select("region", "volume")  # one row
 
 
-def guided_test_group(regions: DataFrame, target: float, tolerance: float, forced: list[str] = (), barred: list[str] = (), most: int = 16) -> DataFrame:
+#: Up to so many candidates all subsets are tried; beyond it, so many random ones of a seed.
+EXHAUSTIVE, RANDOM_SUBSETS = 16, 2000
+
+
+def _draw(*parts: Column | str) -> Column:
+    """A number of 32 bits from the md5 of the parts, which SQL elsewhere can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def candidate_subsets(spark: SparkSession, names: list[str], seed: int = 0, exhaustive: int = EXHAUSTIVE, tries: int = RANDOM_SUBSETS) -> DataFrame:
+    """subset, region: all subsets of up to ``exhaustive`` candidates, else ``tries`` random ones: a size of 0 to all, and so many of
+    the candidates in a random order. The empty subset has no row."""
+    n = len(names)
+    if not n:
+        return spark.createDataFrame([], "subset long, region string")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("bit"), F.lit(r).alias("region")) for k, r in enumerate(sorted(names)))))
+    if n <= exhaustive:
+        rows = spark.range(2**n).select(F.col("id").alias("subset"), each.alias("x")).where(F.pmod(F.floor(F.col("subset") / F.pow(F.lit(2), F.col("x.bit"))), F.lit(2)) == 1)
+        return rows.select("subset", "x.region")
+    rows = spark.range(tries).select(F.col("id").alias("subset"), each.alias("x"))
+    s = F.concat_ws(":", F.lit(str(seed)), F.col("subset").cast("string"))
+    place = F.row_number().over(Window.partitionBy("subset").orderBy(_draw(s, F.col("x.region")), "x.region"))
+    return rows.withColumn("place", place).where(F.col("place") <= F.pmod(_draw(s), F.lit(n + 1))).select("subset", "x.region")
+
+
+def guided_test_group(regions: DataFrame, target: float, tolerance: float, forced: list[str] = (), barred: list[str] = (), seed: int = 0, exhaustive: int = EXHAUSTIVE) -> DataFrame:
     """The subset of candidate regions whose share of population comes nearest to the band target +- tolerance (percent).
 
-    All subsets of at most ``most`` candidates are rows of bits; distance to the band counts first, then distance to the
-    target, fewer members, and the order of labels. regions: region, population.
+    Subsets are those of ``candidate_subsets`` and the forced regions alone. Distance to the band counts first, then distance to
+    the target, fewer members, and the order of labels. regions: region, population, a row for each region. A forced region that
+    isn't there leaves an empty group.
     """
-    total = regions.agg(F.sum("population").cast("double").alias("total"))
-    cand = regions.where(~F.col("region").isin(*barred, *forced) if (*barred, *forced) else F.lit(True))
-    w = Window.orderBy("region")
-    ranked = cand.select("region", "population", (F.row_number().over(w) - 1).alias("bit")).where(F.col("bit") < most)
-    arr = ranked.agg(F.array_sort(F.collect_list(F.struct("bit", "region", F.col("population").cast("double").alias("p")))).alias("a"), F.count("*").cast("int").alias("n"))
-    base = regions.where(F.col("region").isin(*forced) if forced else F.lit(False)).agg(F.coalesce(F.sum("population").cast("double"), F.lit(0.0)).alias("base"), F.array_sort(F.collect_list("region")).alias("forced"))
-    one = arr.join(F.broadcast(total)).join(F.broadcast(base))  # single rows
-    masks = one.select("a", "total", "base", "forced", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), "n").cast("int") - 1)).alias("mask"))
-    members = F.filter("a", lambda x: F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2), x["bit"])), F.lit(2)) == 1)
-    share = (F.col("base") + F.aggregate(F.col("m"), F.lit(0.0), lambda acc, x: acc + x["p"])) / F.col("total")
+    sizes = regions.groupBy("region").agg(F.sum("population").cast("double").alias("p"))
+    total = sizes.agg(F.sum("p").alias("total"))
+    known = [r["region"] for r in sizes.select("region").collect()]  # the regions of one experiment
+    if set(forced) - set(known):
+        return regions.sparkSession.createDataFrame([("", 0.0, False)], "test_group string, share double, met boolean")
+    picked = candidate_subsets(regions.sparkSession, [r for r in known if r not in {*forced, *barred}], seed, exhaustive)
+    fixed = sizes.where(F.col("region").isin(*forced) if forced else F.lit(False))
+    base = fixed.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("base"), F.array_sort(F.collect_list("region")).alias("forced"))
+    # populations add up in the order of labels, so that a share doesn't depend on the order of rows
+    groups = picked.join(F.broadcast(sizes), "region").groupBy("subset").agg(F.array_sort(F.collect_list(F.struct("region", "p"))).alias("m"))  # regions of one experiment
+    alone = regions.sparkSession.range(1).select(F.lit(-1).cast("long").alias("subset"), F.array().cast("array<struct<region:string,p:double>>").alias("m"))
+    scored = groups.unionByName(alone).join(F.broadcast(total)).join(F.broadcast(base))  # single rows
+    share = (F.col("base") + F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["p"])) / F.col("total")
     lo, hi = max(0.0, target - tolerance) / 100, min(100.0, target + tolerance) / 100
     band = F.when(F.col("share").between(lo, hi), 0.0).otherwise(F.least(F.abs(F.col("share") - lo), F.abs(F.col("share") - hi)))
-    scored = masks.select("forced", "mask", members.alias("m"), "total", "base").withColumn("share", share).withColumn("dist", band)
     label = F.array_sort(F.concat("forced", F.transform("m", lambda x: x["region"])))
-    return scored.select(label.alias("group"), "share", "dist", F.abs(F.col("share") - target / 100).alias("off")).orderBy("dist", "off", F.size("group"), "group").limit(1).select(F.array_join("group", ", ").alias("test_group"), "share", (F.col("dist") == 0).alias("met"))
+    out = scored.select(label.alias("group"), share.alias("share")).withColumn("dist", band)
+    return out.select("group", "share", "dist", F.abs(F.col("share") - target / 100).alias("off")).orderBy("dist", "off", F.size("group"), "group").limit(1).select(F.array_join("group", ", ").alias("test_group"), "share", (F.col("dist") == 0).alias("met"))
 
 
 def constraint_conflicts(fields: DataFrame) -> DataFrame:

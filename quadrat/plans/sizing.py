@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions import numeric
+from quadrat.operators.matching import EXHAUSTIVE, RANDOM_SUBSETS
 from quadrat.operators.power import counterfactual
 
 CANDIDATE = "share double, duration int, test_regions string, achieved_share double, rho double, power double, usable boolean, reason string"
@@ -18,14 +19,17 @@ def candidate_grid(spark: SparkSession, shares: list[float], durations: list[int
     return spark.createDataFrame([(float(s), int(d)) for s in shares for d in durations], "share double, duration int")
 
 
-def test_group(sizes: dict[str, float], share: float) -> list[str]:
-    """The set of regions whose size comes nearest to a share of all; at most 16 regions are tried in all subsets."""
+def test_group(sizes: dict[str, float], share: float, seed: int = 0) -> list[str]:
+    """The set of regions whose size comes nearest to a share of all: of all subsets of up to 16 regions, else of 2000 random ones."""
     names, total = sorted(sizes), sum(sizes.values())
-    p = np.array([sizes[n] for n in names])
-    masks = (np.arange(1, 2 ** min(len(names), 16) - 1)[:, None] >> np.arange(min(len(names), 16))) & 1
-    off = np.abs(masks @ p[: masks.shape[1]] / total - share)
-    members = masks.sum(1)
-    best = np.lexsort((np.arange(len(off)), members, np.round(off, 12)))[0]
+    p, n = np.array([sizes[k] for k in names]), len(sizes)
+    if n <= EXHAUSTIVE:
+        masks = (np.arange(1, 2**n - 1)[:, None] >> np.arange(n)) & 1
+    else:
+        rng = np.random.default_rng(seed)
+        masks = np.argsort(np.argsort(rng.random((RANDOM_SUBSETS, n)), 1), 1) < rng.integers(1, n, RANDOM_SUBSETS)[:, None]
+    off = np.abs(masks @ p / total - share)
+    best = np.lexsort((np.arange(len(off)), masks.sum(1), np.round(off, 12)))[0]
     return [names[k] for k in np.flatnonzero(masks[best])]
 
 

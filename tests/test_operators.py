@@ -157,3 +157,36 @@ def test_records():
         frozen.freeze()
     assert records.canonical_json({"b": {2, 1}, "a": float("inf")}) == '{"a":"Infinity","b":[1,2]}'
     assert [x[3] for x in records.planned_and_analysed({"a": 1, "b": 2, "c": 3}, {"b": 2, "c": 4, "d": 5})] == ["only_planned", "same", "changed", "only_analysed"]
+
+
+def test_guided_test_group_of_many_regions(spark):
+    """Of 40 candidates the stated random subsets are tried, and every candidate may be in the group."""
+    import hashlib
+
+    draw = lambda *x: int(hashlib.md5(":".join(map(str, x)).encode()).hexdigest()[:8], 16)
+    size = {f"r{k:02}": float(10 + k * k % 37) for k in range(42)}
+    names, total = [r for r in sorted(size) if r not in ("r00", "r41")], sum(size.values())
+    for seed in (0, 3):
+        tried = [sorted(sorted(names, key=lambda r: (draw(seed, s, r), r))[: draw(seed, s) % 41]) for s in range(2000)] + [[]]
+        scored = []
+        for g in tried:
+            share = size["r41"] + sum(size[r] for r in g)
+            share /= total
+            dist = 0.0 if 0.39 <= share <= 0.41 else min(abs(share - 0.39), abs(share - 0.41))
+            scored.append((dist, round(abs(share - 0.4), 12), len(g) + 1, sorted([*g, "r41"])))
+        df = spark.createDataFrame(list(size.items()), "region string, population double").repartition(5)
+        got = matching.guided_test_group(df, 40.0, 1.0, forced=["r41"], barred=["r00"], seed=seed).first()
+        assert got["test_group"] == ", ".join(min(scored)[3]) and got["met"]
+    assert any("r39" in g or "r40" in g for g in tried)
+    assert matching.guided_test_group(df, 40.0, 1.0, forced=["nowhere"]).first() == ("", 0.0, False)
+    few = matching.guided_test_group(df.where("region < 'r05'"), 50.0, 5.0).first()
+    assert few["met"] and "r00" in size
+
+
+def test_sized_groups_of_many_regions():
+    from quadrat.plans import sizing
+
+    size = {f"r{k:02}": float(10 + k * k % 37) for k in range(40)}
+    got = [sizing.test_group(size, s) for s in (0.1, 0.3, 0.5)]
+    assert all(abs(sum(size[r] for r in g) / sum(size.values()) - s) < 0.01 for g, s in zip(got, (0.1, 0.3, 0.5), strict=True))
+    assert got == [sizing.test_group(size, s) for s in (0.1, 0.3, 0.5)] and any(r > "r16" for g in got for r in g)
