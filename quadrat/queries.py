@@ -929,9 +929,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.orderBy("distance", "region").limit(10))
 
 
+def _all() -> None:
+    from quadrat import shaping_queries  # noqa: F401  registers its own, with helpers of this module
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
