@@ -9,7 +9,8 @@ their fixed checks always stay; the classifier decides on the other kinds. Every
 row: no text is shuffled.
 
 Defined results: a null text is an empty one, with no spans; repeated rows give repeated results; columns other than the id
-and the text are ignored, and may have any name; matches that fail their check are dropped and not tried again.
+and the text are ignored, and may have any name; matches that fail their check are dropped and not tried again; spans of
+different kinds may overlap, and all of them stay; texts and spans of any length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -222,7 +223,10 @@ def classifier(model: dict, kind: Column, inputs: list[Column]) -> Column:
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document its id and ``spans``: array of kind (name), s, e (code points, end exclusive), m (the text found), base."""
+    """Per document its id and ``spans``: array of kind (name), s, e (code points, end exclusive), base.
+
+    What was found is not in the result: the places say where it stands in the text.
+    """
     own = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     found = own.select("i", *(_matches(F.col("t"), k).alias(k) for k in KINDS))
     checked = [_checked(k) for k in KINDS]
@@ -230,9 +234,9 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 
     def with_votes(z: Column) -> Column:
         v, f = votes(z), features(z)
-        return F.struct(z["kind"].alias("kind"), z["s"].alias("s"), z["e"].alias("e"), z["m"].alias("m"), *(x.alias(f"v{n}") for n, x in enumerate(v)), *(x.alias(f"f{n}") for n, x in enumerate(f)))
+        return F.struct(z["kind"].alias("kind"), z["s"].alias("s"), z["e"].alias("e"), *(x.alias(f"v{n}") for n, x in enumerate(v)), *(x.alias(f"f{n}") for n, x in enumerate(f)))
 
-    spans = cut(judged.select("i", F.transform("z", with_votes).alias("z")), "spans")  # spans only, no text
+    spans = cut(judged.select("i", F.transform("z", with_votes).alias("z")), "spans")  # places and votes only: what was found is never written
     names = [f"v{n}" for n in range(3)] + [f"f{n}" for n in range(3)]
     counts = spans.select(F.explode("z").alias("z")).groupBy("z.kind", *(f"z.{x}" for x in names)).count().collect()  # bounded: kinds x votes x features
     rows = [(r["kind"], tuple(r[x] for x in names[:3]), tuple(r[x] for x in names[3:]), r["count"]) for r in counts]
@@ -247,7 +251,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
         return (z["kind"] < n_base) | (classifier(model, z["kind"], [z[x] for x in names]) >= 0)
 
     kinds = F.array(*map(F.lit, KINDS))
-    named = F.transform(F.filter("z", keep), lambda z: F.struct(F.get(kinds, z["kind"]).alias("kind"), z["s"].alias("s"), z["e"].alias("e"), z["m"].alias("m"), (z["kind"] < n_base).alias("base")))
+    named = F.transform(F.filter("z", keep), lambda z: F.struct(F.get(kinds, z["kind"]).alias("kind"), z["s"].alias("s"), z["e"].alias("e"), (z["kind"] < n_base).alias("base")))
     return spans.select(F.col("i").alias(id_col), named.alias("spans"))
 
 
