@@ -6,8 +6,9 @@ one Spark column expression, which scores all documents. The classifier is fitte
 labelled rows (``max_labelled``, those of the smallest hashed ids); statistics and scores are computed for every whole text.
 
 Defined results: a null text is an empty one, and gets a score too; rows that are labelled twice count once if they agree
-and not at all if they don't; with one class only, or none, every score is the prior; repeated rows give repeated results;
-columns other than the id and the text are ignored, and may have any name.
+and not at all if they don't; with one class only, or none, every score is the prior; repeated rows give repeated results,
+and the fit takes one row of each id, that of the smallest statistics; texts of any length are read whole; an empty table gives
+no rows; columns other than the id and the text are ignored, and may have any name.
 """
 
 from __future__ import annotations
@@ -214,7 +215,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, la
     own = agreed.where(~held_out("lid")).orderBy(F.xxhash64("lid"), "lid").limit(limit).select("lid", "y")
     marked = docs.join(F.broadcast(own), docs[id_col] == own["lid"])  # at most ``limit`` rows of two numbers
     stats = with_statistics(marked.select(F.col("lid").alias("i"), F.col(text).alias("t")), "i", "t")
-    rows = stats.join(F.broadcast(own), F.col("i") == F.col("lid")).select("lid", "y", *FEATURES).dropDuplicates(["lid"]).toPandas().sort_values("lid")
+    rows = stats.join(F.broadcast(own), F.col("i") == F.col("lid")).select("lid", "y", *FEATURES)
+    rows = rows.groupBy("lid").agg(F.min(F.struct("y", *FEATURES)).alias("x")).select("lid", "x.*").toPandas().sort_values("lid")
     return rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float)
 
 
