@@ -227,3 +227,30 @@ def test_licenses_of_several_tags():
     assert got[("MIT",)] == ("mit", True) and got[("MIT", "Proprietary-X")] == ("mit", None)
     assert got[("Proprietary-X", "GPL-3.0")] == ("gpl-3.0", False)
     assert got[("MIT OR Foo",)] == ("mit", True) and got[("MIT OR (Foo",)] == ("mit", None) and got[("MIT AND Foo",)] == ("mit", None)
+
+
+def test_what_was_found_is_not_written(spark):
+    """Neither the result nor any table on the way to it holds the text of a span."""
+    t = "mail private.person@example.org, password = hunter2hunter2hunter2"
+    docs = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    written = []
+    real = pii.cut
+    pii.cut = lambda df, what="cut": written.append(real(df, what)) or written[-1]
+    try:
+        found = pii.find_spans(docs)
+    finally:
+        pii.cut = real
+    assert written and found.first()["spans"]
+    for df in [*written, found]:
+        assert "private.person" not in str(df.collect()) and "hunter2" not in str(df.collect())
+
+
+def test_scores_do_not_depend_on_the_order_of_repeated_ids(spark):
+    texts = [f"some words of text number {k} " * (1 + k % 7) + "!" * (k % 3) for k in range(60)]
+    rows = [(k % 40, t) for k, t in enumerate(texts)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    one, other = (
+        sorted((r["doc_id"], r["score"]) for r in rule_ensemble.score_quality(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels).collect())
+        for x, n in ((rows, 1), (rows[::-1], 3))
+    )
+    assert one == other and len({s for _, s in one}) > 1
