@@ -471,10 +471,14 @@ def x1(spark, d):
     return power.align(weeks(spark, d), t, c, spine(spark, d)).select("date", "test_kpi", "n_controls", "complete")
 
 
-@query("x1_duplicate_gate", "SELECT 0::BIGINT AS n_keys, 0::BIGINT AS n_rows, false AS blocked")
+@query("x1_duplicate_gate", """WITH k AS (SELECT trim(r_name) AS region, o_orderdate AS date, COUNT(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2 HAVING COUNT(*) > 1)
+SELECT COUNT(*) AS n_keys, COALESCE(SUM(n), 0)::BIGINT AS n_rows, COUNT(*) > 0 AS blocked FROM k""")
 def x1b(spark, d):
+    """Single orders as a panel, which repeats the keys of busy days."""
     t, c = region_names(spark, d)
-    return power.duplicate_gate(weeks(spark, d), t + c)
+    own = sp.table(spark, d, "orders").join(sp.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    named = own.join(sp.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(sp.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return power.duplicate_gate(named.select(F.trim("r_name").alias("region"), F.col("o_orderdate").alias("date")), t + c)
 
 
 NULLS = f"""{FITTED}, nulls AS (SELECT uplift AS total FROM pw), crit AS (SELECT quantile_cont(total, 0.05) AS a, quantile_cont(total, 0.95) AS b, quantile_cont(total, 0.025) AS c, quantile_cont(total, 0.975) AS e FROM nulls)"""
