@@ -27,7 +27,7 @@ def test_stages(spark, sf_dir):
             assert {x.strip(" ").lower() for r in before.values() for x in r["text"].split("\n")} >= set(lines)
             assert all(re.search(r"\S", r["text"]) for r in after.values())
         if name == "ngram_join":
-            root = closure({k: shingles(r["text"]) for k, r in before.items()}, 90)
+            root = closure({k: five_words(r["text"]) for k, r in before.items()}, 80)
             assert set(after) == set(root.values()) and all(after[k] == before[k] for k in after)
         if name == "mixing":
             assert after == before
@@ -75,3 +75,28 @@ def test_lines_that_the_stage_keeps(spark, sf_dir):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "0L as n_chars")
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_repeated_lines(spark, docs, sf_dir).collect()}
     assert got == want and len(want) == 4
+
+
+def test_rows_of_the_join_stage(spark, sf_dir):
+    """Ids repeat with the same and with other texts, ids are null, and columns have the names that the stage might use."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(3, a), (20, a + " more"), (20, b), (20, b), (None, b + " end"), (None, None), (7, ""), (7, ""), (8, "one"), (9, "one"), (None, a)]
+    docs = spark.createDataFrame([(*r, "i", "t", 1, 2, "s", True) for r in rows], "doc_id long, text string, i string, t string, g int, v int, sig string, goes boolean")
+    got = corpus_pipeline.one_of_each_group(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in got.collect()) == sorted([(-1, b + " end"), (-1, ""), (7, ""), (7, ""), (8, "one"), (-1, a)])
+
+
+def test_odd_tables_pass_all_stages(spark, sf_dir):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, clashing names, and a table without rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, i string, t string, g int, v int, n long, line string, k int, kept boolean"
+    prose = "\n".join(table(spark, sf_dir, "documents").where("n_chars > 2000").orderBy("doc_id").first()["text"].split("\n"))
+    rest = ("x", "y", 1, 2, 3, "l", 4, True)
+    rows = [(1, prose, "en", "a", 5, *rest), (1, prose, "en", "a", 5, *rest), (1, prose + " tail", "en", None, 5, *rest), (None, prose[:900], None, "b", None, *[None] * 8), (None, None, None, None, None, *[None] * 8)]
+    rows += [(4, "", "en", "a", 0, *rest), (5, "x" * 300000, "en", "a", 0, *rest), (6, (prose + " ") * 40, "en", "a", 0, *rest)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = cut(stage(spark, docs, sf_dir), "test")
+            assert out.columns == [*docs.columns, *(["piece_ids"] if name == "sentence_pieces" else [])]
+            assert out.count() <= docs.count()
+            docs = out

@@ -75,13 +75,20 @@ def test_license_scan(docs, texts, empty):
     [("mit", 1.0), ("mit or gpl-3.0-only", 1.0), ("mit and gpl-3.0-only", 0.0), ("gpl-2.0+ with classpath-exception-2.0", 0.5), ("mit or gpl-2.0 and agpl-3.0", 1.0), ("(mit or gpl-2.0) and agpl-3.0", 0.0), ("unheard-of or mit", 1.0), ("unheard-of and mit", None)],
 )
 def test_expressions(expression, value):
-    assert license_scan.evaluate(license_scan.to_postfix(license_scan.expression_tokens(expression)))[0] == value
+    assert license_scan.evaluate(license_scan.to_postfix(license_scan.expression_tokens(expression))) == value
 
 
 @pytest.mark.parametrize("broken", ["", "and mit", "(mit", "mit)", "mit or", "()", "mit (gpl-2.0)"])
 def test_broken_expressions(broken):
     post = license_scan.to_postfix(license_scan.expression_tokens(broken))
-    assert post is None or license_scan.evaluate(post)[1] == ["mit"]
+    assert post is None or (broken, post, license_scan.evaluate(post)) == ("mit or", ["mit"], 1.0)
+
+
+@pytest.mark.parametrize(("line", "labels", "permissive"), [("mit or", "mit", True), ("(mit", "mit", None), ("MIT AND GPL-3.0-only", "gpl-3.0,mit", False), ("(GPL-2.0+ OR MIT) AND ISC", "gpl-2.0,isc,mit", True)])
+def test_labels_of_tags(line, labels, permissive):
+    """Also of an expression that cannot be read whole."""
+    got = dict(zip(license_scan.NAMES, license_scan.scan(f"a\n# SPDX-License-Identifier: {line}\nb", *license_scan.automata()), strict=True))
+    assert (got["labels"], got["permissive"]) == (labels, permissive)
 
 
 def luhn(digits):
