@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,20 @@ def in_batches(df: DataFrame, most: str = "4m") -> DataFrame:
     return df
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: str = "4m", records: int | None = None):
+    """Within it, jobs pass rows to Python in batches of at most so many bytes and records; the session's settings come back after."""
+    names = {"spark.sql.execution.arrow.maxBytesPerBatch": most} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(records)} if records else {})
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -62,3 +77,14 @@ def slices(batches, rows: int = 256):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def word_pieces(data: bytes, carry: int, size: int = 1 << 20):
+    """Lists of the words of bytes between single-byte space, each of about ``size`` bytes, with how many words of the list before it begin it."""
+    at, last = 0, []
+    while at < len(data):
+        to = data.find(b" ", at + size)
+        to = len(data) if to < 0 else to
+        words = data[at:to].split()
+        yield last + words, len(last)
+        last, at = (last + words)[-carry:], to

@@ -54,4 +54,49 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM reac
 SELECT w.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, c AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, MIN(y) AS c FROM reach GROUP BY 1) USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op5_warc": OP5, "op6_topk_search": OP6, "op9_ngram_join": OP9}
+
+def _crc(of: str, longest: str) -> str:
+    """Named tables that end in crc(x, h): the crc32 of every text x of the table ``of``, as one sum of what each byte adds at its distance from the end."""
+    return f"""
+byte_steps AS (SELECT b, 0 AS k, b::UBIGINT AS v FROM range(256) AS r(b) UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM byte_steps WHERE k < 8),
+byte_table AS (SELECT list(v ORDER BY b) AS t FROM byte_steps WHERE k = 8),
+at_end AS (SELECT b, 0 AS k, v FROM byte_steps WHERE k = 8 UNION ALL SELECT b, k + 1, xor(v >> 8, t[(v & 255)::BIGINT + 1]) FROM at_end, byte_table WHERE k < {longest}),
+adds AS MATERIALIZED (SELECT k, v, printf('%02X', b) AS hx FROM at_end),
+starts AS (SELECT 0 AS n, 4294967295::UBIGINT AS s UNION ALL SELECT n + 1, xor(s >> 8, t[(s & 255)::BIGINT + 1]) FROM starts, byte_table WHERE n <= {longest}),
+bytes AS (SELECT x, n, substr(hx, 2 * i + 1, 2) AS hx, n - 1 - i AS k FROM (SELECT x, n, hx, UNNEST(range(n)) AS i FROM (SELECT x, strlen(x) AS n, hex(encode(x)) AS hx FROM {of}))),
+crc AS (SELECT x, xor(4294967295::UBIGINT, xor(ANY_VALUE(s), bit_xor(v))) AS h FROM bytes JOIN adds USING (k, hx) JOIN starts USING (n) GROUP BY x)"""
+
+
+_LOWERED = "translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, w, COUNT(*) AS n FROM (SELECT doc_id, UNNEST(regexp_extract_all({_LOWERED}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents) GROUP BY 1, 2),
+keys AS (SELECT doc_id, w, n, doc_id || ':' || w AS x FROM runs), longest AS (SELECT max(strlen(x)) AS m FROM keys), texts AS (SELECT DISTINCT x FROM keys), {_crc("texts", "(SELECT m FROM longest)")},
+noisy AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS w FROM keys JOIN crc USING (x)),
+v AS MATERIALIZED (SELECT w, SUM(n)::BIGINT AS n FROM noisy WHERE length(w) >= 6 GROUP BY 1 HAVING SUM(n) >= 5),
+cut AS MATERIALIZED (SELECT w, n, p, substr(w, 1, p) || substr(w, p + 2) AS c FROM (SELECT w, n, UNNEST(range(length(w))) AS p FROM v)),
+near AS (SELECT a.w, b.w AS u, b.n AS m FROM cut AS a JOIN cut AS b ON a.c = b.c AND a.p = b.p AND a.w <> b.w UNION SELECT a.w, b.w, b.n FROM cut AS a JOIN v AS b ON a.c = b.w UNION SELECT b.w, a.w, a.n FROM cut AS a JOIN v AS b ON a.c = b.w),
+best AS (SELECT w, COUNT(*) AS k, MIN((-m, u)) AS x FROM near GROUP BY 1),
+formed AS MATERIALIZED (SELECT v.w, v.n, COALESCE(k, 0)::BIGINT AS k, CASE WHEN -x[1] >= 5 * v.n THEN x[2] END AS form, CASE WHEN -x[1] >= 5 * v.n THEN -x[1] END AS form_n FROM v LEFT JOIN best USING (w)),
+path AS (SELECT w, w AS r FROM formed UNION ALL SELECT path.w, f.form FROM path JOIN formed AS f ON f.w = path.r WHERE f.form IS NOT NULL),
+ends AS (SELECT path.w, path.r FROM path JOIN formed AS f ON f.w = path.r WHERE f.form IS NULL)
+SELECT w AS word, form, r AS root, n, k AS n_near, form_n::BIGINT AS form_n FROM formed JOIN ends USING (w)
+"""
+
+_GRAM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+OP12 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWERED}, '{_GRAM}') AS ws FROM documents),
+b AS (SELECT -row_number() OVER () AS row, regexp_extract_all({_LOWERED}, '{_GRAM}') AS ws FROM benchmark), both_ AS (SELECT row, ws FROM d UNION ALL SELECT row, ws FROM b),
+f AS MATERIALIZED (SELECT row, x, COUNT(*) AS n FROM (SELECT row, array_to_string(ws[k:k + r], ' ') AS x FROM (SELECT row, ws, r, UNNEST(range(1, len(ws) - r + 1)) AS k FROM both_, range(3) AS s(r) WHERE len(ws) > r)) GROUP BY 1, 2),
+longest AS (SELECT max(strlen(x)) AS m FROM f), texts AS (SELECT DISTINCT x FROM f), {_crc("texts", "(SELECT m FROM longest)")},
+p AS MATERIALIZED (SELECT row, h % 10000 AS bucket, SUM(n) AS n FROM f JOIN crc USING (x) GROUP BY 1, 2),
+c AS (SELECT bucket, COALESCE(SUM(n) FILTER (row > 0), 0)::DOUBLE AS s, COALESCE(SUM(n) FILTER (row < 0), 0)::DOUBLE AS t FROM p GROUP BY 1), sums AS (SELECT SUM(s) AS ss, SUM(t) AS tt FROM c),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000)))) AS gain FROM c, sums),
+w AS (SELECT row, SUM(n)::BIGINT AS n_features, SUM(n * gain)::BIGINT AS weight FROM p JOIN g USING (bucket) WHERE row > 0 GROUP BY 1),
+e AS (SELECT doc_id, len(ws) AS n_words, COALESCE(n_features, 0)::BIGINT AS n_features, COALESCE(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (row)),
+sc AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM e),
+o AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS k, COUNT(*) FILTER (n_words >= 20) OVER () AS total FROM sc)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 5 * total // 100 THEN k END AS rank FROM o
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op5_warc": OP5, "op6_topk_search": OP6, "op9_ngram_join": OP9, "op11_spelling_variants": OP11, "op12_importance_resampling": OP12}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.llm.common import table
+from quadrat.llm.importance_resampling import resample
 from quadrat.llm.license_scan import license_scan
 from quadrat.llm.line_dedup import dedup_lines
 from quadrat.llm.mixing import mix
@@ -16,6 +17,8 @@ from quadrat.llm.pii import find_spans, span_report
 from quadrat.llm.quality_rules import quality_rules
 from quadrat.llm.rule_ensemble import score_quality
 from quadrat.llm.sentence_pieces import Pieces, decode, encode
+from quadrat.llm.simhash_anchors import simhash_components
+from quadrat.llm.spelling_variants import variants
 from quadrat.llm.topk_search import integer_vectors, top_k
 from quadrat.llm.warc import archive_pages, base32_sha1
 
@@ -66,6 +69,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_report(find_spans(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
