@@ -44,6 +44,8 @@ BITS = 64
 LAYOUTS = {"thirds": ((15, 7), (15, 6), (15, 6)), "halves": ((31, 1), (31, 1))}
 #: Residents of one anchor that a task holds at most.
 RESIDENTS = 1 << 17
+#: A fingerprint that more than one in so many rows have meets its component in a broadcast.
+HOT = 1000
 #: Seconds that a copy takes to shuffle and a comparison takes, of which only the ratio counts.
 COPY_COST, COMPARE_COST = 2e-6, 4e-9
 #: A-Z become lower-case and the six characters that part words a space.
@@ -260,12 +262,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     own = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t"))
     with arrow_batches(docs.sparkSession):
         rows = cut(fingerprints(own), "fingerprints")
-    nodes = cut(rows.groupBy("f").agg(F.min("i").alias("least")), "nodes")
+    nodes = cut(rows.groupBy("f").agg(F.min("i").alias("least"), F.count("*").alias("n")), "nodes")
     links = near_links(nodes.select("f"), layout, distance, most)
     comp = components(links).select(F.col("node").alias("f"), F.col("component").alias("c"))
     named = nodes.join(comp, "f").select("f", "c", "least")
     least = named.groupBy("c").agg(F.min("least").alias("first"))
     moved = named.join(least, "c").select(F.col("f").alias("g"), "first")
-    known = nodes.join(moved, nodes["f"] == moved["g"], "left").select(F.col("f").alias("g"), F.coalesce("first", "least").alias("component_id"))
-    out = rows.join(known, rows["f"] == known["g"])
+    known = nodes.join(moved, nodes["f"] == moved["g"], "left").select(F.col("f").alias("g"), "n", F.coalesce("first", "least").alias("component_id"))
+    known = cut(known, "known")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    hot = known.where(F.col("n") * HOT > total)  # fewer than HOT rows
+    both = rows.join(F.broadcast(hot.select("g", F.lit(True).alias("is_hot"), "component_id")), rows["f"] == F.col("g"), "left").drop("g")
+    cold = both.where("is_hot is null").drop("component_id").join(known.select("g", "component_id"), F.col("f") == F.col("g"))
+    out = both.where("is_hot").select("i", "f", "component_id").unionByName(cold.select("i", "f", "component_id"))
     return out.select(F.col("i").alias(id_col), hex_of(F.col("f")).alias("fingerprint"), "component_id")
