@@ -4,8 +4,10 @@ A line is a part of a text between line feeds that has a visible character; it i
 its ends. Its set holds the ``SHINGLE`` characters that begin at each of its places; a shorter line is its own and only
 shingle. The ``KEEP`` smallest hashes of the set are its bottom-k MinHash signature, and each ``ROWS`` neighbours in it make a
 band. Lines that share a band and ``COMMON`` of their signature are candidates, which misses about one in forty of the
-pairs at the threshold and one in a thousand at 0.9; the exact Jaccard similarity of their whole sets decides, and one line
-of every component stays, that of the smallest (document, place).
+pairs at the threshold and one in a thousand at 0.9. Sets of up to ``SHORT`` shingles are also known by each of their
+smallest hashes, as many as a similar set cannot all lack, so that no pair of two short lines is missed; a similar pair of a
+short and a longer line has bands. The exact Jaccard similarity of whole sets decides, and one line of every component stays,
+that of the smallest (document, place).
 
 Equal lines are one node from the start, told apart by 128 bits and counted with a combine before the shuffle. A band's pivot
 is its line of most copies. Each node is first compared with the pivot whose signature is most like its own: one comparison a
@@ -33,6 +35,8 @@ SIMILARITY_PERCENT = 80
 #: Shingles in a signature, and in a band.
 KEEP = 12
 ROWS = 3
+#: Sets of up to so many shingles stand in their signature whole; a set beyond is similar to none below KEEP.
+SHORT = 13
 #: Shingles that two whole signatures must have in common; of two hundred pairs at the threshold one may have fewer.
 COMMON = 6
 #: Of more hashes than the first number, those below a share of all values are looked at first.
@@ -58,23 +62,26 @@ def shingle_set(s: Column) -> Column:
 
 
 def signature(s: Column) -> Column:
-    """The ``KEEP`` smallest of a line's distinct shingle hashes, sorted."""
+    """The ``SHORT + 1`` smallest of a line's distinct shingle hashes, sorted: the whole set of a short line, and its size with it."""
 
     def least(hashes: Column) -> Column:
         few = hashes
         for size, share in reversed(SHARES):
             bound = F.lit(int(-(2**63) + share * 2**64))
             few = F.when(F.size(hashes) > size, F.filter(hashes, lambda x, bound=bound: x < bound)).otherwise(few)
-        enough_few = F.transform(F.array(F.array_distinct(few)), lambda f: F.when(F.size(f) >= KEEP, f).otherwise(F.array_distinct(hashes)))[0]
-        return F.slice(F.sort_array(enough_few), 1, KEEP)
+        enough_few = F.transform(F.array(F.array_distinct(few)), lambda f: F.when(F.size(f) > SHORT, f).otherwise(F.array_distinct(hashes)))[0]
+        return F.slice(F.sort_array(enough_few), 1, SHORT + 1)
 
     return F.transform(F.array(shingle_hashes(s)), least)[0]
 
 
-def band_keys(sig: Column) -> Column:
-    """A key for each ``ROWS`` neighbours of a signature; a shorter signature is its own key."""
-    keys = F.array(*(F.xxhash64(*(F.get(sig, k + j) for j in range(ROWS))) for k in range(KEEP - ROWS + 1)))
-    return F.slice(keys, 1, F.greatest(F.size(sig) - ROWS + 1, F.lit(1)))
+def band_keys(sig: Column, percent: int = SIMILARITY_PERCENT) -> Column:
+    """A key for each ``ROWS`` neighbours of a set's ``KEEP`` smallest hashes; of a short set a key for each of the smallest
+    n - ceil(n * percent / 100) + 1, one of which every similar set has among its own as many."""
+    n = F.size(sig)
+    bands = F.array(*(F.xxhash64(*(F.get(sig, k + j) for j in range(ROWS))) for k in range(KEEP - ROWS + 1)))
+    prefix = F.transform(F.slice(sig, 1, n - F.ceil(n * percent / 100).cast("int") + 1), lambda h: F.xxhash64(h, F.lit(-1)))
+    return F.when(n < KEEP, prefix).when(n <= SHORT, F.array_union(bands, prefix)).otherwise(bands)
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
@@ -105,12 +112,12 @@ def node_code() -> Column:
     return F.shiftleft(F.least(F.floor(F.log2("n")), F.lit(31)).cast("long"), 58) + F.shiftrightunsigned(F.xxhash64("v"), 6)
 
 
-def band_members(lines: DataFrame) -> DataFrame:
+def band_members(lines: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """g, v, code, top: the nodes of every band that has several, and the code of its pivot, that of the largest.
 
     Should two nodes have one code, both are taken for it.
     """
-    keys = lines.select(F.explode(band_keys(F.col("sig"))).alias("g"), "v", node_code().alias("code"))
+    keys = lines.select(F.explode(band_keys(F.col("sig"), percent)).alias("g"), "v", node_code().alias("code"))
     tops = keys.groupBy("g").agg(F.max("code").alias("top"), F.min("code").alias("low")).where("top != low").select("g", "top")
     return keys.join(tops.hint("shuffle_hash"), "g").select("g", "v", "code", "top")
 
@@ -127,11 +134,15 @@ def enough(inter: Column, sizes: Column, percent: int) -> Column:
     return 100 * inter >= percent * (sizes - inter)
 
 
+def common(sig: Column, other: Column) -> Column:
+    return F.size(F.array_intersect(F.slice(sig, 1, KEEP), F.slice(other, 1, KEEP)))
+
+
 def likely(sig: Column, other: Column, percent: int) -> Column:
     """Whether signatures leave a similarity of ``percent`` possible: exactly for whole sets, by ``COMMON`` for parts of sets."""
-    n, m, both = F.size(sig), F.size(other), F.size(F.array_intersect(sig, other))
-    whole = (n < KEEP) & (m < KEEP)
-    return F.when(whole, enough(both, n + m, percent)).otherwise(both >= COMMON * percent // 80)
+    n, m = F.size(sig), F.size(other)
+    whole = (n <= SHORT) & (m <= SHORT)
+    return F.when(whole, enough(F.size(F.array_intersect(sig, other)), n + m, percent)).otherwise(common(sig, other) >= COMMON * percent // 80)
 
 
 def similar(pairs: DataFrame, texts: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -157,7 +168,7 @@ def pivot_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     own = pairs.join(nodes.select("v", "sig"), "v")
     both = own.join(nodes.select(F.col("v").alias("w"), F.col("code").alias("top"), F.col("sig").alias("other")), "top")
     good = both.where((F.col("v") != F.col("w")) & likely(F.col("sig"), F.col("other"), percent))
-    best = good.groupBy("v").agg(F.max(F.struct(F.size(F.array_intersect("sig", "other")).alias("n"), "w")).alias("x"))
+    best = good.groupBy("v").agg(F.max(F.struct(common(F.col("sig"), F.col("other")).alias("n"), "w")).alias("x"))
     return best.select(F.col("v").alias("a"), F.col("x.w").alias("b"))
 
 
@@ -171,7 +182,9 @@ def open_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     own = members.join(mixed, "g").join(nodes.select("v", "sig", mark.alias("mark")), "v")
     left = own.select("g", "v", "c", "sig", "mark", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"))
     right = own.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("v").alias("w"), F.col("c").alias("d"), F.col("sig").alias("other"), F.col("mark").alias("mark_w"))
-    some = F.bit_count(F.col("mark").bitwiseAND(F.col("mark_w"))) >= F.least(F.lit(COMMON * percent // 80 - 1), F.size("sig"), F.size("other"))  # cheap, and true for all that are alike
+    n = F.size("sig")
+    fewest = F.least(F.lit(COMMON * percent // 80 - 2), F.bit_count("mark") - (n - F.ceil(n * percent / 100)))  # also where hashes share a bit
+    some = F.bit_count(F.col("mark").bitwiseAND(F.col("mark_w"))) >= fewest  # cheap
     apart = (F.col("v") > F.col("w")) & (F.col("c") != F.col("d")) & some & likely(F.col("sig"), F.col("other"), percent)
     return left.join(right, (left["g"] == right["g"]) & (left["block"] == right["block"]) & apart).select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
 
@@ -182,7 +195,7 @@ def _labelled(rows: DataFrame, comp: DataFrame, node: str = "v", label: str = "c
 
 def line_components(docs: DataFrame, lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """node, component of all nodes that have a similar one in a band; and v, i, p of the nodes of all bands."""
-    members = cut(band_members(lines), "bands")
+    members = cut(band_members(lines, percent), "bands")
     nodes = cut(members.select("v", "code").distinct().join(lines.select("v", "i", "p", "sig"), "v"), "nodes")
 
     def links(pairs: DataFrame) -> DataFrame:

@@ -306,3 +306,21 @@ def test_rows_that_repeat_an_id(spark):
     got = {r["i"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, i string")).collect()}
     kept = [sum("second" in got[k] for k in keys) for keys in ("xy", "z", "w")]
     assert got["x"] == got["y"] and kept[0] % 2 == 0 and kept[0] // 2 + kept[1] == 1 and kept[2] == 0 and got["w"] == "\n only here"
+
+
+@pytest.mark.parametrize(("shortest", "longest", "least"), [(10, 22, 1.0), (23, 40, 0.9), (41, 200, 0.9)])
+def test_recall_by_length(spark, shortest, longest, least):
+    """Of pairs of like lines the second goes: all of them, where both are short."""
+    rng = np.random.default_rng(shortest)
+    letters = np.array(list("abcdefghij klmnop"))
+    rows = []
+    while len(rows) < 800:
+        a = "z" + "".join(rng.choice(letters, rng.integers(shortest, longest + 1) - 2)) + "z"
+        k = int(rng.integers(0, len(a)))
+        b = rng.choice([a + "x", "x" + a, a[:k] + "#" + a[k:] + "#", a[:-1]])
+        x, y = every_shingle(a), every_shingle(str(b))
+        if 100 * len(x & y) >= 80 * len(x | y) and len(b) <= longest:
+            rows += [(len(rows), a), (len(rows) + 1, str(b))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == t for k, t in rows[::2])
+    assert sum(got[k] == "" for k, _ in rows[1::2]) >= least * len(rows) / 2
