@@ -12,7 +12,8 @@ that of the smallest (document, place).
 Equal lines are one node from the start, told apart by 128 bits and counted with a combine before the shuffle. A band's pivot
 is its line of most copies. Each node is first compared with the pivot whose signature is most like its own: one comparison a
 node, however large the bands are. In bands that then still hold several components, nodes of different ones are compared by
-their signatures, in blocks that emit the few pairs whose sets are to be compared. No pair is left out. Only documents that hold
+their signatures and by 512 bits of their sets, which bound the similarity, in blocks that emit the few pairs whose sets are to be
+compared. No such pair is left out. Only documents that hold
 a candidate, and later those that may lose a line, are shuffled: a bit map of fixed size tells which.
 
 Defined results: a null text stays null; lines without a visible character are kept and never compared; a document whose
@@ -24,6 +25,8 @@ have any name that doesn't begin with ``quadrat_``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +47,10 @@ SHARES = ((8192, 2.0**-8), (1024, 2.0**-5), (128, 2.0**-2))
 #: Partners of a line in one comparison of sets.
 PARTNERS = 16
 #: Members of a divided band that one task compares with all others.
-BLOCK = 512
+BLOCK = 2048
+#: Longs of bits that stand for a line's set, and shingles that they take.
+WORDS = 8
+SAMPLED = 256
 #: Bits of the map of documents that may hold a candidate: 8 MB.
 MAP_BITS = 1 << 26
 _PER_ROW = 32768
@@ -172,21 +178,60 @@ def pivot_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return best.select(F.col("v").alias("a"), F.col("x.w").alias("b"))
 
 
-def open_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of a band's nodes (g, v, c) that are in different components and have like signatures.
+def set_bits(texts: DataFrame) -> DataFrame:
+    """v, n, k and the longs b0, b1, ...: the size of each line's set, and ``WORDS`` x 64 bits of which every shingle sets one.
 
-    Blocks of a band's nodes meet all its others within the join, which emits the few pairs that its condition leaves.
+    Of a set of more than ``SAMPLED`` shingles those of the smallest 2^-k of all hash values count, about as many.
     """
+    n = F.size("hs")
+    k = F.greatest(F.ceil(F.log2(n / SAMPLED)), F.lit(0)).cast("int")
+    some = F.when(F.col("k") == 0, F.col("hs")).otherwise(F.filter("hs", lambda h: F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 32) < F.pow(F.lit(2.0), 32 - F.col("k"))))
+    rows = texts.select("v", shingle_set(F.col("s")).alias("hs")).withColumn("n", n).withColumn("k", k).select("v", "n", "k", some.alias("hs"))
+
+    def word(j: int) -> Column:
+        own = F.filter("hs", lambda h: F.call_function("shiftright", h, F.lit(6)).bitwiseAND(F.lit(WORDS - 1)) == j)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return rows.select("v", "n", "k", *(word(j).alias(f"b{j}") for j in range(WORDS)))
+
+
+def may_reach(percent: int) -> Column:
+    """Whether bits leave a similarity of ``percent`` possible between a line and the line of the columns other_n, other_k, other_b0, ...
+
+    A shingle whose bit the other set hasn't is not in it, and similar sets lack few of each other's shingles: certain for whole
+    sets; of samples four standard deviations more are left. Samples of different shares aren't compared.
+    """
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("other_n")) / (100 + percent))
+
+    def lacks(own: str, other: str, size: Column) -> Column:
+        missing = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{own}b{j}").bitwiseAND(F.bitwise_not(F.col(f"{other}b{j}")))) for j in range(WORDS)))
+        most = (size - need) / F.pow(F.lit(2.0), F.col("k"))
+        return missing <= most + F.when(F.col("k") == 0, 0.0).otherwise(4 * F.sqrt(F.greatest(most, F.lit(0.0))) + 4)
+
+    return (F.least("n", "other_n") >= need) & ((F.col("k") != F.col("other_k")) | lacks("", "other_", F.col("n")) & lacks("other_", "", F.col("other_n")))
+
+
+def mixed_members(members: DataFrame) -> DataFrame:
+    """g, v, c, blocks: the nodes (g, v, c) of bands that hold several components."""
     mixed = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("g", "blocks")
+    return members.join(mixed, "g")
+
+
+def open_pairs(mixed: DataFrame, nodes: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of a band's nodes (g, v, c, blocks) that are in different components and have like signatures and bits.
+
+    Blocks of a band's nodes meet all its others within the join, which emits the few pairs that its condition leaves.
+    """
     mark = F.aggregate("sig", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
-    own = members.join(mixed, "g").join(nodes.select("v", "sig", mark.alias("mark")), "v")
-    left = own.select("g", "v", "c", "sig", "mark", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"))
-    right = own.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("v").alias("w"), F.col("c").alias("d"), F.col("sig").alias("other"), F.col("mark").alias("mark_w"))
+    own = mixed.join(nodes.select("v", "sig", mark.alias("mark")), "v").join(bits, "v")
+    left = own.select("*", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"))
+    names = {"v": "w", "c": "d", "sig": "other", "mark": "mark_w"} | {x: f"other_{x}" for x in ("n", "k", *(f"b{j}" for j in range(WORDS)))}
+    right = own.select(F.col("g").alias("h"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), *(F.col(x).alias(y) for x, y in names.items()))
     n = F.size("sig")
     fewest = F.least(F.lit(COMMON * percent // 80 - 2), F.bit_count("mark") - (n - F.ceil(n * percent / 100)))  # also where hashes share a bit
     some = F.bit_count(F.col("mark").bitwiseAND(F.col("mark_w"))) >= fewest  # cheap
-    apart = (F.col("v") > F.col("w")) & (F.col("c") != F.col("d")) & some & likely(F.col("sig"), F.col("other"), percent)
-    return left.join(right, (left["g"] == right["g"]) & (left["block"] == right["block"]) & apart).select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
+    apart = (F.col("v") > F.col("w")) & (F.col("c") != F.col("d")) & some & may_reach(percent) & likely(F.col("sig"), F.col("other"), percent)
+    return left.join(right, (F.col("g") == F.col("h")) & (F.col("block") == F.col("at")) & apart).select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
 
 
 def _labelled(rows: DataFrame, comp: DataFrame, node: str = "v", label: str = "c") -> DataFrame:
@@ -204,7 +249,11 @@ def line_components(docs: DataFrame, lines: DataFrame, percent: int) -> tuple[Da
 
     found = links(cut(pivot_pairs(members, nodes, percent), "pairs"))
     comp = cut(components(found), "components")
-    pairs = cut(open_pairs(_labelled(members.select("g", "v"), comp), nodes, percent), "pairs")
+    mixed = cut(mixed_members(_labelled(members.select("g", "v"), comp)), "mixed")
+    if mixed.isEmpty():
+        return comp, nodes
+    bits = cut(set_bits(candidate_lines(docs, nodes.join(mixed.select("v").distinct(), "v", "left_semi"))), "bits")
+    pairs = cut(open_pairs(mixed, nodes, bits, percent), "pairs")
     if pairs.isEmpty():
         return comp, nodes
     more = _labelled(_labelled(links(pairs), comp, "a", "ca"), comp, "b", "cb").select("ca", "cb").where("ca != cb").distinct()
