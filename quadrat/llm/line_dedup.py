@@ -12,7 +12,7 @@ that of the smallest (document, place).
 Equal lines are one node from the start, told apart by 128 bits and counted with a combine before the shuffle. A band's pivot
 is its line of most copies. Each node is first compared with the pivot whose signature is most like its own: one comparison a
 node, however large the bands are. In bands that then still hold several components, nodes of different ones are compared by
-their signatures and by 512 bits of their sets, which bound the similarity, in blocks that emit the few pairs whose sets are to be
+their signatures and by 1,024 bits of their sets, which bound the similarity, in blocks that emit the few pairs whose sets are to be
 compared. No such pair is left out. Only documents that hold
 a candidate, and later those that may lose a line, are shuffled: a bit map of fixed size tells which.
 
@@ -49,8 +49,8 @@ PARTNERS = 16
 #: Members of a divided band that one task compares with all others.
 BLOCK = 2048
 #: Longs of bits that stand for a line's set, and shingles that they take.
-WORDS = 8
-SAMPLED = 256
+WORDS = 16
+SAMPLED = 512
 #: Bits of the map of documents that may hold a candidate: 8 MB.
 MAP_BITS = 1 << 26
 _PER_ROW = 32768
