@@ -35,13 +35,98 @@ def descend(gram: np.ndarray, xy: np.ndarray, n: int, alpha: float, l1: float, w
     return w
 
 
-def penalty_path(x: np.ndarray, y: np.ndarray, alphas: np.ndarray, l1: float) -> np.ndarray:
-    """Coefficients of each alpha, of centred data."""
-    gram, xy, w, out = x.T @ x, x.T @ y, np.zeros(x.shape[1]), []
-    for a in alphas:
-        w = descend(gram, xy, len(y), a, l1, w)
-        out.append(w)
-    return np.array(out)
+def descend_all(gram: np.ndarray, xy: np.ndarray, n: np.ndarray, alpha: np.ndarray, l1: np.ndarray, tol: float = 1e-7, most: int = 2000) -> np.ndarray:
+    """``descend`` for many problems at once, a row each: gram (k, p, p), xy (k, p), and n, alpha and l1 (k). Rows that have settled rest."""
+    k, p = xy.shape
+    w, open_ = np.zeros((k, p)), np.arange(k)
+    g, c, a, r = gram / n[:, None, None], xy / n[:, None], alpha * l1, alpha * (1 - l1)
+    d = np.einsum("kjj->kj", g) + r[:, None]
+    safe = np.where(d > 0, d, 1.0)
+    for _ in range(most):
+        if not len(open_):
+            break
+        v, move = w[open_], np.zeros(len(open_))
+        for j in range(p):
+            z = c[open_, j] - np.einsum("kp,kp->k", g[open_, j], v) + g[open_, j, j] * v[:, j]
+            new = np.where(d[open_, j] > 0, np.sign(z) * np.maximum(np.abs(z) - a[open_], 0.0) / safe[open_, j], 0.0)
+            move = np.maximum(move, np.abs(new - v[:, j]) * np.sqrt(np.maximum(d[open_, j], 0)))
+            v[:, j] = new
+        w[open_] = v
+        open_ = open_[move >= tol * (1 + np.abs(v).max(1, initial=0))]
+    return w
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Sums over rows of [1, x, y] and its products: all that a fit and its errors need. Differences of prefixes are segments."""
+
+    gram: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray) -> Moments:
+        a = np.column_stack([np.ones(len(y)), x, y])
+        return cls(a.T @ a)
+
+    def __sub__(self, other: Moments) -> Moments:
+        return Moments(self.gram - other.gram)
+
+    @property
+    def n(self) -> int:
+        return round(self.gram[0, 0])
+
+    @property
+    def mean(self) -> np.ndarray:
+        return self.gram[0, 1:] / self.gram[0, 0]
+
+    @property
+    def centred(self) -> np.ndarray:
+        return self.gram[1:, 1:] - np.outer(self.gram[0, 1:], self.gram[0, 1:]) / self.gram[0, 0]
+
+    def squared_errors(self, intercept: np.ndarray, coef: np.ndarray) -> np.ndarray:
+        """Sum of squared errors of predictions intercept + x coef, for many of them."""
+        c = np.column_stack([intercept, coef, -np.ones(len(intercept))])
+        return np.einsum("ki,ij,kj->k", c, self.gram, c)
+
+
+def split_positions(n: int, preferred_splits: int) -> list[int]:
+    """Where the cross-validation of ``n`` rows needs prefixes: the ends of its expanding training sets, and n."""
+    splits = max(2, min(preferred_splits, n // 3)) if n >= 6 else 0
+    size = n // (splits + 1)
+    return [n - (splits - k) * size for k in range(splits)] + [n]
+
+
+def fit_moments(method: str, prefixes: list[Moments], unit: float = 1.0) -> Fit:
+    """Elastic net or lasso from the moments of the prefixes that ``split_positions`` names; the last is of all rows.
+
+    ``unit`` is what one of y stands for: penalties are those of y in its own units.
+    """
+    whole = prefixes[-1]
+    n, p = whole.n, whole.gram.shape[0] - 2
+    scale = np.sqrt(np.maximum(np.diag(whole.centred)[:p] / n, 0.0))
+    scale = np.where(scale > 1e-12 * np.maximum(1.0, np.abs(whole.mean[:p])), scale, 1.0)
+
+    def scaled(m: Moments) -> tuple[np.ndarray, np.ndarray]:
+        c = m.centred
+        return c[:p, :p] / np.outer(scale, scale), c[:p, p] / scale * unit
+
+    if n < 6:
+        alpha, l1, cv = 1.0, 1.0 if method == "lasso" else 0.5, False
+    else:
+        alphas, ratios = alpha_grid(N_ALPHAS[method]), np.array(L1_RATIOS[method])
+        a, r = np.tile(alphas, len(ratios)), np.repeat(ratios, len(alphas))
+        train, test = prefixes[:-1], [prefixes[k + 1] - prefixes[k] for k in range(len(prefixes) - 1)]
+        grams, xys, ns = zip(*((*scaled(m), m.n) for m in train), strict=True)
+        k = len(a)
+        w = descend_all(np.repeat(grams, k, 0), np.repeat(xys, k, 0), np.repeat(ns, k).astype(float), np.tile(a, len(train)), np.tile(r, len(train)))
+        errors = np.zeros(k)
+        for m, t, own in zip(train, test, w.reshape(len(train), k, p), strict=True):
+            coef = own / scale / unit
+            errors += t.squared_errors(m.mean[p] - coef @ m.mean[:p], coef) / t.n / len(train)
+        best = int(np.argmin(errors))
+        alpha, l1, cv = a[best], r[best], True
+    gram, xy = scaled(whole)
+    w = descend(gram, xy, n, alpha, l1, np.zeros(p), most=10000)
+    return Fit(whole.mean[:p], scale, float(whole.mean[p]), w / unit, float(alpha), float(l1), cv)
 
 
 def time_splits(n: int, splits: int):
@@ -66,37 +151,13 @@ class Fit:
         return self.intercept + ((x - self.mean) / self.scale) @ self.coef
 
 
-def _centred(x, y):
-    return x - x.mean(0), y - y.mean()
-
-
 def fit_regularised(method: str, x: np.ndarray, y: np.ndarray, preferred_splits: int) -> Fit:
     """Elastic net or lasso on standardised columns; its penalty from expanding splits in time, or fixed at 1 below six rows."""
-    n = len(y)
-    mean, scale = x.mean(0), x.std(0)
-    scale = np.where(scale > 0, scale, 1.0)
-    z = (x - mean) / scale
-    if n < 6:
-        alpha, l1, cv = 1.0, 1.0 if method == "lasso" else 0.5, False
-    else:
-        splits = max(2, min(preferred_splits, n // 3))
-        alphas = alpha_grid(N_ALPHAS[method])
-        best = None
-        for ratio in L1_RATIOS[method]:
-            errors = np.zeros(len(alphas))
-            for train, test in time_splits(n, splits):
-                zx, zy = _centred(z[train], y[train])
-                w = penalty_path(zx, zy, alphas, ratio)
-                p = (z[test] - z[train].mean(0)) @ w.T + y[train].mean()
-                errors += ((y[test][:, None] - p) ** 2).mean(0) / splits
-            k = int(np.argmin(errors))
-            if best is None or errors[k] < best[0]:
-                best = (errors[k], alphas[k], ratio)
-        _, alpha, l1 = best
-        cv = True
-    zx, zy = _centred(z, y)
-    w = descend(zx.T @ zx, zx.T @ zy, n, alpha, l1, np.zeros(x.shape[1]), most=10000)
-    return Fit(mean, scale, float(y.mean() - z.mean(0) @ w), w, float(alpha), float(l1), cv)
+    middle, spread = np.r_[x.mean(0), y.mean()], np.r_[x.std(0), y.std()]  # moments of like size, whatever the units
+    spread = np.where(spread > 0, spread, 1.0)
+    z, v = (x - middle[:-1]) / spread[:-1], (y - middle[-1]) / spread[-1]
+    fit = fit_moments(method, [Moments.of(z[:k], v[:k]) for k in split_positions(len(y), preferred_splits)], unit=spread[-1])
+    return Fit(middle[:-1] + fit.mean * spread[:-1], fit.scale * spread[:-1], float(middle[-1] + fit.intercept * spread[-1]), fit.coef * spread[-1], fit.alpha, fit.l1_ratio, fit.used_cv)
 
 
 def window_errors(y: np.ndarray, p: np.ndarray) -> dict:
