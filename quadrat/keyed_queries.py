@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quadrat.operators import keyed
-from quadrat.queries import LAGGED, PRE_END, query, r, rounded, weeks
+from quadrat.operators import contract, keyed
+from quadrat.queries import DAYS, LAGGED, MONTHS, PRE_END, WEEKS, months, naive_pairs, query, r, rounded, weeks
 from quadrat.sources import panel as sp
+from quadrat.sources.sinks import written
 
 LAGS = [1]
 
@@ -82,5 +84,129 @@ def v5(spark, d):
 @query("v9_three_methods")
 def v9(spark, d):
     """All markets and methods with lagged terms, folds, placebo windows and confidence, in one plan; the tests hold it against single fits."""
-    terms = keyed.term_labels(runs(spark, d), LAGS)
-    return rounded(keyed.validation_run(designs(spark, d).persist(), PRE_END, terms, (13, 4), (26, 8), cut=lambda df: df.persist()))
+    controls = written(runs(spark, d))
+    own = written(keyed.design(written(weeks(spark, d)), controls, LAGS))
+    return rounded(keyed.validation_run(own, PRE_END, keyed.term_labels(controls, LAGS), (13, 4), (26, 8), cut=written))
+
+
+# power: draws are the sums of four weeks' errors of a prediction by the week before; odd windows against even ones
+
+DRAWS = f"""{LAGGED}, pairs AS (SELECT w.region AS market, w.date, w.kpi AS actual, s.kpi AS predicted FROM w JOIN w AS s ON s.region = w.region AND s.date = w.date - 7),
+i AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY date) - 1 AS i FROM pairs), pw AS (SELECT market, i // 4 AS bucket, SUM(actual - predicted) AS uplift, SUM(predicted) AS base FROM i GROUP BY 1, 2 HAVING COUNT(*) = 4),
+draws AS (SELECT market, list(uplift ORDER BY bucket) FILTER (bucket % 2 = 1) AS alternatives, AVG(base) AS base, quantile_cont(uplift, 0.05) FILTER (bucket % 2 = 0) AS lower, quantile_cont(uplift, 0.95) FILTER (bucket % 2 = 0) AS upper FROM pw GROUP BY 1)"""
+
+
+def draws(spark, d):
+    w = naive_pairs(spark, d).withColumnRenamed("region", "market")
+    i = w.withColumn("i", F.row_number().over(Window.partitionBy("market").orderBy("date")) - 1).withColumn("bucket", F.floor(F.col("i") / 4))
+    pw = i.groupBy("market", "bucket").agg(F.sum(F.col("actual") - F.col("predicted")).alias("uplift"), F.sum("predicted").alias("base"), F.count("*").alias("n")).where("n = 4")
+    even = F.when(F.col("bucket") % 2 == 0, F.col("uplift"))
+    own = pw.groupBy("market").agg(F.array_sort(F.collect_list(F.when(F.col("bucket") % 2 == 1, F.struct("bucket", "uplift")))).alias("a"), F.avg("base").alias("base"), F.percentile(even, F.lit(0.05)).alias("lower"), F.percentile(even, F.lit(0.95)).alias("upper"))
+    return own.select("market", F.transform("a", lambda x: x["uplift"]).alias("alternatives"), "base", "lower", "upper")
+
+
+SIDES_OF = {"one_sided_positive": ("NULL", "upper", 1), "one_sided_negative": ("lower", "NULL", -1)}
+SEARCHES = [("one_sided_positive", 60.0, 0.8), ("one_sided_negative", 60.0, 0.8), ("one_sided_positive", 60.0, 0.5), ("one_sided_positive", 1.5, 0.8)]
+
+
+def _search_sql() -> str:
+    one = "SELECT market, '{s}' AS side, {hi} AS hi, {t} AS target, alternatives, base, {lo}::DOUBLE AS lower, {up}::DOUBLE AS upper, {sign} AS sign FROM draws"
+    searches = " UNION ALL ".join(one.format(s=s, hi=hi, t=t, lo=SIDES_OF[s][0], up=SIDES_OF[s][1], sign=SIDES_OF[s][2]) for s, hi, t in SEARCHES)
+    share = lambda e: f"len(list_filter(alternatives, lambda x: COALESCE(x + sign * base * ({e}) / 100 < lower, false) OR COALESCE(x + sign * base * ({e}) / 100 > upper, false))) / len(alternatives)"
+    return f"""WITH RECURSIVE {DRAWS.removeprefix('WITH ')}, s AS ({searches}), g AS (SELECT s.*, k, k * hi / 40 AS e, {share('k * hi / 40')} AS p FROM s, range(41) AS r(k)),
+f AS (SELECT market, side, hi, target, MIN(k) FILTER (p >= target) AS k FROM g GROUP BY ALL), falls AS (SELECT market, side, hi, target, bool_or(p < before) AS down FROM (SELECT *, LAG(p) OVER (PARTITION BY market, side, hi, target ORDER BY k) AS before FROM g) GROUP BY ALL),
+b AS (SELECT s.*, GREATEST(k - 1, 0) * hi / 40 AS a, k * hi / 40 AS b, 0 AS step FROM s JOIN f USING (market, side, hi, target) WHERE k IS NOT NULL
+UNION ALL SELECT market, side, hi, target, alternatives, base, lower, upper, sign, CASE WHEN {share('(a + b) / 2')} >= target THEN a ELSE (a + b) / 2 END, CASE WHEN {share('(a + b) / 2')} >= target THEN (a + b) / 2 ELSE b END, step + 1 FROM b WHERE b - a > 0.01),
+z AS (SELECT market, side, hi, target, MIN(b) AS mde, arg_max({share('b')}, step) AS power FROM b GROUP BY ALL)
+SELECT market, side, hi::DOUBLE AS upper_bound, target::DOUBLE AS target, f.k IS NOT NULL AS reached, NOT down AS monotone, ROUND(mde, 6) AS mde_pct, ROUND(power, 6) AS power FROM f JOIN falls USING (market, side, hi, target) LEFT JOIN z USING (market, side, hi, target)"""
+
+
+@query("x11_bisected_mde", _search_sql())
+def x11b(spark, d):
+    own, out = draws(spark, d), None
+    for side, hi, target in SEARCHES:
+        lower, upper, _ = SIDES_OF[side]
+        nothing = F.lit(None).cast("double")
+        rows = own.withColumn("lower", F.col("lower") if lower == "lower" else nothing).withColumn("upper", F.col("upper") if upper == "upper" else nothing)
+        one = contract.minimum_detectable(rows, (0.0, hi), target, side=side)
+        one = one.select("market", F.lit(side).alias("side"), F.lit(hi).alias("upper_bound"), F.lit(target).alias("target"), "reached", "monotone", r("mde_pct", 6).alias("mde_pct"), r("power", 6).alias("power"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# safety: regions by week, kinds of events by day, nations by month; a copy and a constant among the controls of two markets
+
+GATED = f"""WITH wk AS ({WEEKS}), dy AS ({DAYS}), mo AS ({MONTHS}), p AS (SELECT 'weekly' AS frequency, region, date, kpi FROM wk UNION ALL SELECT 'daily', region, date, kpi FROM dy UNION ALL SELECT 'monthly', region, date, kpi FROM mo),
+step AS (SELECT *, LAG(kpi) OVER (PARTITION BY frequency, region ORDER BY date) AS level FROM p), res AS (SELECT frequency || ':' || region AS market, date, kpi - level AS residual, level FROM step WHERE level IS NOT NULL),
+series AS (SELECT frequency || ':' || region AS market, frequency, date FROM p), pairs AS (SELECT DISTINCT a.frequency, a.region AS own, b.region FROM (SELECT DISTINCT frequency, region FROM p) AS a JOIN (SELECT DISTINCT frequency, region FROM p) AS b ON a.frequency = b.frequency AND a.region <> b.region),
+controls AS (SELECT pairs.frequency || ':' || own AS market, pairs.region, date, kpi FROM pairs JOIN p ON p.frequency = pairs.frequency AND p.region = pairs.region UNION ALL SELECT 'weekly:ASIA', 'copy of AFRICA', date, kpi FROM wk WHERE region = 'AFRICA' UNION ALL SELECT 'weekly:EUROPE', 'constant', date, 1.0 FROM wk WHERE region = 'AFRICA'),
+one AS (SELECT market, region FROM controls GROUP BY 1, 2 HAVING ABS(MIN(kpi) - MAX(kpi)) <= 1e-8 + 1e-5 * ABS(MAX(kpi))), two AS (SELECT DISTINCT market, region FROM (SELECT a.market, a.region, b.region AS first FROM controls AS a JOIN controls AS b ON a.market = b.market AND a.date = b.date AND b.region < a.region GROUP BY 1, 2, 3 HAVING bool_and(ABS(a.kpi - b.kpi) <= 1e-8 + 1e-5 * ABS(b.kpi)))),
+gone AS (SELECT market, region || ' (constant)' AS x FROM one UNION ALL SELECT market, region || ' (duplicate)' FROM two), n AS (SELECT market, ANY_VALUE(frequency) AS frequency, COUNT(DISTINCT date) AS n, MAX(date) - MIN(date) AS span FROM series GROUP BY 1),
+c AS (SELECT n.market, (COUNT(DISTINCT region) - (SELECT COUNT(*) FROM gone WHERE gone.market = n.market))::INTEGER AS n_kept, COALESCE((SELECT string_agg(x, ', ' ORDER BY x) FROM gone WHERE gone.market = n.market), '') AS removed FROM n JOIN controls USING (market) GROUP BY 1),
+h AS (SELECT n.*, n_kept, removed, CASE WHEN n_kept = 0 THEN 'no_informative_controls' WHEN n_kept + 1 > n THEN 'underdetermined' END AS fallback, COALESCE(span = (n - 1) * CASE frequency WHEN 'weekly' THEN 7 WHEN 'daily' THEN 1 END, false) AS contiguous FROM n JOIN c USING (market)),
+lagged AS (SELECT *, LAG(residual) OVER (PARTITION BY market ORDER BY date) AS before FROM res), rho AS (SELECT market, GREATEST(LEAST(corr(before, residual), 0.99), -0.99) AS rho, COUNT(*) AS m FROM lagged GROUP BY 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY level, date) AS k, COUNT(*) OVER (PARTITION BY market) AS m, row_number() OVER (PARTITION BY market ORDER BY date) - 1 AS i, POWER(residual - AVG(residual) OVER (PARTITION BY market), 2) AS square FROM res),
+v AS (SELECT market, MAX(m) AS m, var_samp(residual) FILTER (k > m - m // 2) / var_samp(residual) FILTER (k <= m // 2) AS ratio, corr(level, square) AS association FROM k GROUP BY 1),
+blocks AS (SELECT market, i // 13 AS block, COUNT(*) AS size FROM k GROUP BY 1, 2), ordered AS (SELECT *, COALESCE(SUM(size) OVER (PARTITION BY market, resample ORDER BY md5('20260713:' || resample || ':' || block) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM blocks, range(1, 200) AS s(resample)),
+null_ AS (SELECT o.market, o.resample, ABS(corr(l.level, k.square)) AS c FROM k JOIN ordered AS o ON o.market = k.market AND o.block = k.i // 13 JOIN k AS l ON l.market = k.market AND l.i = o.start + k.i - 13 * o.block GROUP BY 1, 2),
+pv AS (SELECT market, (1 + COUNT(*) FILTER (c >= ABS(association) - 1e-12)) / 200 AS p_value FROM null_ JOIN v USING (market) GROUP BY 1)"""
+
+
+@query("x13_safety_gates", f"""{GATED}, g AS (SELECT h.market, frequency, n, contiguous, n_kept, removed, fallback, rho, rho + 2 * SQRT(GREATEST(1 - rho * rho, 0) / m_rho) AS rho_upper, ratio, association, p_value, m FROM h LEFT JOIN (SELECT market, rho, m AS m_rho FROM rho) USING (market) LEFT JOIN v USING (market) LEFT JOIN pv USING (market)),
+s AS (SELECT *, CASE frequency WHEN 'weekly' THEN 'supported' WHEN 'daily' THEN 'blocked' ELSE 'unsupported' END AS frequency_gate, CASE WHEN frequency <> 'weekly' THEN 'unsupported' WHEN n < 104 THEN 'blocked' WHEN NOT contiguous OR n < 10 * n_kept THEN 'supported_with_warning' ELSE 'supported' END AS history,
+CASE WHEN fallback IS NOT NULL THEN 'supported' WHEN rho_upper >= 0.92 THEN 'blocked' WHEN rho >= 0.8 THEN 'supported_with_warning' ELSE 'supported' END AS persistence, CASE WHEN frequency = 'daily' THEN 'blocked' ELSE 'supported' END AS seasonality,
+CASE WHEN fallback IS NOT NULL THEN 'supported' WHEN m IS NULL OR m < 8 THEN 'unsupported' WHEN ratio >= 2.3 OR ratio <= 1 / 2.3 OR p_value <= 0.05 AND ABS(association) >= 0.15 THEN 'blocked' ELSE 'supported' END AS heteroskedasticity, CASE WHEN fallback IS NOT NULL OR removed <> '' THEN 'supported_with_warning' ELSE 'supported' END AS control_matrix FROM g),
+l AS (SELECT *, [frequency_gate, history, persistence, seasonality, heteroskedasticity, control_matrix] AS all_ FROM s)
+SELECT market, n AS retained, n_kept, removed, ROUND(rho, 4) AS rho, ROUND(ratio, 4) AS ratio, ROUND(association, 4) AS association, ROUND(p_value, 6) AS p_value, frequency_gate, history, persistence, seasonality, heteroskedasticity, control_matrix,
+CASE WHEN list_contains(all_, 'blocked') THEN 'blocked' WHEN list_contains(all_, 'unsupported') THEN 'unsupported' WHEN list_contains(all_, 'supported_with_warning') THEN 'supported_with_warning' ELSE 'supported' END AS overall FROM l""")
+def x13b(spark, d):
+    """Residuals are steps from one period to the next."""
+    w, e, m = weeks(spark, d), sp.event_panel(spark, d), months(spark, d)
+    p = written(w.select(F.lit("weekly").alias("frequency"), "region", "date", "kpi").unionByName(e.select(F.lit("daily").alias("frequency"), "region", "date", "kpi")).unionByName(m.select(F.lit("monthly").alias("frequency"), "region", "date", "kpi")))
+    market = F.concat("frequency", F.lit(":"), "region")
+    level = F.lag("kpi").over(Window.partitionBy("frequency", "region").orderBy("date"))
+    residuals = p.withColumn("level", level).where("level is not null").select(market.alias("market"), "date", (F.col("kpi") - F.col("level")).alias("residual"), "level")
+    names = p.select("frequency", "region").distinct()
+    pairs = names.select("frequency", F.concat("frequency", F.lit(":"), "region").alias("market"), F.col("region").alias("own")).join(names, "frequency").where("own != region").select("frequency", "market", "region")
+    controls = pairs.join(p, ["frequency", "region"]).select("market", "region", "date", "kpi")
+    africa = p.where("frequency = 'weekly' and region = 'AFRICA'")
+    controls = controls.unionByName(africa.select(F.lit("weekly:ASIA").alias("market"), F.lit("copy of AFRICA").alias("region"), "date", "kpi")).unionByName(africa.select(F.lit("weekly:EUROPE").alias("market"), F.lit("constant").alias("region"), "date", F.lit(1.0).alias("kpi")))
+    x = contract.safety(p.select(market.alias("market"), "frequency", "date"), residuals, written(controls))
+    return x.select("market", "retained", "n_kept", "removed", r("rho").alias("rho"), r("ratio").alias("ratio"), r("association").alias("association"), r("p_value", 6).alias("p_value"), *contract.GATES, "overall")
+
+
+# the contract: a plan for each region and way in which a plan can fail
+
+PLANS = f"""{LAGGED}, {REGION_KEYS}, c AS (SELECT n.region, kind, (SELECT list(region ORDER BY region) FROM n AS o WHERE o.region <> n.region) AS others FROM n, range(13) AS r(kind)),
+a AS (SELECT *, CASE kind WHEN 3 THEN DATE '2000-05-01' WHEN 10 THEN DATE '1999-11-01' ELSE DATE '1995-01-02' END AS history_start, CASE kind WHEN 11 THEN DATE '2005-06-06' ELSE DATE '1999-12-27' END AS history_end FROM c),
+b AS (SELECT *, list_transform(range(1, CASE kind WHEN 6 THEN 8 ELSE 9 END), lambda k: (history_end + (7 * (k + CASE kind WHEN 5 THEN 1 ELSE 0 END + CASE WHEN kind = 12 AND k > 4 THEN 1 ELSE 0 END))::INTEGER)::DATE) AS holdout FROM a),
+plans AS (SELECT region || '-' || kind AS plan_id, CASE kind WHEN 4 THEN 'hourly' ELSE 'weekly' END AS frequency, [region] AS tests, CASE kind WHEN 1 THEN list_concat(others, [region]) WHEN 2 THEN list_concat(others, [others[1]]) ELSE others END AS controls, history_start, history_end, holdout,
+list_transform(range(0, 8), lambda k: (CASE kind WHEN 7 THEN history_end ELSE history_end + 364 END + (7 * k)::INTEGER)::DATE) AS planned, 8 AS duration, CASE kind WHEN 9 THEN 1.5 ELSE 0.05 END::DOUBLE AS alpha, 0.8::DOUBLE AS target_power, 0.0::DOUBLE AS lower, 60.0::DOUBLE AS upper, 0.5::DOUBLE AS tolerance, CASE kind WHEN 8 THEN [5.0, 75.0] ELSE [5.0, 10.0] END::DOUBLE[] AS effects, 500 AS n_simulations, 52 AS min_periods, kind FROM b)"""
+_DAYS = "list_transform(range(1, len({c})), lambda k: {c}[k + 1] - {c}[k])"
+
+
+@query("x12_power_contract", f"""{PLANS}, regions AS (SELECT plan_id, UNNEST(list_distinct(list_concat(tests, controls))) AS region FROM plans), wanted AS (SELECT plan_id, COUNT(*) AS k FROM regions GROUP BY 1), full_ AS (SELECT plan_id, date FROM regions JOIN w USING (region) JOIN wanted USING (plan_id) GROUP BY plan_id, date, k HAVING COUNT(*) = k),
+held AS (SELECT DISTINCT plan_id, UNNEST(holdout) AS date FROM plans), lacking AS (SELECT plan_id, string_agg(date::VARCHAR, ',' ORDER BY date) AS missing_holdout, COUNT(*) AS n_missing FROM held ANTI JOIN full_ USING (plan_id, date) GROUP BY 1),
+x AS (SELECT p.*, COALESCE((SELECT COUNT(*) FROM full_ AS f WHERE f.plan_id = p.plan_id AND f.date BETWEEN history_start AND history_end), 0) AS n_history, COALESCE(n_missing, 0) AS n_missing, COALESCE(missing_holdout, '') AS missing_holdout,
+list_filter([CASE WHEN alpha <= 0 OR alpha >= 1 THEN 'alpha_out_of_range' END, CASE WHEN len(list_filter(effects, lambda e: e < lower OR e > upper)) > 0 THEN 'effect_out_of_bounds' END, CASE WHEN history_start > history_end THEN 'history_reversed' END, CASE WHEN len(holdout) <> duration THEN 'holdout_count' END,
+CASE WHEN frequency = 'weekly' AND holdout[1] - history_end <> 7 THEN 'holdout_not_adjacent' END, CASE WHEN frequency = 'weekly' AND len(list_filter({_DAYS.format(c='holdout')}, lambda k: k <> 7)) > 0 THEN 'holdout_with_gaps' END, CASE WHEN planned[1] <= holdout[-1] THEN 'planned_before_holdout_ends' END,
+CASE WHEN list_has_any(tests, controls) THEN 'region_in_both_groups' END, CASE WHEN len(list_distinct(controls)) < len(controls) THEN 'region_repeated' END, CASE WHEN frequency <> 'weekly' THEN 'unknown_frequency' END], lambda b: b IS NOT NULL) AS blockers FROM plans AS p LEFT JOIN lacking USING (plan_id)),
+s AS (SELECT *, list_filter([CASE WHEN n_history < min_periods THEN 'history_short' END, CASE WHEN n_missing > 0 THEN 'holdout_missing' END], lambda b: b IS NOT NULL) AS shortfalls FROM x)
+SELECT plan_id, sha256(concat_ws('|', frequency, array_to_string(tests, ','), array_to_string(controls, ','), history_start, history_end, array_to_string(holdout, ','), array_to_string(planned, ','), duration, alpha, target_power, lower, upper, tolerance, array_to_string(effects, ','), n_simulations, min_periods)) AS fingerprint,
+n_history, len(list_distinct(holdout)) - n_missing AS n_holdout, missing_holdout, array_to_string(blockers, ',') AS blockers, array_to_string(shortfalls, ',') AS shortfalls, CASE WHEN len(blockers) > 0 THEN 'blocked' WHEN len(shortfalls) > 0 THEN 'incomplete' ELSE 'completed' END AS status FROM s""")
+def x12(spark, d):
+    names = sp.table(spark, d, "region").select(F.trim("r_name").alias("region"))
+    others = names.join(names.withColumnRenamed("region", "other"), F.col("region") != F.col("other")).groupBy("region").agg(F.array_sort(F.collect_list("other")).alias("others"))
+    kind, day = F.col("kind"), lambda s: F.lit(s).cast("date")
+    a = others.select("*", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("kind"))
+    a = a.withColumn("history_start", F.when(kind == 3, day("2000-05-01")).when(kind == 10, day("1999-11-01")).otherwise(day("1995-01-02"))).withColumn("history_end", F.when(kind == 11, day("2005-06-06")).otherwise(day("1999-12-27")))
+    late = F.when(kind == 5, 1).otherwise(0)
+    held = F.transform(F.sequence(F.lit(1), F.when(kind == 6, 7).otherwise(8)), lambda k: F.date_add("history_end", 7 * (k + late + F.when((kind == 12) & (k > 4), 1).otherwise(0))))
+    planned = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.date_add(F.when(kind == 7, F.col("history_end")).otherwise(F.date_add("history_end", 364)), 7 * k))
+    one = F.array("region")
+    plans = a.select(
+        F.concat("region", F.lit("-"), kind.cast("string")).alias("plan_id"), F.when(kind == 4, "hourly").otherwise("weekly").alias("frequency"), one.alias("tests"),
+        F.when(kind == 1, F.concat("others", one)).when(kind == 2, F.concat("others", F.slice("others", 1, 1))).otherwise(F.col("others")).alias("controls"), "history_start", "history_end", held.alias("holdout"), planned.alias("planned"), F.lit(8).alias("duration"),
+        F.when(kind == 9, 1.5).otherwise(0.05).alias("alpha"), F.lit(0.8).alias("target_power"), F.lit(0.0).alias("lower"), F.lit(60.0).alias("upper"), F.lit(0.5).alias("tolerance"), F.when(kind == 8, F.array(F.lit(5.0), F.lit(75.0))).otherwise(F.array(F.lit(5.0), F.lit(10.0))).alias("effects"), F.lit(500).alias("n_simulations"), F.lit(52).alias("min_periods"),
+    )
+    return contract.power_contract(plans, weeks(spark, d))

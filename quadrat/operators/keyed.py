@@ -203,9 +203,10 @@ def validation_run(designs: DataFrame, pre_end, terms: DataFrame, fold: tuple[in
     """
     tasks = windows(designs, "fold", *fold, validation.MAX_FOLDS).unionByName(windows(designs, "placebo", *placebo, validation.MAX_PLACEBOS)).unionByName(history(designs, pre_end))
     fitted = cut(fits(designs, tasks))
-    errors = window_errors(designs, fitted, days)
+    errors = cut(window_errors(designs, fitted, days))
     final = fitted.where("kind = 'final'")
     rows = final.join(designs, RUN).withColumn("predicted", predicted(F.col("intercept"), F.col("coef"), F.col("x"))).withColumn("in_pre", F.col("i") < F.col("start")).withColumn("residual", F.col("y") - F.col("predicted"))
+    rows = cut(rows.select(*RUN, "date", "y", "predicted", "residual", "in_pre"))
     pre = rows.where("in_pre")
     fit = validation.error_metrics(pre.withColumnRenamed("y", "actual"), RUN).withColumnRenamed("smape", "pre_smape")
     walk = validation.durbin_watson(pre.select(*RUN, "date", "residual"), RUN)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +43,21 @@ def chart_series(fitted: DataFrame, pre_end) -> DataFrame:
     value: list[Column] = [F.col("actual"), F.col("predicted"), F.col("actual") / F.col("b_actual") * 100, F.col("predicted") / F.col("b_predicted") * 100]
     names = ("Actual", "Predicted", "Actual indexed", "Predicted indexed")
     return x.select("date", F.inline(F.array(*(F.struct(F.lit(n).alias("series"), v.alias("value")) for n, v in zip(names, value, strict=True)))))
+
+
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode, where it is unset, a temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="quadrat-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def written(df: DataFrame, what: str = "part") -> DataFrame:
+    """The rows, written to the shared folder and read again: a short plan, and nothing to compute anew when an executor is lost."""
+    at = f"{shared_dir(df.sparkSession)}/quadrat/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import numeric
 from quadrat.operators import keyed
+from quadrat.sources.sinks import written
 
 START = datetime.date(2020, 1, 6)
 
@@ -66,13 +67,13 @@ def test_designs(panel, runs, lags):
 def test_runs_equal_single_fits(spark, panel, runs):
     """Folds, placebo windows, the final fit and all that follows, from moments and from whole matrices."""
     pre_end, lags = week(55), [1]
-    designs = keyed.design(panel, runs, lags).persist()
+    designs = written(keyed.design(panel, written(runs), lags))
     terms = keyed.term_labels(runs, lags)
     tasks = keyed.windows(designs, "fold", 13, 4, 20).unionByName(keyed.windows(designs, "placebo", 26, 8, 5)).unionByName(keyed.history(designs, pre_end))
-    fitted = keyed.fits(designs, tasks).persist()
+    fitted = written(keyed.fits(designs, tasks))
     table = {(x["market"], x["method"], x["kind"], x["start"]): x for x in fitted.collect()}
     errors = {(x["market"], x["method"], x["kind"], x["start"]): x for x in keyed.window_errors(designs, fitted).collect()}
-    result = {(x["market"], x["method"]): x for x in keyed.validation_run(designs, pre_end, terms, (13, 4), (26, 8), cut=lambda df: df.persist()).collect()}
+    result = {(x["market"], x["method"]): x for x in keyed.validation_run(designs, pre_end, terms, (13, 4), (26, 8), cut=written).collect()}
     for (market, method), names in {("a", "matched"): "bc", ("a", "without_excluded"): "bc", ("b", "all"): "acd"}.items():
         rows = plain_design(panel, market, names, lags)
         dates, y, x = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
@@ -107,8 +108,8 @@ def test_runs_equal_single_fits(spark, panel, runs):
 def test_short_histories(spark, panel):
     """Below six rows the penalty is stated, and the run isn't rated; a market without any row has no run."""
     runs = spark.createDataFrame([("a", "matched", "b", 1), ("x", "matched", "b", 1)], "market string, method string, region string, k int")
-    designs = keyed.design(panel.where(F.col("date") < week(9)), runs).persist()
-    own = keyed.validation_run(designs, week(4), keyed.term_labels(runs), (5, 2), (6, 2)).collect()
+    designs = written(keyed.design(panel.where(F.col("date") < week(9)), runs))
+    own = keyed.validation_run(designs, week(4), keyed.term_labels(runs), (5, 2), (6, 2), cut=written).collect()
     assert [(x["market"], x["used_cv"], x["cv_state"], x["confidence"]) for x in own] == [("a", False, "final", "insufficient")]
 
 
