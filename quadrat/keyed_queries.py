@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quadrat.operators import contract, keyed
-from quadrat.queries import DAYS, LAGGED, MONTHS, PRE_END, WEEKS, months, naive_pairs, query, r, rounded, weeks
+from quadrat.operators import contract, keyed, lineage, matching, posterior
+from quadrat.queries import DAYS, LAGGED, LONGF, MONTHS, PRE_END, STATS, TEST_SQL, WEEKS, long_features, months, naive_pairs, query, r, rounded, test_regions, weeks
 from quadrat.sources import panel as sp
 from quadrat.sources.sinks import written
 
@@ -210,3 +210,120 @@ def x12(spark, d):
         F.when(kind == 9, 1.5).otherwise(0.05).alias("alpha"), F.lit(0.8).alias("target_power"), F.lit(0.0).alias("lower"), F.lit(60.0).alias("upper"), F.lit(0.5).alias("tolerance"), F.when(kind == 8, F.array(F.lit(5.0), F.lit(75.0))).otherwise(F.array(F.lit(5.0), F.lit(10.0))).alias("effects"), F.lit(500).alias("n_simulations"), F.lit(52).alias("min_periods"),
     )
     return contract.power_contract(plans, weeks(spark, d))
+
+
+# posterior: chains of two parameters from the weekly panel, draws of a model of two terms from all suppliers
+
+CHAINS = f"""{LAGGED}, v AS (SELECT 'kpi' AS parameter, region AS chain, date AS draw, kpi AS value FROM w UNION ALL SELECT 'orders', region, date, orders FROM w UNION ALL SELECT 'steps', region, date, kpi - LAG(kpi) OVER (PARTITION BY region ORDER BY date) FROM w),
+i AS (SELECT *, row_number() OVER (PARTITION BY parameter, chain ORDER BY draw) - 1 AS i FROM v WHERE value IS NOT NULL), n AS (SELECT parameter, MIN(n)::BIGINT AS n FROM (SELECT parameter, chain, COUNT(*) AS n FROM i GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT parameter, chain || CASE WHEN i >= n - n // 2 THEN '.2' ELSE '.1' END AS chain, CASE WHEN i >= n - n // 2 THEN i - n + n // 2 ELSE i END AS i, value FROM i JOIN n USING (parameter) WHERE i < n AND (i >= n - n // 2 OR i < n // 2)),
+e AS (SELECT parameter, chain, AVG(value) AS m, var_samp(value) AS v, COUNT(*) AS n FROM c GROUP BY 1, 2), o AS (SELECT parameter, COUNT(*) AS n_chains, MAX(n) AS n_draws, AVG(v) AS w, var_samp(m) AS b, AVG(v) * (MAX(n) - 1) / MAX(n) + var_samp(m) AS plus FROM e GROUP BY 1),
+d AS (SELECT c.parameter, c.chain, c.i, value - m AS d, n FROM c JOIN e USING (parameter, chain)), a AS (SELECT parameter, lag, AVG(a) AS acov FROM (SELECT x.parameter, x.chain, y.i - x.i AS lag, SUM(x.d * y.d) / MAX(x.n) AS a FROM d AS x JOIN d AS y ON x.parameter = y.parameter AND x.chain = y.chain AND y.i >= x.i GROUP BY 1, 2, 3) GROUP BY 1, 2),
+rho AS (SELECT parameter, lag, CASE WHEN lag = 0 THEN 1.0 ELSE 1 - (w - acov) / plus END AS rho FROM a JOIN o USING (parameter)), p AS (SELECT parameter, lag // 2 AS k, SUM(rho) AS p FROM rho GROUP BY 1, 2 HAVING COUNT(*) = 2), l AS (SELECT parameter, MIN(p) OVER (PARTITION BY parameter ORDER BY k) AS least FROM p),
+tau AS (SELECT parameter, 2 * SUM(least) - 1 AS tau FROM l WHERE least >= 0 GROUP BY 1), s AS (SELECT parameter, stddev_samp(value) AS sd FROM c GROUP BY 1), f AS (SELECT *, n_chains * n_draws / GREATEST(tau, 1 / log10(n_chains * n_draws)) AS ess, SQRT(plus / w) AS r_hat FROM o JOIN s USING (parameter) JOIN tau USING (parameter))"""
+
+
+def chains(spark, d):
+    w = weeks(spark, d).withColumn("step", F.col("kpi") - F.lag("kpi").over(Window.partitionBy("region").orderBy("date")))
+    each = (F.struct(F.lit(n).alias("parameter"), F.col("region").alias("chain"), F.col("date").alias("draw"), F.col(c).cast("double").alias("value")) for n, c in (("kpi", "kpi"), ("orders", "orders"), ("steps", "step")))
+    return w.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
+@query("a23_effective_sizes", f"{CHAINS} SELECT parameter, n_chains, n_draws, ROUND(sd, 2) AS sd, ROUND(r_hat, 4) AS r_hat, ROUND(ess, 2) AS ess, ROUND(sd / SQRT(ess), 2) AS mcse, ROUND(1 / SQRT(ess), 4) AS mcse_ratio, r_hat <= 1.01 AS r_hat_ok, ess >= 500 AS ess_ok, 1 / SQRT(ess) < 0.10 AS mcse_ok FROM f")
+def a23b(spark, d):
+    x = posterior.convergence(chains(spark, d))
+    return x.select("parameter", "n_chains", "n_draws", r("sd", 2).alias("sd"), r("r_hat").alias("r_hat"), r("ess", 2).alias("ess"), r("mcse", 2).alias("mcse"), r("mcse_ratio").alias("mcse_ratio"), "r_hat_ok", "ess_ok", "mcse_ok")
+
+
+@query("a23_convergence_summary", f"{CHAINS} SELECT ROUND(MAX(r_hat), 4) AS max_r_hat, ROUND(MIN(ess), 2) AS min_ess, ROUND(MAX(1 / SQRT(ess)), 4) AS max_mcse_ratio, bool_and(r_hat <= 1.01 AND ess >= 500 AND 1 / SQRT(ess) < 0.10) AS ok, 0 AS n_divergences FROM f")
+def a23c(spark, d):
+    x = posterior.convergence_summary(posterior.convergence(chains(spark, d)), 0)
+    return x.select(r("max_r_hat").alias("max_r_hat"), r("min_ess", 2).alias("min_ess"), r("max_mcse_ratio").alias("max_mcse_ratio"), "ok", "n_divergences")
+
+
+@query("a22_period_intervals", f"""{LAGGED}, {REGION_KEYS}, p AS (SELECT date, MAX(kpi) FILTER (k = 0) AS actual, MAX(kpi) FILTER (k = 1) AS x1, MAX(kpi) FILTER (k = 2) AS x2 FROM w JOIN n USING (region) GROUP BY 1), q AS (SELECT * FROM p WHERE actual IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL),
+v AS (SELECT date, actual, s_acctbal::DOUBLE * 10 + s_nationkey / 25.0::DOUBLE * x1 + (s_suppkey % 7) / 7.0::DOUBLE * x2 AS v FROM q, supplier) SELECT date, ROUND(actual, 2) AS actual, ROUND(AVG(v), 2) AS fitted, ROUND(quantile_cont(v, 0.03), 2) AS lower, ROUND(quantile_cont(v, 0.97), 2) AS upper, ROUND(AVG(CASE WHEN actual > v THEN 1.0 ELSE 0.0 END), 6) AS p_positive FROM v GROUP BY date, actual""")
+def a22(spark, d):
+    w = weeks(spark, d).join(F.broadcast(sp.table(spark, d, "region").select(F.trim("r_name").alias("region"), F.col("r_regionkey").alias("k"))), "region")  # 5 rows
+    of = lambda k: F.max(F.when(F.col("k") == k, F.col("kpi")))
+    periods = w.groupBy("date").agg(of(0).alias("actual"), of(1).alias("x1"), of(2).alias("x2")).dropna().select("date", "actual", F.array("x1", "x2").alias("x"))
+    draws_ = sp.table(spark, d, "supplier").select((F.col("s_acctbal").cast("double") * 10).alias("intercept"), F.array(F.col("s_nationkey") / 25.0, F.col("s_suppkey") % 7 / 7.0).alias("coef"))
+    x = posterior.period_intervals(draws_, periods)
+    return x.select("date", *(r(c, 2).alias(c) for c in ("actual", "fitted", "lower", "upper")), r("p_positive", 6).alias("p_positive"))
+
+
+SHAPE = f"""history AS (SELECT * FROM w WHERE date <= DATE '{PRE_END}'), shape AS (SELECT region, date, kpi / AVG(kpi) OVER (PARTITION BY region) * 100 AS v FROM history),
+far AS (SELECT t.region AS market, c.region, SQRT(AVG(POWER(c.v - t.v, 2))) AS distance FROM shape AS t JOIN shape AS c ON c.date = t.date AND c.region <> t.region GROUP BY 1, 2), close AS (SELECT t.region AS market, c.region, ABS(corr(t.kpi, c.kpi)) AS r FROM history AS t JOIN history AS c ON c.date = t.date AND c.region <> t.region GROUP BY 1, 2),
+bounds AS (SELECT market, GREATEST(0.05, median(r) / 4) AS lo, LEAST(2.0, median(r) * 1.25) AS hi FROM close GROUP BY 1), sim AS (SELECT *, 1 / (1 + distance) AS similarity FROM far), ends AS (SELECT market, MIN(similarity) AS a, MAX(similarity) AS b FROM sim GROUP BY 1)"""
+
+
+def priors(spark, d):
+    """Every region's controls with a sigma by the likeness of their shapes in the history, and the same for their lagged terms."""
+    w = weeks(spark, d).where(F.col("date") <= F.lit(PRE_END).cast("date"))
+    shape = w.withColumn("v", F.col("kpi") / F.avg("kpi").over(Window.partitionBy("region")) * 100)
+    own, other = shape.select(F.col("region").alias("market"), "date", F.col("v").alias("t")), shape.select("region", "date", "v")
+    far = own.join(other, "date").where("market != region").groupBy("market", "region").agg(F.sqrt(F.avg(F.pow(F.col("v") - F.col("t"), 2))).alias("distance"))
+    everything = runs(spark, d).where("method = 'all'")
+    sigmas = posterior.structural_sigmas(far, posterior.correlation_bounds(w, everything))
+    return posterior.prior_table(keyed.term_labels(everything, LAGS), sigmas)
+
+
+@query("b3_prior_table", f"""{LAGGED}, {SHAPE} SELECT market, CASE lag WHEN 0 THEN region ELSE region || '_lag1' END AS feature, region, CASE lag WHEN 0 THEN 'Same week' ELSE 'Lag 1 week' END AS term, ROUND(distance, 4) AS distance, ROUND(similarity, 4) AS similarity, ROUND(lo + (hi - lo) * (similarity - a) / (b - a), 4) AS sigma, 'structural' AS kind FROM sim JOIN ends USING (market) JOIN bounds USING (market) CROSS JOIN (VALUES (0), (1)) AS l(lag)""")
+def b3(spark, d):
+    return rounded(priors(spark, d))
+
+
+# records: an experiment for each customer, a stage's inputs changed by rules on balance and segment
+
+STAGES = ("match", "validation", "power", "delivery", "effect", "recommendation")
+RECORDS = f"""st AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{s}')" for k, s in enumerate(STAGES))}) AS s(k, stage)),
+r AS (SELECT c_custkey AS experiment, stage, k, CASE WHEN k > c_nationkey % 7 THEN 'not_started' WHEN c_acctbal > 5000 AND k = 3 THEN 'stale' ELSE 'completed' END AS status, CASE WHEN k > c_nationkey % 7 THEN NULL ELSE md5(c_custkey || stage) END AS stored,
+CASE WHEN c_acctbal < 0 AND k = c_nationkey % 3 THEN md5(c_custkey || stage || 'x') WHEN c_custkey % 5 = 0 AND k = 0 THEN '' ELSE md5(c_custkey || stage) END AS current FROM customer, st)"""
+
+
+@query("d9_staleness", f"""WITH RECURSIVE {RECORDS}, own AS (SELECT *, status <> 'not_started' AND stored IS NOT NULL AND current <> '' AND stored <> current AS own_change FROM r), m AS (SELECT experiment, k FROM own WHERE own_change UNION SELECT experiment, k + 1 FROM m WHERE k < 5),
+x AS (SELECT *, status <> 'not_started' AND stored IS NOT NULL AND EXISTS (SELECT 1 FROM m WHERE m.experiment = own.experiment AND m.k = own.k) AS stale FROM own), y AS (SELECT *, CASE WHEN stale THEN 'stale' WHEN status = 'stale' AND stored IS NOT NULL THEN 'completed' ELSE status END AS new_status FROM x)
+SELECT experiment, stage, status, own_change, stale, new_status, new_status <> status AS changed FROM y""")
+def d9(spark, d):
+    c = sp.table(spark, d, "customer").select("*", F.posexplode(F.array(*map(F.lit, STAGES))).alias("k", "stage"))
+    later = F.col("k") > F.col("c_nationkey") % 7
+    name = F.concat(F.col("c_custkey").cast("string"), "stage")
+    status = F.when(later, "not_started").when((F.col("c_acctbal") > 5000) & (F.col("k") == 3), "stale").otherwise("completed")
+    current = F.when((F.col("c_acctbal") < 0) & (F.col("k") == F.col("c_nationkey") % 3), F.md5(F.concat(name, F.lit("x")).cast("binary"))).when((F.col("c_custkey") % 5 == 0) & (F.col("k") == 0), "").otherwise(F.md5(name.cast("binary")))
+    stages = c.select(F.col("c_custkey").alias("experiment"), "stage", status.alias("status"), F.when(~later, F.md5(name.cast("binary"))).alias("stored"), current.alias("current"))
+    return lineage.staleness(stages, lineage.stage_edges(spark), written).select("experiment", "stage", "status", "own_change", "stale", "new_status", "changed")
+
+
+_DOC = "json_object('id', o_orderkey, 'periods', json_object('start', o_orderdate::VARCHAR, 'regions', json_array(o_custkey {a}, o_orderstatus)), 'priority', {b}, 'post', {c}, 'empty', json_array() {more})"
+DOCS = f"SELECT o_orderkey AS key, {_DOC.format(a='', b='o_orderpriority', c='true', more='')}::JSON AS planned, {_DOC.format(a='+ o_orderkey % 2', b='''CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey::JSON ELSE to_json(o_orderpriority) END''', c='o_orderkey % 4 = 0', more=', ' + repr('note') + ', NULL')}::JSON AS analysed FROM orders"
+
+
+@query("j16_compared_records", f"""WITH d AS ({DOCS}), flat AS (SELECT d.key AS record, 'p' AS side, t.* FROM d, json_tree(d.planned) AS t UNION ALL SELECT d.key, 'a', t.* FROM d, json_tree(d.analysed) AS t),
+leaf AS (SELECT record AS key, side, replace(fullkey, '"', '') AS path, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS type, CASE type WHEN 'VARCHAR' THEN value ->> '$' WHEN 'NULL' THEN NULL WHEN 'ARRAY' THEN NULL ELSE value::VARCHAR END AS value FROM flat WHERE NOT (type = 'OBJECT' OR type = 'ARRAY' AND value::VARCHAR <> '[]')),
+x AS (SELECT COALESCE(p.key, a.key) AS key, COALESCE(p.path, a.path) AS path, CASE WHEN p.key IS NULL THEN 'only_analysed' WHEN a.key IS NULL THEN 'only_planned' WHEN p.type = a.type AND p.value IS NOT DISTINCT FROM a.value THEN 'same' ELSE 'changed' END AS state FROM (SELECT * FROM leaf WHERE side = 'p') AS p FULL JOIN (SELECT * FROM leaf WHERE side = 'a') AS a ON p.key = a.key AND p.path = a.path)
+SELECT key, bool_and(state = 'same') AS matches, COUNT(*) FILTER (state = 'same') AS n_same, COUNT(*) FILTER (state = 'changed') AS n_changed, COUNT(*) FILTER (state = 'only_planned') AS n_only_planned, COUNT(*) FILTER (state = 'only_analysed') AS n_only_analysed, COALESCE(string_agg(path, ',' ORDER BY path) FILTER (state <> 'same'), '') AS differences FROM x GROUP BY 1""")
+def j16(spark, d):
+    o = sp.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+
+    def doc(first, priority, post, *more):
+        name = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+        periods = F.concat(F.lit('{"start":'), name(F.to_date("o_orderdate").cast("string")), F.lit(',"regions":['), first.cast("string"), F.lit(","), name(F.col("o_orderstatus")), F.lit("]}"))
+        return F.concat(F.lit('{"id":'), k.cast("string"), F.lit(',"periods":'), periods, F.lit(',"priority":'), priority, F.lit(',"post":'), post.cast("string"), F.lit(',"empty":[]'), *more, F.lit("}"))
+
+    quoted = F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))
+    planned = o.select(k.alias("key"), doc(F.col("o_custkey"), quoted, F.lit(True)).alias("doc"))
+    analysed = o.select(k.alias("key"), doc(F.col("o_custkey") + k % 2, F.when(k % 3 == 0, k.cast("string")).otherwise(quoted), k % 4 == 0, F.lit(',"note":null')).alias("doc"))
+    return lineage.comparison_summary(lineage.compared(lineage.flattened(planned), lineage.flattened(analysed)))
+
+
+@query("m2_scored_arrays", f"""WITH {LONGF}, {STATS}, {TEST_SQL}, tp AS (SELECT feature, SUM(value * population) / SUM(population) AS t FROM lf SEMI JOIN t USING (region) GROUP BY 1), pool AS (SELECT DISTINCT region FROM lf ANTI JOIN t USING (region)),
+g AS (SELECT a.region || '+' || b.region AS group_id, a.region AS a, b.region AS b FROM pool AS a JOIN pool AS b ON a.region < b.region), cp AS (SELECT group_id, feature, SUM(value * population) / SUM(population) AS c FROM g JOIN lf ON lf.region = g.a OR lf.region = g.b GROUP BY 1, 2)
+SELECT group_id, ROUND(SQRT(SUM(POWER((t - c) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 2))), 4) AS distance, ROUND(AVG(CASE WHEN sd > 0 THEN ABS(t - c) / sd END), 4) AS mean_abs_smd FROM cp JOIN tp USING (feature) JOIN st USING (feature) GROUP BY 1""")
+def m2(spark, d):
+    """All pairs of the pool's regions as candidate groups."""
+    long, test = long_features(spark, d), test_regions(spark, d)
+    pool = matching.member_numbers(long).join(test, "region", "left_anti")
+    other = pool.select(F.col("region").alias("b"), F.col("number").alias("second"))
+    groups = pool.join(other, F.col("region") < F.col("b")).select(F.concat("region", F.lit("+"), "b").alias("group_id"), F.array("number", "second").alias("members"))  # the candidates themselves
+    return rounded(matching.score_arrays(groups, long, test).drop("members"))

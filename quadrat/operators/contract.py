@@ -27,7 +27,7 @@ def detected(alternatives: Column, base: Column, lower: Column, upper: Column, e
     """The share of alternative totals, moved by an effect in percent of the base, that lie beyond the critical values."""
     moved = lambda t: t + sign * base * effect / 100
     beyond = lambda t: F.coalesce(moved(t) < lower, F.lit(False)) | F.coalesce(moved(t) > upper, F.lit(False))
-    return F.size(F.filter(alternatives, beyond)) / F.size(alternatives)
+    return F.try_divide(F.size(F.filter(alternatives, beyond)), F.size(alternatives))
 
 
 def minimum_detectable(rows: DataFrame, bounds: tuple[float, float] = (0.0, 60.0), target: float = 0.8, tolerance: float = 0.01, points: int = 41, side: str = "one_sided_positive") -> DataFrame:
@@ -57,7 +57,7 @@ def minimum_detectable(rows: DataFrame, bounds: tuple[float, float] = (0.0, 60.0
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["b"]
     falls = F.exists(F.sequence(F.lit(1), F.lit(points - 1)), lambda k: F.get("quadrat_p", k) < F.get("quadrat_p", k - 1))
-    out = own.withColumn("reached", F.col("quadrat_k") > 0).withColumn("mde_pct", F.when(F.col("reached"), found)).withColumn("monotone", ~falls)
+    out = own.withColumn("reached", F.col("quadrat_k") > 0).withColumn("mde_pct", F.when(F.col("reached"), found)).withColumn("monotone", ~F.coalesce(falls, F.lit(False)))
     return out.withColumn("power", F.when(F.col("reached"), share(F.col("mde_pct")))).drop("quadrat_p", "quadrat_k")
 
 

@@ -55,6 +55,50 @@ def score_groups(groups: DataFrame, long: DataFrame, test: DataFrame, weights: d
     return both.groupBy("group_id").agg(F.sqrt(F.sum(w * z * z)).alias("distance"), F.avg(smd).alias("mean_abs_smd"))
 
 
+def member_numbers(long: DataFrame) -> DataFrame:
+    """region, number: the eligible regions in order of label, from 0; ``score_arrays`` takes these numbers."""
+    return long.select("region").distinct().withColumn("number", (F.row_number().over(Window.orderBy("region")) - 1).cast("int"))  # regions of one experiment
+
+
+def score_arrays(groups: DataFrame, long: DataFrame, test: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """groups with distance and mean_abs_smd, as ``score_groups`` gives them, of groups held as arrays of numbers (members).
+
+    The matrix of eligible regions and features is one experiment's, and goes to the tasks once; a batch of groups is scored by
+    sums over its flattened members. An empty group has neither figure.
+    """
+    numbered = long.join(member_numbers(long), "region")
+    cells = numbered.select("number", "feature", "population", "value").collect()  # regions x features of one experiment
+    features = sorted({r["feature"] for r in cells})
+    n = 1 + max((r["number"] for r in cells), default=-1)
+    x, pop = np.zeros((n, len(features))), np.zeros(n)
+    for r in cells:
+        x[r["number"], features.index(r["feature"])], pop[r["number"]] = r["value"], r["population"]
+    own = [r["number"] for r in member_numbers(long).join(test.select("region").distinct(), "region", "left_semi").collect()]
+    p = pop[own]
+    t = (x[own] * p[:, None]).sum(0) / p.sum() if p.sum() > 0 else x[own].mean(0)
+    sd, w = x.std(0), np.array([float((weights or {}).get(f, 1.0)) for f in features])
+    held = groups.sparkSession.sparkContext.broadcast((x, pop, t, sd, w))
+
+    @F.pandas_udf("distance double, mean_abs_smd double")
+    def score(members: pd.Series) -> pd.DataFrame:
+        x, pop, t, sd, w = held.value
+        sizes = members.map(len).to_numpy()
+        out = pd.DataFrame({"distance": np.full(len(members), np.nan), "mean_abs_smd": np.full(len(members), np.nan)})
+        full = np.flatnonzero(sizes)
+        if len(full):
+            flat, at = np.concatenate(members.iloc[full].to_list()).astype(int), np.r_[0, np.cumsum(sizes[full])[:-1]]
+            mass = np.add.reduceat(pop[flat], at)
+            weighted, plain = np.add.reduceat(x[flat] * pop[flat, None], at), np.add.reduceat(x[flat], at) / sizes[full, None]
+            c = np.where(mass[:, None] > 0, weighted / np.where(mass > 0, mass, 1)[:, None], plain)
+            spread = sd > 0
+            out.loc[full, "distance"] = np.sqrt((w * ((t - c) / np.where(spread, sd, 1)) ** 2).sum(1))
+            if spread.any():
+                out.loc[full, "mean_abs_smd"] = (np.abs(t - c)[:, spread] / sd[spread]).mean(1)
+        return out.astype(object).where(out.notna(), None)
+
+    return groups.withColumn("quadrat_s", score("members")).select(*groups.columns, F.col("quadrat_s.distance").alias("distance"), F.col("quadrat_s.mean_abs_smd").alias("mean_abs_smd"))
+
+
 def balance_table(long: DataFrame, test: DataFrame, control: DataFrame) -> DataFrame:
     """By feature: profiles of test and control, difference, standardised difference and squared contribution."""
     prof = lambda d, name: d.groupBy("feature").agg((F.sum(F.col("value") * F.col("population")) / F.sum("population")).alias(name))

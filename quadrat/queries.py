@@ -582,8 +582,13 @@ def a24(spark, d):
 
 
 def posterior(spark: SparkSession, d: str) -> DataFrame:
-    m, terms = matrix(spark, d)
-    return bayes.sample_posterior(m.where(F.col("date") <= "2000-03-31"), terms, "2000-01-31", dict.fromkeys(terms, 0.5), draws=300, tune=200)
+    """Draws for the first region: controls and their values of the week before, with priors by likeness of shape."""
+    from quadrat.keyed_queries import priors
+
+    t, c = region_names(spark, d)
+    m = validation.model_matrix(weeks(spark, d), t, c, [1])
+    prior = {r["feature"]: r["sigma"] for r in priors(spark, d).where(F.col("market") == t[0]).collect()}  # a row for each term
+    return bayes.sample_posterior(m.where(F.col("date") <= "2000-03-31"), [x for x in m.columns if x in prior], "2000-01-31", prior, draws=2000, tune=1000)
 
 
 @query("b9_posterior_uplift")

@@ -19,6 +19,10 @@ class UnreadableSource(QuadratError):
     pass
 
 
+class UnreadableWorkbook(UnreadableSource):
+    pass
+
+
 class NoDateColumns(QuadratError):
     pass
 

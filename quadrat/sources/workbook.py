@@ -5,10 +5,16 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
+from dataclasses import dataclass
+from pathlib import Path
 from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from quadrat.schemas import UnreadableWorkbook
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -22,17 +28,21 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def sheets(data: bytes) -> list[tuple[str, str]]:
-    """Names and part names of a workbook's sheets, in order."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+def _archive(data: bytes | str) -> zipfile.ZipFile:
+    return zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data)
+
+
+def sheets(data: bytes | str) -> list[tuple[str, str]]:
+    """Names and part names of a workbook's sheets, in order. data: its bytes, or its path."""
+    with _archive(data) as z:
         rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         book = ET.fromstring(z.read("xl/workbook.xml"))
         return [(s.get("name"), "xl/" + rels[s.get(_REL)].removeprefix("/xl/")) for s in book.find("m:sheets", _NS)]
 
 
-def rows(data: bytes, part: str):
+def rows(data: bytes | str, part: str):
     """The rows of a sheet, as lists of text or None."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+    with _archive(data) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))]
@@ -53,6 +63,83 @@ def rows(data: bytes, part: str):
                 row.clear()
 
 
+@dataclass
+class SheetPartition(InputPartition):
+    path: str
+    size: int
+    modified: int
+    sheet: str
+    part: str
+
+
+class WorkbookReader(DataSourceReader):
+    """A partition for each sheet; a sheet's rows stream from its part of the file."""
+
+    def __init__(self, options):
+        self.paths, self.nrows, self.sheet = options.get("path"), int(options.get("nrows", -1)), options.get("sheet")
+
+    def files(self) -> list[Path]:
+        at = Path(self.paths.removeprefix("file://"))
+        if not at.exists():
+            raise UnreadableWorkbook(f"{at}: no such file or folder")
+        return sorted(at.rglob("*.xlsx")) if at.is_dir() else [at]
+
+    def partitions(self):
+        out = []
+        for f in self.files():
+            try:
+                named = sheets(str(f))
+            except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
+                raise UnreadableWorkbook(f"{f}: {type(e).__name__}: {e}") from e
+            s = f.stat()
+            out += [SheetPartition(str(f), s.st_size, s.st_mtime_ns // 1_000_000, name, part) for name, part in named if self.sheet in (None, name)]
+        return out
+
+    def read(self, partition: SheetPartition):
+        try:
+            for k, cells in enumerate(rows(partition.path, partition.part)):
+                if k == self.nrows:
+                    return
+                yield partition.path, partition.size, partition.modified, partition.sheet, k, cells
+        except (zipfile.BadZipFile, KeyError, ET.ParseError, zlib.error) as e:
+            raise UnreadableWorkbook(f"{partition.path}, sheet {partition.sheet}: {type(e).__name__}: {e}") from e
+
+
+class WorkbookSource(DataSource):
+    """``spark.read.format("workbook")``: path, size, modified (milliseconds), sheet, row (from 0) and cells of all workbooks under a path.
+
+    The path is a file or folder that the driver and the executors see alike. Options: ``nrows``, the rows of each sheet to read (a
+    look at headers reads no further), and ``sheet``, the one to read. A file that is no workbook fails as UnreadableWorkbook.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "workbook"
+
+    def schema(self) -> str:
+        return "path string, size long, modified long, sheet string, row int, cells array<string>"
+
+    def reader(self, schema) -> WorkbookReader:
+        return WorkbookReader(self.options)
+
+
+def open_workbooks(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The workbook source, registered with the session."""
+    spark.dataSource.register(WorkbookSource)
+    return spark.read.format("workbook").options(**options).load(path)
+
+
+def headers(spark: SparkSession, path: str, rows_: int = 5) -> DataFrame:
+    """path, sheet, header (trimmed names of the first row, null for none) and n_peeked: a look at the first rows of every sheet."""
+    x = open_workbooks(spark, path, nrows=str(rows_)).groupBy("path", "sheet").agg(F.max_by("cells", -F.col("row")).alias("cells"), F.count("*").alias("n_peeked"))
+    return x.select("path", "sheet", F.transform("cells", lambda c: F.nullif(F.trim(c), F.lit(""))).alias("header"), "n_peeked")
+
+
+def identities(book: DataFrame) -> DataFrame:
+    """path, size, modified and an identity of each file, which changes with any of them."""
+    return book.select("path", "size", "modified").distinct().withColumn("identity", F.sha2(F.concat_ws("|", "path", F.col("size").cast("string"), F.col("modified").cast("string")), 256))
+
+
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """path, sheet, row (from 0), cells (array of text) of every sheet of every workbook under the path; Spark reads the files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
