@@ -292,13 +292,17 @@ def m8(spark, d):
     return rounded(matching.guided_test_group(populations(spark, d), 30.0, 3.0), 6)
 
 
-FIELDS = [("north", "exclude_from_both"), ("north", "force_test_include"), ("south", "force_test_include"), ("south", "control_only_exclude"), ("east", "force_test_include"), ("east", "test_only_exclude"), ("west", "force_control_include"), ("west", "control_only_exclude"), ("centre", "exclude_from_both")]
 
 
-@query("m9_constraint_conflicts", f"""WITH f(region, field) AS (VALUES {', '.join(map(str, FIELDS))}), g AS (SELECT region, list(DISTINCT field ORDER BY field) AS fs FROM f GROUP BY 1)
+ASSIGNED = ("exclude_from_both", "force_test_include", "force_control_include", "test_only_exclude", "control_only_exclude")
+
+
+@query("m9_constraint_conflicts", f"""WITH f AS (SELECT c_custkey // 3 AS region, list_extract({list(ASSIGNED)}, c_nationkey % 5 + 1) AS field FROM customer), g AS (SELECT region, list(DISTINCT field ORDER BY field) AS fs FROM f GROUP BY 1)
 SELECT region, array_to_string(fs, ',') AS fields FROM g WHERE (list_contains(fs, 'exclude_from_both') AND len(fs) > 1) OR list_has_all(fs, ['force_test_include', 'force_control_include']) OR list_has_all(fs, ['force_test_include', 'test_only_exclude']) OR list_has_all(fs, ['force_control_include', 'control_only_exclude'])""")
 def m9(spark, d):
-    return matching.constraint_conflicts(spark.createDataFrame(FIELDS, "region string, field string"))
+    """Three customers stand for the assignments of a region."""
+    c = sp.table(spark, d, "customer")
+    return matching.constraint_conflicts(c.select(F.floor(F.col("c_custkey") / 3).alias("region"), F.element_at(F.array(*map(F.lit, ASSIGNED)), (F.col("c_nationkey") % 5 + 1).cast("int")).alias("field")))
 
 
 @query("m5_hill_climb_sweep")
@@ -405,14 +409,12 @@ def a18(spark, d):
     return s.select(r("median_uplift", 2).alias("median_uplift"), r("p2_5", 2).alias("p2_5"), r("p97_5", 2).alias("p97_5"), r("percentile_rank").alias("percentile_rank"), r("p_one_sided", 6).alias("p_one_sided"), r("p_two_sided", 6).alias("p_two_sided"), r("z_score").alias("z_score"), "n_placebos")
 
 
-BANDS = [(k, float(a), float(b), c, float(e)) for k, (a, b, c, e) in enumerate([(5, 6, 2.0, 1), (5, 9, 1.3, 1), (5, 12, 2.0, 2), (9, 16, 0.5, 12), (4, 9.5, 2.6, -7), (3, 6.5, 1.6, 4)])]
-
-
-@query("v6_confidence_bands", f"""WITH v(case_id, pre_smape, rolling_smape, durbin_watson, bias_pct) AS (VALUES {', '.join(map(str, BANDS))}), b AS (SELECT case_id, CASE WHEN rolling_smape <= 10 THEN 'low' WHEN rolling_smape <= 15 THEN 'moderate' ELSE 'high' END AS e, CASE WHEN rolling_smape - pre_smape <= 3 THEN 'low' WHEN rolling_smape - pre_smape <= 5 THEN 'moderate' ELSE 'high' END AS g,
+@query("v6_confidence_bands", """WITH v AS (SELECT s_suppkey::INTEGER AS case_id, (s_suppkey % 17)::DOUBLE AS pre_smape, (s_suppkey % 17 + s_nationkey % 9)::DOUBLE AS rolling_smape, (s_suppkey % 31) / 10.0::DOUBLE AS durbin_watson, (s_nationkey - 12)::DOUBLE AS bias_pct FROM supplier), b AS (SELECT case_id, CASE WHEN rolling_smape <= 10 THEN 'low' WHEN rolling_smape <= 15 THEN 'moderate' ELSE 'high' END AS e, CASE WHEN rolling_smape - pre_smape <= 3 THEN 'low' WHEN rolling_smape - pre_smape <= 5 THEN 'moderate' ELSE 'high' END AS g,
 CASE WHEN durbin_watson BETWEEN 1.5 AND 2.5 THEN 'low' WHEN durbin_watson >= 1.2 AND durbin_watson < 1.5 OR durbin_watson > 2.5 AND durbin_watson <= 2.8 THEN 'moderate' ELSE 'high' END AS a, CASE WHEN ABS(bias_pct) <= 5 THEN 'low' WHEN ABS(bias_pct) <= 10 THEN 'moderate' ELSE 'high' END AS s FROM v)
-SELECT case_id::INTEGER AS case_id, e AS error_band, g AS gap_band, a AS autocorrelation_band, s AS bias_band, CASE WHEN e = 'high' THEN 'low' WHEN e = 'moderate' OR g <> 'low' OR a <> 'low' OR s <> 'low' THEN 'moderate' ELSE 'high' END AS confidence FROM b""")
+SELECT case_id, e AS error_band, g AS gap_band, a AS autocorrelation_band, s AS bias_band, CASE WHEN e = 'high' THEN 'low' WHEN e = 'moderate' OR g <> 'low' OR a <> 'low' OR s <> 'low' THEN 'moderate' ELSE 'high' END AS confidence FROM b""")
 def v6(spark, d):
-    df = spark.createDataFrame(BANDS, "case_id int, pre_smape double, rolling_smape double, durbin_watson double, bias_pct double")
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    df = sp.table(spark, d, "supplier").select(k.cast("int").alias("case_id"), (k % 17).cast("double").alias("pre_smape"), (k % 17 + n % 9).cast("double").alias("rolling_smape"), (k % 31 / 10.0).alias("durbin_watson"), (n - 12).cast("double").alias("bias_pct"))
     return validation.bands(df).select("case_id", "error_band", "gap_band", "autocorrelation_band", "bias_band", "confidence")
 
 
@@ -604,29 +606,27 @@ def a23(spark, d):
 
 # decisions
 
-PLANS = [
-    ("full", 10000.0, None, 5.0, None, 4.0, None, None, 1000000.0), ("weekly", None, {"w1": 1000.0, "w2": 2500.5}, 7.0, None, 2.0, None, None, 400000.0),
-    ("bad_week", None, {"w1": -1.0}, 7.0, None, None, None, None, None), ("given", None, None, None, 300000.0, None, 120000.0, None, 150000.0),
-    ("too_many", None, None, None, 300000.0, 1.0, None, None, 200000.0), ("nothing", None, None, None, None, None, None, None, None), ("low", 100.0, None, 10.0, None, 5.0, None, None, 100000.0),
-]
-PLAN_SCHEMA = "plan_id string, total_budget double, weekly map<string,double>, cpm double, impressions double, frequency double, reach double, reach_percentage double, eligible_audience double"
-
-
-def _plan_sql() -> str:
-    def lit(x):
-        return "NULL" if x is None else repr(sum(x.values()) if all(v >= 0 for v in x.values()) else None).replace("None", "NULL") if isinstance(x, dict) else repr(x)
-
-    return "(VALUES " + ", ".join(f"({', '.join(map(lit, p))})" for p in PLANS) + ") AS p(plan_id, total_budget, weekly, cpm, impressions, frequency, reach, reach_percentage, eligible_audience)"
+DERIVED = """WITH p AS (SELECT o_orderkey AS plan_id, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice::DOUBLE WHEN o_orderkey % 9 > 0 THEN o_totalprice::DOUBLE / 2 + o_totalprice::DOUBLE / 4 END AS total_budget, (o_custkey % 7)::DOUBLE AS cpm, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice::DOUBLE * 10 END AS impressions, (o_custkey % 5)::DOUBLE AS frequency,
+CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice::DOUBLE * 20 END AS reach, NULL::DOUBLE AS reach_percentage, (o_custkey % 4 * 999983)::DOUBLE AS eligible_audience FROM orders), a AS (SELECT plan_id, total_budget, cpm, impressions, CASE WHEN frequency > 0 THEN frequency END AS frequency, reach, reach_percentage, eligible_audience FROM p),
+b AS (SELECT * REPLACE (COALESCE(impressions, CASE WHEN cpm > 0 THEN total_budget / cpm * 1000 END) AS impressions) FROM a), c AS (SELECT * REPLACE (COALESCE(reach, CASE WHEN frequency > 0 THEN impressions / frequency END) AS reach) FROM b), e AS (SELECT * REPLACE (COALESCE(frequency, CASE WHEN reach > 0 THEN impressions / reach END) AS frequency) FROM c), f AS (SELECT * REPLACE (COALESCE(reach_percentage, CASE WHEN eligible_audience > 0 THEN reach / eligible_audience * 100 END) AS reach_percentage) FROM e)"""
 
 
-DERIVED = f"""WITH a AS (SELECT plan_id, COALESCE(total_budget, weekly)::DOUBLE AS total_budget, cpm::DOUBLE AS cpm, impressions::DOUBLE AS impressions, frequency::DOUBLE AS frequency, reach::DOUBLE AS reach, reach_percentage::DOUBLE AS reach_percentage, eligible_audience::DOUBLE AS eligible_audience FROM {_plan_sql()}),
-b AS (SELECT * REPLACE (COALESCE(impressions, CASE WHEN cpm > 0 THEN total_budget / cpm * 1000 END) AS impressions) FROM a), c AS (SELECT * REPLACE (COALESCE(reach, CASE WHEN frequency > 0 THEN impressions / frequency END) AS reach) FROM b), e AS (SELECT * REPLACE (COALESCE(frequency, CASE WHEN reach > 0 THEN impressions / reach END) AS frequency) FROM c), f AS (SELECT * REPLACE (COALESCE(reach_percentage, CASE WHEN eligible_audience > 0 THEN reach / eligible_audience * 100 END) AS reach_percentage) FROM e)"""
+def media_plans(spark: SparkSession, d: str) -> DataFrame:
+    """A plan for each order: some with weekly amounts, of which a negative one voids the pattern, and each lacking other figures."""
+    o = sp.table(spark, d, "orders")
+    k, c, v = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice").cast("double")
+    weekly = F.create_map(F.lit("w1"), v / 2, F.lit("w2"), F.when(k % 9 == 0, -v).otherwise(v / 4))
+    some = lambda test, x: F.when(test, x)
+    return o.select(
+        k.alias("plan_id"), some(k % 3 > 0, v).alias("total_budget"), some(k % 3 == 0, weekly).alias("weekly"), (c % 7).cast("double").alias("cpm"), some(k % 11 == 0, v * 10).alias("impressions"),
+        some(c % 5 > 0, (c % 5).cast("double")).alias("frequency"), some(k % 13 == 0, v * 20).alias("reach"), F.lit(None).cast("double").alias("reach_percentage"), (c % 4 * 999983).cast("double").alias("eligible_audience"),
+    )
 
 
 @query("d2_media_delivery", f"""{DERIVED} SELECT plan_id, ROUND(total_budget, 4) AS total_budget, ROUND(impressions, 4) AS impressions, ROUND(reach, 4) AS reach, ROUND(frequency, 4) AS frequency, ROUND(reach_percentage, 4) AS reach_percentage,
 CASE WHEN impressions < 100000 OR reach < 50000 THEN 'not_feasible' WHEN reach_percentage > 100 OR frequency <= 0 THEN 'blocked' WHEN COALESCE(impressions, 0) = 0 OR COALESCE(reach, 0) = 0 THEN 'incomplete' ELSE 'feasible' END AS status FROM f""")
 def d2(spark, d):
-    x = decisions.assess_delivery(spark.createDataFrame(PLANS, PLAN_SCHEMA), 100000, 50000)
+    x = decisions.assess_delivery(media_plans(spark, d), 100000, 50000)
     return rounded(x.select("plan_id", "total_budget", "impressions", "reach", "frequency", "reach_percentage", "status"))
 
 
@@ -636,37 +636,47 @@ def d3(spark, d):
     return shapes[0].unionByName(shapes[1]).unionByName(shapes[2])
 
 
-EVIDENCE = [
-    ("a", "prior_test", "high", False, False, 4.0, "one_sided_positive", {"low": 2.0, "central": 5.0, "high": 9.0}), ("b", "analyst_assumption", "high", False, False, 3.0, "two_sided", {"low": -5.0, "central": 1.0}),
-    ("c", "prior_test", "unknown", True, True, None, "one_sided_negative", {"central": -6.0}), ("d", "prior_test", "high", True, False, 2.0, "one_sided_negative", {"central": -6.0, "high": 1.0}),
-]
+DIRECTIONS = ("one_sided_positive", "one_sided_negative", "two_sided")
 
 
-@query("d4_effect_plausibility", "WITH s(case_id, label, uplift_pct, status, mde, dir) AS (VALUES " + ", ".join(f"('{c}', '{k}', {v!r}, '{'blocked' if adj and not app else 'conditional' if t == 'analyst_assumption' or q == 'unknown' else 'evidence_backed'}', {'NULL' if m is None else m}, '{di}')" for c, t, q, adj, app, m, di, sc in EVIDENCE for k, v in sc.items()) + "), x AS (SELECT *, CASE dir WHEN 'one_sided_positive' THEN uplift_pct WHEN 'one_sided_negative' THEN -uplift_pct ELSE ABS(uplift_pct) END AS dist FROM s) SELECT case_id, label, uplift_pct::DOUBLE AS uplift_pct, status, dist >= mde AS meets_mde, (dist - mde)::DOUBLE AS margin_pct FROM x")
+@query("d4_effect_plausibility", f"""WITH c AS (SELECT c_custkey AS case_id, CASE WHEN c_acctbal < 0 AND c_custkey % 2 = 1 THEN 'blocked' WHEN c_mktsegment = 'BUILDING' OR c_nationkey % 4 = 0 THEN 'conditional' ELSE 'evidence_backed' END AS status, CASE WHEN c_nationkey % 6 < 5 THEN (c_nationkey % 6)::DOUBLE END AS mde, list_extract({list(DIRECTIONS)}, c_custkey % 3 + 1) AS dir, c_acctbal::DOUBLE AS v FROM customer),
+s AS (SELECT case_id, status, mde, dir, label, v / per AS uplift_pct FROM c, (VALUES ('low', 2000.0::DOUBLE), ('central', 1000.0::DOUBLE), ('high', 500.0::DOUBLE)) AS l(label, per)), x AS (SELECT *, CASE dir WHEN 'one_sided_positive' THEN uplift_pct WHEN 'one_sided_negative' THEN -uplift_pct ELSE ABS(uplift_pct) END AS dist FROM s) SELECT case_id, label, ROUND(uplift_pct, 8) AS uplift_pct, status, dist >= mde AS meets_mde, ROUND(dist - mde, 8) AS margin_pct FROM x""")
 def d4(spark, d):
-    return decisions.assess_effects(spark.createDataFrame(EVIDENCE, "case_id string, evidence_type string, quality string, adjusted boolean, central_approved boolean, mde_pct double, direction string, scenarios map<string,double>"))
+    k, n, v = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_acctbal").cast("double")
+    evidence = sp.table(spark, d, "customer").select(
+        k.alias("case_id"), F.when(F.col("c_mktsegment") == "BUILDING", "analyst_assumption").otherwise("prior_test").alias("evidence_type"), F.when(n % 4 == 0, "unknown").otherwise("high").alias("quality"), (F.col("c_acctbal") < 0).alias("adjusted"), (k % 2 == 0).alias("central_approved"),
+        F.when(n % 6 < 5, (n % 6).cast("double")).alias("mde_pct"), F.element_at(F.array(*map(F.lit, DIRECTIONS)), (k % 3 + 1).cast("int")).alias("direction"), F.create_map(F.lit("low"), v / 2000, F.lit("central"), v / 1000, F.lit("high"), v / 500).alias("scenarios"),
+    )
+    return rounded(decisions.assess_effects(evidence), 8)
+
+
+_D = """WITH x AS (SELECT s_suppkey::INTEGER AS position, 's' || s_suppkey AS scenario_id, (s_suppkey % 10) / 10.0::DOUBLE AS size_metric, (4 + s_nationkey % 6)::INTEGER AS duration_periods, CASE WHEN s_acctbal > 0 THEN s_acctbal::DOUBLE END AS cost, CASE WHEN s_suppkey % 7 = 0 THEN 'fail' ELSE ' Pass ' END AS match_status, CASE WHEN s_suppkey % 5 = 0 THEN 'weak' ELSE 'credible' END AS counterfactual_status,
+CASE WHEN s_nationkey = 3 THEN 'blocked' ELSE 'supported' END AS power_status, CASE WHEN s_nationkey % 8 = 1 THEN 'incomplete' ELSE 'feasible' END AS delivery_status, CASE s_suppkey % 3 WHEN 0 THEN 'evidence_backed' WHEN 1 THEN 'conditional' ELSE 'unknown' END AS effect_status, 'valid' AS region_constraints_status, s_suppkey % 11 > 0 AS power_usable, s_suppkey % 13 > 0 AS power_meets_target, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 17 > 0 END AS effect_meets_mde FROM supplier)"""
+
+
+def designs(spark: SparkSession, d: str) -> DataFrame:
+    """A design for each supplier, its states by remainders."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    either = lambda test, a, b: F.when(test, a).otherwise(b)
+    return sp.table(spark, d, "supplier").select(
+        k.cast("int").alias("position"), F.concat(F.lit("s"), k.cast("string")).alias("scenario_id"), (k % 10 / 10.0).alias("size_metric"), (4 + n % 6).cast("int").alias("duration_periods"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal").cast("double")).alias("cost"),
+        either(k % 7 == 0, "fail", " Pass ").alias("match_status"), either(k % 5 == 0, "weak", "credible").alias("counterfactual_status"), either(n == 3, "blocked", "supported").alias("power_status"), either(n % 8 == 1, "incomplete", "feasible").alias("delivery_status"),
+        F.when(k % 3 == 0, "evidence_backed").when(k % 3 == 1, "conditional").otherwise("unknown").alias("effect_status"), F.lit("valid").alias("region_constraints_status"), (k % 11 > 0).alias("power_usable"), (k % 13 > 0).alias("power_meets_target"), F.when(k % 4 > 0, k % 17 > 0).alias("effect_meets_mde"),
+    )
 
 
-DESIGN_NAMES = ("position", "scenario_id", "size_metric", "duration_periods", "cost", "match_status", "counterfactual_status", "power_status", "delivery_status", "effect_status", "region_constraints_status", "power_usable", "power_meets_target", "effect_meets_mde")
-DESIGN_SCHEMA = "position int, scenario_id string, size_metric double, duration_periods int, cost double, match_status string, counterfactual_status string, power_status string, delivery_status string, effect_status string, region_constraints_status string, power_usable boolean, power_meets_target boolean, effect_meets_mde boolean"
-DESIGNS = [
-    (0, "s1", 0.2, 8, 900.0, "pass", "credible", "supported", "feasible", "evidence_backed", "valid", True, True, True), (1, "s2", 0.1, 8, None, "pass", "credible", "supported", "feasible", "evidence_backed", "valid", True, True, True),
-    (2, "s3", 0.1, 6, 500.0, "pass", "credible", "supported", "feasible", "conditional", "valid", True, True, True), (3, "s4", 0.05, 4, 100.0, "fail", "credible", "supported", "incomplete", "evidence_backed", "valid", True, False, None),
-    (4, "s5", 0.1, 8, 700.0, " Pass ", "valid", "complete", "feasible", "evidence_backed", "pass", True, True, True), (5, "s6", 0.1, 8, 700.0, "pass", "credible", "blocked", "feasible", "unknown", "valid", False, True, False),
-]
-_D = "WITH x(" + ", ".join(DESIGN_NAMES) + ") AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in x) + ")" for x in DESIGNS) + ")"
 _OK = " AND ".join(f"lower(trim({c})) IN ('pass', 'supported', 'credible', 'valid', 'complete')" for c in ("match_status", "counterfactual_status", "power_status", "region_constraints_status"))
 _CLEAN = f"({_OK} AND power_usable AND power_meets_target AND delivery_status = 'feasible' AND effect_status IN ('evidence_backed', 'conditional') AND COALESCE(effect_meets_mde, false))"
 
 
 @query("d5_design_gates", f"{_D} SELECT position::INTEGER AS position, scenario_id, {_CLEAN} AND effect_status = 'evidence_backed' AS qualifies, {_CLEAN} AND effect_status = 'conditional' AS conditional FROM x")
 def d5(spark, d):
-    return decisions.assess_designs(spark.createDataFrame(DESIGNS, DESIGN_SCHEMA)).select("position", "scenario_id", "qualifies", "conditional")
+    return decisions.assess_designs(designs(spark, d)).select("position", "scenario_id", "qualifies", "conditional")
 
 
 @query("d6_recommendation", f"{_D}, g AS (SELECT *, {_CLEAN} AND effect_status = 'evidence_backed' AS q, {_CLEAN} AND effect_status = 'conditional' AS c FROM x) SELECT (SELECT scenario_id FROM g WHERE q OR c ORDER BY NOT q, size_metric, duration_periods, COALESCE(cost, 1e308), position LIMIT 1) AS scenario_id, CASE WHEN bool_or(q) THEN 'recommended' WHEN bool_or(c) THEN 'conditional' ELSE 'no_qualifying_design' END AS status, COUNT(*) FILTER (q) AS n_qualifying, COUNT(*) FILTER (c) AS n_conditional FROM g")
 def d6(spark, d):
-    return decisions.recommend(decisions.assess_designs(spark.createDataFrame(DESIGNS, DESIGN_SCHEMA)))
+    return decisions.recommend(decisions.assess_designs(designs(spark, d)))
 
 
 @query("k2_geo_assignment", f"WITH {TEST_SQL} SELECT 'market' AS Market, trim(n_name) AS geo, CASE WHEN n_nationkey IN (1, 2) THEN 'Yes' ELSE '' END AS Test, CASE WHEN n_regionkey = 1 AND n_nationkey NOT IN (1, 2) THEN 'Yes' ELSE '' END AS Control FROM nation")

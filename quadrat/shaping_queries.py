@@ -109,14 +109,16 @@ def b8(spark, d):
     return shaping.contiguity_blockers(both, 1)
 
 
-LISTS = ("1, 2.5,,x", " 7 ", "", "a=1, b = 2.5,c,d=z")
+LISTS = "SELECT CASE c_custkey % 4 WHEN 0 THEN c_custkey || ', ' || c_nationkey || '.5,,x' WHEN 1 THEN ' ' || c_custkey || ' ' WHEN 2 THEN '' ELSE 'a=' || c_custkey || ', b = ' || c_nationkey || '.5,c,d=z' END AS s FROM customer"
 
 
-@query("f4_parsed_lists", f"WITH t(s) AS (VALUES {', '.join(f'''('{x}')''' for x in LISTS)}), n AS (SELECT s, list_transform(list_filter(list_transform(string_split(s, ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: TRY_CAST(x AS DOUBLE)) AS v FROM t) SELECT s, len(v)::INTEGER AS n, COALESCE(list_sum(v), 0)::DOUBLE AS total, len(list_filter(v, lambda x: x IS NULL))::INTEGER AS invalid, list_sum(list_transform(list_filter(string_split(s, ','), lambda x: x LIKE '%=%'), lambda x: TRY_CAST(trim(string_split(x, '=')[2]) AS DOUBLE)))::DOUBLE AS weights FROM n")
+@query("f4_parsed_lists", f"WITH t AS ({LISTS}), n AS (SELECT s, list_transform(list_filter(list_transform(string_split(s, ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: TRY_CAST(x AS DOUBLE)) AS v FROM t) SELECT s, len(v)::INTEGER AS n, COALESCE(list_sum(v), 0)::DOUBLE AS total, len(list_filter(v, lambda x: x IS NULL))::INTEGER AS invalid, list_sum(list_transform(list_filter(string_split(s, ','), lambda x: x LIKE '%=%'), lambda x: TRY_CAST(trim(string_split(x, '=')[2]) AS DOUBLE)))::DOUBLE AS weights FROM n")
 def f4(spark, d):
     v, w = shaping.number_list(F.col("s")), F.map_values(shaping.key_values(F.col("s")))
     add = lambda x: F.aggregate(F.filter(x, lambda y: y.isNotNull()), F.lit(0.0), lambda a, y: a + y)
-    df = spark.createDataFrame([(x,) for x in LISTS], "s string")
+    k, n = (F.col(c).cast("string") for c in ("c_custkey", "c_nationkey"))
+    text = F.when(F.col("c_custkey") % 4 == 0, F.concat(k, F.lit(", "), n, F.lit(".5,,x"))).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit(" "), k, F.lit(" "))).when(F.col("c_custkey") % 4 == 2, "").otherwise(F.concat(F.lit("a="), k, F.lit(", b = "), n, F.lit(".5,c,d=z")))
+    df = sp.table(spark, d, "customer").select(text.alias("s"))
     return df.select("s", F.size(v).alias("n"), add(v).alias("total"), F.size(F.filter(v, lambda x: x.isNull())).alias("invalid"), F.when(F.size(w) > 0, add(w)).alias("weights"))
 
 
@@ -146,18 +148,19 @@ def v13(spark, d):
     return out.withColumn("share", r("share", 6))
 
 
-RUNS = [("a", "Evaluate", "3.5", 0), ("a", "Evaluate", None, 0), ("b", "Evaluate", "nan", 0), ("b", "Evaluate", "2.0", 1), ("c", "Design", "4.0", 0), ("d", "Evaluate", "x", 0), ("d", "Evaluate", "-1.0", 0)]
 
 
-@query("d12_impact_completed", "WITH t(run, mode, uplift_pct, blockers) AS (VALUES ('a', 'Evaluate', '3.5', 0), ('a', 'Evaluate', NULL, 0), ('b', 'Evaluate', 'nan', 0), ('b', 'Evaluate', '2.0', 1), ('c', 'Design', '4.0', 0), ('d', 'Evaluate', 'x', 0), ('d', 'Evaluate', '-1.0', 0)) SELECT run, COUNT(*) FILTER (mode = 'Evaluate' AND blockers = 0 AND isfinite(TRY_CAST(uplift_pct AS DOUBLE))) > 0 AS completed FROM t GROUP BY 1")
+@query("d12_impact_completed", "WITH t AS (SELECT o_custkey AS run, CASE WHEN o_orderkey % 4 = 0 THEN 'Design' ELSE 'Evaluate' END AS mode, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'nan' WHEN 2 THEN 'x' ELSE o_totalprice::VARCHAR END AS uplift_pct, (o_orderkey % 3 = 0)::INTEGER AS blockers FROM orders) SELECT run, COUNT(*) FILTER (mode = 'Evaluate' AND blockers = 0 AND isfinite(TRY_CAST(uplift_pct AS DOUBLE))) > 0 AS completed FROM t GROUP BY 1")
 def d12(spark, d):
-    return shaping.impact_completed(spark.createDataFrame(RUNS, "run string, mode string, uplift_pct string, blockers int"))
+    k = F.col("o_orderkey")
+    text = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, "nan").when(k % 5 == 2, "x").otherwise(F.col("o_totalprice").cast("string"))
+    return shaping.impact_completed(sp.table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.when(k % 4 == 0, "Design").otherwise("Evaluate").alias("mode"), text.alias("uplift_pct"), (k % 3 == 0).cast("int").alias("blockers")))
 
 
-@query("d18_effect_meets_mde", "SELECT e::DOUBLE AS expected, dir AS direction, CASE dir WHEN 'one_sided_positive' THEN e WHEN 'one_sided_negative' THEN -e ELSE ABS(e) END >= 3 AS meets FROM (SELECT UNNEST(range(-6, 7)) AS e), (SELECT UNNEST(['one_sided_positive', 'one_sided_negative', 'two_sided']) AS dir)")
+@query("d18_effect_meets_mde", "SELECT (o_custkey % 13 - 6)::DOUBLE AS expected, dir AS direction, CASE dir WHEN 'one_sided_positive' THEN o_custkey % 13 - 6 WHEN 'one_sided_negative' THEN 6 - o_custkey % 13 ELSE ABS(o_custkey % 13 - 6) END >= o_orderkey % 5 AS meets, COUNT(*) AS n FROM orders, (SELECT UNNEST(['one_sided_positive', 'one_sided_negative', 'two_sided']) AS dir) GROUP BY ALL")
 def d18(spark, d):
-    e = spark.range(-6, 7).select(F.col("id").cast("double").alias("expected"), F.explode(F.array(*map(F.lit, ("one_sided_positive", "one_sided_negative", "two_sided")))).alias("direction"))
-    return e.select("expected", "direction", shaping.meets_mde(F.col("expected"), F.col("direction"), F.lit(3.0)).alias("meets"))
+    o = sp.table(spark, d, "orders").select((F.col("o_custkey") % 13 - 6).cast("double").alias("expected"), (F.col("o_orderkey") % 5).cast("double").alias("mde"), F.explode(F.array(*map(F.lit, ("one_sided_positive", "one_sided_negative", "two_sided")))).alias("direction"))
+    return o.withColumn("meets", shaping.meets_mde(F.col("expected"), F.col("direction"), F.col("mde"))).groupBy("expected", "direction", "meets").agg(F.count("*").alias("n"))
 
 
 @query("x21_balance_status", "SELECT ROUND(l_discount * 10, 2) AS smd, CASE WHEN ROUND(l_discount * 10, 2) <= 0.2 THEN 'pass' WHEN ROUND(l_discount * 10, 2) <= 0.5 THEN 'supported' ELSE 'fail' END AS status, COUNT(*) AS n FROM lineitem GROUP BY 1, 2")
