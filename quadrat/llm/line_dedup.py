@@ -13,7 +13,7 @@ Equal lines are one node from the start, told apart by 128 bits and counted with
 is its line of most copies. Each node is first compared with the pivot whose signature is most like its own: one comparison a
 node, however large the bands are. In bands that then still hold several components, nodes of different ones are compared by
 their signatures and by 1,024 bits of their sets, which bound the similarity, in blocks that emit the few pairs whose sets are to be
-compared. No such pair is left out. Only documents that hold
+compared: first a node's likeliest in each other component, then those that are still apart. No such pair is left out. Only documents that hold
 a candidate, and later those that may lose a line, are shuffled: a bit map of fixed size tells which.
 
 Defined results: a null text stays null; lines without a visible character are kept and never compared; a document whose
@@ -218,20 +218,23 @@ def mixed_members(members: DataFrame) -> DataFrame:
 
 
 def open_pairs(mixed: DataFrame, nodes: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of a band's nodes (g, v, c, blocks) that are in different components and have like signatures and bits.
+    """a, ca, b, cb, n: the pairs of a band's nodes (g, v, c, blocks) that are in different components and have like signatures and bits.
 
-    Blocks of a band's nodes meet all its others within the join, which emits the few pairs that its condition leaves.
+    Blocks of a band's nodes meet all its others within the join, which emits the few pairs that its condition leaves, each in the
+    first band that it shares. n tells how much of the signatures is in common.
     """
     mark = F.aggregate("sig", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
-    own = mixed.join(nodes.select("v", "sig", mark.alias("mark")), "v").join(bits, "v")
+    own = mixed.join(nodes.select("v", "sig", mark.alias("mark"), band_keys(F.col("sig"), percent).alias("keys")), "v").join(bits, "v")
     left = own.select("*", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"))
-    names = {"v": "w", "c": "d", "sig": "other", "mark": "mark_w"} | {x: f"other_{x}" for x in ("n", "k", *(f"b{j}" for j in range(WORDS)))}
+    names = {"v": "w", "c": "d", "sig": "other", "mark": "mark_w", "keys": "keys_w"} | {x: f"other_{x}" for x in ("n", "k", *(f"b{j}" for j in range(WORDS)))}
     right = own.select(F.col("g").alias("h"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), *(F.col(x).alias(y) for x, y in names.items()))
     n = F.size("sig")
     fewest = F.least(F.lit(COMMON * percent // 80 - 2), F.bit_count("mark") - (n - F.ceil(n * percent / 100)))  # also where hashes share a bit
     some = F.bit_count(F.col("mark").bitwiseAND(F.col("mark_w"))) >= fewest  # cheap
     apart = (F.col("v") > F.col("w")) & (F.col("c") != F.col("d")) & some & may_reach(percent) & likely(F.col("sig"), F.col("other"), percent)
-    return left.join(right, (F.col("g") == F.col("h")) & (F.col("block") == F.col("at")) & apart).select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
+    once = F.array_min(F.array_intersect("keys", "keys_w")) == F.col("g")
+    both = left.join(right, (F.col("g") == F.col("h")) & (F.col("block") == F.col("at")) & apart & once)
+    return both.select(F.col("v").alias("a"), F.col("c").alias("ca"), F.col("w").alias("b"), F.col("d").alias("cb"), common(F.col("sig"), F.col("other")).alias("n"))
 
 
 def _labelled(rows: DataFrame, comp: DataFrame, node: str = "v", label: str = "c") -> DataFrame:
@@ -256,7 +259,13 @@ def line_components(docs: DataFrame, lines: DataFrame, percent: int) -> tuple[Da
     pairs = cut(open_pairs(mixed, nodes, bits, percent), "pairs")
     if pairs.isEmpty():
         return comp, nodes
-    more = _labelled(_labelled(links(pairs), comp, "a", "ca"), comp, "b", "cb").select("ca", "cb").where("ca != cb").distinct()
+    # a node's likeliest partner in each other component first; what that unites needs no more comparisons
+    best = cut(pairs.groupBy("a", "cb").agg(F.max_by("b", F.struct("n", "b")).alias("b")).select("a", "b"), "best")
+    united = lambda found: _labelled(_labelled(found, comp, "a", "ca"), comp, "b", "cb").select("ca", "cb").where("ca != cb").distinct()
+    more = cut(united(links(best)), "united")
+    now = cut(components(more, "ca", "cb"), "components")
+    rest = _labelled(_labelled(pairs, now, "ca", "la"), now, "cb", "lb").where("la != lb").select("a", "b").join(best, ["a", "b"], "left_anti")
+    more = more.unionByName(united(links(cut(rest, "pairs")))).distinct()
     over = cut(components(more, "ca", "cb"), "components").select(F.col("node").alias("component"), F.col("component").alias("c"))
     known = comp.unionByName(over.select(F.col("component").alias("node"), "component"))  # nodes that had no link are their own component
     return known.join(over, "component", "left").select("node", F.coalesce("c", "component").alias("component")).distinct(), nodes
