@@ -123,9 +123,10 @@ def band_members(lines: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFra
 
     Should two nodes have one code, both are taken for it.
     """
-    keys = lines.select(F.explode(band_keys(F.col("sig"), percent)).alias("g"), "v", node_code().alias("code"))
+    keys = lines.select(F.explode(band_keys(F.col("sig"), percent)).alias("g"), node_code().alias("code"))
     tops = keys.groupBy("g").agg(F.max("code").alias("top"), F.min("code").alias("low")).where("top != low").select("g", "top")
-    return keys.join(tops.hint("shuffle_hash"), "g").select("g", "v", "code", "top")
+    shared = keys.join(tops.hint("shuffle_hash"), "g")  # most keys are one line's: only codes are shuffled with them
+    return shared.join(lines.select("v", node_code().alias("code")), "code").select("g", "v", "code", "top")
 
 
 def candidate_lines(docs: DataFrame, nodes: DataFrame) -> DataFrame:
