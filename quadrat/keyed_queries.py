@@ -69,13 +69,13 @@ def v7_design_loss(spark, d):
     return x.withColumn("row_loss", keyed.row_loss(F.col("n_before"), F.col("n_dates")))
 
 
-@query("v5_coefficients", f"""{DESIGN}, s AS (SELECT l.market, l.method, l.e, ANY_VALUE(l.region) AS region, ANY_VALUE(l.lag) AS lag, regr_slope(y, v) AS coefficient, stddev_pop(v) AS dev FROM long AS l JOIN y USING (market, method, date) GROUP BY 1, 2, 3),
+@query("v5_coefficients", f"""{DESIGN}, s AS (SELECT l.market, l.method, l.e, ANY_VALUE(l.region) AS region, ANY_VALUE(l.lag) AS lag, CASE WHEN stddev_pop(v) > 0 THEN regr_slope(y, v) ELSE 0.0 END AS coefficient, stddev_pop(v) AS dev FROM long AS l JOIN y USING (market, method, date) GROUP BY 1, 2, 3),
 z AS (SELECT *, ABS(coefficient) * dev AS size, SUM(ABS(coefficient) * dev) OVER (PARTITION BY market, method) AS total, CASE WHEN lag = 0 THEN region ELSE region || '_lag' || lag END AS feature FROM s)
-SELECT market, method, feature, region, CASE WHEN lag = 0 THEN 'Same week' ELSE 'Lag 1 week' END AS term, ROUND(coefficient, 4) AS coefficient, ABS(coefficient) > 1e-6 AS selected, ROUND(size / total, 6) AS contribution, row_number() OVER (PARTITION BY market, method ORDER BY size DESC, feature)::INTEGER AS place FROM z""")
+SELECT market, method, feature, region, CASE WHEN lag = 0 THEN 'Same week' ELSE 'Lag 1 week' END AS term, ROUND(coefficient, 4) AS coefficient, ABS(coefficient) > 1e-6 AS selected, ROUND(CASE WHEN total > 0 THEN size / total ELSE 0.0 END, 6) AS contribution, row_number() OVER (PARTITION BY market, method ORDER BY size DESC, feature)::INTEGER AS place FROM z""")
 def v5(spark, d):
-    """Each term's own slope as its stated coefficient."""
+    """Each term's own slope as its stated coefficient, 0 for a term without spread."""
     x = designs(spark, d).select(*keyed.RUN, "y", F.posexplode("x").alias("j", "v"))
-    slopes = x.groupBy(*keyed.RUN, "j").agg(F.regr_slope("y", "v").alias("b"), F.stddev_pop("v").alias("s"))
+    slopes = x.groupBy(*keyed.RUN, "j").agg(F.coalesce(F.when(F.stddev_pop("v") > 0, F.regr_slope("y", "v")), F.lit(0.0)).alias("b"), F.stddev_pop("v").alias("s"))
     packed = slopes.groupBy(*keyed.RUN).agg(F.array_sort(F.collect_list(F.struct("j", "b", "s"))).alias("q")).select(*keyed.RUN, F.transform("q", lambda q: q["b"]).alias("coef"), F.transform("q", lambda q: q["s"]).alias("devs"))
     out = keyed.coefficient_table(packed, keyed.term_labels(runs(spark, d), LAGS), packed)
     return out.withColumn("coefficient", r("coefficient")).withColumn("contribution", r("contribution", 6))
