@@ -43,12 +43,12 @@ def run_evidence(spark: SparkSession, scenarios: list[str], seeds: int, methods:
 
 def summarise(runs: DataFrame) -> DataFrame:
     """Grouping sets: by scenario, method and fit; by scenario; and over all. A spread of one run is 0."""
-    runs.createOrReplaceTempView("quadrat_runs")
-    return runs.sparkSession.sql("""
-        SELECT scenario, method, fit, grouping_id(scenario, method, fit) AS level, count(*) AS n_runs, avg(power) AS power_mean,
-               coalesce(stddev_samp(power), 0) AS power_sd, avg(power - reference) AS bias, avg(null_rate) AS null_rate, count_if(fallback IS NOT NULL) AS n_fallback
-        FROM quadrat_runs GROUP BY GROUPING SETS ((scenario, method, fit), (scenario), ())
-    """)
+    keys = ["scenario", "method", "fit"]
+    spread = F.coalesce(F.stddev_samp("power"), F.lit(0.0)).alias("power_sd")
+    return runs.groupingSets([keys, ["scenario"], []], *keys).agg(
+        F.grouping_id(*keys).alias("level"), F.count("*").alias("n_runs"), F.avg("power").alias("power_mean"), spread,
+        F.avg(F.col("power") - F.col("reference")).alias("bias"), F.avg("null_rate").alias("null_rate"), F.count("fallback").alias("n_fallback"),
+    )
 
 
 def seed_sensitivity(runs: DataFrame) -> DataFrame:

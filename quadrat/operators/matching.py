@@ -171,7 +171,8 @@ def guided_test_group(regions: DataFrame, target: float, tolerance: float, force
     groups = picked.join(F.broadcast(sizes), "region").groupBy("subset").agg(F.array_sort(F.collect_list(F.struct("region", "p"))).alias("m"))  # regions of one experiment
     alone = regions.sparkSession.range(1).select(F.lit(-1).cast("long").alias("subset"), F.array().cast("array<struct<region:string,p:double>>").alias("m"))
     scored = groups.unionByName(alone).join(F.broadcast(total)).join(F.broadcast(base))  # single rows
-    share = (F.col("base") + F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["p"])) / F.col("total")
+    held = F.col("base") + F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["p"])
+    share = F.coalesce(F.try_divide(held, F.col("total")), F.lit(0.0))  # no regions, no people: a share of 0
     lo, hi = max(0.0, target - tolerance) / 100, min(100.0, target + tolerance) / 100
     band = F.when(F.col("share").between(lo, hi), 0.0).otherwise(F.least(F.abs(F.col("share") - lo), F.abs(F.col("share") - hi)))
     label = F.array_sort(F.concat("forced", F.transform("m", lambda x: x["region"])))

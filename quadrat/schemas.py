@@ -31,6 +31,10 @@ class NoMetricColumn(QuadratError):
     pass
 
 
+class NoPopulationColumn(QuadratError):
+    pass
+
+
 class AmbiguousLayout(QuadratError):
     pass
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quadrat.operators import shaping, validation
-from quadrat.queries import DAYS, FITTED, MONTHS, WEEKS, fitted_naive, months, query, r, weeks
+from quadrat.operators import matching, roles, shaping, validation
+from quadrat.queries import DAYS, FITTED, LONGF, MONTHS, STATS, TEST_SQL, WEEKS, fitted_naive, long_features, months, query, r, test_regions, weeks
 from quadrat.sources import panel as sp
 
 CASES = "SELECT c_custkey, c_mktsegment AS metric, CASE WHEN c_acctbal < 0 THEN '  ' ELSE c_mktsegment || c_nationkey END AS level, c_acctbal FROM customer"
@@ -169,7 +169,84 @@ def x21(spark, d):
     return smd.groupBy("smd", shaping.balance_status(F.col("smd")).alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("d19_blocking_errors", f"SELECT 'broken date' AS error UNION ALL SELECT 'The following selected test region(s) have no mapped data in the KPI file: ' || string_agg(x, ', ' ORDER BY x) FROM (SELECT UNNEST(['NATION_1', 'Nowhere', 'Elsewhere']) AS x) WHERE x NOT IN (SELECT region FROM ({MONTHS})) HAVING COUNT(*) > 0")
+@query("d19_blocking_errors", f"SELECT 'broken date' AS error UNION ALL SELECT 'Test regions that no row of the KPI table covers: ' || string_agg(x, ', ' ORDER BY x) FROM (SELECT UNNEST(['NATION_1', 'Nowhere', 'Elsewhere']) AS x) WHERE x NOT IN (SELECT region FROM ({MONTHS})) HAVING COUNT(*) > 0")
 def d19(spark, d):
     required = spark.createDataFrame([("NATION_1",), ("Nowhere",), ("Elsewhere",)], "region string")
     return shaping.blocking_errors(spark.createDataFrame([("broken date",)], "error string"), required, months(spark, d))
+
+
+@query("p17_column_roles", "SELECT 'Total Population' AS \"column\", 'population' AS role UNION ALL SELECT 'segment', 'grouping' UNION ALL SELECT 'spend', 'feature' UNION ALL SELECT 'mostly', 'feature' FROM customer HAVING COUNT(*) FILTER (c_acctbal > 0) > 0.5 * COUNT(*) UNION ALL SELECT 'rarely', 'feature' FROM customer HAVING COUNT(*) FILTER (c_acctbal <= 0) > 0.5 * COUNT(*)")
+def p17_roles(spark, d):
+    c = sp.table(spark, d, "customer")
+    text = lambda when: F.when(when, F.col("c_acctbal").cast("string")).otherwise("n/a")
+    few = F.when(F.col("c_acctbal") > 9000, F.col("c_acctbal"))  # numeric by type, though mostly null
+    return shaping.column_roles(c.select(F.col("c_nationkey").alias("Market"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("Total Population"), few.alias("spend"), text(F.col("c_acctbal") > 0).alias("mostly"), text(F.col("c_acctbal") <= 0).alias("rarely"), F.col("c_name").alias("customer_name")))
+
+
+SUPPLIED = "SELECT CASE WHEN n_nationkey % 7 = 3 THEN 'old ' ELSE '' END || n_name AS region, (n_nationkey - 4)::DOUBLE AS weight FROM nation WHERE n_nationkey % 5 <> 0"
+
+
+@query("x21_weight_problems", f"WITH w AS ({SUPPLIED}), p AS (SELECT DISTINCT region FROM ({WEEKS})) SELECT region, 'missing' AS problem FROM p WHERE region NOT IN (SELECT region FROM w) UNION ALL SELECT region, CASE WHEN region NOT IN (SELECT region FROM p) THEN 'unknown' ELSE 'not_positive' END FROM w WHERE region NOT IN (SELECT region FROM p) OR weight <= 0")
+def x21_weights(spark, d):
+    k = F.col("n_nationkey")
+    supplied = sp.table(spark, d, "nation").where(k % 5 != 0).select(F.concat(F.when(k % 7 == 3, "old ").otherwise(""), "n_name").alias("region"), (k - 4).cast("double").alias("weight"))
+    return roles.weight_problems(supplied, weeks(spark, d))
+
+
+@query("x21_market_weights", f"SELECT region, ROUND(SUM(kpi) FILTER (date <= DATE '1996-12-31'), 2) AS weight FROM ({WEEKS}) GROUP BY 1")
+def x21_volumes(spark, d):
+    return roles.market_weights(weeks(spark, d), F.lit("1996-12-31").cast("date")).select("region", r("weight", 2).alias("weight"))
+
+
+#: Roles and groups of suppliers' nations, by remainders of the suppliers' keys.
+GIVEN = ", ".join(f"'{x}'" for x in roles.ROLES)
+ROLES_SQL = f"known AS (SELECT DISTINCT n_name AS region FROM nation WHERE n_nationkey % 11 <> 10), roles AS (SELECT DISTINCT n_name AS region, [{GIVEN}][s_suppkey % 5 + 1] AS field FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 7 < 3), groups AS (SELECT DISTINCT n_name AS region, CASE WHEN s_suppkey % 3 = 0 THEN 'test' ELSE 'control' END AS side FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 < 2)"
+
+
+def role_tables(spark, d):
+    n, k = sp.table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("region")), F.col("s_suppkey")
+    s = sp.table(spark, d, "supplier").join(n, "s_nationkey")
+    given = s.where(k % 7 < 3).select("region", F.element_at(F.array(*map(F.lit, roles.ROLES)), (k % 5 + 1).cast("int")).alias("field"))
+    return n.where("s_nationkey % 11 <> 10").select("region"), given, s.where(k % 4 < 2).select("region", F.when(k % 3 == 0, "test").otherwise("control").alias("side"))
+
+
+@query("x21_role_problems", f"""WITH {ROLES_SQL} SELECT region, 'unknown_role' AS problem FROM roles ANTI JOIN known USING (region) UNION SELECT region, 'unknown_' || side FROM groups ANTI JOIN known USING (region) UNION SELECT region, 'in_both_groups' FROM groups GROUP BY 1 HAVING COUNT(*) > 1
+UNION SELECT region, side || '_' || field FROM groups JOIN roles USING (region) WHERE field = 'exclude_from_both' OR (side = 'test' AND field IN ('test_only_exclude', 'force_control_include')) OR (side = 'control' AND field = 'control_only_exclude')
+UNION SELECT region, 'without_' || field FROM roles WHERE (field = 'force_test_include' AND region NOT IN (SELECT region FROM groups WHERE side = 'test')) OR (field = 'force_control_include' AND region NOT IN (SELECT region FROM groups WHERE side = 'control'))
+UNION SELECT NULL, 'no_control' FROM groups HAVING COUNT(*) FILTER (side = 'control') = 0""")
+def x21_problems(spark, d):
+    return roles.role_problems(*role_tables(spark, d))
+
+
+@query("x21_control_regions", f"WITH {ROLES_SQL} SELECT region FROM known WHERE region NOT IN (SELECT region FROM groups WHERE side = 'test') AND region NOT IN (SELECT region FROM roles WHERE field IN ('exclude_from_both', 'control_only_exclude', 'force_test_include'))")
+def x21_controls(spark, d):
+    known, given, groups = role_tables(spark, d)
+    return roles.control_regions(known, groups.where("side = 'test'"), given)
+
+
+@query("x21_selection_status", "WITH t AS (SELECT l_orderkey AS choice, AVG(l_discount) FILTER (l_quantity > 10) * 6 AS m, COUNT(*) FILTER (l_quantity <= 10) = 0 AS varies FROM lineitem GROUP BY 1) SELECT choice, CASE WHEN m IS NULL THEN 'supported' WHEN m <= 0.2 THEN 'pass' WHEN m <= 0.5 THEN 'supported' ELSE 'fail' END AS status, CASE WHEN m IS NULL THEN 'no feature varies' WHEN m <= 0.2 THEN NULL WHEN m <= 0.5 THEN 'above good' ELSE 'above high' END AS reason FROM t")
+def x21_selection(spark, d):
+    smd = F.when(F.col("l_quantity") > 10, F.col("l_discount").cast("double"))
+    own = sp.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("choice")).agg((F.avg(smd) * 6).alias("m"), F.collect_list(F.coalesce(smd, F.lit(float("nan")))).alias("smds"))  # features of one choice
+    return own.select("choice", roles.selection_status(F.col("m"), F.col("smds")).alias("s")).select("choice", "s.status", "s.reason")
+
+
+@query("o3_balance_order", f"""WITH {LONGF}, {STATS}, {TEST_SQL}, tp AS (SELECT feature, SUM(value * population) / SUM(population) AS t FROM lf SEMI JOIN t USING (region) GROUP BY 1), cp AS (SELECT feature, SUM(value * population) / SUM(population) AS c FROM lf ANTI JOIN t USING (region) GROUP BY 1),
+b AS (SELECT feature, CASE WHEN sd > 0 THEN ABS(t - c) / sd END AS x FROM tp JOIN cp USING (feature) JOIN st USING (feature)) SELECT feature, row_number() OVER (ORDER BY x DESC NULLS LAST, feature)::BIGINT AS place FROM b""")
+def o3(spark, d):
+    long, test = long_features(spark, d), test_regions(spark, d)
+    out = roles.ordered_balance(matching.balance_table(long, test, long.select("region").distinct().join(test, "region", "left_anti")))
+    listed = out.agg(F.collect_list("feature").alias("f"))  # features of one experiment, in the table's order
+    return listed.select(F.posexplode("f").alias("place", "feature")).select("feature", (F.col("place") + 1).cast("long").alias("place"))
+
+
+@query("v7_fallback_messages", f"SELECT method, CASE WHEN bool_or(main_fallback) THEN 'main' ELSE 'folds' END AS message, COUNT(*) FILTER (fallback) AS n_fallback, COUNT(*) AS n_folds FROM ({FOLDS} ({MONTHS})) GROUP BY 1 HAVING bool_or(main_fallback) OR bool_or(fallback)")
+def v7_messages(spark, d):
+    return roles.fallback_messages(months(spark, d).select(F.col("region").alias("method"), (F.col("kpi") < 100000).alias("fallback"), F.col("region").like("%9").alias("main_fallback")))
+
+
+@query("d18_delivery_cost", "SELECT o_orderkey AS plan, CASE WHEN o_orderkey % 4 > 0 AND o_orderkey % 5 IN (0, 3, 4) THEN o_totalprice::DOUBLE END AS cost FROM orders")
+def d18_cost(spark, d):
+    k = F.col("o_orderkey")
+    budget = F.when(k % 5 == 1, "unknown").when(k % 5 == 2, "Infinity").otherwise(F.col("o_totalprice").cast("string"))
+    return sp.table(spark, d, "orders").select(k.alias("plan"), roles.delivery_cost(budget, k % 4 > 0).alias("cost"))
