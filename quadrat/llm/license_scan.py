@@ -1,12 +1,16 @@
 """License scans: identifier tags and notice phrases by Aho-Corasick, license expressions by a shunting-yard parser.
 
 A text is lower-cased in A-Z and normalised to its words between single spaces; one automaton finds base phrases and notice
-phrases in it at once. Identifier tags (``spdx-license-identifier:``) are found by a second automaton in the lower-cased
-text itself, and what follows a tag on its line is parsed as an expression of license identifiers with AND, OR and WITH.
+phrases in it at once. Tags are found by a second automaton in the lower-cased text itself, and what follows a tag on its
+line is parsed as an expression of license identifiers with AND, OR and WITH. After ``spdx-license-identifier:`` every
+identifier counts: one that isn't listed is a label of its own, of less weight, and leaves the verdict open. A manifest's
+field (``license: mit``, ``license = "mit"``, ``"license": "mit"``) counts only if all its identifiers are listed, as prose
+may follow the same word; it must not be the end of a longer word.
 
 Defined results: a null text is an empty one; without a place first_word and last_word are null and the labels empty
 strings; a broken expression gives the labels of the identifiers it can read, and no verdict; repeated rows give repeated
-results; columns other than the id and the text are ignored, and may have any name.
+results, an empty table none; a text of any length is read whole, in time linear in it; columns other than the id and the
+text are ignored, and may have any name.
 """
 
 from __future__ import annotations
@@ -43,14 +47,28 @@ NOTICES = {
 }
 BASE_WEIGHT = 0.6
 TAG = "spdx-license-identifier:"
-TAG_WEIGHT = 1.0
-
-#: How freely text under a license may be used: 1 without conditions but notice, 0.5 weak copyleft, 0 strong copyleft or none.
-FREEDOM = {
-    "mit": 1.0, "apache-2.0": 1.0, "bsd-2-clause": 1.0, "bsd-3-clause": 1.0, "isc": 1.0, "zlib": 1.0, "unlicense": 1.0, "cc0-1.0": 1.0, "bsl-1.0": 1.0, "cc-by-4.0": 1.0,
-    "mpl-2.0": 0.5, "epl-2.0": 0.5, "lgpl-2.1": 0.5, "lgpl-3.0": 0.5, "cc-by-sa-4.0": 0.5,
-    "gpl-2.0": 0.0, "gpl-3.0": 0.0, "agpl-3.0": 0.0,
-}
+#: A manifest's field, up to its value.
+FIELDS = ("license:", "license =", "license=", "license\":", "license':")
+TAG_WEIGHT, FIELD_WEIGHT, UNKNOWN_WEIGHT = 1.0, 0.9, 0.5
+
+#: Identifiers of the public SPDX license list (lower-case, without -only, -or-later and +), by how freely text
+#: under them may be used: 1 without conditions but notice, 0.5 weak copyleft, 0 strong copyleft, no commerce or no changes.
+PERMISSIVE = """
+    0bsd afl-2.1 afl-3.0 apache-1.1 apache-2.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause
+    bsd-3-clause-clear bsd-3-clause-lbnl bsd-4-clause bsl-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc0-1.0 cecill-b curl ecl-2.0
+    fsfap ftl hpnd icu ijg isc libpng libpng-2.0 libtiff linux-openib mit mit-0 mit-cmu ms-pl mulanpsl-2.0 ncsa odc-by-1.0 ofl-1.1
+    openssl pddl-1.0 php-3.01 postgresql psf-2.0 python-2.0 ruby tcl unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl
+    x11 zlib zpl-2.1
+"""
+WEAK = """
+    apsl-2.0 cc-by-sa-2.0 cc-by-sa-2.5 cc-by-sa-3.0 cc-by-sa-4.0 cddl-1.0 cddl-1.1 cecill-c cpl-1.0 epl-1.0 epl-2.0 eupl-1.1
+    eupl-1.2 gfdl-1.2 gfdl-1.3 ipl-1.0 lgpl-2.0 lgpl-2.1 lgpl-3.0 lppl-1.3c mpl-1.1 mpl-2.0 ms-rl odbl-1.0 osl-3.0
+"""
+STRONG = """
+    agpl-1.0 agpl-3.0 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-3.0 cc-by-nc-nd-4.0 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nd-3.0
+    cc-by-nd-4.0 cecill-2.1 gpl-1.0 gpl-2.0 gpl-3.0 rpl-1.5 sleepycat sspl-1.0
+"""
+FREEDOM = {name: value for names, value in ((PERMISSIVE, 1.0), (WEAK, 0.5), (STRONG, 0.0)) for name in names.split()}
 #: What an exception adds to the freedom of the license that stands before WITH.
 EXCEPTION_GAIN = 0.5
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -65,10 +83,11 @@ def normalised(text: str) -> str:
     return b" ".join([b"", *words, b""]).decode("utf-8", "surrogatepass") if words else ""
 
 
-def expression_tokens(text: str, at: int = 0) -> list[str]:
-    """Identifiers, operators and brackets from place ``at`` of ``text`` up to the first thing that is none of them, as a line feed."""
+def expression_tokens(text: str, at: int = 0, to: int | None = None) -> list[str]:
+    """Identifiers, operators and brackets from place ``at`` of ``text`` up to the first thing that is none of them, as a line feed, or to ``to``."""
     out = []
-    while at < len(text):
+    to = len(text) if to is None else to
+    while at < to:
         c = text[at]
         if c in "()":
             out.append(c)
@@ -77,7 +96,7 @@ def expression_tokens(text: str, at: int = 0) -> list[str]:
             at += 1
         elif c in _ID_CHARS:
             end = at
-            while end < len(text) and text[end] in _ID_CHARS:
+            while end < to and text[end] in _ID_CHARS:
                 end += 1
             word = text[at:end]
             if out and out[-1] not in PRECEDENCE and out[-1] != "(" and word not in PRECEDENCE:
@@ -127,8 +146,8 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
 
 
 def license_name(identifier: str) -> str:
-    """The identifier without a suffix that says which later versions hold."""
-    return identifier.removesuffix("+").removesuffix("-or-later").removesuffix("-only")
+    """The identifier without stops around it and a suffix that says which later versions hold."""
+    return identifier.strip(".:-").removesuffix("+").removesuffix("-or-later").removesuffix("-only")
 
 
 def evaluate(postfix: list[str]) -> float | None:
@@ -152,12 +171,30 @@ def automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
     phrases, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
     for p in {**BASE, **NOTICES}:
         phrases.add_word(f" {p} ", p)
-    tags.add_word(TAG, TAG)
+    for t in (TAG, *FIELDS):
+        tags.add_word(t, t)
     phrases.make_automaton()
     tags.make_automaton()
     return phrases, tags
 
 
+def identifiers(lower: str, end: int, tag: str, to: int) -> tuple[list[str], list[str], float | None] | None:
+    """Listed identifiers, others, and the freedom of the expression between a tag's last place and ``to``; None if nothing counts."""
+    at, start = end + 1, end + 1 - len(tag)
+    if tag != TAG:
+        if start and (lower[start - 1].isalnum() or lower[start - 1] in "-_."):
+            return None  # the end of a longer word
+        while at < to and lower[at] in "\"' \t=:":
+            at += 1
+    tokens = expression_tokens(lower, at, to)
+    own = [license_name(t) for k, t in enumerate(tokens) if t not in PRECEDENCE and t not in "()" and not (k and tokens[k - 1] == "with")]
+    names, unknown = [x for x in own if x in FREEDOM], [x for x in own if x and x not in FREEDOM]
+    if not own or (tag != TAG and (unknown or not names)):
+        return None
+    postfix = to_postfix(tokens)
+    return names, unknown, evaluate(postfix) if postfix else None
+
+
 def scan(text: str | None, phrases, tags) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, permissive."""
     text = text or ""
@@ -183,17 +220,20 @@ def scan(text: str | None, phrases, tags) -> tuple:
             labels.add(label)
             weights[phrase] = max(weight, weights.get(phrase, 0))
     verdicts: list[float | None] = []
-    if "-" in text and ":" in text:
-        lower = text.translate(_LOWER)
-        for end, tag in tags.iter(lower):
-            tokens = expression_tokens(lower, end + 1)
-            postfix = to_postfix(tokens)
-            names = [license_name(t) for t in tokens if license_name(t) in FREEDOM]  # whether the expression can be read or not
-            if tokens:
-                verdicts.append(evaluate(postfix) if postfix else None)
-            if names:
-                labels.update(names)
-                weights[tag] = TAG_WEIGHT
+    lower = text.translate(_LOWER) if "license" in norm else ""
+    found = list(tags.iter(lower))
+    for k, (end, tag) in enumerate(found):
+        to = found[k + 1][0] + 1 - len(found[k + 1][1]) if k + 1 < len(found) else len(lower)  # an expression ends where the next tag begins
+        read = identifiers(lower, end, tag, to)
+        if read is None:
+            continue
+        names, unknown, verdict = read
+        verdicts.append(verdict)
+        labels.update(names, unknown)
+        if names:
+            weights[tag] = TAG_WEIGHT if tag == TAG else FIELD_WEIGHT
+        if unknown:
+            weights["unknown"] = UNKNOWN_WEIGHT
     for w in weights.values():
         miss *= 1 - w
     n_words = max(0, norm.count(" ") - 1)

@@ -228,12 +228,83 @@ def test_segments_are_those_of_the_pattern():
 
 
 def test_licenses_of_several_tags():
-    """Every tag binds: an unknown license leaves the verdict open unless another tag forbids; labels don't ask whether it can be read."""
+    """Every tag binds: an unknown license leaves the verdict open unless another tag forbids, and is a label; labels don't ask whether it can be read."""
     scan = lambda *xs: license_scan.scan("\n".join(f"SPDX-License-Identifier: {x}" for x in xs), *license_scan.automata())
     got = {xs: scan(*xs)[5::2] for xs in (("MIT",), ("MIT", "Proprietary-X"), ("Proprietary-X", "GPL-3.0"), ("MIT OR Foo",), ("MIT OR (Foo",), ("MIT AND Foo",))}
-    assert got[("MIT",)] == ("mit", True) and got[("MIT", "Proprietary-X")] == ("mit", None)
-    assert got[("Proprietary-X", "GPL-3.0")] == ("gpl-3.0", False)
-    assert got[("MIT OR Foo",)] == ("mit", True) and got[("MIT OR (Foo",)] == ("mit", None) and got[("MIT AND Foo",)] == ("mit", None)
+    assert got[("MIT",)] == ("mit", True) and got[("MIT", "Proprietary-X")] == ("mit,proprietary-x", None)
+    assert got[("Proprietary-X", "GPL-3.0")] == ("gpl-3.0,proprietary-x", False)
+    assert got[("MIT OR Foo",)] == ("foo,mit", True) and got[("MIT OR (Foo",)] == ("foo,mit", None) and got[("MIT AND Foo",)] == ("foo,mit", None)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels", "permissive"),
+    [
+        ("License: Apache-2.0", "apache-2.0", True), ('license = "MIT"', "mit", True), ('{"license": "GPL-3.0-or-later OR ISC"}', "gpl-3.0,isc", True), ("license='EUPL-1.2'", "eupl-1.2", False),
+        ("license: see the file", "", None), ("sublicense: MIT", "", None), ("license: MIT and our own", "", None), ("license:\nMIT", "", None), ("License: MIT.", "mit", True),
+        ("SPDX-License-Identifier: BSD-3-Clause-Clear", "bsd-3-clause-clear", True), ("SPDX-License-Identifier: MIT-0", "mit-0", True), ("SPDX-License-Identifier: Foo-1.0 -->", "foo-1.0", None),
+        ("<!-- SPDX-License-Identifier: MIT --> license: GPL-2.0", "gpl-2.0,mit", False), ("SPDX-License-Identifier: MIT OR SPDX-License-Identifier: ISC", "isc,mit", True), ("SPDX-License-Identifier: ()", "", None),
+    ],
+)
+def test_tags_of_other_spellings(text, labels, permissive):
+    got = license_scan.scan(text, *license_scan.automata())
+    assert (got[5], got[7]) == (labels, permissive) and (got[6] > 0) == bool(labels)
+
+
+def test_many_tags_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for unit in ("license:", "SPDX-License-Identifier:", "SPDX-License-Identifier: MIT OR ", "license: (", "license: \t"):
+        license_scan.scan(unit * 40_000, *license_scan.automata())
+    assert time.perf_counter() - began < 20
+
+
+class Freedom:
+    """Operands of Python's own & and |, which bind as AND and OR do."""
+
+    def __init__(self, x):
+        self.x = x
+
+    def __and__(self, o):
+        return Freedom(0.0 if 0.0 in (self.x, o.x) else None if None in (self.x, o.x) else min(self.x, o.x))
+
+    def __or__(self, o):
+        return Freedom(max([x for x in (self.x, o.x) if x is not None], default=None))
+
+
+def test_all_labels_by_brute_force():
+    """Texts put together at random: labels and verdict by regular expressions and Python's own parser of & and |."""
+    rng = random.Random(12)
+    lower = {c: c + 32 for c in range(65, 91)}
+    known = sorted(license_scan.FREEDOM)
+    automata = license_scan.automata()
+    notices = {**{p: v for p, v in license_scan.BASE.items()}, **{p: v[0] for p, v in license_scan.NOTICES.items()}}
+    seen = set()
+    for _ in range(1500):
+        lines = []
+        for _ in range(rng.randint(0, 5)):
+            expression = rng.choice([*known, "Foo-9", "LicenseRef-x"])
+            for _ in range(rng.randint(0, 3)):
+                other = rng.choice(known) + rng.choice(["", "+", "-only", "-or-later"])
+                expression = rng.choice([f"{expression} {rng.choice(['AND', 'or'])} {other}", f"({expression}) and ({other})", f"({expression} OR {other})"])
+            lines.append(rng.choice(["SPDX-License-Identifier: ", "license: ", 'x\tlicense = "', "my-license: ", "see "]) + expression.upper())
+            lines.append(rng.choice(["", " ".join(w.title() for w in rng.choice(sorted(notices)).split()), rng.choice(sorted(notices)).replace(" ", ", ")]))
+        text = "\n".join(lines)
+        got = license_scan.scan(text, *automata)
+        plain = text.translate(lower)
+        words = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", plain)) + " "
+        labels, verdicts = {v for p, v in notices.items() if f" {p} " in words}, []
+        for m in re.finditer(r"""(?m)^(spdx-license-identifier:|license:|x\tlicense = ") ?(.*)$""", plain):
+            ids = [re.sub(r"(\+|-or-later|-only)$", "", x) for x in re.findall(r"[a-z0-9.+-]+", m[2]) if x not in ("and", "or")]
+            if not m[1].startswith("spdx") and not all(x in known for x in ids):
+                continue
+            labels.update(ids)
+            code = re.sub(r"[a-z0-9.+-]+", lambda x: {"and": "&", "or": "|"}.get(x[0], f"F('{re.sub(r'([+]|-or-later|-only)$', '', x[0])}')"), m[2])
+            verdicts.append(eval(code, {"F": lambda x: Freedom(license_scan.FREEDOM.get(x))}).x)
+        freedom = 0.0 if 0.0 in verdicts else None if None in verdicts else min(verdicts, default=None)
+        assert (got[5], got[7]) == (",".join(sorted(labels)), None if freedom is None else freedom == 1.0), text
+        seen |= labels
+    assert len(seen) > len(known) and len(license_scan.FREEDOM) < 200
 
 
 def test_what_was_found_is_not_written(spark):
