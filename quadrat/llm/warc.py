@@ -1,9 +1,10 @@
 """WARC: monolithic gzip archives, their normaliser, and reading by a sidecar offset index.
 
 ``write_monolithic`` lets Spark's text writer make one gzip stream per task, each a whole file of records. ``normalise``
-inflates such a stream once, from front to end and a block at a time, and rewrites every record as a gzip member of its
-own; the place of each member goes to a sidecar index (file, offset, length, headers). ``read_records`` then opens members
-by that index alone. Output files get their final name only once they are whole, from a name of the task attempt's own, so
+opens such a stream in its task, inflates it once, from front to end and a block at a time, and rewrites every record as a
+gzip member of its own; the place of each member goes to a sidecar index (file, offset, length, headers). A task holds a
+block and a record, however large the archive is. ``read_records`` then opens members by that index alone.
+``write_revisits`` writes revisit records, which name the response that they repeat, to archives of their own. Output files get their final name only once they are whole, from a name of the task attempt's own, so
 a lost executor's task can run again.
 
 Paths are those of a store that driver and executors share; files are written through pyarrow's file systems, which know
@@ -11,7 +12,8 @@ file://, hdfs:// and s3:// paths.
 
 Defined results: a null payload is an empty one; equal payloads make one response, of the largest id, and revisits, if they
 have at least ``min_bytes`` bytes; repeated rows of one id are one record each, the id's response is counted once, and all
-rows of the response's id are responses; a null id is never a revisit; an empty table gives no records; extra columns are ignored.
+rows of the response's id are responses; a null id is never a revisit; an empty table gives no records; payloads are kept whole, of any length that a
+string of Spark holds; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +33,21 @@ from quadrat.llm.common import shared_dir
 
 CRLF = "\r\n"
 BLOCK = 1 << 20
-#: Bytes of payload that a monolithic archive should hold.
-ARCHIVE_BYTES = 16 << 20
+#: Index rows that a task sends on at once.
+INDEX_ROWS = 4096
 LEVEL = 4
 FIXED_DATE = "2026-01-01T00:00:00Z"
 
 
-def record_text(id_: Column, uri: Column, payload: Column) -> Column:
-    """A response record without the CRLF CRLF that ends it."""
+def _page(id_: Column) -> Column:
+    return F.concat(F.lit("<urn:quadrat:page:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(">"))
+
+
+def record_text(id_: Column, uri: Column | None, payload: Column, kind: str = "response", more: tuple[Column | str, ...] = ()) -> Column:
+    """A record without the CRLF CRLF that ends it; ``more`` are further header lines."""
     length = F.octet_length(payload).cast("string")
-    head = ["WARC/1.1", "WARC-Type: response", F.concat(F.lit("WARC-Record-ID: <urn:quadrat:page:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(">")), f"WARC-Date: {FIXED_DATE}", F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce(uri, F.lit("")), r"[\r\n]", "%0A")), "Content-Type: text/html; charset=utf-8", F.concat(F.lit("Content-Length: "), length)]
+    target = [] if uri is None else [F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce(uri, F.lit("")), r"[\r\n]", "%0A"))]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", F.concat(F.lit("WARC-Record-ID: "), _page(id_)), f"WARC-Date: {FIXED_DATE}", *target, *more, "Content-Type: text/html; charset=utf-8", F.concat(F.lit("Content-Length: "), length)]
     parts = [x if isinstance(x, Column) else F.lit(x) for x in head]
     return F.concat(F.concat_ws(CRLF, *parts), F.lit(CRLF + CRLF), payload)
 
@@ -87,17 +94,21 @@ class RecordStream:
 
 
 def inflate(blocks):
-    """Inflate a gzip stream of one or more members, block by block."""
-    z = zlib.decompressobj(31)
+    """Inflate a gzip stream of one or more members, block by block; one that is cut off is an error."""
+    z, begun = zlib.decompressobj(31), False
     for b in blocks:
-        while b:
+        more = True
+        while b or (more and begun):  # a full block may leave bytes behind though all input is taken
+            begun = True
             out = z.decompress(b, BLOCK)
             if out:
                 yield out
-            b = z.unconsumed_tail
+            b, more = z.unconsumed_tail, len(out) == BLOCK
             if z.eof:
-                b = z.unused_data
+                b, begun = z.unused_data, False
                 z = zlib.decompressobj(31)
+    if begun:
+        raise ValueError("the archive is cut off")
 
 
 def member(record: bytes, level: int = LEVEL) -> bytes:
@@ -113,34 +124,41 @@ def _store(at: str):
 INDEX_SCHEMA = "archive string, offset long, length long, record_id string, uri string, record_type string, payload_start long, payload_bytes long"
 
 
+def rewrite_archive(source: str, at: str):
+    """Rewrite one archive with a member per record under ``at``; yields lists of index rows, the last once the file has its name."""
+    name = re.sub(r"\.(txt\.)?gz$", "", source.rsplit("/", 1)[1]) + ".warc.gz"
+    own, path = _store(source)
+    fs, folder = _store(at)
+    fs.create_dir(folder, recursive=True)
+    tmp = f"{folder}/_{uuid.uuid4().hex}.tmp"
+    rows, offset, stream = [], 0, RecordStream()
+    with own.open_input_stream(path, compression=None) as archive, fs.open_output_stream(tmp, compression=None) as out:
+        for block in inflate(iter(lambda: archive.read(BLOCK), b"")):
+            for record, head, body in stream.feed(block):
+                m = member(record)
+                out.write(m)
+                rows.append((f"{at}/{name}", offset, len(m), head["warc-record-id"], head.get("warc-target-uri"), head["warc-type"], body, int(head["content-length"])))
+                offset += len(m)
+                if len(rows) >= INDEX_ROWS:
+                    yield rows
+                    rows = []
+    stream.close()
+    if fs.get_file_info(f"{folder}/{name}").type != pafs.FileType.NotFound:  # an earlier attempt's, with the same bytes
+        fs.delete_file(f"{folder}/{name}")
+    fs.move(tmp, f"{folder}/{name}")
+    yield rows
+
+
 def normalise(spark: SparkSession, source: str, at: str) -> DataFrame:
     """Rewrite the archives under ``source`` with a member per record under ``at``; the sidecar index is a table beside them."""
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")  # contents stay where they are
 
     def rewrite(batches):
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = memoryview(content.as_buffer())
-                name = re.sub(r"\.(txt\.)?gz$", "", path.rsplit("/", 1)[1]) + ".warc.gz"
-                fs, folder = _store(at)
-                fs.create_dir(folder, recursive=True)
-                tmp = f"{folder}/_{uuid.uuid4().hex}.tmp"
-                rows, offset, stream = [], 0, RecordStream()
-                with fs.open_output_stream(tmp, compression=None) as out:
-                    for block in inflate(data[i : i + BLOCK] for i in range(0, len(data), BLOCK)):
-                        for record, head, body in stream.feed(block):
-                            m = member(record)
-                            out.write(m)
-                            rows.append((f"{at}/{name}", offset, len(m), head["warc-record-id"], head.get("warc-target-uri"), head["warc-type"], body, int(head["content-length"])))
-                            offset += len(m)
-                stream.close()
-                if fs.get_file_info(f"{folder}/{name}").type != pafs.FileType.NotFound:  # an earlier attempt's, with the same bytes
-                    fs.delete_file(f"{folder}/{name}")
-                fs.move(tmp, f"{folder}/{name}")
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in INDEX_SCHEMA.split(", ")])
+            for path in b.column(0).to_pylist():
+                for rows in filter(None, rewrite_archive(path, at)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in INDEX_SCHEMA.split(", ")])
 
     archives.mapInArrow(rewrite, INDEX_SCHEMA).write.parquet(f"{at}/index")
     return spark.read.schema(INDEX_SCHEMA).parquet(f"{at}/index")
@@ -193,6 +211,13 @@ def resolve_revisits(records: DataFrame, id_col: str = "page_id", min_bytes: int
     return own.select(id_col, "payload_bytes", "payload_sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("k_id")).alias("refers_to"))
 
 
+def write_revisits(resolved: DataFrame, at: str, id_col: str = "page_id") -> None:
+    """Write the revisits among ``resolve_revisits``' rows as records without payload that name their response and its digest."""
+    more = (F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), F.concat(F.lit("WARC-Refers-To: "), _page(F.col("refers_to"))), F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_sha1(F.col("payload_sha1"))))
+    own = resolved.where("record_type = 'revisit'")
+    own.select(record_text(F.col(id_col), None, F.lit(""), "revisit", more).alias("value")).write.option("compression", "gzip").option("lineSep", CRLF + CRLF).text(at)
+
+
 def archive_pages(pages: DataFrame, id_col: str = "page_id", uri: str = "url", payload: str = "html", min_bytes: int = 0, at: str | None = None) -> DataFrame:
     """Write pages to monolithic archives, normalise them, read them back by the index, and tell responses from revisits."""
     spark = pages.sparkSession

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -151,6 +152,57 @@ def test_mix(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_revisit_records(spark, tmp_path):
+    """Revisits are records of their own archives, which the normaliser reads as it reads others."""
+    df = spark.createDataFrame([(k, f"http://x/{k}", ["same", "other", None, "same"][k % 4]) for k in range(12)], "page_id long, url string, html string")
+    resolved = warc.archive_pages(df, at=f"file://{tmp_path}/w")
+    warc.write_revisits(resolved, f"file://{tmp_path}/again")
+    index = warc.normalise(spark, f"file://{tmp_path}/again", f"file://{tmp_path}/normal")
+    want = {f"<urn:quadrat:page:{r['page_id']}>": r["refers_to"] for r in resolved.collect() if r["record_type"] == "revisit"}
+    rows = index.collect()
+    assert {r["record_id"] for r in rows} == set(want) and len(rows) == len(want) == 9
+    assert all((r["record_type"], r["payload_bytes"]) == ("revisit", 0) for r in rows) and warc.read_records(index).count() == 9
+    for r in rows:
+        with open(r["archive"].removeprefix("file://"), "rb") as f:
+            f.seek(r["offset"])
+            record = warc.zlib.decompress(f.read(r["length"]), 31).decode()
+        assert f"WARC-Refers-To: <urn:quadrat:page:{want[r['record_id']]}>\r\n" in record and "WARC-Payload-Digest: sha1:" in record
+
+
+def test_inflate_gives_all_or_an_error():
+    """Streams of sizes around a block, of several members, in pieces of any size; no cut-off stream passes."""
+    rng = random.Random(5)
+    for size in (0, 1, warc.BLOCK - 1, warc.BLOCK, warc.BLOCK + 1, 3 * warc.BLOCK):
+        plain = [bytes(size), rng.randbytes(min(size, 5000))]
+        data = b"".join(gzip.compress(x) for x in plain)
+        for piece in (13, 4096, len(data)):
+            assert b"".join(warc.inflate(data[k : k + piece] for k in range(0, len(data), piece))) == b"".join(plain)
+        for cut in (5, len(data) - 1):
+            with pytest.raises(ValueError, match="cut off"):
+                list(warc.inflate([data[:cut]]))
+
+
+def test_archive_larger_than_memory(tmp_path):
+    """An archive of 96 MB in one gzip stream passes in some MB; index rows come in several lists."""
+    import tracemalloc
+
+    n, payload = 6000, random.Random(3).randbytes(16_000)
+    with gzip.open(tmp_path / "big.gz", "wb", compresslevel=0) as f:
+        for k in range(n):
+            body = payload[k % 100 :] + payload[: k % 100]
+            f.write(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{k}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n")
+    tracemalloc.start()
+    lists = [[r[:5] for r in rows] for rows in warc.rewrite_archive(f"file:{tmp_path}/big.gz", f"file://{tmp_path}/out")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = [r for x in lists for r in x]
+    assert len(rows) == n and len(lists) == 2 and peak < 24 << 20 < (tmp_path / "big.gz").stat().st_size
+    with open(tmp_path / "out" / "big.warc.gz", "rb") as f:
+        for k in (0, 4095, 4096, n - 1):
+            f.seek(rows[k][1])
+            assert warc.zlib.decompress(f.read(rows[k][2]), 31).endswith(payload[k % 100 :] + payload[: k % 100] + b"\r\n\r\n")
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(0, 0.13, (400, 16))
