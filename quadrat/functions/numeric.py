@@ -35,14 +35,42 @@ def descend(gram: np.ndarray, xy: np.ndarray, n: int, alpha: float, l1: float, w
     return w
 
 
+#: Sweeps between two steps among the terms that are in, and the share of the largest eigenvalue below which a direction is flat.
+STEP_EVERY, FLAT = 4, 1e-10
+
+
+def step_among(g: np.ndarray, c: np.ndarray, a: np.ndarray, r: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From ``v`` to the best values of its terms under their signs, or as far as the first change of sign; and which rows are then optimal."""
+    on, s, p = v != 0, np.sign(v), v.shape[1]
+    h = np.where(on[:, :, None] & on[:, None, :], g, 0.0)
+    h[:, np.arange(p), np.arange(p)] += np.where(on, r[:, None], 1.0)
+    unit = np.sqrt(np.maximum(np.einsum("kjj->kj", h), 1e-300))
+    values, vectors = np.linalg.eigh(h / (unit[:, :, None] * unit[:, None, :]))
+    inverse = np.where(values > FLAT * values[:, -1:], 1 / np.where(values > 0, values, 1.0), 0.0)
+    slope = lambda w: c - np.einsum("kij,kj->ki", g, w) - r[:, None] * w
+    wish = np.where(on, slope(v) - a[:, None] * s, 0.0) / unit
+    move = np.where(on, np.einsum("kij,kj->ki", vectors, inverse * np.einsum("kij,ki->kj", vectors, wish)) / unit, 0.0)
+    crossing = np.where(on & (s * (v + move) < 0), -v / np.where(move == 0, 1.0, move), 1.0)
+    far = np.minimum(crossing.min(1), 1.0)
+    w = np.where((crossing == far[:, None]) & (far[:, None] < 1), 0.0, v + far[:, None] * move)
+    left = slope(w)
+    room = 1e-9 * (a[:, None] + np.abs(c).max(1, initial=0, keepdims=True) * 1e-3) + 1e-12
+    done = np.where(w != 0, np.abs(left - a[:, None] * np.sign(w)) <= room, np.abs(left) <= a[:, None] + room).all(1)
+    return w, done
+
+
 def descend_all(gram: np.ndarray, xy: np.ndarray, n: np.ndarray, alpha: np.ndarray, l1: np.ndarray, tol: float = 1e-7, most: int = 2000) -> np.ndarray:
-    """``descend`` for many problems at once, a row each: gram (k, p, p), xy (k, p), and n, alpha and l1 (k). Rows that have settled rest."""
+    """``descend`` for many problems at once, a row each: gram (k, p, p), xy (k, p), and n, alpha and l1 (k).
+
+    Rows that have settled rest. Sweeps find which terms are in and with what signs; every few sweeps a step goes straight to the
+    best values under these signs, or to the first term that it would turn, as sweeps alone crawl among controls that move together.
+    """
     k, p = xy.shape
     w, open_ = np.zeros((k, p)), np.arange(k)
     g, c, a, r = gram / n[:, None, None], xy / n[:, None], alpha * l1, alpha * (1 - l1)
     d = np.einsum("kjj->kj", g) + r[:, None]
     safe = np.where(d > 0, d, 1.0)
-    for _ in range(most):
+    for sweep in range(1, most + 1):
         if not len(open_):
             break
         v, move = w[open_], np.zeros(len(open_))
@@ -52,7 +80,12 @@ def descend_all(gram: np.ndarray, xy: np.ndarray, n: np.ndarray, alpha: np.ndarr
             move = np.maximum(move, np.abs(new - v[:, j]) * np.sqrt(np.maximum(d[open_, j], 0)))
             v[:, j] = new
         w[open_] = v
-        open_ = open_[move >= tol * (1 + np.abs(v).max(1, initial=0))]
+        still = move >= tol * (1 + np.abs(v).max(1, initial=0))
+        if sweep % STEP_EVERY == 0 and still.any():
+            rest = open_[still]
+            w[rest], done = step_among(g[rest], c[rest], a[rest], r[rest], w[rest])
+            still[np.flatnonzero(still)[done]] = False
+        open_ = open_[still]
     return w
 
 
@@ -125,7 +158,7 @@ def fit_moments(method: str, prefixes: list[Moments], unit: float = 1.0) -> Fit:
         best = int(np.argmin(errors))
         alpha, l1, cv = a[best], r[best], True
     gram, xy = scaled(whole)
-    w = descend(gram, xy, n, alpha, l1, np.zeros(p), most=10000)
+    w = descend_all(gram[None], xy[None], np.array([float(n)]), np.array([alpha]), np.array([l1]), most=10000)[0]
     return Fit(whole.mean[:p], scale, float(whole.mean[p]), w / unit, float(alpha), float(l1), cv)
 
 

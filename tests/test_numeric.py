@@ -93,3 +93,22 @@ def test_cases_are_reproducible():
     for p in SCENARIOS.values():
         a, b = generate_case(5, **p), generate_case(5, **p)
         assert a.equals(b) and a["kpi"].notna().all()
+
+
+def test_fits_of_many_problems_are_optimal():
+    """Against long single descents: fewer rows than terms, repeated and empty columns, columns that move together."""
+    rng = np.random.default_rng(5)
+    for t in range(24):
+        n, p = int(rng.integers(6, 60)), int(rng.integers(1, 8))
+        x = rng.normal(size=(n, 1)) * 4 * (t % 2) + rng.normal(size=(n, p))
+        if t % 4 == 0:
+            x[:, -1] = x[:, 0]
+        if t % 5 == 0:
+            x[:, 0] = 0
+        y = x @ rng.normal(size=p) + rng.normal(size=n)
+        x, y = x - x.mean(0), y - y.mean()
+        alpha, l1 = 10.0 ** rng.uniform(-3, 1, 8), rng.choice([0.1, 0.5, 1.0], 8)
+        got = numeric.descend_all(np.repeat((x.T @ x)[None], 8, 0), np.repeat((x.T @ y)[None], 8, 0), np.full(8, float(n)), alpha, l1)
+        for own, a, r in zip(got, alpha, l1, strict=True):
+            loss = lambda w: ((y - x @ w) ** 2).sum() / (2 * n) + a * r * np.abs(w).sum() + a * (1 - r) / 2 * w @ w  # noqa: B023, E731
+            assert loss(own) <= loss(numeric.descend(x.T @ x, x.T @ y, n, a, r, np.zeros(p), tol=1e-10, most=5000)) + 1e-9
