@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions import numeric
@@ -55,3 +55,46 @@ def seed_sensitivity(runs: DataFrame) -> DataFrame:
     """By scenario and method: the spread of power over seeds, and quantiles of its bias."""
     q = F.percentile(F.col("power") - F.col("reference"), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     return runs.groupBy("scenario", "method").agg(F.stddev_samp("power").alias("power_sd"), q.alias("q")).select("scenario", "method", "power_sd", F.get("q", 0).alias("bias_p5"), F.get("q", 1).alias("bias_p50"), F.get("q", 2).alias("bias_p95"))
+
+
+def _finite(c: Column) -> Column:
+    return F.when(F.abs(c) < float("inf"), c)  # NaN is above it
+
+
+def _spread(c: Column, name: str, shares: tuple[float, ...] = (0.1, 0.5, 0.9)) -> list[Column]:
+    q = F.percentile(_finite(c), F.array(*map(F.lit, shares)))
+    return [*(F.get(q, k).alias(f"{name}_p{round(100 * s)}") for k, s in enumerate(shares)), F.avg(_finite(c)).alias(f"{name}_mean"), F.count(_finite(c)).alias(f"{name}_n")]
+
+
+def method_rates(runs: DataFrame, expected: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """How far runs keep to what their scenarios call for: a row for each scenario, method and fit (level 0), and one over all (level 7).
+
+    runs: scenario, method, fit, completed, n_blockers, error, fallback, power_zero, power, reference, mde, reference_mde,
+    mde_reached, reference_reached, seconds. expected: scenario, blocked (whether its runs ought to be); other scenarios count
+    in neither rate. Falsely supported: completed though to be blocked. Falsely blocked: neither completed nor failed though to
+    be supported. False effect: of completed runs with a known reference, one is reported that the reference doesn't reach.
+    Biases are those of completed runs; a null completed is false, an empty error or fallback none; rates of no run are null; no runs give no rows.
+    power_sd spreads the deviation of power over the runs of each scenario, method and fit that has two. Percentiles are
+    exact; a group's distinct values are held while they are counted.
+    """
+    keys = ["scenario", "method", "fit"]
+    done, told = F.coalesce("completed", F.lit(False)), lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    own = runs.join(expected.select("scenario", F.col("blocked").alias("to_block")), "scenario", "left").withColumn("completed", done).withColumn("failed", told("error")).withColumn("fell_back", told("fallback"))
+    ok, reached, known = F.col("completed"), F.coalesce("mde_reached", F.lit(False)), F.col("reference_reached")
+    both = ok & reached & known & (F.col("reference_mde") != 0)
+    bias = F.when(ok, F.col("power") - F.col("reference"))
+    eligible = ok & known.isNotNull()
+    blocked_wrong, supported_wrong = ~F.col("to_block") & ~ok & ~F.col("failed"), F.col("to_block") & ok
+    out = own.groupingSets([keys, []], *keys).agg(
+        F.grouping_id(*keys).alias("level"), F.count("*").alias("n_runs"), F.count_if(ok).alias("n_completed"), F.count_if("failed").alias("n_failed"), (F.count("*") - F.count_if(ok) - F.count_if("failed")).alias("n_incomplete"),
+        F.count_if(F.col("n_blockers") > 0).alias("n_blocked"), F.count_if("fell_back").alias("n_fallback"),
+        *_spread(F.when(ok, F.abs(F.col("power_zero") - alpha)), "null_error"), *_spread(bias, "power_bias"), *_spread(F.abs(bias), "power_error"), F.max(F.abs(bias)).alias("power_error_worst"),
+        *_spread(F.when(both, F.abs(F.col("mde") - F.col("reference_mde")) / F.abs("reference_mde")), "mde_error"),
+        F.count_if(supported_wrong).alias("n_false_supported"), F.try_divide(F.count_if(supported_wrong), F.count_if("to_block")).alias("false_supported_rate"),
+        F.count_if(blocked_wrong).alias("n_false_blocked"), F.try_divide(F.count_if(blocked_wrong), F.count_if(~F.col("to_block"))).alias("false_blocked_rate"),
+        F.count_if(eligible & reached & ~known).alias("n_false_mde"), F.try_divide(F.count_if(eligible & reached & ~known), F.count_if(eligible)).alias("false_mde_rate"), *_spread(F.col("seconds"), "seconds", (0.5, 0.95)),
+    )
+    per = own.where(ok & F.col("power").isNotNull()).groupBy(*keys).agg(F.stddev_samp("power").alias("sd"), F.count("*").alias("n")).where("n > 1")
+    sds = per.groupingSets([keys, []], *keys).agg(F.grouping_id(*keys).alias("level"), *_spread(F.col("sd"), "power_sd"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ["level", *keys]]
+    return out.alias("a").join(sds.alias("b"), same, "left").select("a.*", *(f"b.{c}" for c in sds.columns if c.startswith("power_sd")))

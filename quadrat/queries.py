@@ -949,7 +949,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> None:
-    from quadrat import keyed_queries, shaping_queries  # noqa: F401  register their own, with helpers of this module
+    from quadrat import keyed_queries, shaping_queries, summary_queries  # noqa: F401  register their own, with helpers of this module
 
 
 def queries() -> dict[str, Query]:
