@@ -115,6 +115,32 @@ def nearest(long: DataFrame, test: DataFrame, n: int) -> DataFrame:
     return score_groups(pool.select(F.col("region").alias("group_id"), "region"), long, test).orderBy("distance", "group_id").limit(n)
 
 
+def match_results(members: DataFrame, long: DataFrame, test: DataFrame, seed: int | None = None) -> DataFrame:
+    """A row for each strategy: its best group of controls, how it balances, and the way to it.
+
+    members: strategy, place (the order in which groups were tried), group_id, region. Columns: strategy, controls (array of
+    labels), distance, mean_abs_smd, smds (array of feature and abs_smd, by feature; null for a feature without spread),
+    candidates (groups tried), convergence (distances that beat all before them, in order) and seed. Ties go to the smaller
+    group_id; members that aren't in ``long`` count for nothing, and a strategy without a scored group has no row.
+    """
+    groups = members.groupBy("strategy", "group_id").agg(F.min("place").alias("place"))
+    rows = members.select(F.struct("strategy", "group_id").alias("group_id"), "region").distinct()
+    scored = score_groups(rows, long, test).select("group_id.*", "distance", "mean_abs_smd").where("distance is not null").join(groups, ["strategy", "group_id"])
+    before = Window.partitionBy("strategy").orderBy("place", "group_id").rowsBetween(Window.unboundedPreceding, -1)
+    told = scored.withColumn("so_far", F.min("distance").over(before))
+    gain = F.when(F.col("so_far").isNull() | (F.col("distance") < F.col("so_far")), F.struct("place", "group_id", "distance"))
+    best = told.groupBy("strategy").agg(
+        F.min_by(F.struct("group_id", "distance", "mean_abs_smd"), F.struct("distance", "group_id")).alias("b"), F.count("*").alias("candidates"), F.array_sort(F.collect_list(gain)).alias("steps")
+    ).select("strategy", "b.*", "candidates", F.transform("steps", lambda s: s["distance"]).alias("convergence"))
+    own = best.select("strategy", "group_id").join(members.select("strategy", "group_id", "region").distinct(), ["strategy", "group_id"])
+    controls = own.join(long.select("region").distinct(), "region", "left_semi").groupBy("strategy").agg(F.array_sort(F.collect_set("region")).alias("controls"))
+    mean = F.coalesce(F.try_divide(F.sum(F.col("value") * F.col("population")), F.sum("population")), F.avg("value"))
+    sides = long.join(test.select("region").distinct(), "region", "left_semi").groupBy("feature").agg(mean.alias("t")).join(structural_stats(long), "feature")
+    each = own.join(long, "region").groupBy("strategy", "feature").agg(mean.alias("c")).join(sides, "feature")
+    smds = each.groupBy("strategy").agg(F.array_sort(F.collect_list(F.struct("feature", F.when(F.col("sd") > 0, F.abs(F.col("t") - F.col("c")) / F.col("sd")).alias("abs_smd")))).alias("smds"))
+    return best.join(controls, "strategy").join(smds, "strategy").select("strategy", "controls", "distance", "mean_abs_smd", "smds", "candidates", "convergence", F.lit(seed).cast("int").alias("seed"))
+
+
 def index_to_100(panel: DataFrame) -> DataFrame:
     """kpi as percent of its region's mean."""
     return panel.withColumn("indexed", F.try_divide("kpi", F.avg("kpi").over(Window.partitionBy("region"))) * 100)

@@ -1,11 +1,11 @@
-"""Queries of operators/summaries.py and of evidence rates, over records that orders, customers and line items stand for; registered with those of queries.py."""
+"""Queries of operators/summaries.py, of match results and of evidence rates, over records that orders, customers and line items stand for; registered with those of queries.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quadrat.operators import evidence, summaries
-from quadrat.queries import query, rounded
+from quadrat.operators import evidence, matching, summaries
+from quadrat.queries import LONGF, STATS, TEST_SQL, long_features, query, rounded, test_regions
 from quadrat.sources import panel as sp
 
 EVIDENCE = """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS scenario, o_orderstatus AS method, 'fit' || o_custkey % 3 AS fit, o_orderkey % 7 <> 0 AND NOT (o_orderpriority = '1-URGENT' AND o_custkey % 4 <> 0) AS completed FROM orders),
@@ -103,3 +103,23 @@ def d13_technical(spark, d):
         "experiment", F.array_join(F.transform("stages", lambda s: F.concat(s["stage"], F.lit(":"), s["status"])), ",").alias("stages"), F.array_join("stale_stages", ",").alias("stale_stages"),
         F.array_join(F.transform("frozen_versions", one), ",").alias("frozen_versions"), F.col("active_version.version").alias("active_version"), F.array_join("result_stages", ",").alias("result_stages"),
     )
+
+
+@query("m13_match_results", f"""WITH {LONGF}, {STATS}, {TEST_SQL}, tp AS (SELECT feature, SUM(value * population) / SUM(population) AS t FROM lf SEMI JOIN t USING (region) GROUP BY 1), pool AS (SELECT DISTINCT region FROM lf ANTI JOIN t USING (region)),
+g AS (SELECT 'pairs' AS strategy, region AS a, other AS b FROM pool, (SELECT region AS other FROM pool) WHERE region < other UNION ALL SELECT 'single', region, region FROM pool), m AS (SELECT strategy, a || '+' || b AS group_id, UNNEST(list_distinct([a, b])) AS region FROM g),
+cp AS (SELECT strategy, group_id, feature, SUM(value * population) / SUM(population) AS c FROM m JOIN lf USING (region) GROUP BY 1, 2, 3), z AS (SELECT *, (t - c) / CASE WHEN sd > 0 THEN sd ELSE 1 END AS e, CASE WHEN sd > 0 THEN ABS(t - c) / sd END AS smd FROM cp JOIN tp USING (feature) JOIN st USING (feature)),
+sc AS (SELECT strategy, group_id, SQRT(SUM(e * e)) AS distance, AVG(smd) AS mean_abs_smd, string_agg(feature || ':' || COALESCE(printf('%.3f', smd), 'none'), ',' ORDER BY feature) AS smds FROM z GROUP BY 1, 2), w AS (SELECT *, MIN(distance) OVER (PARTITION BY strategy ORDER BY group_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM sc)
+SELECT strategy, (SELECT string_agg(region, ',' ORDER BY region) FROM m WHERE m.strategy = w.strategy AND m.group_id = arg_min(w.group_id, w.distance)) AS controls, ROUND(MIN(distance), 4) AS distance, ROUND(arg_min(mean_abs_smd, distance), 4) AS mean_abs_smd, arg_min(smds, distance) AS smds, COUNT(*) AS candidates,
+string_agg(printf('%.3f', distance), ',' ORDER BY group_id DESC) FILTER (so_far IS NULL OR distance < so_far) AS convergence FROM w GROUP BY strategy""")
+def m13(spark, d):
+    """Two strategies: single regions, and all pairs, tried from the last label to the first."""
+    long, test = long_features(spark, d), test_regions(spark, d)
+    pool = long.select("region").distinct().join(test, "region", "left_anti")
+    pairs = pool.join(pool.select(F.col("region").alias("b")), F.col("region") < F.col("b")).select(F.lit("pairs").alias("strategy"), F.col("region").alias("a"), "b")  # the candidates themselves
+    both = pairs.unionByName(pool.select(F.lit("single").alias("strategy"), F.col("region").alias("a"), F.col("region").alias("b")))
+    rank = matching.member_numbers(long).withColumnRenamed("region", "a"), matching.member_numbers(long).select(F.col("region").alias("b"), F.col("number").alias("second"))
+    placed = both.join(rank[0], "a").join(rank[1], "b").select("strategy", (-1000 * F.col("number") - F.col("second")).alias("place"), F.concat("a", F.lit("+"), "b").alias("group_id"), F.explode(F.array_distinct(F.array("a", "b"))).alias("region"))
+    out = matching.match_results(placed, long, test)
+    text = lambda c: F.when(c.isNull(), "none").otherwise(F.format_string("%.3f", c))
+    out = out.withColumn("controls", F.array_join("controls", ",")).withColumn("smds", F.array_join(F.transform("smds", lambda s: F.concat(s["feature"], F.lit(":"), text(s["abs_smd"]))), ",")).withColumn("convergence", F.array_join(F.transform("convergence", text), ","))
+    return rounded(out.drop("seed"))

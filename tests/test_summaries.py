@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quadrat.operators import evidence, summaries
+from quadrat.operators import evidence, matching, summaries
 
 DAY = datetime.date(2024, 1, 1)
 RUN = "scenario string, method string, fit string, completed boolean, n_blockers int, error string, fallback string, power_zero double, power double, reference double, mde double, reference_mde double, mde_reached boolean, reference_reached boolean, seconds double"
@@ -70,3 +70,17 @@ def test_method_rates(spark):
     assert total["power_sd_n"] == 1 and total["power_sd_p50"] == pytest.approx(0.2 / 2**0.5)
     assert got["noisy"]["power_sd_n"] is None and got["noisy"]["false_blocked_rate"] is None and got["other"]["false_supported_rate"] is None and got["other"]["n_incomplete"] == 1
     assert evidence.method_rates(runs.where(F.lit(False)), expected).count() == 0
+
+
+def test_match_results(spark):
+    """Ties, a feature without spread, members that aren't there, a strategy without any, and the order of groups."""
+    regions = {"t": (10.0, 1.0, 5.0), "a": (1.0, 2.0, 5.0), "b": (3.0, 2.0, 5.0), "c": (2.0, 5.0, 5.0), "d": (0.0, 4.0, 5.0)}
+    long = spark.createDataFrame([(r, p, f, v) for r, (p, x, y) in regions.items() for f, v in (("x", x), ("flat", y))], "region string, population double, feature string, value double")
+    tried = [("s", 1, "g1", "c"), ("s", 2, "g2", "d"), ("s", 3, "g3", "a"), ("s", 4, "g0", "b"), ("s", 4, "g0", "nowhere"), ("s", 5, "g5", "c"), ("s", 5, "g5", "a"), ("s", 5, "g5", "a"), ("gone", 1, "g", "nowhere")]
+    members = spark.createDataFrame(tried, "strategy string, place int, group_id string, region string")
+    (got,) = matching.match_results(members, long, spark.createDataFrame([("t",)], "region string"), seed=7).collect()
+    sd = 1.4696938456699067  # of 1, 2, 2, 5 and 4
+    assert (got["strategy"], got["controls"], got["candidates"], got["seed"]) == ("s", ["b"], 5, 7)
+    assert got["convergence"] == pytest.approx([4 / sd, 3 / sd, 1 / sd]) and got["distance"] == pytest.approx(1 / sd) == got["mean_abs_smd"]
+    assert [(s["feature"], s["abs_smd"] and round(s["abs_smd"], 9)) for s in got["smds"]] == [("flat", None), ("x", round(1 / sd, 9))]
+    assert matching.match_results(members.limit(0), long, members.select("region").limit(0)).count() == 0
