@@ -152,6 +152,33 @@ def test_mix(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_over_phases(spark):
+    """Every block's slot against earliest deadlines played slot by slot; sources are used up at different times."""
+    units = {f"s{k:02d}": 1 + (k * 7) % 5 for k in range(12)}
+    sizes = {s: 3 + (k * k * 5) % 41 for k, s in enumerate(units)}
+    docs = spark.createDataFrame([(n * 100 + i, s) for n, (s, size) in enumerate(sizes.items()) for i in range(size)], "doc_id long, source string")
+    out = mixing.mix(docs, spark.createDataFrame(list(units.items()), "source string, units int"), block=2).collect()
+    got = {(r["source"], r["mix_block"]): (r["mix_slot"], r["mix_release"], r["mix_deadline"]) for r in out}
+    blocks = {s: -(-n // 2) for s, n in sizes.items()}
+    last = {s: -(-blocks[s] // units[s]) for s in units}
+    want, base, cycle = {}, 0, 0
+    for until in sorted(set(last.values())):
+        active = [s for s in units if last[s] >= until]
+        total = sum(units[s] for s in active)
+        for c in range(cycle, until):
+            done = dict.fromkeys(active, 0)
+            for slot in range(total):
+                ready = [(-(-(done[s] + 1) * total // units[s]), s) for s in active if done[s] < units[s] and done[s] * total // units[s] <= slot]
+                deadline, s = min(ready)
+                at = base + (c - cycle) * total
+                if c * units[s] + done[s] < blocks[s]:  # the last cycle of a source may have slots to spare
+                    want[s, c * units[s] + done[s]] = (at + slot, at + done[s] * total // units[s], at + deadline)
+                done[s] += 1
+                assert all(abs(done[x] - units[x] * (slot + 1) / total) < 1 for x in active)
+        base, cycle = base + (until - cycle) * total, until
+    assert got == want and len({v[0] for v in got.values()}) == len(got)
+
+
 def test_revisit_records(spark, tmp_path):
     """Revisits are records of their own archives, which the normaliser reads as it reads others."""
     df = spark.createDataFrame([(k, f"http://x/{k}", ["same", "other", None, "same"][k % 4]) for k in range(12)], "page_id long, url string, html string")
