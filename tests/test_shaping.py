@@ -1,8 +1,10 @@
 """Rules of shaping.py and roles.py on empty, repeated and odd rows."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quadrat import queries as own
 from quadrat.operators import evidence, matching, roles, shaping
 from quadrat.schemas import NoPopulationColumn
 
@@ -72,6 +74,19 @@ def test_selection_status(spark):
     assert [tuple(r["x"]) for r in s] == [("pass", None), ("supported", "above good"), ("fail", "above high"), ("supported", "no feature varies"), ("supported", "no feature varies"), ("fail", "not finite"), ("fail", "not finite"), ("fail", "not finite")]
 
 
+def test_selection_status_adds_in_the_order_of_the_table(spark, tmp_path):
+    """A mean that meets a threshold exactly: file by file the sum is another double than row by row."""
+    db = duckdb.connect(config={"threads": 1})
+    at = tmp_path / "lineitem.parquet"
+    at.mkdir()
+    for k, values in enumerate(("(1, 20, 0.01), (2, 5, 0.3)", "(1, 20, 0.03), (1, 20, 0.04), (1, 20, 0.04), (1, 20, 0.04), (1, 20, 0.04), (1, 3, 0.9), (3, 20, NULL)")):
+        db.execute(f"COPY (SELECT a::BIGINT AS l_orderkey, b::DOUBLE AS l_quantity, c::DOUBLE AS l_discount FROM (VALUES {values}) AS t(a, b, c)) TO '{at}/part-{k}.parquet'")
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}/*.parquet'")
+    want = db.execute(own.oracle_sql()["x21_selection_status"]).fetchall()
+    got = own.queries()["x21_selection_status"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) == [(1, "pass", None), (2, "supported", "no feature varies"), (3, "supported", "no feature varies")]
+
+
 def test_summaries_do_not_share_a_view(spark):
     make = lambda p: spark.createDataFrame([("s", 1, "m", "ols", p, 0.5, 0.1, None), ("s", 2, "m", "ols", p, 0.5, 0.1, "x")], "scenario string, seed int, method string, fit string, power double, reference double, null_rate double, fallback string")
     a, b = evidence.summarise(make(0.25)), evidence.summarise(make(0.75))
