@@ -314,7 +314,7 @@ def j16(spark, d):
     quoted = F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))
     planned = o.select(k.alias("key"), doc(F.col("o_custkey"), quoted, F.lit(True)).alias("doc"))
     analysed = o.select(k.alias("key"), doc(F.col("o_custkey") + k % 2, F.when(k % 3 == 0, k.cast("string")).otherwise(quoted), k % 4 == 0, F.lit(',"note":null')).alias("doc"))
-    return lineage.comparison_summary(lineage.compared(lineage.flattened(planned), lineage.flattened(analysed)))
+    return lineage.record_comparison(planned, analysed)
 
 
 @query("m2_scored_arrays", f"""WITH {LONGF}, {STATS}, {TEST_SQL}, tp AS (SELECT feature, SUM(value * population) / SUM(population) AS t FROM lf SEMI JOIN t USING (region) GROUP BY 1), pool AS (SELECT DISTINCT region FROM lf ANTI JOIN t USING (region)),

@@ -128,6 +128,29 @@ def test_documents_path_by_path(spark):
         lineage.flattened(df, deepest=2)
 
 
+def test_records_compared_within_their_rows(spark):
+    """Odd documents compare as their leaves do: repeated and null keys, names with dots, quotes and brackets, no JSON, one side only."""
+    docs = [(1, '{"a": [1, {}, []], "b.c": 1, "b": {"c": 2}, "x[\\"]{": "}"}'), (2, "[]"), (3, "{broken"), (4, None), (5, '{"d": "1", "e": null}'), (6, '{"d": 1}'), (6, '{"d": 2}'), (None, '{"n": 1}'), (8, '"s"'), (9, '{"a": {"b": {"c": [[]]}}}')]
+    other = [(1, '{"a": [1, {}, [0]], "b.c": 1, "b": {"c": 2}, "x[\\"]{": "}"}'), (2, "{}"), (3, "{other"), (5, '{"d": 1, "e": "null"}'), (6, '{"d": 1, "f": 3}'), (None, '{"n": 1}'), (7, "[[1]]"), (8, '"s"'), (9, '{"a": {"b": {"c": [[]]}}}')]
+    a, b = (spark.createDataFrame(x, "key int, doc string") for x in (docs, other))
+    want = lineage.comparison_summary(lineage.compared(lineage.flattened(a), lineage.flattened(b)))
+    got = lineage.record_comparison(a, b)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    rows = {r["key"]: tuple(r) for r in got.collect()}
+    assert rows == {r["key"]: tuple(r) for r in want.collect()} and len(rows) == 10
+    assert rows[6][1:] == (False, 1, 1, 0, 1, "$.d,$.f") and rows[9][1:] == (True, 1, 0, 0, 0, "") and rows[None][1:] == (False, 0, 0, 1, 1, "$.n,$.n")
+    with pytest.raises(ValueError):
+        lineage.record_comparison(a, b, deepest=4)
+    assert lineage.record_comparison(a, b, deepest=5).count() == 10
+
+
+def test_record_comparison_parses_a_document_once(spark, sf_dir):
+    from quadrat import queries as own
+
+    plan = own.queries()["j16_compared_records"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.count("parseJson") <= 2 and "Generate" not in plan and "Join" not in plan
+
+
 def test_workbook_source(spark, tmp_path):
     long = [(f"r{k}", k, None) for k in range(300)]
     (tmp_path / "deep").mkdir()
