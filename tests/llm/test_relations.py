@@ -403,3 +403,23 @@ def test_recall_by_length(spark, shortest, longest, least):
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[k] == t for k, t in rows[::2])
     assert sum(got[k] == "" for k, _ in rows[1::2]) >= least * len(rows) / 2
+
+
+def test_bits_bound_the_similarity_closely(spark):
+    """Of near copies below the threshold few pairs are left to compare, and none that reaches it is lost."""
+    rng = np.random.default_rng(33)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    base = [word() for _ in range(80)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for j in rng.choice(80, int(rng.integers(3, 6)), replace=False):
+            w[j] = word()
+        rows.append((k, " ".join(w)))
+    sets = {k: every_shingle(t) for k, t in rows}
+    bits = line_dedup.set_bits(spark.createDataFrame(rows, "v long, s string")).cache()
+    other = bits.select(F.col("v").alias("w"), *(F.col(c).alias(f"other_{c}") for c in bits.columns if c != "v"))
+    left = {(r["v"], r["w"]) for r in bits.crossJoin(other).where("v > w").where(line_dedup.may_reach(80)).select("v", "w").collect()}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a > b}
+    assert {x for x, j in like.items() if j >= 0.8} <= left
+    assert sum(j < 0.72 for j in like.values()) > 100 and all(like[x] >= 0.72 for x in left)
