@@ -423,3 +423,42 @@ def test_bits_bound_the_similarity_closely(spark):
     like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a > b}
     assert {x for x, j in like.items() if j >= 0.8} <= left
     assert sum(j < 0.72 for j in like.values()) > 100 and all(like[x] >= 0.72 for x in left)
+
+
+def test_lines_are_fetched_once(spark, monkeypatch):
+    """Near copies that take several comparisons: the documents are read for their lines once, and a task finds sets of little input."""
+    rng = np.random.default_rng(41)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    base = [word() for _ in range(80)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for j in rng.choice(80, int(rng.integers(1, 5)), replace=False):
+            w[j] = word()
+        rows.append((k, " ".join(w)))
+    calls, sizes = [], []
+    fetch, compare = line_dedup.candidate_lines, line_dedup.similar
+    monkeypatch.setattr(line_dedup, "candidate_lines", lambda *x: calls.append(1) or fetch(*x))
+    monkeypatch.setattr(line_dedup, "similar", lambda *x: sizes.append(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) or compare(*x))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
+    gone = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("text = ''").collect()}
+    want = closure({k: every_shingle(t) for k, t in rows}, line_dedup.SIMILARITY_PERCENT)
+    assert gone == {k for k in want if want[k] != k} and 0 < len(gone) < 60
+    assert len(calls) == 1 and len(sizes) >= 2 and set(sizes) == {line_dedup.TASK_INPUT}
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None) == before
+
+
+def test_bits_of_sets(spark):
+    """A bit for each shingle, of large sets for those of the smallest values, against the hashes one by one."""
+    rng = np.random.default_rng(5)
+    rows = [(0, ""), (1, "short"), (2, "x" * 500), (3, "\u4f60" * 30 + "".join(rng.choice(list("abcdef \U0001f600"), 700))), (4, "".join(rng.choice(list("abcdefgh"), 5000)))]
+    df = spark.createDataFrame(rows, "v long, s string")
+    got = {r["v"]: r for r in line_dedup.set_bits(df).collect()}
+    for r in df.select("v", line_dedup.shingle_set(F.col("s")).alias("hs")).collect():
+        n, k = len(r["hs"]), max(0, int(np.ceil(np.log2(len(r["hs"]) / line_dedup.SAMPLED))))
+        want = [0] * line_dedup.WORDS
+        for h in r["hs"]:
+            if k == 0 or ((h + 2**63) >> 32) < 2 ** (32 - k):
+                want[(h >> 6) % line_dedup.WORDS] |= 1 << (h % 64)
+        own = got[r["v"]]
+        assert (own["n"], own["k"]) == (n, k) and [own[f"b{j}"] % 2**64 for j in range(line_dedup.WORDS)] == want
